@@ -8,7 +8,8 @@ Each window of ``length`` bytes has one anchor, the leftmost least hash of its
 ``gram``-byte grams; equal windows have equal anchors at equal distances. Windows
 of one anchor lie side by side and form a context of at most 2 * length - gram bytes.
 
-1. Texts are written once as chunks of about 8 MB in the shared folder.
+1. Texts are written once as chunks of about 8 MB in the shared folder. Whole
+   copies of a smaller id's text are found by their digests and need no more work.
 2. Each chunk's distinct anchor hashes go to hash buckets (nine bytes each), and
    their states come back by chunk: alone in one document, shared, or heavy.
 3. Contexts of shared anchors are reduced to distinct ones within the chunk and
@@ -40,12 +41,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.llm.columns import BASE_INVERSE, Texts, column, mix, powers, slices, span_hash
-from sheafline.session import fresh_path, ship
+from sheafline.session import fresh_path, ship, staged
 
 U64 = np.uint64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -61,7 +63,7 @@ class SuffixSettings:
     gram: int = 20
     chunk_bytes: int = 1 << 23
     bucket_samples: int = 1 << 20
-    heavy_from: int = 512  # documents that hold an anchor; only how work is dealt depends on it
+    heavy_from: int = 512  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
     block_bytes: int = 1 << 22
 
 
@@ -83,38 +85,76 @@ def _pieces(texts: Texts, most: int, length: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
-def anchors(texts: Texts, s: SuffixSettings) -> tuple[np.ndarray, ...]:
-    """Hash, place, first window, number of windows, row of each run of windows with one anchor."""
-    out: list[tuple[np.ndarray, ...]] = []
+@dataclass
+class Runs:
+    """Runs of windows of one anchor: its hash and place, the first window, their number, the row, a hash of the bytes."""
+
+    anchor: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    row: np.ndarray
+    content: np.ndarray
+
+    def take(self, which: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, x)[which] for x in self.__dataclass_fields__))
+
+
+def _content(prefix: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    return span_hash(prefix, first, first + count + length - 1) if len(first) else np.zeros(0, U64)
+
+
+def runs_of(texts: Texts, skip: np.ndarray, s: SuffixSettings) -> Runs:
+    """All runs of the rows that are not skipped."""
+    out: list[Runs] = []
     width = s.length - s.gram + 1
-    for a, b in _pieces(texts, 1 << 22, s.length):
+    row_of = np.repeat(np.arange(texts.n, dtype=np.int32), texts.end - texts.start)
+    for a, b in _pieces(texts, 1 << 20, s.length):
         data = texts.data[a:b]
         m = len(data) - s.gram + 1
         if len(data) < s.length:
             continue
         prefix = texts.prefix(data)
         grams = mix((prefix[s.gram :] - prefix[: -s.gram]) * powers(BASE_INVERSE, m))
-        key = (grams & U64(0xFFFFFFFFFF000000)) | np.arange(m, dtype=U64)  # least hash, then leftmost
-        least, size = key, 1
+        least, size = (grams & U64(0xFFFFFFFFFF000000)) | np.arange(m, dtype=U64), 1  # least hash, then leftmost
         while size * 2 <= width:
             least, size = np.minimum(least[:-size], least[size:]), size * 2
         if size < width:
             least = np.minimum(least[: size - width], least[width - size :])
         place = (least & U64(0xFFFFFF)).astype(np.int64)
-        first = np.arange(len(place))
-        row = np.searchsorted(texts.end, first + a, side="right")
-        inside = first + a + s.length <= texts.end[row]
-        first, place, row = first[inside], place[inside], row[inside]
+        row = row_of[a : a + len(place)]
+        inside = (row == row_of[a + s.length - 1 : a + s.length - 1 + len(place)]) & ~skip[row]
+        first = np.flatnonzero(inside)
+        place, row = place[first], row[first]
         if not len(first):
             continue
         new = np.ones(len(first), bool)
-        new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(new)
-        out.append((grams[place[at]], place[at] + a, first[at] + a, np.diff(np.append(at, len(first))), row[at]))
+        begin, count = first[at], np.diff(np.append(at, len(first)))
+        out.append(Runs(grams[place[at]], place[at] + a, begin + a, count, row[at].astype(np.int64), _content(prefix, begin, count, s.length)))
     if not out:
         zero = np.zeros(0, np.int64)
-        return np.zeros(0, U64), zero, zero, zero, zero
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return Runs(np.zeros(0, U64), zero, zero, zero, zero, np.zeros(0, U64))
+    return Runs(*(np.concatenate([getattr(x, f) for x in out]) for f in Runs.__dataclass_fields__))
+
+
+def window_by_window(texts: Texts, runs: Runs, heavy: np.ndarray, length: int) -> Runs:
+    """The runs, with each heavy one as runs of one window that are sorted by their own bytes."""
+    if not heavy.any():
+        return runs
+    big = runs.take(heavy)
+    sizes = big.count + length - 1
+    begin = np.cumsum(sizes) - sizes
+    data = texts.data[np.repeat(big.first, sizes) + np.arange(int(sizes.sum())) - np.repeat(begin, sizes)]
+    step = np.arange(int(big.count.sum())) - np.repeat(np.cumsum(big.count) - big.count, big.count)
+    at = np.repeat(begin, big.count) + step
+    one = np.ones(len(step), np.int64)
+    content = _content(texts.prefix(data), at, one, length)
+    each = np.repeat(np.arange(len(sizes)), big.count)
+    single = Runs(mix(content ^ U64(0xA5A5)), big.place[each], big.first[each] + step, one, big.row[each], content)
+    rest = runs.take(~heavy)
+    return Runs(*(np.concatenate([getattr(rest, x), getattr(single, x)]) for x in Runs.__dataclass_fields__))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,16 +162,14 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _documents_of(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, and in how many rows each occurs."""
-    order = np.lexsort((row, keys))
-    k, r = keys[order], row[order]
-    new_pair = np.ones(len(k), bool)
-    new_pair[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-    k = k[new_pair]
-    if not len(k):
-        return k, np.zeros(0, np.int64)
-    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+def _distinct(keys: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and with how many values of ``other`` each occurs."""
+    order = np.lexsort((other, keys))
+    k, o = keys[order], other[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    k = k[new]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     return k[begin], np.diff(np.append(begin, len(k)))
 
 
@@ -153,36 +191,21 @@ class Contexts:
     row: np.ndarray
 
 
-def contexts(texts: Texts, ids: np.ndarray, states: tuple[np.ndarray, np.ndarray, np.ndarray], s: SuffixSettings) -> Contexts:
-    """states: distinct hashes of the chunk, are they shared, are they heavy."""
-    hashes, place, first, count, row = anchors(texts, s)
-    known, shared, heavy = states
-    at = np.searchsorted(known, hashes)
-    hit = shared[at] if len(known) else np.zeros(0, bool)
-    hashes, place, first, count, row, is_heavy = hashes[hit], place[hit], first[hit], count[hit], row[hit], heavy[at[hit]]
-    if is_heavy.any():  # one entry for each window of a heavy anchor
-        times = np.where(is_heavy, count, 1)
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hashes, place, first, row, is_heavy, count = (np.repeat(x, times) for x in (hashes, place, first, row, is_heavy, count))
-        first = first + np.where(is_heavy, step, 0)
-        count = np.where(is_heavy, 1, count)
-    prefix = texts.prefix()
-    content = span_hash(prefix, first, first + count + s.length - 1) if len(first) else np.zeros(0, U64)
-    key = np.where(is_heavy, mix(content ^ U64(0xA5A5)), hashes)
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
+def contexts(runs: Runs, ids: np.ndarray) -> Contexts:
+    """The distinct contexts of the runs, and whose they are."""
+    order = np.lexsort((runs.content, runs.anchor))
+    k, c = runs.anchor[order], runs.content[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(new) if len(k) else np.zeros(0, np.int64)
     of = np.empty(len(k), np.int64)
     of[order] = np.cumsum(new) - 1
-    owner = ids[row]
+    owner = ids[runs.row]
+    least = most = np.zeros(0, np.int64)
     if len(begin):
         least, most = np.minimum.reduceat(owner[order], begin), np.maximum.reduceat(owner[order], begin)
-    else:
-        least = most = np.zeros(0, np.int64)
     pick = order[begin]
-    return Contexts(key[pick], first[pick], count[pick], place[pick] - first[pick], least, most, of, first, row)
+    return Contexts(runs.anchor[pick], runs.first[pick], runs.count[pick], runs.place[pick] - runs.first[pick], least, most, of, runs.first, runs.row)
 
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -266,7 +289,7 @@ def resolve(batches: Iterator[pa.RecordBatch], s: SuffixSettings) -> Iterator[pa
         many = np.zeros(len(keys), bool)
         many[1:] |= keys[1:] == keys[:-1]
         many[:-1] |= keys[1:] == keys[:-1]
-        run_first, run_of, run_from, run_len, run_id = [], [], [], [], []
+        run_of, run_from, run_len, run_id = [], [], [], []
         single = np.flatnonzero(~many)
         run_of.append(single)
         run_from.append(np.zeros(len(single), np.int64))
@@ -284,7 +307,6 @@ def resolve(batches: Iterator[pa.RecordBatch], s: SuffixSettings) -> Iterator[pa
             run_from.append(at - first[owner])
             run_len.append(np.diff(np.append(at, len(ids))))
             run_id.append(ids[at])
-        del run_first
         of_run, from_, len_, id_ = (np.concatenate(x) for x in (run_of, run_from, run_len, run_id))
         by = np.argsort(of_run, kind="stable")
         of_run, from_, len_, id_ = of_run[by], from_[by], len_[by], id_[by]
@@ -374,12 +396,33 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                 numbers = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 yield column(batch, "chunk")[k].as_py(), ids, numbers, Texts(column(batch, "texts").slice(k, 1).flatten())
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, numbers, texts in each(batches):
+            raw = memoryview(texts.data)
+            rows = np.flatnonzero(texts.end - texts.start >= s.length)
+            pairs = np.array([divmod(xxhash.xxh3_128_intdigest(raw[a:b]), 1 << 64) for a, b in zip(texts.start[rows].tolist(), texts.end[rows].tolist(), strict=True)], U64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(numbers[rows]), pa.array([chunk] * len(rows), pa.string()), pa.array(rows.astype(np.int32))], ["hi", "lo", "id", "chunk", "row"])
+
+    # Whole copies of a smaller id's text lose all their bytes; nothing else needs them.
+    entire = staged(chunks.mapInArrow(whole, "hi long, lo long, id long, chunk string, row int"), "whole-texts")
+    first = entire.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copy_path = fresh_path(spark, "copies")
+    entire.join(first, ["hi", "lo"]).filter("id > first").select(F.col("chunk").alias("part"), "row").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(copy_path)
+
+    def copies(chunk: str, n: int) -> np.ndarray:
+        skip = np.zeros(n, bool)
+        found = _of_chunk(copy_path, chunk)
+        if found is not None:
+            skip[found["row"].to_numpy()] = True
+        return skip
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, _, texts in each(batches):
-            hashes, _, _, _, row = anchors(texts, s)
-            keys, n = _documents_of(hashes, row)
+            runs = runs_of(texts, copies(chunk, texts.n), s)
+            keys, n = _distinct(runs.anchor, runs.row)
+            _, kinds = _distinct(runs.anchor, runs.content)
             cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-            n = np.minimum(n, 255).astype(np.uint8)
+            n = np.minimum(n, 15).astype(np.uint8) << 4 | np.minimum(kinds, 15).astype(np.uint8)
             some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -397,11 +440,17 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             n = np.concatenate([np.frombuffer(x, np.uint8) for _, _, x in rows]).astype(np.int64)
             order = np.argsort(keys)
             begin = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-            sums = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.append(begin, len(keys))))
-            documents = np.empty(len(keys), np.int64)
-            documents[order] = sums
+
+            def total(x: np.ndarray) -> np.ndarray:
+                out = np.empty(len(keys), np.int64)
+                out[order] = np.repeat(np.add.reduceat(x[order], begin), np.diff(np.append(begin, len(keys))))
+                return out
+
+            documents, kinds, holders = total(n >> 4), total(n & 15), total(np.ones_like(n))
+            # Heavy: many chunks hold many contexts of the anchor each, so it is no run inside copies.
+            heavy = (kinds >= s.heavy_from) & (kinds >= 3 * holders)
             cut = np.cumsum([0, *(len(k) // 8 for _, k, _ in rows)])
-            packed = [[np.packbits(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (documents >= 2, documents >= s.heavy_from)]
+            packed = [[np.packbits(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (documents >= 2, heavy)]
             return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows]), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["chunk", "bucket", "shared", "heavy"])
 
         bucket, waiting = None, []
@@ -419,10 +468,11 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
     counted = chunks.mapInArrow(count, "bucket int, chunk string, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     counted.mapInArrow(states, "chunk string, bucket int, shared binary, heavy binary").withColumn("part", F.col("chunk")).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(state_path)
 
-    def with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Texts, Contexts]]:
+    def with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Texts, np.ndarray, Contexts]]:
         for chunk, ids, numbers, texts in each(batches):
-            hashes, _, _, _, row = anchors(texts, s)
-            keys, _ = _documents_of(hashes, row)
+            skip = copies(chunk, texts.n)
+            runs = runs_of(texts, skip, s)
+            keys, of = np.unique(runs.anchor, return_inverse=True)
             shared, heavy = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
             found = _of_chunk(state_path, chunk)
             if found is not None:
@@ -431,10 +481,11 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                     a, e = int(cut[b]), int(cut[b + 1])
                     shared[a:e] = np.unpackbits(np.frombuffer(x, np.uint8), count=e - a)
                     heavy[a:e] = np.unpackbits(np.frombuffer(y, np.uint8), count=e - a)
-            yield chunk, ids, texts, contexts(texts, numbers, (keys, shared, heavy), s)
+            runs, heavy = runs.take(shared[of]), heavy[of][shared[of]]
+            yield chunk, ids, texts, skip, contexts(window_by_window(texts, runs, heavy, s.length), numbers)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, texts, c in with_states(batches):
+        for chunk, _, texts, _, c in with_states(batches):
             raw = texts.data.tobytes()
             for a in range(0, len(c.key), 50_000):
                 part = slice(a, a + 50_000)
@@ -459,7 +510,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
     owed.withColumn("part", F.col("chunk")).drop("chunk").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(owed_path)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts, c in with_states(batches):
+        for chunk, ids, texts, skip, c in with_states(batches):
             numbers = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
             step = np.zeros(len(texts.data) + 1, np.int32)
             found = _of_chunk(owed_path, chunk)
@@ -475,6 +526,8 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                 np.add.at(step, begin, 1)
                 np.add.at(step, begin + len_[run[gone]] + s.length - 1, -1)
             removed = np.cumsum(step)[:-1] > 0
+            for row in np.flatnonzero(skip).tolist():
+                removed[texts.start[row] : texts.end[row]] = True
             opens = removed.copy()
             opens[1:] &= ~removed[:-1]
             edge = texts.start[texts.start < len(removed)]
