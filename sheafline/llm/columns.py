@@ -69,9 +69,9 @@ class Texts:
 
     def per_row(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each row the mask holds."""
-        total = np.zeros(len(mask) + 1, np.int64)
+        total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
         np.cumsum(mask, out=total[1:])
-        return total[self.end] - total[self.start]
+        return (total[self.end] - total[self.start]).astype(np.int64)
 
     def prefix(self, data: np.ndarray | None = None) -> np.ndarray:
         """Prefix sums of byte value times BASE**position."""

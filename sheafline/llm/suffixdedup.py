@@ -13,9 +13,9 @@ of one anchor lie side by side and form a context of at most 2 * length - gram b
 2. Each chunk's distinct anchor hashes go to hash buckets (nine bytes each), and
    their states come back by chunk: alone in one document, shared, or heavy.
 3. Contexts of shared anchors are reduced to distinct ones within the chunk and
-   go to their anchor's partition. Those of heavy anchors go window by window to
-   the window's own partition, so that a passage in a third of all
-   documents makes no large group.
+   go to their anchor's partition. Those of heavy anchors are cut by the distance
+   to the anchor and go by the bytes around it, so that the contexts at the
+   ends of a passage in a third of all documents make no large group.
 4. There, blocks of contexts are suffix-sorted: a difference cover modulo 13
    (0, 1, 3, 9) is sampled, its suffixes are ranked once per block, and then one
    bucket of window suffixes (those of one residue) is sorted at a time: by the few bytes
@@ -63,7 +63,8 @@ class SuffixSettings:
     gram: int = 20
     chunk_bytes: int = 1 << 23
     bucket_samples: int = 1 << 20
-    heavy_from: int = 512  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
+    heavy_from: int = 128  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
+    heavy_distances: int = 4
     block_bytes: int = 1 << 22
 
 
@@ -139,22 +140,34 @@ def runs_of(texts: Texts, skip: np.ndarray, s: SuffixSettings) -> Runs:
     return Runs(*(np.concatenate([getattr(x, f) for x in out]) for f in Runs.__dataclass_fields__))
 
 
-def window_by_window(texts: Texts, runs: Runs, heavy: np.ndarray, length: int) -> Runs:
-    """The runs, with each heavy one as runs of one window that are sorted by their own bytes."""
+def by_distance(texts: Texts, runs: Runs, heavy: np.ndarray, s: SuffixSettings) -> Runs:
+    """The runs, with each heavy one cut by the windows' distance to the anchor, a few distances each.
+
+    All windows of such a part hold the bytes that are common to its distances, at
+    fixed places from the anchor. The part is sorted by these bytes instead of the anchor.
+    """
     if not heavy.any():
         return runs
-    big = runs.take(heavy)
-    sizes = big.count + length - 1
-    begin = np.cumsum(sizes) - sizes
-    data = texts.data[np.repeat(big.first, sizes) + np.arange(int(sizes.sum())) - np.repeat(begin, sizes)]
-    step = np.arange(int(big.count.sum())) - np.repeat(np.cumsum(big.count) - big.count, big.count)
-    at = np.repeat(begin, big.count) + step
-    one = np.ones(len(step), np.int64)
-    content = _content(texts.prefix(data), at, one, length)
-    each = np.repeat(np.arange(len(sizes)), big.count)
-    single = Runs(mix(content ^ U64(0xA5A5)), big.place[each], big.first[each] + step, one, big.row[each], content)
+    big, step = runs.take(heavy), s.heavy_distances
+    far, near = big.place - big.first, big.place - big.first - big.count + 1  # largest and least distance
+    group, times = near // step, far // step - near // step + 1
+    each = np.repeat(np.arange(len(far)), times)
+    group = group[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    hi, lo = np.minimum(far[each], group * step + step - 1), np.maximum(near[each], group * step)
+    first, count = big.place[each] - hi, hi - lo + 1
+    # What all distances of the group share: from the place less its least to the length from its largest on.
+    begin, size = big.place[each] - group * step, s.length - step + 1
+    sizes = count + s.length - 1
+
+    def hashes(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        at = np.cumsum(length) - length
+        data = texts.data[np.repeat(start - at, length) + np.arange(int(length.sum()))]
+        return span_hash(texts.prefix(data), at, at + length)
+
+    common = hashes(begin, np.full(len(begin), size))
+    part = Runs(mix(common ^ mix(big.anchor[each] + group.astype(U64))), big.place[each], first, count, big.row[each], hashes(first, sizes))
     rest = runs.take(~heavy)
-    return Runs(*(np.concatenate([getattr(rest, x), getattr(single, x)]) for x in Runs.__dataclass_fields__))
+    return Runs(*(np.concatenate([getattr(rest, x), getattr(part, x)]) for x in Runs.__dataclass_fields__))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -482,7 +495,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                     shared[a:e] = np.unpackbits(np.frombuffer(x, np.uint8), count=e - a)
                     heavy[a:e] = np.unpackbits(np.frombuffer(y, np.uint8), count=e - a)
             runs, heavy = runs.take(shared[of]), heavy[of][shared[of]]
-            yield chunk, ids, texts, skip, contexts(window_by_window(texts, runs, heavy, s.length), numbers)
+            yield chunk, ids, texts, skip, contexts(by_distance(texts, runs, heavy, s), numbers)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts, _, c in with_states(batches):
@@ -525,7 +538,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                 begin = c.at[occurrence[gone]] + from_[run[gone]]
                 np.add.at(step, begin, 1)
                 np.add.at(step, begin + len_[run[gone]] + s.length - 1, -1)
-            removed = np.cumsum(step)[:-1] > 0
+            removed = np.cumsum(step, dtype=np.int32)[:-1] > 0
             for row in np.flatnonzero(skip).tolist():
                 removed[texts.start[row] : texts.end[row]] = True
             opens = removed.copy()
