@@ -8,7 +8,7 @@ Each window of ``length`` bytes has one anchor, the leftmost least hash of its
 ``gram``-byte grams; equal windows have equal anchors at equal distances. Windows
 of one anchor lie side by side and form a context of at most 2 * length - gram bytes.
 
-1. Texts are written once as chunks of about 8 MB in the shared folder. Whole
+1. Texts are written once as chunks of about 4 MB in the shared folder. Whole
    copies of a smaller id's text are found by their digests and need no more work.
 2. Each chunk's distinct anchor hashes go to hash buckets (nine bytes each), and
    their states come back by chunk: alone in one document, shared, or heavy.
@@ -61,7 +61,7 @@ _TO_COVER = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MODUL
 class SuffixSettings:
     length: int = 50
     gram: int = 20
-    chunk_bytes: int = 1 << 23
+    chunk_bytes: int = 1 << 22
     bucket_samples: int = 1 << 20
     heavy_from: int = 128  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
     heavy_distances: int = 4
