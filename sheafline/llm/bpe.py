@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column, slices
+from sheafline.llm.columns import KEPT, column, map_batches, slices
 from sheafline.session import ship
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -55,7 +55,7 @@ def byte_symbols() -> list[str]:
 class TrieEncoder:
     """Encodes words of one vocabulary file by walks over a trie of them."""
 
-    def __init__(self, path: str, keep_words: int = 300_000):
+    def __init__(self, path: str, keep_words: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -114,7 +114,7 @@ class TrieEncoder:
         key = left << 32 | right
         known = self.pair.get(key)
         if known is None:
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) > 300_000:
                 self.pair.clear()
             known = self._merge(self._split(self._inner_text(left)) + self._split(self._inner_text(right))) == [left, right]
             self.pair[key] = known
@@ -219,6 +219,9 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+KEPT["bpe"] = encoder.cache_clear
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_tokens: bool = False) -> DataFrame:
     """Token ids and decoded text of every document, as digests or, ``with_tokens``, themselves.
 
@@ -246,4 +249,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA_FULL if with_tokens else SCHEMA)
+    return map_batches(source, run, SCHEMA_FULL if with_tokens else SCHEMA, "bpe")

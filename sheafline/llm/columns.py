@@ -7,10 +7,12 @@ lines can be cut on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -34,7 +36,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         have[1:] = U64(base)
         np.multiply.accumulate(have, out=have)
-        if len(have) > 1 << 23:
+        if len(have) > 1 << 19:
             return have[:n]  # too long to keep
         _powers[base] = have
     return have[:n]
@@ -153,7 +155,7 @@ def covered(at: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(step)[:total] > 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``most`` bytes of text, one row at least."""
     for batch in batches:
         n = batch.num_rows
@@ -170,3 +172,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+#: What a worker keeps between tasks, by operator: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, operator: str = "") -> DataFrame:
+    """mapInArrow in which a task first drops what other operators have kept in its worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in KEPT.items():
+            if name != operator:
+                drop()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)

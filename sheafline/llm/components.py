@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column
+from sheafline.llm.columns import column, map_batches
 from sheafline.session import ship, staged
 
 
@@ -59,7 +59,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Loops and repeated edges do no harm; no edges give no rows.
     """
     ship(edges.sparkSession)
-    edges = staged(edges.mapInArrow(_local_stars, "u long, v long").distinct(), "edges")
+    edges = staged(map_batches(edges, _local_stars, "u long, v long", "components").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

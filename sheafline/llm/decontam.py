@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import BASE, LOWER, Texts, column, mix, slices, span_hash
+from sheafline.llm.columns import BASE, LOWER, Texts, column, map_batches, mix, slices, span_hash
 from sheafline.session import ship
 
 U64 = np.uint64
@@ -305,7 +305,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings | N
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "coverage", "run_tokens", "kind", "slots", "start_byte", "end_byte"])
 
-        found = source.mapInArrow(run, SCHEMA)
+        found = map_batches(source, run, SCHEMA, "decontam")
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -325,5 +325,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings |
                     clean[r] = False
                 yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema, "decontam")
     return docs

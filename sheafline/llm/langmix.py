@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import LOWER, Texts, column, slices
+from sheafline.llm.columns import LOWER, Texts, column, map_batches, slices
 from sheafline.session import ship
 
 SCHEMA = "doc_id long, lang_pred string, score double, langs array<string>, proportions array<double>"
@@ -112,7 +112,7 @@ def train(docs: DataFrame, settings: MixtureSettings | None = None, id_col: str
             at = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k][at])], ["lang", "bucket", "n"])
 
-    counts = picked.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_batches(picked, count, "lang int, bucket int, n long", "langmix").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most languages x buckets rows
     table = np.full((size, len(langs)), s.smoothing)
     table[found["bucket"], found["lang"]] += found["n"]
@@ -195,7 +195,7 @@ def language_mixture(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id
                 ["doc_id", "lang_pred", "score", "langs", "proportions"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA, "langmix")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

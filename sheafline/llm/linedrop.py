@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column, mix, slices
+from sheafline.llm.columns import KEPT, column, map_batches, mix, slices
 from sheafline.session import fresh_path, ship
 
 U64 = np.uint64
@@ -152,7 +152,7 @@ def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 values = np.array(list(total.values()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], pairs[:, 1], values[:, 0], values[:, 1])], ["hi", "lo", "n", "last"])
 
-    rows = docs.mapInArrow(run, "hi long, lo long, n long, last long")
+    rows = map_batches(docs, run, "hi long, lo long, n long, last long", "linedrop")
     if apart:
         rows = rows.groupBy("hi", "lo", "last").agg(F.when(F.col("last") == _NO_DOC, F.sum("n")).otherwise(F.lit(1)).alias("n"))
     return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
@@ -186,7 +186,7 @@ def build_index(counts: DataFrame, shard_keys: int = 1 << 20) -> tuple[str, int]
 
     # The hashes of one shard are distinct and at most about shard_keys: the group is bounded.
     dealt = kept.withColumn("shard", F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard")
-    built = dealt.mapInArrow(build, "shard int, sizes array<bigint>, bits binary, fingerprint binary, count binary, last binary")
+    built = map_batches(dealt, build, "shard int, sizes array<bigint>, bits binary, fingerprint binary, count binary, last binary", "linedrop")
     built.withColumn("part", F.col("shard")).write.partitionBy("part").parquet(folder)
     return folder, shards
 
@@ -253,6 +253,9 @@ class Index:
 _open: dict[str, Index] = {}
 
 
+KEPT["linedrop"] = _open.clear
+
+
 def index_of(folder: str, shards: int) -> Index:
     """The worker's view of an index; one at a time."""
     if folder not in _open:
@@ -302,4 +305,4 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
             at = part.schema.get_field_index(text_col)
             yield part.set_column(at, part.schema.field(at), pa.array(new, texts.type))
 
-    return docs.mapInArrow(rewritten, docs.schema) if rewrite else source.mapInArrow(digest, SCHEMA)
+    return map_batches(docs, rewritten, docs.schema, "linedrop") if rewrite else map_batches(source, digest, SCHEMA, "linedrop")

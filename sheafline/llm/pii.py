@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column
+from sheafline.llm.columns import column, map_batches
 from sheafline.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -310,4 +310,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA, "pii")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import Texts, column, covered, repeated, slices, span_hash, windows
+from sheafline.llm.columns import Texts, column, covered, map_batches, repeated, slices, span_hash, windows
 from sheafline.session import ship
 
 SYMBOLS = np.zeros(256, bool)
@@ -119,4 +119,4 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules | None = None, id
             arrays = [column(part, "doc_id"), *(pa.array(v if v.dtype.kind in "bfU" else v.astype(np.int64)) for v in found.values())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *found])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA, "repetition")

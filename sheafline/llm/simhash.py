@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column, slices
+from sheafline.llm.columns import column, map_batches, slices
 from sheafline.llm.components import components
 from sheafline.session import ship, staged
 
@@ -166,7 +166,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             prints = fingerprints(column(part, "text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long", "simhash")
 
 
 def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
@@ -186,8 +186,8 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
                 row, anchor = near_anchors(own.view(U64), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(own[row])], ["anchor", "v"])
 
-    home = prints.mapInArrow(homes, "anchor long, u long")
-    visit = prints.mapInArrow(visits, "anchor long, v long")
+    home = map_batches(prints, homes, "anchor long, u long", "simhash")
+    visit = map_batches(prints, visits, "anchor long, v long", "simhash")
     # A pair meets at the home of either; it is taken at the home of the smaller.
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)
     return visit.join(home.hint("merge"), (visit["anchor"] == home["anchor"]) & near).select("u", "v")

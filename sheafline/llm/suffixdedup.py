@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import BASE_INVERSE, Texts, column, mix, powers, slices, span_hash
+from sheafline.llm.columns import BASE_INVERSE, Texts, column, map_batches, mix, powers, slices, span_hash
 from sheafline.session import fresh_path, ship, staged
 
 U64 = np.uint64
@@ -110,7 +110,7 @@ def runs_of(texts: Texts, skip: np.ndarray, s: SuffixSettings) -> Runs:
     out: list[Runs] = []
     width = s.length - s.gram + 1
     row_of = np.repeat(np.arange(texts.n, dtype=np.int32), texts.end - texts.start)
-    for a, b in _pieces(texts, 1 << 20, s.length):
+    for a, b in _pieces(texts, 1 << 18, s.length):
         data = texts.data[a:b]
         m = len(data) - s.gram + 1
         if len(data) < s.length:
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
 
     chunk_path = fresh_path(spark, "chunks")
     chunk_schema = "chunk string, ids array<bigint>, texts array<string>, bytes long"
-    source.mapInArrow(chunked, chunk_schema).write.option("compression", "zstd").parquet(chunk_path)
+    map_batches(source, chunked, chunk_schema, "suffixdedup").write.option("compression", "zstd").parquet(chunk_path)
     # One chunk is one row: small row batches keep one chunk in memory at a time.
     chunks = spark.read.schema(chunk_schema).parquet(chunk_path)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(numbers[rows]), pa.array([chunk] * len(rows), pa.string()), pa.array(rows.astype(np.int32))], ["hi", "lo", "id", "chunk", "row"])
 
     # Whole copies of a smaller id's text lose all their bytes; nothing else needs them.
-    entire = staged(chunks.mapInArrow(whole, "hi long, lo long, id long, chunk string, row int"), "whole-texts")
+    entire = staged(map_batches(chunks, whole, "hi long, lo long, id long, chunk string, row int", "suffixdedup"), "whole-texts")
     first = entire.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copy_path = fresh_path(spark, "copies")
     entire.join(first, ["hi", "lo"]).filter("id > first").select(F.col("chunk").alias("part"), "row").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(copy_path)
@@ -478,8 +478,8 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield bucket_states(bucket, waiting)
 
     state_path = fresh_path(spark, "states")
-    counted = chunks.mapInArrow(count, "bucket int, chunk string, keys binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    counted.mapInArrow(states, "chunk string, bucket int, shared binary, heavy binary").withColumn("part", F.col("chunk")).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(state_path)
+    counted = map_batches(chunks, count, "bucket int, chunk string, keys binary, n binary", "suffixdedup").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    map_batches(counted, states, "chunk string, bucket int, shared binary, heavy binary", "suffixdedup").withColumn("part", F.col("chunk")).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(state_path)
 
     def with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Texts, np.ndarray, Contexts]]:
         for chunk, ids, numbers, texts in each(batches):
@@ -517,8 +517,8 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                     ["key", "chunk", "entry", "context", "windows", "anchor", "least", "most"],
                 )
 
-    sent = chunks.mapInArrow(send, "key long, chunk string, entry int, context binary, windows int, anchor int, least long, most long")
-    owed = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: resolve(x, s), "chunk string, entry int, from int, len int, least long")
+    sent = map_batches(chunks, send, "key long, chunk string, entry int, context binary, windows int, anchor int, least long, most long", "suffixdedup")
+    owed = map_batches(sent.repartition("key").sortWithinPartitions("key"), lambda x: resolve(x, s), "chunk string, entry int, from int, len int, least long", "suffixdedup")
     owed_path = fresh_path(spark, "owed")
     owed.withColumn("part", F.col("chunk")).drop("chunk").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(owed_path)
 
@@ -554,4 +554,4 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return chunks.mapInArrow(apply, SCHEMA + ", kept binary" if with_text else SCHEMA)
+    return map_batches(chunks, apply, SCHEMA + ", kept binary" if with_text else SCHEMA, "suffixdedup")

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import column
+from sheafline.llm.columns import column, map_batches
 from sheafline.session import fresh_path, ship, staged
 
 INDEX_SCHEMA = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, br
             if out is not None:
                 out.close()
 
-    return staged(source.mapInArrow(run, INDEX_SCHEMA), "warc-index")
+    return staged(map_batches(source, run, INDEX_SCHEMA, "warc"), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 25, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, with_payload: bool = False) -> DataFrame:
@@ -206,7 +206,7 @@ def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 25, gap_by
             source.close()
 
     dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, READ_SCHEMA_FULL if with_payload else READ_SCHEMA)
+    return map_batches(dealt, run, READ_SCHEMA_FULL if with_payload else READ_SCHEMA, "warc")
 
 
 def warc_round_trip(pages: DataFrame, revisit_min_bytes: int = 0) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import LOWER, Texts, column, covered, repeated, slices, span_hash, windows
+from sheafline.llm.columns import LOWER, Texts, column, covered, map_batches, repeated, slices, span_hash, windows
 from sheafline.session import ship
 
 U64 = np.uint64
@@ -201,7 +201,7 @@ def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
 
-    counted = source.select("text").mapInArrow(patterns, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**labellers rows
+    counted = map_batches(source.select("text"), patterns, "pattern binary, n long", "weaklabel").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**labellers rows
     if not counted:
         return spark.createDataFrame([], SCHEMA)
     counted.sort(key=lambda r: bytes(r["pattern"]))
@@ -216,7 +216,7 @@ def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col:
         yield pa.RecordBatch.from_arrays([pa.array([train_scorer(batches, posterior_of, s).astype("<f4").tobytes()], pa.binary())], ["weights"])
 
     # Bounded by train_rows: one task holds the sample's word numbers. Sorted, so that a repeated task trains alike.
-    trained = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "weights binary").first()
+    trained = map_batches(sample.repartition(1).sortWithinPartitions("doc_id"), fit, "weights binary", "weaklabel").first()
     weights = spark.sparkContext.broadcast(np.frombuffer(bytes(trained["weights"]), "<f4").astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,4 +232,4 @@ def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col:
                 [column(part, "doc_id"), pa.array(weak), pa.array(scores), pa.array(scores >= s.keep_from), pa.array(["".join(v) for v in letters], pa.string())], ["doc_id", "weak_label", "score", "kept", "votes"]
             )
 
-    return source.mapInArrow(score, SCHEMA)
+    return map_batches(source, score, SCHEMA, "weaklabel")
