@@ -14,25 +14,13 @@ from sheafline.llm import bpe, decontam, langmix, linedrop, simhash
 from sheafline.llm.queries import vocabulary_path
 from sheafline.session import staged, table
 
-#: Up to so many removed ids (16 bytes each) go to all tasks; more are joined by a shuffle.
+#: Up to so many removed ids (8 bytes each) go to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids``."""
-    gone = staged(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language; those without a letter go."""
-    model = langmix.train(docs.filter(~langmix.held_out()))
-    if not model.langs:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langmix.language_mixture(docs, model)
-    return _without(docs, found.filter(F.col("lang_pred") == "und"))
+    return langmix.known_language_only(docs, langmix.train(docs.filter(~langmix.held_out())))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group of near copies; rows without an id stay."""
     groups = simhash.simhash_components(docs)
-    return _without(docs, groups.filter(F.col("component_id") != F.col("doc_id")))
+    gone = staged(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def byte_symbols() -> list[str]:
 class TrieEncoder:
     """Encodes words of one vocabulary file by walks over a trie of them."""
 
-    def __init__(self, path: str, keep_words: int = 200_000):
+    def __init__(self, path: str, keep_words: int = 300_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -126,25 +126,12 @@ class TrieEncoder:
             return text[: -len(self.suffix)] + "\n"
         return text
 
-    def _last(self, path: str, length: int, last: list[int], mark: str) -> int:
-        """The last token of the prefix of that length; last[k] is that of the prefix of length k, without a mark."""
-        self.nodes += 1
-        inner, tails, begin = self.inner, self.tails, length - 1
-        while begin >= 0:
-            tail = path[begin:length] + mark
-            if tail not in tails:
-                break
-            token = inner.get(tail)
-            if token is not None and (self._valid(last[begin], token) if begin else self.whole[token]):
-                return token
-            begin -= 1
-        raise AssertionError(f"no token ends {path[:length]!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each of the distinct words, by one depth-first walk over their trie."""
-        symbols = self.symbols
-        paths = sorted(("".join([symbols[b] for b in w.encode()]), w) for w in words)
-        last: list[int] = [0]
+        symbols, inner, tails, pair, size = self.symbols, self.inner, self.tails, self.pair, self.size
+        end_mark = "\n" if self.suffix else ""
+        paths = sorted([("".join([symbols[b] for b in w.encode()]), w) for w in words])
+        last: list[int] = [0]  # last[k]: the last token of the path's first k symbols
         before, out = "", {}
         for path, word in paths:
             n = len(path)
@@ -152,14 +139,35 @@ class TrieEncoder:
             while shared < most and path[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for k in range(shared + 1, n):
-                last.append(self._last(path, k, last, ""))
-            token = self._last(path, n, last, "\n" if self.suffix else "")
-            ids, at = [token], n - self.size[token]
+            self.nodes += n - shared
+            for k in range(shared + 1, n + 1):
+                mark = end_mark if k == n else ""
+                begin, found = k - 1, -1
+                while begin >= 0:
+                    tail = path[begin:k] + mark
+                    if tail not in tails:
+                        break
+                    token = inner.get(tail)
+                    if token is not None:
+                        if begin:
+                            valid = pair.get(last[begin] << 32 | token)
+                            if valid is None:
+                                valid = self._valid(last[begin], token)
+                        else:
+                            valid = self.whole[token]
+                        if valid:
+                            found = token
+                            break
+                    begin -= 1
+                if found < 0:
+                    raise AssertionError(f"no token ends {path[:k]!r}")
+                if k < n:
+                    last.append(found)
+            ids, at = [found], n - size[found]
             while at > 0:
                 token = last[at]
                 ids.append(token)
-                at -= self.size[token]
+                at -= size[token]
             ids.reverse()
             out[word] = ids
             before = path
@@ -199,9 +207,12 @@ class TrieEncoder:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
         split = [self.split(t) for t in texts]
-        self.learn({w for words in split for w in words if type(w) is str})
+        distinct: set[str | int] = set()
         for words in split:
-            if any(type(w) is int for w in words) if len(words) and self.added else False:
+            distinct.update(words)
+        self.learn({w for w in distinct if type(w) is str})
+        for text, words in zip(texts, split, strict=True):
+            if "<|" in text:
                 yield (
                     b"".join([np.array([w], "<u4").tobytes() if type(w) is int else self.ids[w] for w in words]),
                     " ".join([self.text_of[w] if type(w) is int else self.texts[w] for w in words]),

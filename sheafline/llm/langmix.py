@@ -171,6 +171,20 @@ def infer(texts: Texts, model: MixtureModel) -> np.ndarray:
     return out
 
 
+def _has_letter(text: pa.Array) -> np.ndarray:
+    return np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
+
+
+def predict(text: pa.Array, m: MixtureModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the main language (that after the last: none), its share, all shares, and has the text a letter."""
+    pi = infer(Texts(text), m)
+    has_letter = _has_letter(text)
+    pi = np.where(pi.sum(axis=1, keepdims=True) > 0, pi, m.share)  # no n-gram counts: what the training rows say
+    best = pi.argmax(axis=1) if pi.shape[1] else np.zeros(len(pi), int)
+    score = np.clip(pi[np.arange(len(pi)), best], 0, 1) if pi.shape[1] else np.zeros(len(pi))
+    return np.where(has_letter, best, len(m.langs)), np.where(has_letter, score, 0.0), pi, has_letter
+
+
 def language_mixture(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: main language, its share, and the whole mixture."""
     spark = docs.sparkSession
@@ -181,14 +195,7 @@ def language_mixture(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id
         m = shared.value
         names = np.array([*m.langs, "und"], object)
         for part in slices(batches, "text", 1 << 20):
-            text = column(part, "text")
-            pi = infer(Texts(text), m)
-            has_letter = np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
-            pi = np.where(pi.sum(axis=1, keepdims=True) > 0, pi, m.share)  # no n-gram counts: what the training rows say
-            best = pi.argmax(axis=1) if pi.shape[1] else np.zeros(len(pi), int)
-            score = np.clip(pi[np.arange(len(pi)), best], 0, 1) if pi.shape[1] else np.zeros(len(pi))
-            best = np.where(has_letter, best, len(m.langs))
-            score = np.where(has_letter, score, 0.0)
+            best, score, pi, has_letter = predict(column(part, "text"), m)
             kept = [np.flatnonzero(p > 0.005) if ok else [] for p, ok in zip(pi, has_letter, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [column(part, "doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array([[m.langs[k] for k in ks] for ks in kept], pa.list_(pa.string())), pa.array([[float(p[k]) for k in ks] for p, ks in zip(pi, kept, strict=True)], pa.list_(pa.float64()))],
@@ -198,6 +205,21 @@ def language_mixture(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA, "langmix")
 
 
+def known_language_only(docs: DataFrame, model: MixtureModel, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose language is known: those without a letter (or a text) go."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part in slices(batches, text_col):
+            keep = predict(column(part, text_col), m)[0] < len(m.langs) if m.langs else _has_letter(column(part, text_col))
+            yield part.filter(pa.array(keep))
+
+    return map_batches(docs, run, docs.schema, "langmix")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The split of the query's contract."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

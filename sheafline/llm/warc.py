@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, br
     return staged(map_batches(source, run, INDEX_SCHEMA, "warc"), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 25, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, with_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 24, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, with_payload: bool = False) -> DataFrame:
     """The records of the index rows given, by coalesced byte-range reads.
 
     Rows are dealt by (file, offset div run_bytes): one run of an archive is one
@@ -205,7 +205,10 @@ def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 25, gap_by
         if source is not None:
             source.close()
 
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("file", "offset")
+    # The number of tasks follows the bytes to read, not those of the index.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // run_bytes))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("file", "offset")
     return map_batches(dealt, run, READ_SCHEMA_FULL if with_payload else READ_SCHEMA, "warc")
 
 

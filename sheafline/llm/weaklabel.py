@@ -217,7 +217,8 @@ def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col:
 
     # Bounded by train_rows: one task holds the sample's word numbers. Sorted, so that a repeated task trains alike.
     trained = map_batches(sample.repartition(1).sortWithinPartitions("doc_id"), fit, "weights binary", "weaklabel").first()
-    weights = spark.sparkContext.broadcast(np.frombuffer(bytes(trained["weights"]), "<f4").astype(float))
+    learned = np.zeros((1 << s.weight_bits) + 1) if trained is None else np.frombuffer(bytes(trained["weights"]), "<f4").astype(float)
+    weights = spark.sparkContext.broadcast(learned)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
