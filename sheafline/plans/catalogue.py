@@ -27,8 +27,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return S.spans_of(table(spark, d, "documents"))
+def _spans(spark: SparkSession, d: str, clustered: bool = True) -> DataFrame:
+    return S.spans_of(table(spark, d, "documents"), clustered)
 
 
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +37,12 @@ def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def span_source(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).select("doc_id", "page", "span_id", "text", "left", "top", "right", "bottom", "font_size", "font_weight", "font_style", "font_family")
+    return _spans(spark, d, False).select("doc_id", "page", "span_id", "text", "left", "top", "right", "bottom", "font_size", "font_weight", "font_style", "font_family")
 
 
 @query
 def span_validity(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_valid(F.col("text"), F.col("width"), F.col("height"))).alias("n_valid"))
+    return _spans(spark, d, False).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_valid(F.col("text"), F.col("width"), F.col("height"))).alias("n_valid"))
 
 
 @query
@@ -52,7 +52,7 @@ def page_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def math_context(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).select("doc_id", "span_id", T.math_context(F.col("text"), F.col("font_family")).alias("math_context"))
+    return _spans(spark, d, False).select("doc_id", "span_id", T.math_context(F.col("text"), F.col("font_family")).alias("math_context"))
 
 
 @query
@@ -79,7 +79,7 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 def relative_rects(spark: SparkSession, d: str) -> DataFrame:
     r = G.relative(G.Rect.of(), PAGE)
     left, top = G.inside_page(F.col("left") - 60, F.col("top") * 1.2, F.col("width"), F.col("height"), PAGE)
-    return _spans(spark, d).select("doc_id", "span_id", *[F.round(v, 4).alias(k) for k, v in r.items()], left.alias("in_left"), top.alias("in_top"))
+    return _spans(spark, d, False).select("doc_id", "span_id", *[F.round(v, 4).alias(k) for k, v in r.items()], left.alias("in_left"), top.alias("in_top"))
 
 
 @query

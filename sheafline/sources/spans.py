@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from sheafline.functions import text as T
 
 
-def spans_of(documents: DataFrame) -> DataFrame:
+def spans_of(documents: DataFrame, clustered: bool = True) -> DataFrame:
     """A deterministic page layout of plain documents.
 
     Runs of eight words of each line become spans of 40 rows a column, one or two
     columns a page. A span's number is its place in the document's own array, so
-    no shuffle is needed to count it.
+    no shuffle is needed to count it. ``clustered`` deals the documents by id
+    first: windows and aggregates by page then need no exchange of the spans, which
+    are several times as wide as the texts.
     """
-    source = documents.select("doc_id", "lang", F.split("text", "\n").alias("lines"))
+    source = documents.select("doc_id", "lang", "text")
+    if clustered:
+        source = source.repartition("doc_id")
 
     def runs(line: Column, number: Column) -> Column:
-        parts = F.filter(F.split(line, " "), lambda w: F.length(w) > 0)
-        count = F.ceil(F.size(parts) / 8).cast("int")
-        return F.when(
-            count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.struct(number.alias("ln"), c.alias("c"), F.array_join(F.slice(parts, c * 8 + 1, 8), " ").alias("text")))
-        ).otherwise(F.array().cast("array<struct<ln:int,c:int,text:string>>"))
+        found = F.regexp_extract_all(line, F.lit("([^ ]+(?: +[^ ]+){0,7})"), F.lit(1))
+        return F.transform(found, lambda x, c: F.struct(number.alias("ln"), c.alias("c"), x.alias("text")))
 
-    rows = source.select("doc_id", "lang", F.posexplode(F.flatten(F.transform("lines", runs))).alias("k", "run"))
+    rows = source.select("doc_id", "lang", F.posexplode(F.flatten(F.transform(F.split("text", "\n"), runs))).alias("k", "run"))
+    rows = rows.withColumn("run", F.struct("run.ln", "run.c", F.regexp_replace("run.text", " +", " ").alias("text")))
     per_page = 40 * (1 + F.pmod("doc_id", F.lit(2)))
     slot = F.col("k") % per_page
     row = slot % 40
