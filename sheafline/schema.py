@@ -16,6 +16,10 @@ MATH_FONT = r"(?i)math|cambria|stix|asana|euler|latin modern"
 MATH_CHAR = r"[=+\-−×÷√∫∑∏∞Δαβγδθλμρστφψω±≤≥≠≈≡%‰∀∃∈∋∩∪⊂⊃⊆⊇⊕⊗⊥⇒⇔→←↑↓↔∴≅⊢⊨]|[\x{0370}-\x{03FF}\x{2070}-\x{209F}]"
 OPERATOR_CHAR = "=+-−×÷√∫∑≠≤≥≈±∞"
 MISSING = "Translation missing"
+# Metadata comments in the three formats of stored documents.
+META_V3 = r"^%%\s*(\{.*\})\s*%%"
+META_V2 = r"<!--\s*PDF_TRANSLATOR_METADATA:([a-zA-Z0-9+/=]+)\s*-->"
+META_V1 = r"<!--\s*(\{.*?\})\s*-->"
 
 
 @dataclass(frozen=True)

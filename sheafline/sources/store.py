@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
+from sheafline.schema import META_V1, META_V2, META_V3
 
 _META = "struct<r:struct<l:double,t:double,w:double,h:double>,page:double,ot:string,fs:double,ff:string,ofs:array<double>,sel:string,fontSize:double,fontFamily:string,originalFontSizes:array<double>>"
 COLUMNS = ("doc", "page_key", "ord", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family", "original_font_sizes", "ts")
@@ -56,7 +57,7 @@ def parse(documents: DataFrame, clock: Column, compat: bool = False) -> DataFram
     lines = lines.withColumn("line", T.trim(F.col("raw"))).filter(F.length("line") > 0)
     w = W.partitionBy("doc").orderBy("pos")
     heading = F.regexp_extract("line", r"(?i)^##\s+Page\s+(\d+)", 1)
-    v3_meta = F.regexp_extract("line", r"^%%\s*(\{.*\})\s*%%", 1)
+    v3_meta = F.regexp_extract("line", META_V3, 1)
     marked = lines.withColumns({"heading": F.when(F.length(heading) > 0, heading), "meta3": F.when((F.col("version") >= 3) & (F.length(v3_meta) > 0), v3_meta)})
     marked = marked.withColumns(
         {
@@ -74,15 +75,14 @@ def parse(documents: DataFrame, clock: Column, compat: bool = False) -> DataFram
         F.col("m.r.l").alias("rel_left"), F.col("m.r.t").alias("rel_top"), F.col("m.r.w").alias("rel_width"), F.col("m.r.h").alias("rel_height"), F.col("m.fs").alias("font_size"), F.col("m.ff").alias("font_family"), F.col("m.ofs").alias("original_font_sizes"), "ts",
     )
 
-    new_meta, old_meta = r"<!--\s*PDF_TRANSLATOR_METADATA:([a-zA-Z0-9+/=]+)\s*-->", r"<!--\s*(\{.*?\})\s*-->"
     old = marked.filter(F.col("version") < 3).withColumn("cells", table_cells(F.col("line"))).filter(F.size("cells") == 2)
     first = F.col("cells")[0]
-    encoded, plain = F.regexp_extract(first, new_meta, 1), F.regexp_extract(first, old_meta, 1)
+    encoded, plain = F.regexp_extract(first, META_V2, 1), F.regexp_extract(first, META_V1, 1)
     old = old.withColumn("m", F.from_json(F.when(F.length(encoded) > 0, F.decode(F.try_to_binary(encoded, F.lit("base64")), "UTF-8")).when(F.length(plain) > 0, plain), _META)).filter(valid_metadata(F.col("m")))
     last = F.max("heading_pos").over(W.partitionBy("doc", "page_key"))
     old = old.withColumn("last_heading", last).filter(F.col("heading_pos") == F.col("last_heading"))
     rows12 = old.select(
-        "doc", "page_key", "pos", F.col("m.page").cast("int").alias("page"), T.trim(F.regexp_replace(F.regexp_replace(first, new_meta, ""), old_meta, "")).alias("text_content"), F.replace(F.col("cells")[1], F.lit("\\n"), F.lit("\n")).alias("translated_text"),
+        "doc", "page_key", "pos", F.col("m.page").cast("int").alias("page"), T.trim(F.regexp_replace(F.regexp_replace(first, META_V2, ""), META_V1, "")).alias("text_content"), F.replace(F.col("cells")[1], F.lit("\\n"), F.lit("\n")).alias("translated_text"),
         F.col("m.r.l").alias("rel_left"), F.col("m.r.t").alias("rel_top"), F.col("m.r.w").alias("rel_width"), F.col("m.r.h").alias("rel_height"), F.col("m.fontSize").alias("font_size"), F.col("m.fontFamily").alias("font_family"), F.col("m.originalFontSizes").alias("original_font_sizes"), "ts",
     )
     by = W.partitionBy("doc", "page_key").orderBy("pos")
