@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens; numbers, units after numbers, and runs of names inside
-sentences become typed placeholders. Two sequences are matched: the literal one
-(lower case) and the template. Windows of five tokens are hash-joined with the
+Texts become tokens: runs of letters, marks and digits of any script, case folded
+where that keeps a character's bytes as many as they were (so not I with a dot).
+Numbers, units after numbers, and runs of names inside sentences become typed
+placeholders. Two sequences are matched: the literal one and the template. Windows of five tokens are hash-joined with the
 benchmark's: the hashes of a block of benchmark items (bounded rows, checked) go
 to all tasks, which probe them while they read the documents, so that neither
 windows nor texts are shuffled. A larger benchmark is taken in blocks.
@@ -20,9 +21,11 @@ items and rows are reported each; empty tables give no rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +74,44 @@ class Tokens:
     first: np.ndarray
     slot: np.ndarray  # of each template token: is it a placeholder
     template_row: np.ndarray
+    folded: np.ndarray  # the rows' bytes, case folded
+
+
+@lru_cache(maxsize=2)
+def _wide(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the characters of ``width`` UTF-8 bytes, by code: folded bytes, class (0 or 1), is it a capital."""
+    codes = 1 << (5 * width + 1)
+    folded, kind, upper = np.zeros((codes, width), np.uint8), np.zeros(codes, np.int8), np.zeros(codes, bool)
+    for code in range(1 << (7 if width == 2 else 11), codes):
+        if 0xD800 <= code < 0xE000:  # surrogates are no characters
+            continue
+        c = chr(code)
+        low = c.casefold().encode()
+        folded[code] = list(low if len(low) == width else c.encode())
+        kind[code] = unicodedata.category(c)[0] in "LMN"
+        upper[code] = c.isupper()
+    return folded, kind, upper
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte: folded, class, is its character a capital."""
+    folded, kind, upper = LOWER[data], _CLASS[data], (data >= 65) & (data <= 90)
+    for width, lead, last in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF)):
+        at = np.flatnonzero((data >= lead) & (data <= last))
+        if not len(at):
+            continue
+        code = data[at].astype(np.int64) & (0x3F >> (width - 1))
+        for k in range(1, width):
+            code = code << 6 | data[at + k] & 0x3F
+        low, word, capital = _wide(width)
+        for k in range(width):
+            folded[at + k], kind[at + k], upper[at + k] = low[code, k], word[code], capital[code]
+    return folded, kind, upper
 
 
 def tokenize(texts: Texts) -> Tokens:
     data = texts.data
-    kind = _CLASS[data].copy()
+    folded, kind, capital = _characters(data)
     if len(data) > 2:  # . and , between digits belong to the number
         joint = ((data[1:-1] == 46) | (data[1:-1] == 44)) & (kind[:-2] == 2) & (kind[2:] == 2)
         kind[1:-1][joint] = 2
@@ -88,7 +124,7 @@ def tokenize(texts: Texts) -> Tokens:
     word = kind[s] > 0 if len(s) else np.zeros(0, bool)
     s, e = s[word], e[word]
     row = np.searchsorted(texts.end, s, side="right")
-    literal = span_hash(texts.prefix(LOWER[data]), s, e)
+    literal = span_hash(texts.prefix(folded), s, e)
     number = kind[s] == 2 if len(s) else np.zeros(0, bool)
     first_of_row = np.ones(len(s), bool)
     first_of_row[1:] = row[1:] != row[:-1]
@@ -96,23 +132,19 @@ def tokenize(texts: Texts) -> Tokens:
     after_number[1:] = number[:-1] & ~first_of_row[1:]
     unit = after_number & ~number
     unit[unit] = np.isin(literal[unit], _hash_words(UNITS))
-    upper = np.zeros(len(s), bool)
-    if len(s):
-        lead, next_byte = data[s], data[np.minimum(s + 1, len(data) - 1)]
-        upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (next_byte >= 0x80) & (next_byte <= 0x9E))
     enders = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_ENDER[data], out=enders[1:])
     opens = first_of_row.copy()
     if len(s):
         opens[1:] |= enders[s[1:]] > enders[e[:-1]]
-    name = upper & ~opens & ~number & ~unit
+    name = capital[s] & ~opens & ~number & ~unit
     same_name = np.zeros(len(s), bool)
     same_name[1:] = name[1:] & name[:-1]
     first = np.flatnonzero(~same_name)
     template = literal.copy()
     template[number], template[unit], template[name] = NUMBER, UNIT, NAME
     slot = number | unit | name
-    return Tokens(s, e, row, literal, template[first], first, slot[first], row[first])
+    return Tokens(s, e, row, literal, template[first], first, slot[first], row[first], folded)
 
 
 def _window_hashes(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +177,8 @@ class Block:
         self.settings = settings
         texts = Texts(pa.array([t for _, t in items], pa.string()))
         self.tokens = t = tokenize(texts)
-        raw = texts.data.tobytes()
-        self.words = [raw[a:b].lower() for a, b in zip(t.start, t.end, strict=True)]
+        raw = t.folded.tobytes()
+        self.words = [raw[a:b] for a, b in zip(t.start, t.end, strict=True)]
         self.sides = {}
         self.bits = np.zeros(1 << 22, bool)
         for side, values, row, slot in (("literal", t.literal, t.row, np.zeros(len(t.row), bool)), ("template", t.template, t.template_row, t.slot)):
@@ -178,7 +210,7 @@ def _leaks(texts: Texts, block: Block) -> Iterator[tuple]:
     """row, item index, coverage, run, kind, slots, start, end of each leak."""
     s = block.settings
     t = tokenize(texts)
-    raw = texts.data.tobytes()
+    raw = t.folded.tobytes()
     pairs: dict[tuple[int, int], list[tuple[int, int, str]]] = defaultdict(list)
     for side, values, row in (("literal", t.literal, t.row), ("template", t.template, t.template_row)):
         keys, at = _window_hashes(values, row, s.window)
@@ -186,14 +218,12 @@ def _leaks(texts: Texts, block: Block) -> Iterator[tuple]:
         _, item_at, item_row, *_ = block.sides[side]
         for d, i, r, k in zip(at[here].tolist(), item_at[there].tolist(), row[at[here]].tolist(), item_row[there].tolist(), strict=True):
             pairs[r, k].append((d, i, side))
-    lit_begin, tem_begin = block.sides["literal"][3], block.sides["template"][3]
     n_windows = {"literal": block.sides["literal"][4], "template": block.sides["template"][4]}
     doc_first = np.append(t.first, len(t.row))
     item_first = np.append(block.tokens.first, len(block.words))
     for (r, k), found in pairs.items():
         best = None
         for side in ("literal", "template"):
-            begin = (lit_begin if side == "literal" else tem_begin)[k]
             total = int(n_windows[side][k])
             own = [(d, i) for d, i, x in found if x == side or side == "template"]
             if side == "template":  # literal hits count as template windows too, at their template places
@@ -238,7 +268,6 @@ def _leaks(texts: Texts, block: Block) -> Iterator[tuple]:
                 verdict = (share, run_tokens, "reparameterised" if changed else side, ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(changed.items())), int(a), int(b))
                 if best is None or verdict[0] > best[0]:
                     best = verdict
-            del begin
         if best:
             start = int(texts.start[r])
             yield r, k, *best[:4], best[4] - start, min(best[5], int(texts.end[r])) - start
@@ -251,7 +280,7 @@ def _slot_values(d: int, i: int, t: Tokens, block: Block, raw: bytes, doc_first:
         if a >= len(t.slot) or b >= len(block.tokens.slot):
             return
         if t.slot[a] and block.tokens.slot[b]:
-            yield b" ".join(block.words[item_first[b] : item_first[b + 1]]), raw[t.start[doc_first[a]] : t.end[doc_first[a + 1] - 1]].lower()
+            yield b" ".join(block.words[item_first[b] : item_first[b + 1]]), raw[t.start[doc_first[a]] : t.end[doc_first[a + 1] - 1]]
 
 
 def _majority(own: list[tuple[int, int]], *rest) -> dict[bytes, bytes]:

@@ -95,6 +95,21 @@ def test_reparameterised_question_is_found(spark):
     assert texts[3].encode()[found[4]["start_byte"] : found[4]["end_byte"]].decode() == item[:-1]
 
 
+@pytest.mark.parametrize(
+    "item",
+    [
+        "Wie groß ist der Fluß, der jährlich Öl und Güter über die Straße führt, und für wen fährt er?",
+        "El niño añadió cuántos años había soñado; ¿dónde están los demás niños españoles, según él?",
+        "Сколько яблок осталось у девочки, если мальчик съел половину и ушёл домой до ужина?",
+        "Việt ạnh ẩn ệch ộng ừng ằng ẵng ỵnh ởng ẻng ặng",
+    ],
+)
+def test_capitals_and_quotes_of_any_script(spark, item):
+    texts = [item.upper(), "« " + item.replace(" ", "\u00a0") + " »", " ".join(f"“{w}”" for w in item.split()), "!! ".join(item.upper().split()), "nothing of it is in this text"]
+    found = decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {1, 2, 3, 4}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
