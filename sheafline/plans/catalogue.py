@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
-from sheafline.operators import layout, replies, translate, units
+from sheafline.operators import layout, replies, translate, units, viewer
 from sheafline.schema import MISSING, Page, TextSettings
 from sheafline.session import fresh_path, table
 from sheafline.sources import spans as S
@@ -323,3 +323,50 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to spans, valid spans, paragraphs, and their texts and boxes."""
     found = layout.initial_paragraphs(S.valid_spans(_spans(spark, d)))
     return units.rich_text(found, "doc_id", "page", "para_id").select("doc_id", "page", "para_id", "html", "left", "top", "right", "bottom", "avg_font_size")
+
+
+@query
+def pages_in_view(spark: SparkSession, d: str) -> DataFrame:
+    """Pages one below the other, scrolled by an amount that follows the document."""
+    shift = (F.col("doc_id") * 37 % 3000).cast("double")
+    top = (F.col("page") - 1) * 800.0 - shift
+    pages = _spans(spark, d, False).select("doc_id", "page").distinct()
+    boxes = pages.select("doc_id", "page", F.lit(0.0).alias("left"), top.alias("top"), F.lit(612.0).alias("right"), (top + 792).alias("bottom"))
+    return viewer.pages_in_view(boxes, 900.0, 200.0, "doc_id")
+
+
+@query
+def pages_with_items(spark: SparkSession, d: str) -> DataFrame:
+    key = F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise((F.col("doc_id") % 7 - 1).cast("string"))
+    return viewer.pages_with_items(table(spark, d, "documents").select("source", key.alias("page_key")), "source")
+
+
+@query
+def folder_search(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("Lib/"), F.col("event_type"), F.lit("/U"), F.col("user_id") % 50, F.lit("/"), F.col("event_id"), F.lit(".pdf"))
+    return viewer.folders_like(table(spark, d, "events").select(path.alias("path")), "/u1")
+
+
+@query
+def copied_text(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("lib/"), F.col("role"), F.lit("/talk "), F.col("conv_id"), F.lit(".pdf"))
+    made = viewer.copied_text("{blockquote_text}\n{filename} {pagelink} {pagenumber}: {text}", F.col("text"), path, F.col("turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn", made.alias("copied"))
+
+
+@query
+def preset_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as presets, changed by the names of parts, without those named like suppliers."""
+    day, none = F.lit("2024-01-01"), F.lit(None).cast("string")
+    stored = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("settings"), day.alias("created_at"), day.alias("updated_at"))
+    changed = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("settings"), none.alias("created_at"))
+    saved = viewer.save_presets(stored, changed, F.lit("2024-06-01"))
+    return viewer.delete_presets(saved, table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("id")))
+
+
+@query
+def position_read_back(spark: SparkSession, d: str) -> DataFrame:
+    sizes = F.when(F.col("span_id") % 3 == 0, F.lit("none")).otherwise(F.concat(F.lit("["), F.col("font_size"), F.lit(","), F.col("height"), F.lit("]")))
+    layer = {f"layer_{k}": F.lit(v) for k, v in (("left", 10.0), ("top", 20.0), ("right", 622.0), ("bottom", 812.0))}
+    found = viewer.read_back(_spans(spark, d, False).withColumns({"font_sizes": sizes, **layer}), 1.25)
+    return found.select("doc_id", "span_id", *[F.round(c, 4).alias(c) for c in ("rel_left", "rel_top", "rel_width", "rel_height", "font_size")], F.size("original_font_sizes").alias("n_sizes"))

@@ -130,3 +130,20 @@ SQL["latest_paths"] = """WITH c AS (SELECT 'p' || user_id % 500 AS path, 'p' ||
 a AS (SELECT path, ts, CASE WHEN op = 'delete' THEN 0 ELSE 1 END AS alive FROM c UNION ALL SELECT old_path, ts, 0 FROM c WHERE op = 'rename'),
 m AS (SELECT path, ts, alive, row_number() OVER (PARTITION BY path ORDER BY ts DESC, alive DESC) AS k FROM a)
 SELECT path, ts FROM m WHERE k = 1 AND alive = 1"""
+SQL["pages_in_view"] = f"""WITH {SPANS}, p AS (SELECT DISTINCT doc_id, page FROM spans),
+b AS (SELECT doc_id, page, (page - 1) * 800.0::DOUBLE - doc_id * 37 % 3000 AS top FROM p)
+SELECT doc_id, first(page ORDER BY greatest(0, least(900, top + 792) - greatest(0, top)) DESC, page) AS largest_page,
+  first(page ORDER BY abs(top + 396 - 450), page) FILTER (top + 792 > 0 AND top < 900) AS central_page,
+  count(*) FILTER (top + 792 > 0 AND top < 900) AS n_visible, count(*) FILTER (top + 792 >= -200 AND top <= 1100) AS n_near FROM b GROUP BY doc_id"""
+SQL["pages_with_items"] = """WITH k AS (SELECT source, CASE WHEN doc_id % 5 = 0 THEN lang ELSE (doc_id % 7 - 1)::VARCHAR END AS k FROM documents)
+SELECT DISTINCT source, TRY_CAST(k AS DOUBLE) AS page FROM k WHERE TRY_CAST(k AS DOUBLE) > 0"""
+SQL["folder_search"] = """WITH f AS (SELECT 'Lib/' || event_type || '/U' || user_id % 50 AS folder FROM events)
+SELECT folder, count(*) AS n_files FROM f WHERE contains(lower(folder), '/u1') GROUP BY folder"""
+SQL["copied_text"] = """WITH c AS (SELECT conv_id, turn, text, 'talk ' || conv_id || '.pdf' AS name, '[[lib/' || role || '/talk ' || conv_id || '.pdf#page=' || turn || ']]' AS link FROM conversations)
+SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || name || ' ' || link || ' ' || turn || ': ' || text AS copied FROM c"""
+SQL["preset_upsert"] = """WITH n AS (SELECT p_partkey * 2 AS id, p_name AS name, p_brand AS settings FROM part),
+s AS (SELECT n.id, n.name, n.settings, CASE WHEN c_custkey IS NULL THEN '2024-06-01' ELSE '2024-01-01' END AS created_at, '2024-06-01' AS updated_at FROM n LEFT JOIN customer ON c_custkey = n.id
+  UNION ALL SELECT c_custkey, c_name, c_mktsegment, '2024-01-01', '2024-01-01' FROM customer WHERE c_custkey NOT IN (SELECT id FROM n))
+SELECT * FROM s WHERE id NOT IN (SELECT s_suppkey * 3 FROM supplier)"""
+SQL["position_read_back"] = f"""WITH {SPANS} SELECT doc_id, span_id, round(("left" - 10) / 612, 4) AS rel_left, round((top - 20) / 792, 4) AS rel_top, round(width / 612, 4) AS rel_width, round(height / 792, 4) AS rel_height,
+  CASE WHEN span_id % 3 <> 0 THEN round((font_size / 1.25::DOUBLE + height / 1.25::DOUBLE) / 2, 4) END AS font_size, CASE WHEN span_id % 3 = 0 THEN 0 ELSE 2 END AS n_sizes FROM spans"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators import layout, paging, replies, translate, units
+from sheafline.operators import layout, paging, replies, translate, units, viewer
 from sheafline.schema import MISSING, GapSettings, LayoutSettings, Page, TextSettings
 from sheafline.sources import spans as S
 from sheafline.sources import store
@@ -185,3 +185,16 @@ def test_layout_keeps_every_span():
     )
     found = paging.layout(rows, PAGE, LayoutSettings(), GapSettings())
     assert sorted(x for p in found for x in p) == list(range(30))
+
+
+def test_viewer_on_odd_values(spark):
+    pages = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 5.0), (1, 2, 0.0, 5.0, 10.0, 10.0), (2, 1, 0.0, -50.0, 10.0, -40.0), (3, 1, 0.0, 0.0, 0.0, 0.0)], "doc long, page int, left double, top double, right double, bottom double")
+    found = {r["doc"]: tuple(r)[1:] for r in viewer.pages_in_view(pages, 10.0, 20.0, "doc").collect()}
+    assert found == {1: (1, 1, 2, 2), 2: (1, None, 0, 0), 3: (None, None, 0, 1)}
+    items = spark.createDataFrame([("a", k) for k in ("1", "01", "x", "-2", "0", "", None, "NaN")], "doc string, page_key string")
+    assert [r["page"] for r in viewer.pages_with_items(items, "doc").collect()] == [1.0]
+    stored = spark.createDataFrame([("1", "a", "s", "d0", "d0")], "id string, name string, settings string, created_at string, updated_at string")
+    changed = spark.createDataFrame([("1", "b", "t", "d9"), ("2", "c", "u", None)], "id string, name string, settings string, created_at string")
+    saved = viewer.save_presets(stored, changed, F.lit("d1"))
+    assert sorted(map(tuple, saved.collect())) == [("1", "b", "t", "d0", "d1"), ("2", "c", "u", "d1", "d1")]
+    assert viewer.delete_presets(saved, changed).count() == 0
