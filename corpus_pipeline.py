@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import bpe, decontam, langmix, linedrop, simhash
+from sheafline.llm import bpe, decontam, langmix, linedrop, nearcopies, simhash
 from sheafline.llm.queries import vocabulary_path
 from sheafline.session import staged, table
 
@@ -32,8 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; rows without an id stay."""
-    groups = simhash.simhash_components(docs)
+    """One document, that of the smallest id, of each group of near copies; rows without an id stay.
+
+    Near copies have fingerprints at most two bits apart, or five-word shingles with a Jaccard similarity of 0.8 or more.
+    """
+    seen = staged(nearcopies.sketch_table(docs), "sketches")
+    groups = simhash.simhash_components(docs, own=seen.select("doc_id", "fp"), more_links=nearcopies.near_links(docs, seen))
     gone = staged(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

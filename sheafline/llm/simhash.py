@@ -193,11 +193,16 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     return visit.join(home.hint("merge"), (visit["anchor"] == home["anchor"]) & near).select("u", "v")
 
 
-def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    own = staged(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
+def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", own: DataFrame | None = None, more_links: DataFrame | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row.
+
+    ``own`` is the fingerprint table if there is one already; ``more_links`` are pairs u, v of
+    its fingerprints to be linked whatever their distance.
+    """
+    own = staged(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints") if own is None else own
     distinct = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
-    rooted = staged(components(links(distinct.select("fp"), threshold)), "roots")
+    near = links(distinct.select("fp"), threshold)
+    rooted = staged(components(near if more_links is None else near.union(more_links)), "roots")
     # Only linked fingerprints have a row in rooted; a root stands for itself.
     members = rooted.union(rooted.select(F.col("root").alias("node"), "root").distinct())
     named = members.join(distinct, members["node"] == distinct["fp"]).select("fp", "root", "first_doc")

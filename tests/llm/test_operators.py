@@ -501,6 +501,38 @@ def test_exact_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 6, 7]
 
 
+def test_edited_copies_leave_one(spark):
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(3000)]
+    texts, family = [], []
+    for f in range(60):
+        base = rng.choices(words, k=rng.randint(3, 200))
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.choice((0, 1, 2, len(own) // 40, len(own) // 12))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own).upper() if rng.random() < 0.2 else " ".join(own))
+            family.append(f)
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in texts]
+    prints, group = [slow_print(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    far = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        apart, near = (prints[a] ^ prints[b]).bit_count(), 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        far += near and apart > 2
+        if near or apart <= 2:
+            x, y = root(a), root(b)
+            group[max(x, y)] = min(x, y)
+    assert far > 50
+    docs = docs_of(spark, texts).repartition(5)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {root(k) + 1 for k in range(len(texts))}
+
+
 def test_entry_without_the_corpus_operators(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name.startswith(('sheafline.llm', 'corpus_pipeline')): raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e, json\nprint(json.dumps([k for k in e.queries()]))"
