@@ -10,8 +10,9 @@ windows nor texts are shuffled. A larger benchmark is taken in blocks.
 
 For a (document, item) pair, matched windows inside a stretch about as long as
 the item count. Template windows are believed only if their slots are
-consistent: one benchmark value goes with one document value throughout. A pair
-is a leak if windows matched cover ``coverage`` of the item's, or a run of at
+consistent: one benchmark value goes with one document value throughout the
+text, or else throughout one place of about the item's length, as a text may hold
+an item more than once, with other values each time. A pair is a leak if windows matched cover ``coverage`` of the item's, or a run of at
 least ``run_tokens`` tokens agrees.
 
 Defined cases: null or token-less texts and items match nothing; an item under
@@ -22,6 +23,7 @@ items and rows are reported each; empty tables give no rows.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -221,58 +223,91 @@ def _leaks(texts: Texts, block: Block) -> Iterator[tuple]:
     n_windows = {"literal": block.sides["literal"][4], "template": block.sides["template"][4]}
     doc_first = np.append(t.first, len(t.row))
     item_first = np.append(block.tokens.first, len(block.words))
+    rest = (t, block, raw, doc_first, item_first, s)
     for (r, k), found in pairs.items():
         best = None
         for side in ("literal", "template"):
             total = int(n_windows[side][k])
-            own = [(d, i) for d, i, x in found if x == side or side == "template"]
-            if side == "template":  # literal hits count as template windows too, at their template places
-                if not any(x == "template" for _, _, x in found):
-                    continue
+            if side == "literal":
+                own = [(d, i) for d, i, x in found if x == side]
+                verdicts = [_verdict(sorted(set(own)), side, total, *rest)]
+            else:  # literal hits count as template windows too, at their template places
                 own = [(d, i) for d, i, x in found if x == "template"]
+                if not own:
+                    continue
                 own += [(int(np.searchsorted(t.first, d, side="right")) - 1, int(np.searchsorted(block.tokens.first, i, side="right")) - 1) for d, i, x in found if x == "literal"]
-                own = _consistent(own, t, block, raw, doc_first, item_first, s)
-            if not own:
-                continue
-            own = sorted(set(own))
-            reach = 2 * (total + s.window)
-            covered, lo, counts, top = set(), 0, defaultdict(int), (0, 0, 0)
-            for hi, (d, i) in enumerate(own):
-                counts[i] += 1
-                while own[lo][0] < d - reach:
-                    counts[own[lo][1]] -= 1
-                    if not counts[own[lo][1]]:
-                        del counts[own[lo][1]]
-                    lo += 1
-                if len(counts) > top[0]:
-                    top = (len(counts), own[lo][0], d)
-            covered = top[0]
-            diagonal: dict[int, list[int]] = defaultdict(list)
-            for d, i in own:
-                diagonal[d - i].append(d)
-            run = 0
-            for ds in diagonal.values():
-                length = 0
-                for a, b in zip([None, *ds], ds, strict=False):
-                    length = length + 1 if a is not None and b == a + 1 else 1
-                    run = max(run, length)
-            run_tokens = run + min(s.window, total + s.window - 1) - 1
-            share = covered / total
-            if share >= s.coverage or run_tokens >= s.run_tokens:
-                if side == "literal":
-                    a, b = t.start[top[1]], t.end[min(top[2] + s.window, len(t.row)) - 1]
-                else:
-                    a, b = t.start[doc_first[top[1]]], t.end[doc_first[min(top[2] + s.window, len(t.first))] - 1]
-                slots = _slots(own, t, block, raw, doc_first, item_first, s) if side == "template" else {}
-                changed = {x: y for x, y in slots.items() if x != y}
-                verdict = (share, run_tokens, "reparameterised" if changed else side, ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(changed.items())), int(a), int(b))
-                if best is None or verdict[0] > best[0]:
+                # All windows of the text are one candidate; if their slots disagree, each place where a copy may lie is judged alone.
+                verdicts = [_verdict(sorted(set(_consistent(own, *rest))), side, total, *rest)]
+                if verdicts == [None]:
+                    verdicts = [_verdict(sorted(_consistent(place, *rest)), side, total, *rest) for place in _places(sorted(set(own)), total, s)]
+            for verdict in verdicts:
+                if verdict and (best is None or verdict[0] > best[0]):
                     best = verdict
         if best:
             start = int(texts.start[r])
             yield r, k, *best[:4], best[4] - start, min(best[5], int(texts.end[r])) - start
 
 
+def _verdict(own: list[tuple[int, int]], side: str, total: int, t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> tuple | None:
+    """coverage, run, kind, slots, start and end in the slice, if these windows are a leak."""
+    if not own:
+        return None
+    reach = 2 * (total + s.window)
+    lo, counts, top = 0, defaultdict(int), (0, 0, 0)
+    for d, i in own:
+        counts[i] += 1
+        while own[lo][0] < d - reach:
+            counts[own[lo][1]] -= 1
+            if not counts[own[lo][1]]:
+                del counts[own[lo][1]]
+            lo += 1
+        if len(counts) > top[0]:
+            top = (len(counts), own[lo][0], d)
+    diagonal: dict[int, list[int]] = defaultdict(list)
+    for d, i in own:
+        diagonal[d - i].append(d)
+    run = 0
+    for ds in diagonal.values():
+        length = 0
+        for a, b in zip([None, *ds], ds, strict=False):
+            length = length + 1 if a is not None and b == a + 1 else 1
+            run = max(run, length)
+    run_tokens = run + min(s.window, total + s.window - 1) - 1
+    share = top[0] / total
+    if share < s.coverage and run_tokens < s.run_tokens:
+        return None
+    if side == "literal":
+        a, b = t.start[top[1]], t.end[min(top[2] + s.window, len(t.row)) - 1]
+    else:
+        a, b = t.start[doc_first[top[1]]], t.end[doc_first[min(top[2] + s.window, len(t.first))] - 1]
+    slots = _slots(own, t, block, raw, doc_first, item_first, s) if side == "template" else {}
+    changed = {x: y for x, y in slots.items() if x != y}
+    named = ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(changed.items()))
+    return share, run_tokens, "reparameterised" if changed else side, named, int(a), int(b)
+
+
+def _places(own: list[tuple[int, int]], total: int, s: LeakSettings) -> Iterator[list[tuple[int, int]]]:
+    """The windows of each place where one copy of the item may lie: of one diagonal, of near diagonals, of a stretch as long as the item.
+
+    Places with too few windows for a leak are left out.
+    """
+    length = total + s.window - 1
+    slack = length // 4
+    enough = min(s.coverage * total, s.run_tokens - s.window + 1)
+    shifts = sorted((d - i, d, i) for d, i in own)
+    by_shift, by_start = [g for g, _, _ in shifts], [d for d, _ in own]
+    spans = {(bisect_left(by_shift, g - x), bisect_right(by_shift, g + x)) for g in set(by_shift) for x in (0, slack)}
+    for lo, hi in sorted(spans):
+        if len({i for _, _, i in shifts[lo:hi]}) >= enough:
+            yield sorted((d, i) for _, d, i in shifts[lo:hi])
+    last = 0
+    for d in sorted(set(by_start)):
+        lo, hi = bisect_left(by_start, d), bisect_left(by_start, d + length + slack)
+        if hi > last and len({i for _, i in own[lo:hi]}) >= enough:
+            yield own[lo:hi]
+        last = hi
+
+
 def _slot_values(d: int, i: int, t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of benchmark value and document value of the slots of a pair of windows."""
     for k in range(s.window):

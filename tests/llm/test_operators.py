@@ -134,6 +134,21 @@ def test_leaks_against_brute_force(spark):
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("between", [0, 5, 3000])
+def test_copies_with_other_values_in_one_text(spark, between):
+    item = "Alice has 12 apples and gives 5 kg of them to Bob Jones. How many of the 12 apples does Alice keep at home?"
+    sheet = ["Carol has 31 apples and gives 9 lb of them to Tom. How many of the 31 apples does Carol keep at home?", "Peter has 88 apples and gives 7 oz of them to Ann. How many of the 88 apples does Peter keep at home?"]
+    dense = "Add 1 plus 2 and 3 minus 4 then 5 times 6 over 7 less 8 and so 9 more"
+    sums = ["Add 21 plus 22 and 23 minus 24 then 25 times 26 over 27 less 28 and so 29 more", "Add 31 plus 42 and 53 minus 64 then 75 times 86 over 97 less 18 and so 19 more"]
+    mixed = [f"{sheet[0]}", "Who has 4 apples and gives 6 kg of nothing to 7 of them to Tim? How many of the 8 apples does 9 keep at home?"]
+    filler = " ".join(f"filler{k}" for k in range(between))
+    texts = [f" {filler} ".join(x) for x in (sheet, sums, sheet * 2, sums[:1], mixed)] + [filler]
+    bench = spark.createDataFrame([(7, item), (8, dense)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert set(found) == {(1, 7), (2, 8), (3, 7), (4, 8), (5, 7)}
+    assert all(r["kind"] == "reparameterised" for r in found.values())
+
+
 # --- 2
 
 
