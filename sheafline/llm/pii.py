@@ -7,8 +7,9 @@ characters, look-alike letters between digits) and a token transducer (spelled
 digits, at/dot disguises). The same detectors run on the output, and what they
 find is mapped back to source characters.
 
-Map-only. Texts without any sign of a disguise skip the transducers; the signs
-are necessary conditions for the rewritings, so nothing is lost.
+Map-only. Texts that the transducers would leave as they are skip them: for runs
+of digits this is found by the transducers' own expressions, for at/dot disguises
+by a sign that each of them shows, so nothing is lost.
 
 Defined cases: a null text counts as empty; a match that fails its check (IP
 parts, Luhn, number of digits) is dropped and the search goes on behind it;
@@ -102,15 +103,13 @@ SPELLED = {
 }
 
 _ODD = re.compile("[" + INVISIBLE + "ıɑɡʋͰ-ԯ٠-\u0dff\u2000-\u206f℀-⓿✀-➿﹐-\ufe6f！-～\u00a0\U0001d400-\U0001d7ff]")
-_LOOKALIKE_SIGN = re.compile(r"[0-9][()., -]{0,2}[OoIl|]{1,3}[()., -]{0,2}[0-9]")
 _LOOKALIKE_RUN = re.compile(r"(?<![^\W_])\+?[0-9OoIl|][0-9OoIl|().\x20-]{7,}[0-9OoIl|](?![^\W_])")
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})(?:[\s,./-]{{1,3}}(?:{_DIGIT_WORD}|dot|point|punkt|punto|double|triple|[0-9]+)){{3,}}(?!\w)", re.I)
 _SPELLED_RUN = re.compile(
     rf"(?<!\w)(?:(?P<plus>plus|\+)[\s,-]{{0,3}})?(?:double\s+|triple\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[\s,./-]{{1,3}}(?:{_DIGIT_WORD}|dot|point|punkt|punto|double|triple|[0-9]+))+(?!\w)", re.I
 )
 _RUN_TOKEN = re.compile(rf"(?P<word>{_DIGIT_WORD})|(?P<dot>dot|point|punkt|punto|\.)|(?P<times>double|triple)|(?P<digits>[0-9]+)|(?P<plus>plus|\+)|(?P<gap>[\s,/-]+)", re.I)
-_DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|punkt|point|punto|ät|arroba|arobase)\s*[\])}>]|(?<=\w)\s+(?:dot|punkt|point|punto)\s+(?=\w)|&#(?:64|46|x40|x2e);|&(?:commat|period);|\w(?:%40|\s+@\s*|\s*@\s+)\w|[_-]dot[_-]", re.I)
+_DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|punkt|point|punto|ät|arroba|arobase)\s*[\])}>]|(?<=\w)\s+(?:dot|punkt|point|punto)\s+(?=\w)|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|\w(?:\s+@\s*|\s*@\s+)\w|[_-]dot[_-]", re.I)
 # Marks inside the rewritten text: an at or a dot that counts only together with another disguise.
 _SOFT_AT, _SOFT_DOT = "\ue000", "\ue001"
 _DISGUISE = re.compile(
@@ -178,20 +177,24 @@ def fold_characters(text: Mapped) -> Mapped:
     return text.rewrite(edits) if edits else text
 
 
-def fold_lookalikes(text: Mapped) -> Mapped:
-    """Letters that stand for 0 or 1 in runs that consist of digits for the most part."""
+def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _LOOKALIKE_RUN.finditer(text.text):
+    for m in _LOOKALIKE_RUN.finditer(text):
         digits, letters = sum(c.isdigit() for c in m[0]), sum(c in "OoIl|" for c in m[0])
         if letters and digits >= 2 * letters and digits + letters >= 9:
             edits += [(m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for k, c in enumerate(m[0]) if c in "OoIl|"]
+    return edits
+
+
+def fold_lookalikes(text: Mapped) -> Mapped:
+    """Letters that stand for 0 or 1 in runs that consist of digits for the most part."""
+    edits = _lookalike_edits(text.text)
     return text.rewrite(edits) if edits else text
 
 
-def fold_spelled(text: Mapped) -> tuple[Mapped, list[tuple[int, int]]]:
-    """Runs of spelled digits as digits; the runs' places in the output."""
-    edits, shift, places = [], 0, []
-    for m in _SPELLED_RUN.finditer(text.text):
+def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _SPELLED_RUN.finditer(text):
         digits, words, times = [], 0, 1
         for t in _RUN_TOKEN.finditer(m[0]):
             if t["word"]:
@@ -210,8 +213,15 @@ def fold_spelled(text: Mapped) -> tuple[Mapped, list[tuple[int, int]]]:
         if words < 2 or len(new) < 4:
             continue
         edits.append((m.start(), m.end(), new))
-        places.append((m.start() + shift, m.start() + shift + len(new)))
-        shift += len(new) - (m.end() - m.start())
+    return edits
+
+
+def fold_spelled(text: Mapped) -> tuple[Mapped, list[tuple[int, int]]]:
+    """Runs of spelled digits as digits; the runs' places in the output."""
+    edits, shift, places = _spelled_edits(text.text), 0, []
+    for a, b, new in edits:
+        places.append((a + shift, a + shift + len(new)))
+        shift += len(new) - (b - a)
     return (text.rewrite(edits), places) if edits else (text, [])
 
 
@@ -261,12 +271,9 @@ def _detect_disguised(folded: Mapped, source: str) -> Iterator[Span]:
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows."""
-    low = text if text.islower() else text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
-    spelled = _SPELLED_SIGN.search(low) is not None if not odd else True
-    disguise = True if odd else _DISGUISE_SIGN.search(low) is not None
-    lookalike = True if odd else _LOOKALIKE_SIGN.search(text) is not None
-    if not (odd or spelled or disguise or lookalike):
+    disguise = odd or _DISGUISE_SIGN.search(text) is not None
+    if not (disguise or _lookalike_edits(text) or _spelled_edits(text)):
         return []
     folded = fold_characters(Mapped.plain(text))
     folded = fold_lookalikes(folded)

@@ -221,6 +221,31 @@ def test_disguises_map_back(text, kind, span):
     assert (kind, text.index(span), text.index(span) + len(span)) in added
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("card 4111 1111 1111 1 one one one end", "card", "4111 1111 1111 1 one one one"),
+        ("call 0171 555 12 three four now", "phone", "0171 555 12 three four"),
+        ("card 411111111111111l end", "card", "411111111111111l"),
+        ("card l234567890123452 end", None, None),
+        ("write to me-%40example.com now", "email", "me-%40example.com"),
+    ],
+)
+def test_disguises_without_further_signs(text, kind, span):
+    _, added = pii.personal_data(text)
+    # An unrelated invisible character behind the text opens every gate.
+    assert added == pii.personal_data(text + " ;\u200b")[1]
+    assert kind is None or (kind, text.index(span), text.index(span) + len(span)) in added
+
+
+def test_gates_lose_nothing():
+    rng = random.Random(33)
+    parts = "4111 1111 11 1 0171 555 12 one two three vier double plus + l O I| 1l o . dot at @ %40 (at) a-b example.com mail, - word".split()
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) + rng.choice((" ", " ", "", "-")) for _ in range(rng.randint(1, 14)))
+        assert pii.personal_data(text) == pii.personal_data(text + " ;\u200b")
+
+
 @pytest.mark.parametrize("text", ["look at the example.com page. He dot net is", "mail at dot com the dot", "he was one of two or three at home. Then four more came.", "", None, "at dot at dot", "x" * 3000 + "@"])
 def test_clean_texts_stay_clean(text):
     assert pii.personal_data(text) == ([], [])
