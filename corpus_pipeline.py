@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheafline.llm import bpe, decontam, langmix, linedrop, nearcopies, simhash
 from sheafline.llm.queries import vocabulary_path
-from sheafline.session import staged, table
+from sheafline.session import made_so_far, release, staged, table
 
 #: Up to so many removed ids (8 bytes each) go to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -68,7 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        release(spark, mark, keep=1)  # what the stage needed is read
     return STAGES[-1][1](spark, docs, sf_dir)

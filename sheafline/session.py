@@ -49,18 +49,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode and where it is unset."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_sheafline_shared", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sheafline-shared-")
         context._sheafline_shared = found
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/sheafline-{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/sheafline-{label}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_sheafline_made"):
+        context._sheafline_made = []
+    return context._sheafline_made
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -75,8 +86,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_so_far(spark: SparkSession) -> int:
+    """A mark for ``release``."""
+    return len(_made(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the paths made since the mark but for the last ``keep``.
+
+    For callers that have read what they need: a DataFrame of an operator may read its staged tables until it is written.
+    """
+    made = _made(spark)
+    gone = made[since : len(made) - keep]
+    del made[since : len(made) - keep]
+    for path in gone:
+        remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
+    """Delete a path of the shared folder through Hadoop's file system; none is no error."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
