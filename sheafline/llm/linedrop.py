@@ -8,8 +8,10 @@
    minimal perfect hash (levels of bit arrays with ranks) numbers its hashes
    0..n-1 and indexes three compact arrays: fingerprint, count, last document.
    Shards are files of a table in the shared folder.
-3. Documents probe the arrays map-side, shard by shard, for a bounded chunk of
-   text at a time. One shard is in memory at a time, beside a bounded cache.
+3. Documents probe the arrays map-side. A task first hashes the lines of a window
+   of ``window_bytes`` of text (as a rule its whole partition), then reads each
+   shard that they fall in once. One shard is in memory at a time, beside a
+   bounded cache; reads grow with windows times shards.
 
 Defined cases: a null or empty text is one empty line; a line's key is stripped
 of the six spaces and has A-Z lower-cased; keys under ``min_chars`` code points
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.llm.columns import KEPT, column, map_batches, mix, slices
-from sheafline.session import fresh_path, ship
+from sheafline.session import fresh_path, remove_path, ship
 
 U64 = np.uint64
 SPACES = b" \t\n\x0b\x0c\r"
@@ -44,18 +46,19 @@ _NO_DOC = -(1 << 63)
 # --- minimal perfect hash -------------------------------------------------------------------
 
 
-def build_mphf(keys: np.ndarray, factor: float = 1.5) -> tuple[list[np.ndarray], np.ndarray]:
-    """Levels of packed bit arrays for distinct 64-bit keys, and each key's slot.
+def build_mphf(hi: np.ndarray, lo: np.ndarray, factor: float = 1.5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Levels of packed bit arrays for distinct 128-bit keys, and each key's slot.
 
     On each level a key sets the bit that it hashes to; keys alone on their bit
     stay, the others go to the next level. A key's slot is the rank of its bit.
+    Every level hashes both halves, so keys that share one half still part.
     """
     levels: list[np.ndarray] = []
-    slot = np.full(len(keys), -1, np.int64)
-    left, used = np.arange(len(keys)), 0
+    slot = np.full(len(hi), -1, np.int64)
+    left, used = np.arange(len(hi)), 0
     while len(left):
-        size = (int(len(left) * factor) // 64 + 1) * 64  # whole bytes, so that the reader knows it
-        place = (level_hash(keys[left], len(levels)) % U64(size)).astype(np.int64)
+        size = (int(len(left) * factor) // 64 + 1) * 64  # whole words, so that the reader knows it
+        place = (level_hash(hi[left], lo[left], len(levels)) % U64(size)).astype(np.int64)
         hits = np.bincount(place, minlength=size)
         alone = hits == 1
         rank = np.cumsum(alone) - 1 + used
@@ -69,37 +72,40 @@ def build_mphf(keys: np.ndarray, factor: float = 1.5) -> tuple[list[np.ndarray],
     return levels, slot
 
 
-def level_hash(keys: np.ndarray, level: int) -> np.ndarray:
-    return mix(keys + U64((0x9E3779B97F4A7C15 * (level + 1)) & (2**64 - 1)))
+def level_hash(hi: np.ndarray, lo: np.ndarray, level: int) -> np.ndarray:
+    turn = (0x9E3779B97F4A7C15 * (level + 1)) & (2**64 - 1)
+    return mix(hi + U64(turn) ^ mix(lo + U64(turn ^ 0xD1B54A32D192ED03)))
 
 
 class Shard:
-    """One shard's hash function and its arrays."""
+    """One shard's hash function and its arrays: a bit per place, a rank per 64 places, three values per key."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray):
         self.fingerprint, self.count, self.last = fingerprint, count, last
         self.levels, at, used = [], 0, 0
         for size in sizes:
-            own = np.unpackbits(bits[at : at + size], bitorder="little")
+            words = bits[at : at + size].copy().view("<u8")
             at += size
-            rank = np.cumsum(own, dtype=np.int32) - 1 + used
-            used += int(own.sum())
-            self.levels.append((own.astype(bool), rank.astype(np.int32)))
+            ones = np.bitwise_count(words).astype(np.int32)
+            self.levels.append((words, np.cumsum(ones, dtype=np.int32) - ones + np.int32(used)))
+            used += int(ones.sum())
         self.nbytes = sum(b.nbytes + r.nbytes for b, r in self.levels) + fingerprint.nbytes + count.nbytes + last.nbytes
 
-    def probe(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where the fingerprint differs or no level has it."""
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        for k, (bits, rank) in enumerate(self.levels):
+    def probe(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where the fingerprint (the key's lower half) differs or no level has it."""
+        out = np.full(len(hi), -1, np.int64)
+        left = np.arange(len(hi))
+        for k, (words, rank) in enumerate(self.levels):
             if not len(left):
                 break
-            place = (level_hash(keys[left], k) % U64(len(bits))).astype(np.int64)
-            hit = bits[place]
-            out[left[hit]] = rank[place[hit]]
+            place = level_hash(hi[left], lo[left], k) % U64(len(words) * 64)
+            word, bit = words[place >> U64(6)], place & U64(63)
+            hit = (word >> bit & U64(1)).astype(bool)
+            below = np.bitwise_count(word[hit] & ((U64(1) << bit[hit]) - U64(1)))
+            out[left[hit]] = rank[place[hit] >> U64(6)] + below
             left = left[~hit]
         found = out >= 0
-        out[found] = np.where(self.fingerprint[out[found]] == prints[found], out[found], -1)
+        out[found] = np.where(self.fingerprint[out[found]] == lo[found].view(np.int64), out[found], -1)
         return out
 
 
@@ -173,7 +179,7 @@ def build_index(counts: DataFrame, shard_keys: int = 1 << 20) -> tuple[str, int]
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_shard(batches):
             hi, lo, n, last = (np.asarray(table[c]) for c in ("hi", "lo", "n", "last"))
-            levels, slot = build_mphf(hi.view(U64))
+            levels, slot = build_mphf(hi.view(U64), lo.view(U64))
             order = np.argsort(slot)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -184,10 +190,11 @@ def build_index(counts: DataFrame, shard_keys: int = 1 << 20) -> tuple[str, int]
                 ["shard", "sizes", "bits", "fingerprint", "count", "last"],
             )
 
-    # The hashes of one shard are distinct and at most about shard_keys: the group is bounded.
+    # The 128-bit hashes of one shard are distinct and about shard_keys: the group is bounded.
     dealt = kept.withColumn("shard", F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard")
     built = map_batches(dealt, build, "shard int, sizes array<bigint>, bits binary, fingerprint binary, count binary, last binary", "linedrop")
     built.withColumn("part", F.col("shard")).write.partitionBy("part").parquet(folder)
+    remove_path(spark, kept_path)
     return folder, shards
 
 
@@ -243,7 +250,7 @@ class Index:
             shard = self.shard(k) if len(own) else None
             if shard is None:
                 continue
-            slot = shard.probe(pairs[own, 0], pairs[own, 1].view(np.int64))
+            slot = shard.probe(pairs[own, 0], pairs[own, 1])
             hit = slot >= 0
             many[own[hit]] = shard.count[slot[hit]] >= min_docs
             last[own[hit]] = shard.last[slot[hit]]
@@ -264,7 +271,7 @@ def index_of(folder: str, shards: int) -> Index:
     return _open[folder]
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = False, window_bytes: int = 1 << 26) -> DataFrame:
     """Drop lines that ``min_docs`` documents hold, except in the last of these documents.
 
     Gives digests by document, or, to ``rewrite``, the input with its text column
@@ -276,33 +283,53 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     counts = count_lines(source, min_chars).filter(F.col("n") >= min_docs)
     folder, shards = build_index(counts)
 
-    def kept_lines(index: Index, ids: list[int | None], texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
-        split = [line_keys(t.as_py(), min_chars) for t in texts]
-        many, last = index.last_document(_as_pairs([k for _, keys in split for k in keys if k is not None]), min_docs)
-        at = 0
-        for doc_id, (lines, keys) in zip(ids, split, strict=True):
-            kept = []
-            for line, key in zip(lines, keys, strict=True):
-                if key is not None:
-                    at += 1
-                    if many[at - 1] and (doc_id is None or last[at - 1] != doc_id):
-                        continue
-                kept.append(line)
-            yield len(lines), len(lines) - len(kept), b"\n".join(kept)
+    def judged(index: Index, batches: Iterator[pa.RecordBatch], id_name: str, text_name: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
+        """Each slice of the batches with its rows' numbers of lines, dropped lines, and remaining bytes."""
+        for window in _windows_of(batches, text_name, window_bytes):
+            keyed, found = [], []
+            for part in window:
+                keys = [line_keys(t.as_py(), min_chars)[1] for t in column(part, text_name)]
+                keyed.append([np.array([k is not None for k in own], bool) for own in keys])
+                found.append(_as_pairs([k for own in keys for k in own if k is not None]))
+            many, last = index.last_document(np.concatenate(found), min_docs)
+            at = 0
+            for part, masks in zip(window, keyed, strict=True):
+                rows = []
+                for doc_id, text, mask in zip(column(part, id_name).to_pylist(), column(part, text_name), masks, strict=True):
+                    n = int(mask.sum())
+                    gone = np.zeros(len(mask), bool)
+                    gone[mask] = many[at : at + n] & (last[at : at + n] != doc_id if doc_id is not None else True)
+                    at += n
+                    data = (text.as_py() or "").encode()
+                    if gone.any():
+                        data = b"\n".join(line for line, out in zip(data.split(b"\n"), gone.tolist(), strict=True) if not out)
+                    rows.append((len(mask), int(gone.sum()), data))
+                yield part, rows
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of(folder, shards)
-        for part in slices(batches, "text", 1 << 23):
-            rows = [(n, dropped, hashlib.sha256(data).hexdigest()) for n, dropped, data in kept_lines(index, column(part, "doc_id").to_pylist(), column(part, "text"))]
-            n, dropped, sha = zip(*rows, strict=True)
+        for part, rows in judged(index_of(folder, shards), batches, "doc_id", "text"):
+            n, dropped, data = zip(*rows, strict=True)
+            sha = [hashlib.sha256(x).hexdigest() for x in data]
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of(folder, shards)
-        for part in slices(batches, text_col, 1 << 23):
+        for part, rows in judged(index_of(folder, shards), batches, id_col, text_col):
             texts = column(part, text_col)
-            new = [data.decode() if text.is_valid else None for text, (_, _, data) in zip(texts, kept_lines(index, column(part, id_col).to_pylist(), texts), strict=True)]
+            new = [data.decode() if text.is_valid else None for text, (_, _, data) in zip(texts, rows, strict=True)]
             at = part.schema.get_field_index(text_col)
             yield part.set_column(at, part.schema.field(at), pa.array(new, texts.type))
 
     return map_batches(docs, rewritten, docs.schema, "linedrop") if rewrite else map_batches(source, digest, SCHEMA, "linedrop")
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch], text_name: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of slices with about ``most`` bytes of text."""
+    waiting, size = [], 0
+    for part in slices(batches, text_name, 1 << 21):
+        waiting.append(part)
+        size += column(part, text_name).nbytes
+        if size >= most:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting

@@ -469,10 +469,38 @@ def test_many_shards(spark):
     assert not index.last_document(pairs, 3)[0].any()
 
 
-def test_hash_numbers_keys_without_gaps():
+@pytest.mark.parametrize("shared", ["none", "upper", "lower"])
+def test_hash_numbers_keys_without_gaps(shared):
+    """Keys that share one of their halves are distinct keys still."""
     keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 20_000, dtype=np.uint64))
-    _, slot = linedrop.build_mphf(keys)
+    one = np.full(len(keys), 7, np.uint64)
+    hi, lo = {"none": (keys, keys[::-1]), "upper": (one, keys), "lower": (keys, one)}[shared]
+    levels, slot = linedrop.build_mphf(hi, lo)
     assert sorted(slot.tolist()) == list(range(len(keys)))
+    order = np.argsort(slot)
+    zero = np.zeros(len(keys), np.int64)
+    shard = linedrop.Shard(np.array([len(x) for x in levels]), np.concatenate(levels), lo[order].view(np.int64), zero, zero)
+    assert (shard.probe(hi, lo) == slot).all()
+    assert shard.nbytes < 26 * len(keys)  # 24 of these are the three arrays
+
+
+def test_a_task_reads_each_shard_once(spark, tmp_path, monkeypatch):
+    counts = spark.range(3000).select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"), F.lit(3).alias("n"), F.col("id").alias("last"))
+    folder, shards = linedrop.build_index(counts, shard_keys=300)
+    reads = []
+    real = linedrop.Shard.__init__
+    monkeypatch.setattr(linedrop.Shard, "__init__", lambda self, *rest: reads.append(1) or real(self, *rest))
+    index = linedrop.Index(folder, shards, keep_bytes=0)
+    pairs = np.array([(r["hi"], r["lo"]) for r in counts.collect()], np.int64).view(np.uint64)
+    assert index.last_document(pairs, 3)[0].all() and len(reads) == shards
+
+
+@pytest.mark.parametrize("window", [1, 2000, 1 << 26])
+def test_windows_do_not_matter(spark, window):
+    line = "this line is held by several documents"
+    rows = [(k, f"own line of document number {k}\n{line}\nshort" if k % 3 else f"{line}\n{line}") for k in range(60)]
+    got = linedrop.drop_lines(spark.createDataFrame(rows, DOCS).repartition(3), window_bytes=window).collect()
+    assert sorted(tuple(r) for r in got) == slow_lines(rows)
 
 
 # --- 10
