@@ -29,7 +29,7 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langmix.train(docs.filter(~langmix.held_out()))
-    return langmix.language_mixture(docs, model).select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "langs", "proportions")
+    return langmix.language_mixture(docs, model).select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "langs", "proportions", "known")
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,9 @@ windows AS (
   SELECT doc_id, pos, g, list(w) OVER (PARTITION BY doc_id, g ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ws
   FROM words, (VALUES {", ".join(f"({n})" for n, _ in _NGRAMS)}) AS t(g)),
 grams AS (SELECT doc_id, pos, g, ws[1:g] AS gram FROM windows WHERE len(ws) >= g),
-many AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g, gram) AS c, row_number() OVER (PARTITION BY doc_id, g, gram ORDER BY pos) AS k FROM grams) WHERE c > 1),
-hit AS (SELECT doc_id, g, pos + o AS pos, bool_or(k > 1) AS again FROM many, (SELECT unnest(range(10)) AS o) WHERE o < g GROUP BY ALL),
-share AS (SELECT doc_id, g, count(*) AS hit_words, coalesce(sum(n) FILTER (again), 0) AS hit_chars FROM hit JOIN words USING (doc_id, pos) GROUP BY ALL),
+many AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g, gram) AS c FROM grams) WHERE c > 1),
+hit AS (SELECT DISTINCT doc_id, g, pos + o AS pos FROM many, (SELECT unnest(range(10)) AS o) WHERE o < g),
+share AS (SELECT doc_id, g, count(*) AS hit_words, sum(n) AS hit_chars FROM hit JOIN words USING (doc_id, pos) GROUP BY ALL),
 lines AS (
   SELECT doc_id, line, pos, sum(length(x)) AS chars FROM (
     SELECT doc_id, line, pos, unnest(list_filter(string_split_regex(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda y: y <> '')) AS x FROM (
@@ -126,7 +126,7 @@ over AS (SELECT doc_id, bool_or({" OR ".join(f"g = {n} AND hit_chars * 100 > {p}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR coalesce(bad, false)
-    OR (n_dup_lines >= 3 AND (n_dup_lines * 100 > 30 * greatest(n_lines, 1) OR dup_chars * 100 > 20 * greatest(word_chars, 1)))) AS kept
+    OR n_dup_lines * 100 > 30 * greatest(n_lines, 1) OR dup_chars * 100 > 20 * greatest(word_chars, 1)) AS kept
 FROM base LEFT JOIN over USING (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op8_repetition_quality": _REPETITION, "op9_line_dedup": _LINES, "op10_warc_index_first": _WARC}

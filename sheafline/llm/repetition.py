@@ -1,9 +1,12 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths, computed in numpy over whole Arrow
-slices, give the share of a text's word characters that lie inside n-grams and
-lines which occurred in it before. Map-only: no shuffle, memory bounded by
-a slice of about 2 MB of text (or one longer document).
+slices, give the share of a text's word characters that lie inside n-grams found twice
+or more in it (first occurrences included, overlaps counted once), and inside
+lines equal to an earlier one. The limits are the published ones of the MassiveText
+corpus (Rae et al. 2021, table A1); none is fitted to the data at hand. Map-only:
+no shuffle, memory bounded by a slice of about 0.5 MB of text (or one longer
+document).
 
 Defined cases: a null text has no words and one empty line; a document without
 words fails the base rule; repeated rows are judged one by one; an empty table
@@ -29,16 +32,11 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Largest share of word characters inside n-grams and lines that occurred before in the text.
-
-    First occurrences don't count, nor do shares of lines while under ``min_dup_lines``
-    are repeated: a short text that repeats one boilerplate line is no junk.
-    """
+    """Largest shares: of word characters inside repeated n-grams, of lines that repeat, of word characters in these."""
 
     ngram_share: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
     line_share: float = 0.30
     line_char_share: float = 0.20
-    min_dup_lines: int = 3
     min_words: int = 10
     repeat_percent: int = 20
 
@@ -82,21 +80,21 @@ def measure(texts: Texts, rules: RepetitionRules) -> dict[str, np.ndarray]:
         if candidates is not None:  # a repeated n-gram begins with a repeated shorter one
             inside = candidates[at]
             keys, at = keys[inside], at[inside]
-        many, later = repeated(keys, row[at])
-        again, at = at[later], at[many]
+        many, _ = repeated(keys, row[at])
+        at = at[many]
         if length >= 5:
             candidates = np.zeros(len(hashes), bool)
             candidates[at] = True
+        hit = covered(at, length, len(hashes))
         if length == 5:
-            n_repeat = np.bincount(row[covered(at, length, len(hashes))], minlength=n)
-        hit = covered(again, length, len(hashes))
+            n_repeat = np.bincount(row[hit], minlength=n)
         share = np.bincount(row[hit], weights=chars[hit], minlength=n) / safe_chars
         limit = rules.ngram_share.get(length)
         if limit is not None:
             over |= share > limit
             worst = np.maximum(worst, share)
     line_char_share = dup_line_chars / safe_chars
-    over_lines = (n_dup_lines >= rules.min_dup_lines) & ((n_dup_lines > rules.line_share * np.maximum(n_lines, 1)) | (line_char_share > rules.line_char_share))
+    over_lines = (n_dup_lines / np.maximum(n_lines, 1) > rules.line_share) | (line_char_share > rules.line_char_share)
     base_failed = (n_words < rules.min_words) | (100 * n_repeat > rules.repeat_percent * n_words)
     verdict = np.select([base_failed, over, over_lines], ["base", "ngrams", "lines"], "kept")
     return {
