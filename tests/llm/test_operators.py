@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
 import re
@@ -169,6 +170,81 @@ def test_language_of_mixtures(spark):
     assert 0.55 < got[3]["score"] < 0.85 and got[4]["score"] == 0
 
 
+def slow_mixture(text, model):
+    """Proportions by EM over segments and backward selection by BIC, with lists and loops; and the known share."""
+    s, raw = model.settings, text.encode()
+    low = [b + 32 if 65 <= b <= 90 else b for b in raw]
+    fold = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low]
+    segments = defaultdict(list)
+    for k in range(len(raw) - 3):
+        own = fold[k : k + 4]
+        if sum(b != 32 for b in own) < 2:
+            continue
+        key = int.from_bytes(bytes(own), "little") * 0x9E3779B1 % 2**32
+        key = (key ^ key >> 15) * 0x85EBCA77 % 2**32
+        segments[k // s.segment_bytes].append(model.log_p[key >> 32 - s.buckets_log2].astype(float))
+    if not segments:
+        return [0.0] * len(model.langs), 1.0
+    n, langs = len(segments), range(len(model.langs))
+    sums = [[sum(x[c] for x in own) for c in langs] for own in segments.values()]
+    floor = -math.log(2**s.buckets_log2)
+    known = (sum(max(x) >= floor * len(own) for x, own in zip(sums, segments.values(), strict=True)) + 1) / (n + 1)
+    sums = [[v * s.temper for v in x] for x in sums]
+
+    def fitted(active, rounds):
+        share = [1 / len(active) if c in active else 0.0 for c in langs]
+        for _ in range(rounds):
+            total = [0.0 for _ in langs]
+            for x in sums:
+                part = [math.exp(x[c] - max(x)) * share[c] for c in langs]
+                for c in langs:
+                    total[c] += part[c] / (sum(part) + 1e-30)
+            share = [t / n for t in total]
+        evidence = sum(math.log(sum(math.exp(x[c] - max(x)) * share[c] for c in langs) + 1e-30) + max(x) for x in sums)
+        return share, -2 * evidence + (len(active) - 1) * s.penalty * math.log(max(n, 2))
+
+    active = set(langs)
+    share, least = fitted(active, s.rounds)
+    best = share
+    while len(active) > 1:
+        active.remove(min(active, key=lambda c: (share[c], c)))
+        share, bic = fitted(active, s.rounds if len(active) > 1 else 0)
+        if bic < least:
+            best, least = share, bic
+    return best, known
+
+
+def test_mixtures_against_brute_force():
+    rng = np.random.default_rng(11)
+    settings = langmix.MixtureSettings(buckets_log2=12)
+    weights = rng.gamma(0.2, size=(1 << 12, 5)) + 1e-6
+    model = langmix.MixtureModel(list("abcde"), np.log(weights / weights.sum(axis=0)).astype(np.float32), np.full(5, 0.2), settings)
+    words = ["the", "und", "Été", "über", "x", "7", "...", "casa", "of", "niño"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 120))) for _ in range(60)] + ["", "abc", "!!!! ????"]
+    got, known = langmix.infer(columns.Texts(pa.array(texts)), model)
+    for k, text in enumerate(texts):
+        want, share = slow_mixture(text, model)
+        assert np.allclose(got[k], want, atol=1e-6) and known[k] == pytest.approx(share)
+
+
+def test_only_letters_make_a_language(spark):
+    model = langmix.train(spark.createDataFrame([(1, "plain words of a text", "en")], "doc_id long, text string, lang string"))
+    got = langmix.language_mixture(docs_of(spark, ["²½ ① Ⅷ 七", "²½ ① Ⅷ", "ß"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "und", "en"]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """The stage's decision follows the model: what it can't explain goes, what it was trained on stays."""
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(150)] for lang, letters in (("aa", "abcdefgh"), ("bb", "mnopqrst"))}
+    rows = [(k, " ".join(rng.choices(words[lang], k=150)), lang) for k, lang in enumerate(["aa", "bb"] * 60)]
+    model = langmix.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)) for _ in range(5)]
+    mixed = [" ".join(rng.choices(words["aa"] + words["bb"], k=90)) for _ in range(5)]
+    docs = docs_of(spark, [*noise, *mixed, rows[0][1], "7 8 9", None, "Zq."])
+    assert sorted(r["doc_id"] for r in langmix.known_language_only(docs, model).collect()) == [6, 7, 8, 9, 10, 11, 14]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_held_out_accuracy(spark):
     folder = DATA.replace("0.001", "0.01")
@@ -413,6 +489,39 @@ def slow_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), len(words) < 10 or 100 * len(hit) > 20 * len(words)
 
 
+def slow_verdict(text):
+    """The published limits, with sets of places instead of hashes."""
+    text = text or ""
+    words = [w for w in re.split(SPACE, text) if w]
+    if slow_rules(text)[5]:
+        return "base"
+    total = sum(map(len, words))
+    for n, percent in ((5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)):
+        seen = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+        hit = {k + o for k in range(len(words) - n + 1) if seen[tuple(words[k : k + n])] > 1 for o in range(n)}
+        if 100 * sum(len(words[k]) for k in hit) > percent * total:
+            return "ngrams"
+    lines = [x for x in text.split("\n") if re.sub(SPACE, "", x)]
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    chars = sum(len(w) for x in again for w in re.split(SPACE, x))
+    return "lines" if 100 * len(again) > 30 * len(lines) or 100 * chars > 20 * total else "kept"
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(10, 160))]
+        size, at = rng.randint(3, 14), rng.randrange(len(words))
+        words[at:at] = words[:size]  # a passage found twice
+        for _ in range(rng.randint(0, 30)):
+            words.insert(rng.randrange(len(words)), rng.choice(["\n", "\nof the\n"]))
+        texts.append(" ".join(words))
+    got = [r["verdict"] for r in repetition.repetition_quality(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [slow_verdict(t) for t in texts]
+    assert min(Counter(got)[x] for x in ("base", "ngrams", "lines", "kept")) > 5  # the method's own rules act beyond the base rule
+
+
 def test_rules_against_brute_force(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["ab ", "é ", "c\n", "##", "x\ty ", "\x0b", "of the "]) for _ in range(rng.randint(0, 120))) for _ in range(200)] + [None, "", "a b c d e f g h i j", "   "]
