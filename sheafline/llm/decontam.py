@@ -3,21 +3,26 @@
 Texts become tokens: runs of letters, marks and digits of any script, case folded
 where that keeps a character's bytes as many as they were (so not I with a dot).
 Numbers, units after numbers, and runs of names inside sentences become typed
-placeholders. Two sequences are matched: the literal one and the template. Windows of five tokens are hash-joined with the
-benchmark's: the hashes of a block of benchmark items (bounded rows, checked) go
-to all tasks, which probe them while they read the documents, so that neither
-windows nor texts are shuffled. A larger benchmark is taken in blocks.
+placeholders. Two sequences are matched: the literal one and the template. Windows
+of five tokens are hash-joined with the benchmark's. The benchmark lies in the
+shared folder; tasks read it in blocks of bounded bytes and items, index a block's
+window hashes, and probe them while they read the documents, so that neither windows
+nor texts are shuffled, nothing passes through the driver, and documents are read once.
+A worker keeps blocks up to ``keep_bytes``; a larger benchmark is read anew for each
+``window_bytes`` of text.
 
 For a (document, item) pair, matched windows inside a stretch about as long as
 the item count. Template windows are believed only if their slots are
-consistent: one benchmark value goes with one document value throughout the
-text, or else throughout one place of about the item's length, as a text may hold
-an item more than once, with other values each time. A pair is a leak if windows matched cover ``coverage`` of the item's, or a run of at
+consistent: one benchmark value goes with one document value, and the other way
+round, throughout the text, or else throughout one place of about the item's
+length, as a text may hold an item more than once, with other values each time. A
+pair is a leak if windows matched cover ``coverage`` of the item's, or a run of at
 least ``run_tokens`` tokens agrees.
 
-Defined cases: null or token-less texts and items match nothing; an item under
-five tokens has one window, itself, if it has three tokens at least; repeated
-items and rows are reported each; empty tables give no rows.
+Defined cases: null or token-less texts and items match nothing. An item whose
+sequence has three or four tokens has one window, all of it, which is looked for
+everywhere in texts; an item of one or two tokens matches only a text that is nothing
+else. Repeated items and rows are reported each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +36,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import BASE, LOWER, Texts, column, map_batches, mix, slices, span_hash
-from sheafline.session import ship
+from sheafline.llm.columns import BASE, KEPT, LOWER, Texts, column, map_batches, mix, slices, span_hash
+from sheafline.session import fresh_path, ship
 
 U64 = np.uint64
 SCHEMA = "doc_id long, item_id long, coverage double, run_tokens long, kind string, slots string, start_byte long, end_byte long"
@@ -56,7 +63,10 @@ class LeakSettings:
     run_tokens: int = 13
     min_literals: int = 3  # of the tokens of a template window
     slot_agreement: float = 0.8
-    block_items: int = 20_000  # benchmark items in one broadcast
+    block_items: int = 20_000  # benchmark items in one block, at most
+    block_bytes: int = 1 << 23  # of their texts, or one longer item
+    keep_bytes: int = 1 << 25  # of the texts of the blocks that a worker keeps
+    window_bytes: int = 1 << 26  # of documents for which blocks beyond those are read once
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -150,109 +160,133 @@ def tokenize(texts: Texts) -> Tokens:
 
 
 def _window_hashes(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first index of each window; a row under n values has one window of all, if it has three."""
-    size = np.bincount(row, minlength=1) if len(row) else np.zeros(1, int)
+    """Hash and first index of each window of n values of one row."""
     count = max(len(values) - n + 1, 0)
     total = np.zeros(count, U64)
     for k in range(n):
         total = total * U64(BASE) + values[k : k + count]
     at = np.flatnonzero(row[:count] == row[n - 1 :]) if count else np.zeros(0, np.int64)
-    keys = mix(total[at] + U64(n))
-    short = np.flatnonzero((size >= 3) & (size < n))
-    if len(short):
-        begin = np.searchsorted(row, short)
-        extra = []
-        for b, r in zip(begin, short, strict=True):
-            h = 0
-            for v in values[b : b + size[r]].tolist():
-                h = (h * BASE + v) & (2**64 - 1)
-            extra.append((h + int(size[r])) & (2**64 - 1))
-        keys, at = np.concatenate([keys, mix(np.array(extra, U64))]), np.concatenate([at, begin])
-    return keys, at
+    return mix(total[at] + U64(n)), at
+
+
+def _whole_hashes(values: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first index of each row of one or two values, told apart from windows of as many."""
+    found = [_window_hashes(values, row, n) for n in (1, 2)]
+    found = [(mix(keys ^ U64(0x57401E)), at, size[row[at]] == n) for n, (keys, at) in enumerate(found, 1)]
+    return np.concatenate([keys[ok] for keys, _, ok in found]), np.concatenate([at[ok] for _, at, ok in found])
+
+
+class Side:
+    """The windows of some items in one sequence, sorted by hash."""
+
+    def __init__(self, values: np.ndarray, row: np.ndarray, slot: np.ndarray | None, n: int, s: LeakSettings):
+        size = np.bincount(row, minlength=n)
+        self.width = np.clip(size, 1, s.window)  # of each item's windows
+        self.n_windows = np.maximum(size - s.window + 1, 1)
+        self.widths = [s.window, *(w for w in range(3, s.window) if (size == w).any())]
+        found = [_window_hashes(values, row, w) for w in self.widths]
+        found = [(keys[ok], at[ok]) for w, (keys, at) in zip(self.widths, found, strict=True) for ok in [self.width[row[at]] == w]]
+        found.append(_whole_hashes(values, row, size))
+        keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        if slot is not None:  # windows without a slot are the literal ones
+            before = np.concatenate([[0], np.cumsum(slot)])
+            width = self.width[row[at]]
+            n_slots = before[at + width] - before[at]
+            ok = (n_slots > 0) & (width - n_slots >= s.min_literals)
+            keys, at = keys[ok], at[ok]
+        order = np.argsort(keys)
+        self.keys, self.at = keys[order], at[order]
+        self.row = row[self.at]
+
+    def windows_of(self, values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first index of the windows of n texts, of all widths that these items have."""
+        found = [_window_hashes(values, row, w) for w in self.widths]
+        found.append(_whole_hashes(values, row, np.bincount(row, minlength=n)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Block:
-    """The windows of some benchmark items, sorted by hash, with a bit table before the search."""
+    """Some benchmark items, with their windows and a bit table before the search."""
 
     def __init__(self, items: list[tuple[int, str]], settings: LeakSettings):
         self.ids = [i for i, _ in items]
         self.settings = settings
         texts = Texts(pa.array([t for _, t in items], pa.string()))
+        self.nbytes = len(texts.data)
         self.tokens = t = tokenize(texts)
         raw = t.folded.tobytes()
         self.words = [raw[a:b] for a, b in zip(t.start, t.end, strict=True)]
-        self.sides = {}
+        self.sides = {"literal": Side(t.literal, t.row, None, len(items), settings), "template": Side(t.template, t.template_row, t.slot, len(items), settings)}
         self.bits = np.zeros(1 << 22, bool)
-        for side, values, row, slot in (("literal", t.literal, t.row, np.zeros(len(t.row), bool)), ("template", t.template, t.template_row, t.slot)):
-            keys, at = _window_hashes(values, row, settings.window)
-            slots_before = np.concatenate([[0], np.cumsum(slot)])
-            size = np.minimum(settings.window, np.bincount(row, minlength=len(items))[row[at]]) if len(at) else at
-            n_slots = slots_before[at + size] - slots_before[at] if len(at) else at
-            if side == "template":  # windows without a slot are the literal ones
-                ok = (n_slots > 0) & (size - n_slots >= settings.min_literals)
-                keys, at = keys[ok], at[ok]
-            order = np.argsort(keys)
-            keys, at = keys[order], at[order]
-            row_begin = np.searchsorted(row, np.arange(len(items)))
-            n_windows = np.maximum(np.bincount(row, minlength=len(items)) - settings.window + 1, 1)
-            self.sides[side] = (keys, at, row[at] if len(at) else at, row_begin, n_windows)
-            self.bits[(keys >> U64(42)).astype(np.int64)] = True
-
-    def hits(self, side: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the window and index into the block's windows, for all equal pairs."""
-        own = self.sides[side][0]
+        for side in self.sides.values():
+            self.bits[(side.keys >> U64(42)).astype(np.int64)] = True
+
+    def hits(self, side: Side, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of the texts' windows with equal ones here; the first of these and their number."""
         near = np.flatnonzero(self.bits[(keys >> U64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(own, keys[near], side="left"), np.searchsorted(own, keys[near], side="right")
-        count = hi - lo
-        at = np.repeat(near, count)
-        return at, np.repeat(lo, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        lo, hi = np.searchsorted(side.keys, keys[near], side="left"), np.searchsorted(side.keys, keys[near], side="right")
+        some = hi > lo
+        return near[some], lo[some], (hi - lo)[some]
 
 
-def _leaks(texts: Texts, block: Block) -> Iterator[tuple]:
-    """row, item index, coverage, run, kind, slots, start, end of each leak."""
-    s = block.settings
+def _leaks(texts: Texts, block: Block, most_pairs: int = 1 << 20) -> Iterator[tuple]:
+    """row, item index, coverage, run, kind, slots, start, end of each leak; pairs of windows are laid out for some rows at a time."""
     t = tokenize(texts)
-    raw = t.folded.tobytes()
-    pairs: dict[tuple[int, int], list[tuple[int, int, str]]] = defaultdict(list)
-    for side, values, row in (("literal", t.literal, t.row), ("template", t.template, t.template_row)):
-        keys, at = _window_hashes(values, row, s.window)
-        here, there = block.hits(side, keys)
-        _, item_at, item_row, *_ = block.sides[side]
-        for d, i, r, k in zip(at[here].tolist(), item_at[there].tolist(), row[at[here]].tolist(), item_row[there].tolist(), strict=True):
-            pairs[r, k].append((d, i, side))
-    n_windows = {"literal": block.sides["literal"][4], "template": block.sides["template"][4]}
-    doc_first = np.append(t.first, len(t.row))
-    item_first = np.append(block.tokens.first, len(block.words))
-    rest = (t, block, raw, doc_first, item_first, s)
-    for (r, k), found in pairs.items():
-        best = None
-        for side in ("literal", "template"):
-            total = int(n_windows[side][k])
-            if side == "literal":
-                own = [(d, i) for d, i, x in found if x == side]
-                verdicts = [_verdict(sorted(set(own)), side, total, *rest)]
-            else:  # literal hits count as template windows too, at their template places
-                own = [(d, i) for d, i, x in found if x == "template"]
-                if not own:
-                    continue
-                own += [(int(np.searchsorted(t.first, d, side="right")) - 1, int(np.searchsorted(block.tokens.first, i, side="right")) - 1) for d, i, x in found if x == "literal"]
-                # All windows of the text are one candidate; if their slots disagree, each place where a copy may lie is judged alone.
-                verdicts = [_verdict(sorted(set(_consistent(own, *rest))), side, total, *rest)]
-                if verdicts == [None]:
-                    verdicts = [_verdict(sorted(_consistent(place, *rest)), side, total, *rest) for place in _places(sorted(set(own)), total, s)]
-            for verdict in verdicts:
-                if verdict and (best is None or verdict[0] > best[0]):
-                    best = verdict
-        if best:
-            start = int(texts.start[r])
-            yield r, k, *best[:4], best[4] - start, min(best[5], int(texts.end[r])) - start
-
-
-def _verdict(own: list[tuple[int, int]], side: str, total: int, t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> tuple | None:
+    found = []
+    for name, values, row in (("literal", t.literal, t.row), ("template", t.template, t.template_row)):
+        side = block.sides[name]
+        keys, at = side.windows_of(values, row, texts.n)
+        near, lo, n = block.hits(side, keys)
+        place = at[near]
+        order = np.argsort(place, kind="stable")
+        found.append((name, side, place[order], row[place[order]], lo[order], n[order]))
+    per_row = sum(np.bincount(row, weights=n, minlength=texts.n) for *_, row, _, n in found)
+    group = np.cumsum(per_row) // most_pairs
+    rest = (t, block, t.folded.tobytes(), np.append(t.first, len(t.row)), np.append(block.tokens.first, len(block.words)), block.settings)
+    for g in np.unique(group[per_row > 0]):
+        pairs: dict[tuple[int, int], list[tuple[int, int, str]]] = defaultdict(list)
+        for name, side, place, row, lo, n in found:
+            own = group[row] == g
+            here = np.repeat(np.flatnonzero(own), n[own])
+            there = np.repeat(lo[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(len(here))
+            for d, i, r, k in zip(place[here].tolist(), side.at[there].tolist(), row[here].tolist(), side.row[there].tolist(), strict=True):
+                pairs[r, k].append((d, i, name))
+        for (r, k), windows in pairs.items():
+            best = _judge(windows, k, *rest)
+            if best:
+                start = int(texts.start[r])
+                yield r, k, *best[:4], best[4] - start, min(best[5], int(texts.end[r])) - start
+
+
+def _judge(found: list[tuple[int, int, str]], k: int, t: Tokens, block: Block, *rest) -> tuple | None:
+    """The best verdict on the pairs of windows of one text and item k."""
+    best = None
+    for side in ("literal", "template"):
+        shape = (int(block.sides[side].n_windows[k]), int(block.sides[side].width[k]))
+        if side == "literal":
+            own = [(d, i) for d, i, x in found if x == side]
+            verdicts = [_verdict(sorted(set(own)), side, shape, t, block, *rest)]
+        else:  # literal hits count as template windows too, at their template places
+            own = [(d, i) for d, i, x in found if x == "template"]
+            if not own:
+                continue
+            own += [(int(np.searchsorted(t.first, d, side="right")) - 1, int(np.searchsorted(block.tokens.first, i, side="right")) - 1) for d, i, x in found if x == "literal"]
+            # All windows of the text are one candidate; if their slots disagree, each place where a copy may lie is judged alone.
+            verdicts = [_verdict(sorted(set(_consistent(own, shape[1], t, block, *rest))), side, shape, t, block, *rest)]
+            if verdicts == [None]:
+                verdicts = [_verdict(sorted(_consistent(place, shape[1], t, block, *rest)), side, shape, t, block, *rest) for place in _places(sorted(set(own)), shape, block.settings)]
+        for verdict in verdicts:
+            if verdict and (best is None or verdict[0] > best[0]):
+                best = verdict
+    return best
+
+
+def _verdict(own: list[tuple[int, int]], side: str, shape: tuple[int, int], t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> tuple | None:
     """coverage, run, kind, slots, start and end in the slice, if these windows are a leak."""
     if not own:
         return None
-    reach = 2 * (total + s.window)
+    total, width = shape
+    reach = 2 * (total + width)
     lo, counts, top = 0, defaultdict(int), (0, 0, 0)
     for d, i in own:
         counts[i] += 1
@@ -272,28 +306,29 @@ def _verdict(own: list[tuple[int, int]], side: str, total: int, t: Tokens, block
         for a, b in zip([None, *ds], ds, strict=False):
             length = length + 1 if a is not None and b == a + 1 else 1
             run = max(run, length)
-    run_tokens = run + min(s.window, total + s.window - 1) - 1
+    run_tokens = run + width - 1
     share = top[0] / total
     if share < s.coverage and run_tokens < s.run_tokens:
         return None
     if side == "literal":
-        a, b = t.start[top[1]], t.end[min(top[2] + s.window, len(t.row)) - 1]
+        a, b = t.start[top[1]], t.end[min(top[2] + width, len(t.row)) - 1]
     else:
-        a, b = t.start[doc_first[top[1]]], t.end[doc_first[min(top[2] + s.window, len(t.first))] - 1]
-    slots = _slots(own, t, block, raw, doc_first, item_first, s) if side == "template" else {}
+        a, b = t.start[doc_first[top[1]]], t.end[doc_first[min(top[2] + width, len(t.first))] - 1]
+    slots = _mapping(own, width, t, block, raw, doc_first, item_first, s) if side == "template" else {}
     changed = {x: y for x, y in slots.items() if x != y}
     named = ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(changed.items()))
     return share, run_tokens, "reparameterised" if changed else side, named, int(a), int(b)
 
 
-def _places(own: list[tuple[int, int]], total: int, s: LeakSettings) -> Iterator[list[tuple[int, int]]]:
+def _places(own: list[tuple[int, int]], shape: tuple[int, int], s: LeakSettings) -> Iterator[list[tuple[int, int]]]:
     """The windows of each place where one copy of the item may lie: of one diagonal, of near diagonals, of a stretch as long as the item.
 
     Places with too few windows for a leak are left out.
     """
-    length = total + s.window - 1
+    total, width = shape
+    length = total + width - 1
     slack = length // 4
-    enough = min(s.coverage * total, s.run_tokens - s.window + 1)
+    enough = min(s.coverage * total, s.run_tokens - width + 1)
     shifts = sorted((d - i, d, i) for d, i in own)
     by_shift, by_start = [g for g, _, _ in shifts], [d for d, _ in own]
     spans = {(bisect_left(by_shift, g - x), bisect_right(by_shift, g + x)) for g in set(by_shift) for x in (0, slack)}
@@ -308,86 +343,157 @@ def _places(own: list[tuple[int, int]], total: int, s: LeakSettings) -> Iterator
         last = hi
 
 
-def _slot_values(d: int, i: int, t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> Iterator[tuple[bytes, bytes]]:
+def _slot_values(d: int, i: int, width: int, t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of benchmark value and document value of the slots of a pair of windows."""
-    for k in range(s.window):
-        a, b = d + k, i + k
-        if a >= len(t.slot) or b >= len(block.tokens.slot):
-            return
+    for a, b in zip(range(d, min(d + width, len(t.slot))), range(i, min(i + width, len(block.tokens.slot))), strict=False):
         if t.slot[a] and block.tokens.slot[b]:
             yield b" ".join(block.words[item_first[b] : item_first[b + 1]]), raw[t.start[doc_first[a]] : t.end[doc_first[a + 1] - 1]]
 
 
-def _majority(own: list[tuple[int, int]], *rest) -> dict[bytes, bytes]:
-    votes: dict[bytes, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+def _mapping(own: list[tuple[int, int]], *rest) -> dict[bytes, bytes]:
+    """A one-to-one mapping of benchmark values to document values: pairs with most votes first, then by value."""
+    votes: dict[tuple[bytes, bytes], int] = defaultdict(int)
     for d, i in own:
-        for x, y in _slot_values(d, i, *rest):
-            votes[x][y] += 1
-    return {x: max(sorted(ys), key=ys.__getitem__) for x, ys in votes.items()}
+        for pair in _slot_values(d, i, *rest):
+            votes[pair] += 1
+    mapping: dict[bytes, bytes] = {}
+    taken: set[bytes] = set()
+    for x, y in sorted(votes, key=lambda pair: (-votes[pair], pair)):
+        if x not in mapping and y not in taken:
+            mapping[x] = y
+            taken.add(y)
+    return mapping
+
+
+def _consistent(own: list[tuple[int, int]], *rest) -> list[tuple[int, int]]:
+    """The windows whose slots agree with the pair's mapping of values; none if too few do."""
+    mapping = _mapping(own, *rest)
+    good = [(d, i) for d, i in own if all(mapping.get(x) == y for x, y in _slot_values(d, i, *rest))]
+    return good if len(good) >= rest[-1].slot_agreement * len(own) else []
 
 
-_slots = _majority
+# --- the benchmark in the shared folder -----------------------------------------------------
 
 
-def _consistent(own: list[tuple[int, int]], t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> list[tuple[int, int]]:
-    """The windows whose slots agree with the pair's mapping of values; none if too few do."""
-    rest = (t, block, raw, doc_first, item_first, s)
-    mapping = _majority(own, *rest)
-    good = [(d, i) for d, i in own if all(mapping[x] == y for x, y in _slot_values(d, i, *rest))]
-    return good if len(good) >= s.slot_agreement * len(own) else []
+def write_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Write the items with a text to the shared folder; the files, whose number does not depend on documents."""
+    spark = benchmark.sparkSession
+    path = fresh_path(spark, "benchmark")
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    items.write.option("compression", "zstd").parquet(path)
+    return sorted(spark.read.schema("item_id long, text string").parquet(path).inputFiles())
 
 
-def _blocks(benchmark: DataFrame, settings: LeakSettings, id_col: str, text_col: str) -> Iterator[Block]:
-    """Benchmark items in blocks of bounded numbers of rows."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    waiting: list[tuple[int, str]] = []
-    for row in items.toLocalIterator():
-        waiting.append((row["item_id"], row["text"]))
-        if len(waiting) == settings.block_items:
-            yield Block(waiting, settings)
-            waiting = []
-    if waiting:
-        yield Block(waiting, settings)
+class Items:
+    """The benchmark as blocks of bounded items and bytes; the first of them, up to ``keep_bytes``, stay in memory."""
+
+    def __init__(self, files: list[str], settings: LeakSettings):
+        self.files, self.settings = files, settings
+        self.kept: list[Block] = []
+        self.complete = False  # does ``kept`` hold all blocks
+        self.full = False
+
+    def blocks(self) -> Iterator[Block]:
+        yield from list(self.kept)
+        if self.complete:
+            return
+        skip = len(self.kept)
+        for k, items in enumerate(self._pieces()):
+            if k < skip:
+                continue
+            block = Block(items, self.settings)
+            self.full = self.full or sum(b.nbytes for b in self.kept) + block.nbytes > self.settings.keep_bytes
+            if not self.full:
+                self.kept.append(block)
+            yield block
+        self.complete = not self.full
+
+    def _pieces(self) -> Iterator[list[tuple[int, str]]]:
+        waiting: list[tuple[int, str]] = []
+        size = 0
+        for file in self.files:
+            filesystem, path = pafs.FileSystem.from_uri(file)
+            with filesystem.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(1024):
+                    for item_id, text in zip(column(batch, "item_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+                        if waiting and (len(waiting) == self.settings.block_items or size + len(text) > self.settings.block_bytes):
+                            yield waiting
+                            waiting, size = [], 0
+                        waiting.append((item_id, text))
+                        size += len(text)
+        if waiting:
+            yield waiting
+
+
+_open: dict[tuple[str, ...], Items] = {}
+KEPT["decontam"] = _open.clear
+
+
+def _items_of(files: list[str], settings: LeakSettings) -> Items:
+    """The worker's view of a benchmark; one at a time."""
+    key = tuple(files)
+    if key not in _open or _open[key].settings != settings:
+        _open.clear()
+        _open[key] = Items(files, settings)
+    return _open[key]
+
+
+def _matches(batches: Iterator[pa.RecordBatch], text_name: str, files: list[str], settings: LeakSettings) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each slice of the batches with its leaks: row, item id, and what ``_judge`` found.
+
+    While the blocks fit in memory a window is one slice; else blocks are read once for many.
+    """
+    items = _items_of(files, settings)
+    for _ in items.blocks():  # keeps what fits
+        if items.full:
+            break
+    window: list[pa.RecordBatch] = []
+    size = 0
+
+    def judged() -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        leaks: list[list[tuple]] = [[] for _ in window]
+        for block in items.blocks():
+            for part, own in zip(window, leaks, strict=True):
+                own += [(r, block.ids[k], *rest) for r, k, *rest in _leaks(Texts(column(part, text_name)), block)]
+        yield from zip(window, leaks, strict=True)
+
+    for part in slices(batches, text_name):
+        window.append(part)
+        size += column(part, text_name).nbytes
+        if items.complete or size >= settings.window_bytes:
+            yield from judged()
+            window, size = [], 0
+    if window:
+        yield from judged()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each leaked benchmark item in each document."""
     settings = settings or LeakSettings()
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in _blocks(benchmark, settings, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for part in slices(batches, "text"):
-                ids = column(part, "doc_id").to_pylist()
-                rows = [(ids[r], own.ids[k], *rest) for r, k, *rest in _leaks(Texts(column(part, "text")), own)]
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "coverage", "run_tokens", "kind", "slots", "start_byte", "end_byte"])
-
-        found = map_batches(source, run, SCHEMA, "decontam")
-        out = found if out is None else out.union(found)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    ship(docs.sparkSession)
+    files = write_items(benchmark, item_col, item_text_col)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, leaks in _matches(batches, "text", files, settings):
+            ids = column(part, "doc_id").to_pylist()
+            if leaks:
+                columns = zip(*((ids[r], *rest) for r, *rest in leaks), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "coverage", "run_tokens", "kind", "slots", "start_byte", "end_byte"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA, "decontam")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents without a leak, with all their columns."""
     settings = settings or LeakSettings()
-    spark = docs.sparkSession
-    ship(spark)
-    for block in _blocks(benchmark, settings, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text_col):
-                clean = np.ones(part.num_rows, bool)
-                for r, *_ in _leaks(Texts(column(part, text_col)), shared.value):
-                    clean[r] = False
-                yield part.filter(pa.array(clean))
-
-        docs = map_batches(docs, run, docs.schema, "decontam")
-    return docs
+    ship(docs.sparkSession)
+    files = write_items(benchmark, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, leaks in _matches(batches, text_col, files, settings):
+            clean = np.ones(part.num_rows, bool)
+            clean[[r for r, *_ in leaks]] = False
+            yield part.filter(pa.array(clean))
+
+    return map_batches(docs, run, docs.schema, "decontam")

@@ -130,9 +130,114 @@ def test_leaks_against_brute_force(spark):
         for k, g in enumerate(grams):
             assert (len(own & g) / len(g) >= 0.4) == ((d + 1, k) in want)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for block in (3, 100):
-        got = decontam.find_leaks(docs_of(spark, texts), bench, decontam.LeakSettings(block_items=block))
-        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    for own in ({}, {"block_items": 3}, {"block_bytes": 200}, {"block_items": 2, "keep_bytes": 300, "window_bytes": 1}, {"block_items": 1, "keep_bytes": 0}):
+        got = decontam.find_leaks(docs_of(spark, texts), bench, decontam.LeakSettings(**own))
+        assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == sorted(want)
+        left = decontam.drop_leaked(docs_of(spark, texts), bench, decontam.LeakSettings(**own))
+        assert {r["doc_id"] for r in left.collect()} == set(range(1, 61)) - {d for d, _ in want}
+
+
+UNITS = {"kg", "lb", "hours"}
+
+
+def slow_template(text):
+    """Template tokens and slot values of a plain ASCII text, by rules on words."""
+    out, opens, after_number = [], True, False
+    for m in re.finditer(r"[A-Za-z]+|[0-9]+|[.?]", text):
+        w = m[0]
+        if w in ".?":
+            opens = True
+            continue
+        if w[0].isdigit():
+            out.append(("#", w))
+        elif after_number and w.lower() in UNITS:
+            out.append(("unit", w.lower()))
+        elif w[0].isupper() and not opens:
+            out.append(("name", w.lower()))
+        else:
+            out.append((w.lower(), None))
+        after_number, opens = w[0].isdigit(), False
+    return out
+
+
+def slow_reparameterised(text, item):
+    """Is a copy of the item's template in the text, at one place, with slots that map one to one."""
+    a, b = slow_template(text), slow_template(item)
+    windows = [i for i in range(len(b) - 4)]
+    for shift in range(-len(b), len(a)):
+        hit = [i for i in windows if 0 <= i + shift and i + shift + 5 <= len(a) and [x for x, _ in a[i + shift : i + shift + 5]] == [x for x, _ in b[i : i + 5]]]
+        hit = [i for i in hit if sum(v is None for _, v in b[i : i + 5]) >= 3]
+        pairs = {(b[k][1], a[k + shift][1]) for i in hit for k in range(i, i + 5) if b[k][1] is not None}
+        one_to_one = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+        if one_to_one and len(hit) >= 0.4 * len(windows):
+            return True
+    return False
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    names = [f"N{chr(97 + k)}{chr(97 + j)}o" for k in range(20) for j in range(10)]
+
+    def sentence():
+        out = [rng.choice(words).capitalize()]
+        for _ in range(rng.randint(14, 26)):
+            kind = rng.random()
+            if kind < 0.12 and not out[-1][0].isdigit():
+                out.append(str(rng.randint(10, 99)))
+            elif kind < 0.2 and out[-1][0].islower():
+                out.append(rng.choice(names))
+            else:
+                out.append(rng.choice(words))
+        return out
+
+    def moved(item, how):
+        """The item with other values: one to one, all made equal, or drawn anew at each place."""
+        seen, out = {}, []
+        for k, w in enumerate(item):
+            slot = w[0].isdigit() or (k > 0 and w[0].isupper())
+            if slot and how == "map":
+                fresh = (lambda: str(rng.randint(1000, 9999))) if w[0].isdigit() else (lambda: rng.choice(names))
+                while w not in seen or list(seen.values()).count(seen[w]) > 1:
+                    seen[w] = fresh()
+                w = seen[w]
+            elif slot and how == "equal":
+                w = "5555" if w[0].isdigit() else names[0]
+            out.append(w)
+        return out
+
+    items = [sentence() for _ in range(25)]
+    texts, kinds = [], []
+    for d in range(90):
+        item = items[d % len(items)]
+        kind = ("map", "equal", "none")[d % 3]
+        own = moved(item, kind) if kind != "none" else []
+        texts.append(". ".join(" ".join(x) for x in (sentence(), own, sentence()) if x) + ".")
+        kinds.append(kind)
+    bench = [" ".join(x) + "." for x in items]
+    want = {(d + 1, k) for d, t in enumerate(texts) for k, i in enumerate(bench) if slow_reparameterised(t, i)}
+    got = decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()
+    # Where all values are made equal the pieces that agree may still be a run of 13 tokens or 80 % of the windows.
+    sure = {d + 1 for d, kind in enumerate(kinds) if kind != "equal"}
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] in sure} == {x for x in want if x[0] in sure}
+    assert {(d + 1, d % len(items)) for d, kind in enumerate(kinds) if kind == "map"} <= want
+
+
+def test_two_values_are_not_one(spark):
+    items = [(1, "There are 9 red marbles and then 3 blue marbles in the large green box")]
+    texts = ["There are 8 red marbles and then 8 blue marbles in the large green box", "There are 7 red marbles and then 4 blue marbles in the large green box"]
+    got = decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["coverage"] < 1 for r in got} in ({1: True, 2: False}, {2: False})
+
+
+@pytest.mark.parametrize("settings", [decontam.LeakSettings(), decontam.LeakSettings(block_items=1, keep_bytes=0)])
+def test_short_items(spark, settings):
+    """Three and four tokens are found anywhere, one and two only as a whole text."""
+    items = [(1, "What causes ocean tides?"), (2, "Define entropy"), (3, "Why?"), (4, "Name three primes"), (5, "Who wrote of Anna Karenina Petrovna here")]
+    long = "so it goes on and on " * 5
+    texts = [f"{long} what causes ocean tides? {long}", f"{long} define entropy {long}", "define ENTROPY!", "why", f"{long} why? {long}", f"{long}, name three primes", f"{long} who wrote of Emma Bovary here", "ocean tides", "what causes tides", None, ""]
+    got = decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), settings)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 1), (3, 2), (4, 3), (6, 4), (7, 5)]
 
 
 @pytest.mark.parametrize("between", [0, 5, 3000])
