@@ -4,11 +4,12 @@ Heuristic labellers vote good, bad or abstain on every document. Votes are
 aggregated to counts of vote patterns (at most 3**labellers, over all documents,
 map-side combined); expectation-maximisation on these counts estimates the
 class share and each labeller's accuracy. Posterior labels train a linear scorer
-on hashed words, on a bounded sample of documents chosen by hash
-(``train_rows``, in one task); its weights (``2**weight_bits``) are broadcast
-and score every document.
+on hashed words, on a bounded sample of documents chosen by hash, about
+``train_rows`` and about ``train_bytes`` of text, in one task, which stops at twice
+either; its weights (``2**weight_bits``) are broadcast and score every document.
 
-Defined cases: null or word-less texts get bad votes from the length labeller,
+Defined cases: rows without an id, and rows alike in id and text, are drawn one by
+one; null or word-less texts get bad votes from the length labeller,
 no features, and the scorer's bias; repeated rows are judged alike; an empty
 table gives no rows; if all posteriors agree the scorer still trains, towards that
 class.
@@ -34,9 +35,20 @@ BAD, GOOD, ABSTAIN = 0, 1, 2
 LABELLERS = ("length", "word_length", "symbols", "capitals", "line_copies", "phrase_copies", "sentences", "digits", "variety")
 
 
+@dataclass(frozen=True)
+class WeakModel:
+    """What was fitted: posterior of good by vote pattern, accuracy (P(right vote | voted, text bad or good)) by labeller, share of good, the scorer's weights."""
+
+    posterior: dict[bytes, float]
+    accuracy: dict[str, tuple[float, float]]
+    share: float
+    weights: np.ndarray
+
+
 @dataclass(frozen=True)
 class WeakSettings:
     train_rows: int = 20_000
+    train_bytes: int = 1 << 26
     weight_bits: int = 17
     epochs: int = 4
     batch_rows: int = 128
@@ -158,14 +170,18 @@ def _margin(weights: np.ndarray, index: np.ndarray, value: np.ndarray, row: np.n
 def train_scorer(batches: Iterator[pa.RecordBatch], posterior_of: dict[bytes, float], s: WeakSettings) -> np.ndarray:
     """Logistic regression by mini-batches with per-weight step sizes; the last weight is the bias."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = size = 0
     for part in slices(batches, "text", 1 << 19):
+        if rows >= 2 * s.train_rows or size >= 2 * s.train_bytes:
+            break
         texts = Texts(column(part, "text"))
+        rows, size = rows + texts.n, size + len(texts.data)
         votes, hashes, row = votes_and_words(texts)
         target = np.array([posterior_of.get(v.tobytes(), 0.5) for v in votes])
         index = (hashes >> U64(64 - s.weight_bits)).astype(np.int32)
         cuts = np.searchsorted(row, np.arange(0, texts.n + s.batch_rows, s.batch_rows))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            held.append((index[a:b], row[a:b] - k * s.batch_rows, target[k * s.batch_rows : (k + 1) * s.batch_rows]))
+            held.append((index[a:b], (row[a:b] - k * s.batch_rows).astype(np.int16), target[k * s.batch_rows : (k + 1) * s.batch_rows]))
     weights, seen = np.zeros((1 << s.weight_bits) + 1), np.full((1 << s.weight_bits) + 1, 1e-4)
     rng = np.random.default_rng(7)
     for _ in range(s.epochs):
@@ -184,53 +200,76 @@ def train_scorer(batches: Iterator[pa.RecordBatch], posterior_of: dict[bytes, fl
     return weights
 
 
-def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: posterior of the votes, the scorer's score, and the verdict."""
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def fit(docs: DataFrame, settings: WeakSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> WeakModel | None:
+    """The label model over all documents and the scorer over the sample; None without documents."""
     s = settings or WeakSettings()
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = _source(docs, id_col, text_col)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
+        total: dict[bytes, list[int]] = {}
         for part in slices(batches, "text"):
-            votes, _, _ = votes_and_words(Texts(column(part, "text")))
-            kinds, counts = np.unique(votes, axis=0, return_counts=True)
-            for kind, count in zip(kinds, counts, strict=True):
-                total[kind.tobytes()] = total.get(kind.tobytes(), 0) + int(count)
+            texts = Texts(column(part, "text"))
+            votes, _, _ = votes_and_words(texts)
+            kinds, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+            sizes = np.bincount(of.reshape(-1), weights=texts.end - texts.start, minlength=len(kinds))
+            for kind, count, size in zip(kinds, counts, sizes, strict=True):
+                have = total.setdefault(kind.tobytes(), [0, 0])
+                have[0] += int(count)
+                have[1] += int(size)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), *(pa.array([x[k] for x in total.values()], pa.int64()) for k in (0, 1))], ["pattern", "n", "bytes"])
 
-    counted = map_batches(source.select("text"), patterns, "pattern binary, n long", "weaklabel").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**labellers rows
+    counted = map_batches(source.select("text"), patterns, "pattern binary, n long, bytes long", "weaklabel").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 3**labellers rows
     if not counted:
-        return spark.createDataFrame([], SCHEMA)
+        return None
     counted.sort(key=lambda r: bytes(r["pattern"]))
     found = np.array([np.frombuffer(bytes(r["pattern"]), np.int8) for r in counted])
     counts = np.array([r["n"] for r in counted], float)
     posterior, accuracy, share = fit_labellers(found, counts, s.em_rounds)
     posterior_of = {p.tobytes(): float(x) for p, x in zip(found, posterior, strict=True)}
-    threshold = min(1 << 20, int(s.train_rows * (1 << 20) / max(counts.sum(), 1)) + 1)
-    sample = source.filter(F.pmod(F.xxhash64("doc_id", F.lit("weak")), F.lit(1 << 20)) < threshold)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = min(1.0, s.train_rows / max(counts.sum(), 1), s.train_bytes / max(sum(r["bytes"] for r in counted), 1))
+    # Rows alike in id and text differ in the last value, so that they are not all in or all out.
+    draw = F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    sample = source.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1 << 30)) <= int(part * (1 << 30)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([train_scorer(batches, posterior_of, s).astype("<f4").tobytes()], pa.binary())], ["weights"])
 
-    # Bounded by train_rows: one task holds the sample's word numbers. Sorted, so that a repeated task trains alike.
-    trained = map_batches(sample.repartition(1).sortWithinPartitions("doc_id"), fit, "weights binary", "weaklabel").first()
-    learned = np.zeros((1 << s.weight_bits) + 1) if trained is None else np.frombuffer(bytes(trained["weights"]), "<f4").astype(float)
-    weights = spark.sparkContext.broadcast(learned)
+    # One task holds the sample's word numbers. Sorted by draw, so that a repeated task trains alike and a cut falls on no kind of row.
+    trained = map_batches(sample.repartition(1).sortWithinPartitions("draw").select("doc_id", "text"), learn, "weights binary", "weaklabel").first()
+    weights = np.zeros((1 << s.weight_bits) + 1) if trained is None else np.frombuffer(bytes(trained["weights"]), "<f4").astype(float)
+    return WeakModel(posterior_of, {name: (float(a), float(b)) for name, (a, b) in zip(LABELLERS, accuracy, strict=True)}, share, weights)
+
+
+def apply(docs: DataFrame, model: WeakModel, settings: WeakSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: posterior of the votes, the scorer's score, and the verdict."""
+    s = settings or WeakSettings()
+    source = _source(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        m = shared.value
         for part in slices(batches, "text"):
             texts = Texts(column(part, "text"))
             votes, hashes, row = votes_and_words(texts)
             index, value = _features(hashes, row, texts.n, s.weight_bits)
-            scores = 1 / (1 + np.exp(-np.clip(_margin(w, index, value, row, texts.n), -30, 30)))
-            weak = np.array([posterior_of.get(v.tobytes(), 0.5) for v in votes])
+            scores = 1 / (1 + np.exp(-np.clip(_margin(m.weights, index, value, row, texts.n), -30, 30)))
+            weak = np.array([m.posterior.get(v.tobytes(), 0.5) for v in votes])
             letters = np.array(["b", "g", "-"])[votes]
             yield pa.RecordBatch.from_arrays(
                 [column(part, "doc_id"), pa.array(weak), pa.array(scores), pa.array(scores >= s.keep_from), pa.array(["".join(v) for v in letters], pa.string())], ["doc_id", "weak_label", "score", "kept", "votes"]
             )
 
     return map_batches(source, score, SCHEMA, "weaklabel")
+
+
+def weak_quality(docs: DataFrame, settings: WeakSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fit on the documents, then score each of them."""
+    model = fit(docs, settings, id_col, text_col)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if model is None else apply(docs, model, settings, id_col, text_col)

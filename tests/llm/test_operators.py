@@ -453,6 +453,74 @@ def test_labellers_and_scorer(spark):
     assert posterior[0] > 0.9 and posterior[1] < 0.5 and posterior[3] < 0.5 and accuracy.shape == (3, 2) and 0.7 < share < 0.95
 
 
+def slow_labels(patterns, counts, rounds):
+    """The label model's EM with loops: one good class, and one bad class per labeller that must vote bad."""
+    k = len(patterns[0])
+    resp = []
+    for p in patterns:
+        n_bad = sum(v == 0 for v in p)
+        own = [0.96 * (v == 0) / max(n_bad, 1) for v in p]
+        resp.append([*own, 1 - sum(own)])
+    for _ in range(rounds):
+        chance = []
+        for c in range(k + 1):
+            row = []
+            for j in range(k):
+                prior = (0.05, 2.0) if c == k else (20.0, 0.1) if c == j else (0.5, 1.0)
+                seen = [prior[v] + sum(r[c] * n for r, p, n in zip(resp, patterns, counts, strict=True) if p[j] == v) for v in (0, 1)]
+                row.append([x / sum(seen) for x in seen])
+            chance.append(row)
+        share = [(sum(r[c] * n for r, n in zip(resp, counts, strict=True)) + 1) / (sum(counts) + k + 1) for c in range(k + 1)]
+        new = []
+        for p in patterns:
+            odds = []
+            for c in range(k + 1):
+                like = share[c] * math.prod(chance[c][j][v] for j, v in enumerate(p) if v != 2)
+                odds.append(like if c == k or p[c] == 0 else 0.0)
+            new.append([x / sum(odds) for x in odds])
+        done = max(abs(x - y) for a, b in zip(new, resp, strict=True) for x, y in zip(a, b, strict=True)) < 1e-6
+        resp = new
+        if done:
+            break
+    return [r[-1] for r in resp]
+
+
+def test_labels_against_brute_force():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 6):
+        patterns = np.unique(rng.integers(0, 3, (40, size)), axis=0).astype(np.int8)
+        counts = rng.integers(1, 500, len(patterns)).astype(float)
+        got, accuracy, share = weaklabel.fit_labellers(patterns, counts, 30)
+        want = slow_labels(patterns.tolist(), counts.tolist(), 30)
+        assert np.allclose(got, want, atol=1e-9) and share == pytest.approx(np.dot(want, counts) / counts.sum())
+        for j in range(size):
+            for c, weight in ((0, 1 - np.array(want)), (1, np.array(want))):
+                voted, right = (weight * counts)[patterns[:, j] != 2].sum(), (weight * counts)[patterns[:, j] == c].sum()
+                assert accuracy[j, c] == pytest.approx((right + 1) / (voted + 2))
+
+
+def test_the_sample_is_bounded(spark):
+    """Rows without an id and rows all alike are drawn one by one; a long text counts by its bytes."""
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text of a few words. " * 10).alias("text"))
+    held = []
+    real = weaklabel.train_scorer
+    for settings, most in ((weaklabel.WeakSettings(train_rows=200), 600), (weaklabel.WeakSettings(train_bytes=30_000), 300)):
+        model = weaklabel.fit(docs, settings)
+        assert set(model.accuracy) == set(weaklabel.LABELLERS) and 0 <= model.share <= 1 and all(0 < x < 1 for pair in model.accuracy.values() for x in pair)
+        batch = pa.RecordBatch.from_pydict({"text": ["a b c d e f g. " * 30] * 100})
+        many = iter([batch] * 100)
+        real(many, {}, settings)
+        held.append(100 - len(list(many)))
+        assert held[-1] * 100 <= max(most, 400) + 100
+
+
+def test_weak_labels_on_odd_rows(spark):
+    got = {(r["doc_id"], r["votes"], round(r["score"], 9)) for r in weaklabel.weak_quality(spark.createDataFrame([(i, t) for i, t, *_ in odd_rows()], DOCS)).collect()}
+    assert len({(v, s) for i, v, s in got if i in (1, None)}) == 1  # equal texts are judged alike
+    assert len({(v, s) for i, v, s in got if i in (5, 9)}) == 1
+    assert len({(v, s) for i, v, s in got if i in (2, 3, 4)}) == 1 and all(v[0] == "b" for i, v, _ in got if i in (2, 3, 4))
+
+
 # --- 5
 
 
