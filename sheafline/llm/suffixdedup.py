@@ -12,19 +12,23 @@ of one anchor lie side by side and form a context of at most 2 * length - gram b
    copies of a smaller id's text are found by their digests and need no more work.
 2. Each chunk's distinct anchor hashes go to hash buckets (nine bytes each), and
    their states come back by chunk: alone in one document, shared, or heavy.
-3. Contexts of shared anchors are reduced to distinct ones within the chunk and
-   go to their anchor's partition. Those of heavy anchors are cut by the distance
-   to the anchor and go by the bytes around it, so that the contexts at the
+3. Contexts of shared anchors go to their anchor's partition: once for some chunks of
+   a task (up to ``held_bytes`` of contexts), with the least id that holds them there,
+   and one row of numbers for each further chunk. Those of heavy anchors are cut by the
+   distance to the anchor and go by the bytes around it, so that the contexts at the
    ends of a passage in a third of all documents make no large group.
-4. There, blocks of contexts are suffix-sorted: a difference cover modulo 13
-   (0, 1, 3, 9) is sampled, its suffixes are ranked once per block, and then one
-   bucket of window suffixes (those of one residue) is sorted at a time: by the few bytes
-   before the next cover position, ties by that position's rank. Runs of equal
-   windows get their least document id. Memory is bounded by the block.
+4. There, blocks of contexts are suffix-sorted, all of them: a difference cover
+   modulo 13 (0, 1, 3, 9) is sampled; the sampled suffixes are ranked by their first 13
+   bytes, then by doubling, as 13 bytes on lies the next sample of the same residue;
+   and then one bucket of window suffixes (those of one residue) is sorted at a
+   time: by the few bytes before the next cover position, ties by that position's rank.
+   Runs of equal windows get their least document id. Memory is bounded by the block:
+   rows of numbers come after the contexts of their anchor and only pass through.
 5. What each chunk has to remove comes back by chunk and is applied there.
 
 Texts are never shuffled; tasks read their own chunk's states from the shared
-folder. Lost executors cost only their running tasks.
+folder, where a bounded number of parts hold the rows of many chunks, in order.
+Lost executors cost only their running tasks.
 
 Defined cases: a null text is empty; documents with equal ids do not take bytes
 from one another; a null id counts as larger than any other; repeated rows give
@@ -39,6 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
@@ -66,6 +71,8 @@ class SuffixSettings:
     heavy_from: int = 128  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
     heavy_distances: int = 4
     block_bytes: int = 1 << 22
+    held_bytes: int = 1 << 25
+    most_parts: int = 16_384  # folders of chunks' rows, and reducers of anchors' buckets
 
 
 # --- anchors --------------------------------------------------------------------------------
@@ -194,6 +201,7 @@ class Contexts:
     """The chunk's occurrences of shared anchors, and the distinct contexts that they are of."""
 
     key: np.ndarray  # of each distinct context: where it is sorted
+    content: np.ndarray  # of each distinct context: a hash of it
     first: np.ndarray  # of each distinct context: a place of it
     windows: np.ndarray
     anchor: np.ndarray  # of each distinct context: the anchor's distance from first
@@ -218,7 +226,7 @@ def contexts(runs: Runs, ids: np.ndarray) -> Contexts:
     if len(begin):
         least, most = np.minimum.reduceat(owner[order], begin), np.maximum.reduceat(owner[order], begin)
     pick = order[begin]
-    return Contexts(runs.anchor[pick], runs.first[pick], runs.count[pick], runs.place[pick] - runs.first[pick], least, most, of, runs.first, runs.row)
+    return Contexts(runs.anchor[pick], runs.content[pick], runs.first[pick], runs.count[pick], runs.place[pick] - runs.first[pick], least, most, of, runs.first, runs.row)
 
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -232,6 +240,33 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of entries, from their order and what it is by."""
+    differs = np.zeros(len(order), bool)
+    for k in keys:
+        differs[1:] |= k[order[1:]] != k[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(differs)
+    return out
+
+
+def cover_ranks(words: np.ndarray, n: int, length: int) -> np.ndarray:
+    """For the places below n whose residues are in the cover: ranks of the strings of ``length`` bytes or more from there on.
+
+    Beyond n there are zeros only; these have rank 0, as the least string has.
+    """
+    cover = np.concatenate([np.arange(c, n, MODULUS) for c in COVER])
+    rank = np.zeros(n + 2 * length + MODULUS, np.int64)
+    first, other = words[cover], words[cover + MODULUS - 8]
+    rank[cover] = _ranks(np.lexsort((other, first)), first, other)
+    known = MODULUS
+    while known < length:
+        pair = rank[cover] * (len(cover) + 1) + rank[cover + known]
+        rank[cover] = _ranks(np.argsort(pair), pair)
+        known *= 2
+    return rank
+
+
 def least_ids(data: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each context: the least id of all contexts that hold it; contexts' first entries.
 
@@ -242,20 +277,13 @@ def least_ids(data: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor:
     lead = (-anchor) % MODULUS
     room = -(-(lead + sizes) // MODULUS) * MODULUS
     begin = np.cumsum(room) - room + lead
-    text = np.zeros(int(room.sum()) + length + 64, np.uint8)
+    text = np.zeros(int(room.sum()) + 2 * length + 64, np.uint8)
     inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     text[np.repeat(begin, sizes) + inside] = data[np.repeat(start, sizes) + inside]
     words = _words(text)
     reach = range(0, length + 7, 8)
 
-    cover = np.concatenate([np.arange(c, len(text) - length - 64, MODULUS) for c in COVER])
-    order = np.lexsort([words[cover + k] for k in reversed(reach)])
-    ranked = cover[order]
-    differs = np.zeros(len(ranked), bool)
-    for k in reach:
-        differs[1:] |= words[ranked[1:] + k] != words[ranked[:-1] + k]
-    rank = np.zeros(len(text), np.int64)
-    rank[ranked] = np.cumsum(differs)
+    rank = cover_ranks(words, int(room.sum()) + MODULUS, length)
 
     first = np.cumsum(windows) - windows
     owner = np.repeat(np.arange(len(windows)), windows)
@@ -280,94 +308,147 @@ def least_ids(data: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor:
     return out, first
 
 
-def resolve(batches: Iterator[pa.RecordBatch], s: SuffixSettings) -> Iterator[pa.RecordBatch]:
-    """What each chunk's contexts owe to smaller ids, from rows sorted by key."""
+class Owners:
+    """The windows of some contexts with their least ids, in runs; and what holders of the contexts owe by them."""
 
-    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        # Alike contexts of different chunks first become one.
+    def __init__(self, rows: pa.Table, s: SuffixSettings):
+        rows = rows.filter(rows["context"].is_valid())
         texts = Texts(rows["context"].combine_chunks() if rows["context"].num_chunks != 1 else rows["context"].chunk(0))
-        key, least, most, windows, anchor = (rows[c].to_numpy() for c in ("key", "least", "most", "windows", "anchor"))
-        content = span_hash(texts.prefix(), texts.start, texts.end)
+        key, content, least, windows, anchor = (rows[c].to_numpy() for c in ("key", "content", "least", "windows", "anchor"))
+        # Alike contexts of different chunks first become one.
         order = np.lexsort((content, key))
         k, c = key[order], content[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         begin = np.flatnonzero(new)
-        of = np.empty(len(k), np.int64)
-        of[order] = np.cumsum(new) - 1
         pick = order[begin]
-        low = np.minimum.reduceat(least[order], begin)
-        # An anchor with one context needs no sorting.
-        keys = key[pick]
-        many = np.zeros(len(keys), bool)
-        many[1:] |= keys[1:] == keys[:-1]
-        many[:-1] |= keys[1:] == keys[:-1]
-        run_of, run_from, run_len, run_id = [], [], [], []
-        single = np.flatnonzero(~many)
-        run_of.append(single)
-        run_from.append(np.zeros(len(single), np.int64))
-        run_len.append(windows[pick][single])
-        run_id.append(low[single])
-        sorted_ = np.flatnonzero(many)
-        if len(sorted_):
-            ids, first = least_ids(texts.data, texts.start[pick][sorted_], windows[pick][sorted_], anchor[pick][sorted_], low[sorted_], s.length)
-            change = np.ones(len(ids), bool)
-            change[1:] = ids[1:] != ids[:-1]
-            change[first] = True
-            at = np.flatnonzero(change)
-            owner = np.searchsorted(first, at, side="right") - 1
-            run_of.append(sorted_[owner])
-            run_from.append(at - first[owner])
-            run_len.append(np.diff(np.append(at, len(ids))))
-            run_id.append(ids[at])
-        of_run, from_, len_, id_ = (np.concatenate(x) for x in (run_of, run_from, run_len, run_id))
-        by = np.argsort(of_run, kind="stable")
-        of_run, from_, len_, id_ = of_run[by], from_[by], len_[by], id_[by]
-        lo, hi = np.searchsorted(of_run, of, side="left"), np.searchsorted(of_run, of, side="right")
+        self.key, self.content = key[pick], content[pick]
+        ids, first = least_ids(texts.data, texts.start[pick], windows[pick], anchor[pick], np.minimum.reduceat(least[order], begin), s.length)
+        change = np.ones(len(ids), bool)
+        change[1:] = ids[1:] != ids[:-1]
+        change[first] = True
+        at = np.flatnonzero(change)
+        self.of = np.searchsorted(first, at, side="right") - 1
+        self.begin, self.size, self.least = at - first[self.of], np.diff(np.append(at, len(ids))), ids[at]
+
+    def place(self, key: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """The context of each pair; all of them are here."""
+        both = np.empty(len(self.key) + len(key), np.int64)
+        order = np.lexsort((np.repeat([0, 1], [len(self.key), len(key)]), np.concatenate([self.content, content]), np.concatenate([self.key, key])))
+        both[order] = np.cumsum(order < len(self.key)) - 1
+        return both[len(self.key) :]
+
+    def owed(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        of = self.place(rows["key"].to_numpy(), rows["content"].to_numpy())
+        lo, hi = np.searchsorted(self.of, of, side="left"), np.searchsorted(self.of, of, side="right")
         row = np.repeat(np.arange(len(of)), hi - lo)
         run = np.repeat(lo, hi - lo) + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        owed = id_[run] < most[row]
-        row, run = row[owed], run[owed]
+        owes = self.least[run] < rows["most"].to_numpy()[row]
+        row, run = row[owes], run[owes]
         if len(row):
             yield pa.RecordBatch.from_arrays(
-                [rows["chunk"].take(pa.array(row)).combine_chunks(), pa.array(rows["entry"].to_numpy()[row]), pa.array(from_[run].astype(np.int32)), pa.array(len_[run].astype(np.int32)), pa.array(id_[run])], ["chunk", "entry", "from", "len", "least"]
+                [pa.array(rows["chunk"].to_numpy()[row]), pa.array(rows["entry"].to_numpy()[row]), pa.array(self.begin[run].astype(np.int32)), pa.array(self.size[run].astype(np.int32)), pa.array(self.least[run])], ["chunk", "entry", "from", "len", "least"]
             )
 
-    waiting: list[pa.RecordBatch] = []
+
+def _fewer(rows: pa.Table) -> pa.Table:
+    """The rows of one key with each of its contexts on one row only, that of the least id; the others are rows of numbers."""
+    content, least = rows["content"].to_numpy(), rows["least"].to_numpy()
+    full = np.asarray(rows["context"].is_valid())
+    order = np.lexsort((least, ~full, content))
+    first = np.ones(len(order), bool)
+    first[1:] = content[order[1:]] != content[order[:-1]]
+    drop = np.ones(len(order), bool)
+    drop[order[first]] = False
+    at = rows.schema.get_field_index("context")
+    kept = rows["context"].take(pa.array(np.arange(len(drop)), mask=drop))  # a null place gives a null
+    return rows.set_column(at, rows.schema.field(at), kept).combine_chunks()
+
+
+def resolve(batches: Iterator[pa.RecordBatch], s: SuffixSettings) -> Iterator[pa.RecordBatch]:
+    """What each chunk's contexts owe to smaller ids, from rows sorted by key, those with a context first."""
+    waiting: list[pa.Table] = []
     size = 0
+    crowded: tuple[int, Owners] | None = None  # a key whose contexts are known, while its rows of numbers pass
     for batch in batches:
-        if not batch.num_rows:
+        rows = pa.Table.from_batches([batch])
+        if crowded and rows.num_rows:
+            upto = int(np.searchsorted(rows["key"].to_numpy(), crowded[0], side="right"))
+            if upto:
+                yield from crowded[1].owed(rows.slice(0, upto))
+                rows = rows.slice(upto)
+            if rows.num_rows:
+                crowded = None
+        if not rows.num_rows:
             continue
-        waiting.append(batch)
-        size += batch.nbytes
+        waiting.append(rows)
+        size += rows.nbytes
         if size < s.block_bytes:
             continue
-        keys = column(batch, "key").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last key may go on in the next batch
-        if cut == 0 and len(waiting) > 1 and column(waiting[0], "key")[0].as_py() == keys[-1]:
-            continue
-        if cut:
-            yield from block(pa.Table.from_batches([*waiting[:-1], batch.slice(0, cut)]))
-            waiting = [batch.slice(cut)]
-            size = waiting[0].nbytes
+        key = rows["key"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on in the next batch
+        if cut or waiting[0]["key"][0].as_py() != key[-1]:
+            done = pa.concat_tables([*waiting[:-1], rows.slice(0, cut)])
+            # Without a cut in this batch, its key began in an earlier one.
+            begin = int(np.searchsorted(done["key"].to_numpy(), key[-1], side="left"))
+            waiting = [x for x in (done.slice(begin), rows.slice(cut)) if x.num_rows]
+            done = done.slice(0, begin)
+            yield from Owners(done, s).owed(done)
+            size = sum(x.nbytes for x in waiting)
+        if size >= s.block_bytes:  # of one key
+            whole = pa.concat_tables(waiting)
+            if rows["context"][-1].is_valid:
+                waiting = [_fewer(whole)]
+                size = waiting[0].nbytes
+            else:
+                crowded = (int(key[-1]), Owners(whole, s))
+                yield from crowded[1].owed(whole)
+                waiting, size = [], 0
     if waiting:
-        yield from block(pa.Table.from_batches(waiting))
+        rest = pa.concat_tables(waiting)
+        yield from Owners(rest, s).owed(rest)
 
 
 # --- the job --------------------------------------------------------------------------------
 
 
-def _of_chunk(folder: str, chunk: str) -> pa.Table | None:
-    """A chunk's rows of a table that is partitioned by chunk."""
+def _write_parts(rows: DataFrame, parts: int, path: str) -> None:
+    """Rows of chunks as one folder for each part of the chunks, in order of chunk, in small row groups."""
+    dealt = rows.withColumn("part", F.pmod("chunk", F.lit(parts))).repartition("part").sortWithinPartitions("part", "chunk")
+    dealt.write.option("compression", "zstd").option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
+
+
+def _of_chunk(folder: str, parts: int, chunk: int) -> pa.Table | None:
+    """A chunk's rows of a table that is written in parts: only the row groups that may hold them are read."""
     filesystem, root = pafs.FileSystem.from_uri(folder)
-    found = [x.path for x in filesystem.get_file_info(pafs.FileSelector(f"{root}/part={chunk}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    found = [x.path for x in filesystem.get_file_info(pafs.FileSelector(f"{root}/part={chunk % parts}", allow_not_found=True)) if x.path.endswith(".parquet")]
     tables = []
     for path in found:
         with filesystem.open_input_file(path) as file:
-            tables.append(pq.ParquetFile(file).read())
+            source = pq.ParquetFile(file)
+            at = source.schema_arrow.get_field_index("chunk")
+            limits = [source.metadata.row_group(k).column(at).statistics for k in range(source.metadata.num_row_groups)]
+            wanted = [k for k, x in enumerate(limits) if x is None or not x.has_min_max or x.min <= chunk <= x.max]
+            if wanted:
+                rows = source.read_row_groups(wanted)
+                tables.append(rows.filter(pa.compute.equal(rows["chunk"], chunk)))
     return pa.concat_tables(tables) if tables else None
 
 
+def _copies(entire: DataFrame) -> DataFrame:
+    """chunk, row of whole copies of a smaller id's text.
+
+    Groups that hold a thousandth of all rows, at most a thousand groups, go to all
+    tasks, so that none of them meets in one task; the others are joined by a shuffle.
+    """
+    groups = staged(entire.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copy-groups")
+    crowded = max(2, entire.count() // 1000)
+    large, small = groups.filter(F.col("n") >= crowded).drop("n"), groups.filter(F.col("n") < crowded).drop("n")
+    in_large = entire.join(F.broadcast(large), ["hi", "lo"])
+    in_small = entire.join(F.broadcast(large), ["hi", "lo"], "left_anti").join(small, ["hi", "lo"])
+    return in_large.unionByName(in_small).filter("id > first").select("chunk", "row")
+
+
 def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Digests of every document's remaining bytes, and, ``with_text``, the bytes themselves."""
     s = settings or SuffixSettings()
@@ -381,7 +462,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
         def flush() -> pa.RecordBatch:
             text = pa.concat_arrays(texts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"c{task}-{number}"]), pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), pa.concat_arrays(ids)), pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text), pa.array([size], pa.int64())], ["chunk", "ids", "texts", "bytes"]
+                [pa.array([task << 24 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), pa.concat_arrays(ids)), pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text), pa.array([size], pa.int64())], ["chunk", "ids", "texts", "bytes"]
             )
 
         for part in slices(batches, "text", s.chunk_bytes // 4):
@@ -395,14 +476,15 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield flush()
 
     chunk_path = fresh_path(spark, "chunks")
-    chunk_schema = "chunk string, ids array<bigint>, texts array<string>, bytes long"
+    chunk_schema = "chunk long, ids array<bigint>, texts array<string>, bytes long"
     map_batches(source, chunked, chunk_schema, "suffixdedup").write.option("compression", "zstd").parquet(chunk_path)
     # One chunk is one row: small row batches keep one chunk in memory at a time.
     chunks = spark.read.schema(chunk_schema).parquet(chunk_path)
-    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    total, n_chunks = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, int(total * 2 / (s.length - s.gram + 2) / s.bucket_samples) + 1)
+    parts = max(1, min(n_chunks, s.most_parts))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, Texts]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, Texts]]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = column(batch, "ids").slice(k, 1).flatten()
@@ -414,17 +496,15 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             raw = memoryview(texts.data)
             rows = np.flatnonzero(texts.end - texts.start >= s.length)
             pairs = np.array([divmod(xxhash.xxh3_128_intdigest(raw[a:b]), 1 << 64) for a, b in zip(texts.start[rows].tolist(), texts.end[rows].tolist(), strict=True)], U64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(numbers[rows]), pa.array([chunk] * len(rows), pa.string()), pa.array(rows.astype(np.int32))], ["hi", "lo", "id", "chunk", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(numbers[rows]), pa.array([chunk] * len(rows), pa.int64()), pa.array(rows.astype(np.int32))], ["hi", "lo", "id", "chunk", "row"])
 
     # Whole copies of a smaller id's text lose all their bytes; nothing else needs them.
-    entire = staged(map_batches(chunks, whole, "hi long, lo long, id long, chunk string, row int", "suffixdedup"), "whole-texts")
-    first = entire.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copy_path = fresh_path(spark, "copies")
-    entire.join(first, ["hi", "lo"]).filter("id > first").select(F.col("chunk").alias("part"), "row").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(copy_path)
+    _write_parts(_copies(staged(map_batches(chunks, whole, "hi long, lo long, id long, chunk long, row int", "suffixdedup"), "whole-texts")), parts, copy_path)
 
-    def copies(chunk: str, n: int) -> np.ndarray:
+    def copies(chunk: int, n: int) -> np.ndarray:
         skip = np.zeros(n, bool)
-        found = _of_chunk(copy_path, chunk)
+        found = _of_chunk(copy_path, parts, chunk)
         if found is not None:
             skip[found["row"].to_numpy()] = True
         return skip
@@ -440,7 +520,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(some, pa.int32()),
-                    pa.array([chunk] * len(some), pa.string()),
+                    pa.array([chunk] * len(some), pa.int64()),
                     pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
                     pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
                 ],
@@ -448,7 +528,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             )
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bucket_states(bucket: int, rows: list[tuple[str, bytes, bytes]]) -> pa.RecordBatch:
+        def bucket_states(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             keys = np.concatenate([np.frombuffer(k, U64) for _, k, _ in rows])
             n = np.concatenate([np.frombuffer(x, np.uint8) for _, _, x in rows]).astype(np.int64)
             order = np.argsort(keys)
@@ -464,7 +544,7 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             heavy = (kinds >= s.heavy_from) & (kinds >= 3 * holders)
             cut = np.cumsum([0, *(len(k) // 8 for _, k, _ in rows)])
             packed = [[np.packbits(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (documents >= 2, heavy)]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows]), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["chunk", "bucket", "shared", "heavy"])
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["chunk", "bucket", "shared", "heavy"])
 
         bucket, waiting = None, []
         for batch in batches:
@@ -478,16 +558,16 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield bucket_states(bucket, waiting)
 
     state_path = fresh_path(spark, "states")
-    counted = map_batches(chunks, count, "bucket int, chunk string, keys binary, n binary", "suffixdedup").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    map_batches(counted, states, "chunk string, bucket int, shared binary, heavy binary", "suffixdedup").withColumn("part", F.col("chunk")).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(state_path)
+    counted = map_batches(chunks, count, "bucket int, chunk long, keys binary, n binary", "suffixdedup").repartition(min(buckets, s.most_parts), "bucket").sortWithinPartitions("bucket")
+    _write_parts(map_batches(counted, states, "chunk long, bucket int, shared binary, heavy binary", "suffixdedup"), parts, state_path)
 
-    def with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Texts, np.ndarray, Contexts]]:
+    def with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Texts, np.ndarray, Contexts]]:
         for chunk, ids, numbers, texts in each(batches):
             skip = copies(chunk, texts.n)
             runs = runs_of(texts, skip, s)
             keys, of = np.unique(runs.anchor, return_inverse=True)
             shared, heavy = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-            found = _of_chunk(state_path, chunk)
+            found = _of_chunk(state_path, parts, chunk)
             if found is not None:
                 cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
                 for b, x, y in zip(*(found[c].to_pylist() for c in ("bucket", "shared", "heavy")), strict=True):
@@ -498,35 +578,55 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield chunk, ids, texts, skip, contexts(by_distance(texts, runs, heavy, s), numbers)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, texts, _, c in with_states(batches):
-            raw = texts.data.tobytes()
-            for a in range(0, len(c.key), 50_000):
-                part = slice(a, a + 50_000)
-                spans = [raw[x:y] for x, y in zip(c.first[part].tolist(), (c.first[part] + c.windows[part] + s.length - 1).tolist(), strict=True)]
+        held: list[tuple[np.ndarray, ...]] = []
+        spans: list[pa.Array] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The distinct contexts of the chunks held, the first of each with its bytes and the least id, the others as numbers."""
+            key, content, chunk, entry, windows, anchor, least, most = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((content, key))
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
+            begin = np.flatnonzero(new)
+            lowest, full = least.copy(), np.zeros(len(order), bool)
+            full[order[begin]] = True
+            lowest[order[begin]] = np.minimum.reduceat(least[order], begin)
+            whole = pa.concat_arrays(spans)
+            for a in range(0, len(key), 50_000):
+                own = slice(a, a + 50_000)
+                context = whole[own].take(pa.array(np.arange(len(full[own])), mask=~full[own]))  # a null place gives a null
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c.key[part].view(np.int64)),
-                        pa.array([chunk] * len(spans), pa.string()),
-                        pa.array(np.arange(a, a + len(spans), dtype=np.int32)),
-                        pa.array(spans, pa.binary()),
-                        pa.array(c.windows[part].astype(np.int32)),
-                        pa.array(c.anchor[part].astype(np.int32)),
-                        pa.array(c.least[part]),
-                        pa.array(c.most[part]),
-                    ],
-                    ["key", "chunk", "entry", "context", "windows", "anchor", "least", "most"],
+                    [pa.array(key[own].view(np.int64)), pa.array(content[own].view(np.int64)), pa.array(chunk[own]), pa.array(entry[own]), context, pa.array(windows[own]), pa.array(anchor[own]), pa.array(lowest[own]), pa.array(most[own])],
+                    ["key", "content", "chunk", "entry", "context", "windows", "anchor", "least", "most"],
                 )
 
-    sent = map_batches(chunks, send, "key long, chunk string, entry int, context binary, windows int, anchor int, least long, most long", "suffixdedup")
-    owed = map_batches(sent.repartition("key").sortWithinPartitions("key"), lambda x: resolve(x, s), "chunk string, entry int, from int, len int, least long", "suffixdedup")
+        for chunk, _, texts, _, c in with_states(batches):
+            for a in range(0, len(c.key), 50_000):
+                part = slice(a, a + 50_000)
+                sizes = c.windows[part] + s.length - 1
+                ends = np.cumsum(sizes)
+                data = texts.data[np.repeat(c.first[part] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+                spans.append(pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)]))
+                numbers = (np.full(len(sizes), chunk, np.int64), np.arange(a, a + len(sizes), dtype=np.int32), c.windows[part].astype(np.int32), c.anchor[part].astype(np.int32))
+                held.append((c.key[part], c.content[part], *numbers, c.least[part], c.most[part]))
+                size += len(data)
+                if size >= s.held_bytes:
+                    yield from flush()
+                    held, spans, size = [], [], 0
+        if held:
+            yield from flush()
+
+    sent = map_batches(chunks, send, "key long, content long, chunk long, entry int, context binary, windows int, anchor int, least long, most long", "suffixdedup")
+    by_key = sent.repartition("key").sortWithinPartitions("key", F.col("context").isNull())
     owed_path = fresh_path(spark, "owed")
-    owed.withColumn("part", F.col("chunk")).drop("chunk").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(owed_path)
+    _write_parts(map_batches(by_key, lambda x: resolve(x, s), "chunk long, entry int, from int, len int, least long", "suffixdedup"), parts, owed_path)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts, skip, c in with_states(batches):
             numbers = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
             step = np.zeros(len(texts.data) + 1, np.int32)
-            found = _of_chunk(owed_path, chunk)
+            found = _of_chunk(owed_path, parts, chunk)
             if found is not None:
                 entry = found["entry"].to_numpy()
                 order = np.argsort(entry, kind="stable")

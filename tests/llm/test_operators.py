@@ -549,6 +549,7 @@ def brute_repeats(rows, length=50):
         (["a ", "bé ", "the ", "of ", "xyz "], 150, 0.5, suffixdedup.SuffixSettings()),
         ("ab", 100, 0.3, suffixdedup.SuffixSettings(heavy_from=5, chunk_bytes=4000, block_bytes=3000, bucket_samples=50)),
         (["tion ", "er ", "on ", "x"], 200, 0.6, suffixdedup.SuffixSettings(heavy_from=3, chunk_bytes=3000)),
+        (["tion ", "er ", "on ", "x"], 150, 0.6, suffixdedup.SuffixSettings(chunk_bytes=900, block_bytes=2000, held_bytes=1, most_parts=3, bucket_samples=500)),
     ],
 )
 def test_repeats_against_brute_force(spark, alphabet, n, share, settings):
@@ -560,6 +561,58 @@ def test_repeats_against_brute_force(spark, alphabet, n, share, settings):
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("held", [1, 3000, 1 << 25])
+def test_one_passage_in_every_document(spark, held):
+    """Its key has a row for each chunk: of contexts at first, then of numbers, which only pass through."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    rows = [(k, f"{rng.random()} {passage[: rng.choice((60, 140))]} {rng.random()}" if k % 7 else passage) for k in rng.sample(range(500), 300)]
+    settings = suffixdedup.SuffixSettings(chunk_bytes=400, block_bytes=1500, held_bytes=held, most_parts=4)
+    got = suffixdedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(2), settings).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows)
+
+
+def test_blocks_stay_bounded(monkeypatch):
+    """Rows of one key are never held together once its contexts are known."""
+    rng = np.random.default_rng(7)
+    context, n = bytes(rng.integers(97, 123, 60, dtype=np.uint8)), 20_000
+    numbers = {"key": [5] * n, "content": [9] * n, "chunk": range(n), "entry": [0] * n, "windows": [11] * n, "anchor": [4] * n, "least": [3] * n, "most": range(n)}
+    types = dict(zip(numbers, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))
+    table = pa.table({"context": pa.array([context] * 200 + [None] * (n - 200), pa.binary())} | {c: pa.array(list(v), types[c]) for c, v in numbers.items()})
+    held = []
+    real = suffixdedup.Owners.__init__
+    monkeypatch.setattr(suffixdedup.Owners, "__init__", lambda self, rows, s: held.append(rows.num_rows) or real(self, rows, s))
+    got = pa.Table.from_batches(list(suffixdedup.resolve(iter(table.to_batches(100)), suffixdedup.SuffixSettings(block_bytes=20_000))))
+    assert held and max(held) < 1000 and sorted(got["chunk"].to_pylist()) == list(range(4, n))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "a"])
+def test_cover_ranks_order_long_strings(alphabet):
+    rng = random.Random(8)
+    n, length = 700, 50
+    text = np.zeros(n + 2 * length + 64, np.uint8)
+    text[:n] = np.frombuffer("".join(rng.choice([alphabet, alphabet[:1] * 30]) for _ in range(n))[:n].encode(), np.uint8)
+    rank = suffixdedup.cover_ranks(suffixdedup._words(text), n, length)
+    places = [p for p in range(n) if p % 13 in suffixdedup.COVER]
+    raw = text.tobytes()
+    want = sorted(places, key=lambda p: raw[p : p + 52])
+    assert [raw[p : p + 52] for p in sorted(places, key=lambda p: rank[p])] == [raw[p : p + 52] for p in want]
+    assert all((rank[a] == rank[b]) == (raw[a : a + 52] == raw[b : b + 52]) for a, b in zip(want, want[1:], strict=False))
+
+
+@pytest.mark.parametrize("shares", [[0.5, 0.3], [0.01] * 20, []])
+def test_groups_of_copies_are_joined_whole(spark, shares):
+    rows, k = [], 0
+    for g, share in enumerate(shares):
+        for _ in range(int(share * 3000)):
+            rows.append((g, 1, k * 7 % 3001, k, 0))
+            k += 1
+    rows += [(100 + x, 1, 5000 + x, 9000 + x, 0) for x in range(50)]
+    entire = spark.createDataFrame(rows, "hi long, lo long, id long, chunk long, row int")
+    first = {h: min(i for g, _, i, *_ in rows if g == h) for h, *_ in rows}
+    assert sorted(r["chunk"] for r in suffixdedup._copies(entire).collect()) == sorted(c for h, _, i, c, _ in rows if i > first[h])
+
+
 def test_runs_of_one_letter(spark):
     rows = [(1, "a" * 500), (2, "a" * 49), (3, "a" * 700 + "b"), (4, "ba" * 300), (5, "ab" * 26)]
     assert sorted((tuple(r) for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()), key=str) == brute_repeats(rows)
