@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheafline.schema import LANGUAGES, MATH_CHAR, MATH_FONT
+from sheafline.schema import LANGUAGES, MATH_CHAR, MATH_FONT, OPERATOR_CHAR
 
 
 def trim(text: Column) -> Column:
@@ -37,7 +37,11 @@ def weight(text: Column) -> Column:
 
 
 def is_math(text: Column, family: Column) -> Column:
-    return (F.length(text) > 0) & (F.coalesce(family, F.lit("")).rlike(MATH_FONT) | text.rlike(MATH_CHAR))
+    return (F.length(F.coalesce(text, F.lit(""))) > 0) & (F.coalesce(family, F.lit("")).rlike(MATH_FONT) | text.rlike(MATH_CHAR))
+
+
+def has_operator(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike("[" + OPERATOR_CHAR.replace("-", r"\-") + "]")
 
 
 def math_context(text: Column, family: Column) -> Column:

@@ -1,15 +1,18 @@
 """Layout analysis of pages: paragraphs, columns, gaps and strips.
 
-Everything is partitioned by (doc_id, page), so windows, aggregates and the one
-grouped function of a plan share an exchange. Pages are small; the number of
-pages is what grows.
+Everything is partitioned by (doc_id, page), so windows and aggregates of a plan
+share an exchange. What needs order-dependent folds runs in an Arrow function right
+after a window over pages: the window has put each page's rows into one partition,
+one page after the other, so neither an exchange nor a call per page is needed.
+Pages are small; the number of pages is what grows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,7 +20,7 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.operators import paging
-from sheafline.schema import GapSettings, LayoutSettings, Page, SegmentSettings
+from sheafline.schema import DEFAULT_FAMILY, GapSettings, LayoutSettings, Page, SegmentSettings
 from sheafline.session import ship
 
 KEYS = ("doc_id", "page")
@@ -45,7 +48,8 @@ def initial_paragraphs(spans: DataFrame, s: LayoutSettings | None = None) -> Dat
     dx = F.col("left") - F.col("p_right")
     kerning = same_line & (dx >= 0) & (dx < smaller * F.when(math, s.kerning_math).otherwise(s.kerning))
     hyphen = T.trim(F.col("p_text")).rlike(r"[\x{00AD}-]$") & (F.col("top") > F.col("p_top")) & (F.abs(F.col("left") - F.col("p_left")) < F.col("font_size") * s.hyphen)
-    aligned = (F.abs(F.col("left") - F.col("p_left")) < smaller * s.align) | (F.abs(F.col("right") - F.col("p_right")) < smaller * s.align)
+    reach = smaller * F.when(math, s.align_math).otherwise(s.align)
+    aligned = (F.abs(F.col("left") - F.col("p_left")) < reach) | (F.abs(F.col("right") - F.col("p_right")) < reach)
     near = (F.col("top") - F.col("p_bottom")) <= F.least(larger * s.line_height * s.first_gap_lines, larger * s.first_gap_max)
     style = G.styles_match({k: F.col(f"_{k}") for k in own}, {k: F.col(f"p__{k}") for k in own}, s)
     joins = F.col("p_top").isNotNull() & style & ((near & aligned) | kerning | hyphen)
@@ -54,9 +58,25 @@ def initial_paragraphs(spans: DataFrame, s: LayoutSettings | None = None) -> Dat
 
 
 def paragraph_boxes(paragraphs: DataFrame) -> DataFrame:
-    return paragraphs.groupBy(*KEYS, "para_id").agg(
-        F.count(F.lit(1)).alias("n_spans"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.avg("font_size").alias("avg_font_size"), F.min_by("font_family", "span_id").alias("font_family")
-    )
+    """Box of each paragraph, and the sizes and the family of its spans as ``span_set`` has them."""
+    return span_set(paragraphs, *KEYS, "para_id")
+
+
+def span_set(spans: DataFrame, *keys: str, page: Page | None = None) -> DataFrame:
+    """By ``keys``: number of spans, box from the page's corner, font sizes in reading order, their mean, family.
+
+    A size that is 0 or unknown counts as 12. The family is the first name of the
+    first list of names that does not begin with the default one.
+    """
+    page = page or Page()
+    size = F.when(F.col("font_size") != 0, F.col("font_size")).otherwise(12.0)
+    name = F.trim(F.regexp_replace(F.element_at(F.split("font_family", ","), 1), "['\"]", ""))
+    ordered = F.array_sort(F.collect_list(F.struct("top", "left", "span_id", size.alias("size"))))
+    found = spans.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_spans"), (F.min("left") - page.left).alias("left"), (F.min("top") - page.top).alias("top"), (F.max("right") - page.left).alias("right"), (F.max("bottom") - page.top).alias("bottom"), F.avg(size).alias("avg_font_size"),
+        F.coalesce(F.min_by(name, F.when((F.length("font_family") > 0) & (name != DEFAULT_FAMILY), F.struct("top", "left", "span_id"))), F.lit(DEFAULT_FAMILY)).alias("font_family"), ordered.alias("items"),
+    )
+    return found.withColumn("font_sizes", F.transform("items", lambda x: x["size"])).drop("items")
 
 
 def text_line_height(spans: DataFrame, s: GapSettings | None = None) -> DataFrame:
@@ -66,7 +86,7 @@ def text_line_height(spans: DataFrame, s: GapSettings | None = None) -> DataFram
 
 
 def line_height(paragraphs: DataFrame, page: Page, s: LayoutSettings | None = None) -> DataFrame:
-    """Line height by page: a trimmed mean of the gaps inside paragraphs, not under a share of the median font."""
+    """Line height by page: a trimmed mean of the gaps inside paragraphs, if there are enough, not under a share of the median font."""
     s = s or LayoutSettings()
     w = W.partitionBy(*KEYS, "para_id").orderBy("top", "left", "span_id")
     gap = F.col("top") - F.lag("bottom").over(w)
@@ -74,8 +94,8 @@ def line_height(paragraphs: DataFrame, page: Page, s: LayoutSettings | None = No
     ordered = _page_window("gap_null", "gap", "span_id")
     ranked = gaps.withColumn("gap_null", F.col("gap").isNull()).withColumn("rank", F.row_number().over(ordered) - 1).withColumn("n", F.count("gap").over(W.partitionBy(*KEYS)))
     cut = F.floor(F.col("n") * s.trim)
-    kept = F.when(F.col("n") >= s.min_gaps_for_trim, (F.col("rank") >= cut) & (F.col("rank") < F.col("n") - cut)).otherwise(F.col("n") > 0) & F.col("gap").isNotNull()
-    found = ranked.groupBy(*KEYS).agg(F.coalesce(F.avg(F.when(kept, F.col("gap"))), F.lit(0.0)).alias("mean_gap"), F.percentile("font_size", F.lit(0.5)).alias("font"))
+    kept = (F.col("n") >= s.min_gaps_for_trim) & (F.col("rank") >= cut) & (F.col("rank") < F.col("n") - cut) & F.col("gap").isNotNull()
+    found = ranked.groupBy(*KEYS).agg(F.coalesce(F.avg(F.when(kept, F.col("gap"))), F.lit(0.0)).alias("mean_gap"), F.percentile(F.when(F.col("font_size") > 0, F.col("font_size")), F.lit(0.5)).alias("font"))
     return found.select(*KEYS, F.greatest(F.col("mean_gap") * s.line_from_gaps, F.coalesce(F.col("font") * s.line_height * s.line_floor, F.lit(16.0))).alias("line_height"))
 
 
@@ -99,24 +119,36 @@ def column_chains(paragraphs: DataFrame, s: LayoutSettings | None = None) -> Dat
 # --- gaps -----------------------------------------------------------------------------------
 
 
-def page_bands(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
-    """y-bands of each page, a fraction of its text line high."""
-    s = s or GapSettings()
-    step = F.greatest(F.lit(s.band_floor), F.col("line") * s.band_lines)
-    last = F.ceil((page.bottom - page.top) / step).cast("int") - 1
-    return text_line_height(spans, s).withColumn("step", step).select(*KEYS, "line", "step", F.explode(F.sequence(F.lit(0), last)).alias("band"))
+def _banded(spans: DataFrame, page: Page, s: GapSettings, empty: bool) -> DataFrame:
+    """Spans by the bands (a fraction of the page's text line high) that they overlap, and, if ``empty``, every band once without a span.
+
+    One pass: the line is a window over the page, bands are exploded by number and
+    then tested, so that neither a second scan nor a nested loop is needed.
+    """
+    w = W.partitionBy(*KEYS)
+    line = F.coalesce(F.percentile(F.when(F.col("height") > 3, F.col("height")), F.lit(0.5)).over(w), F.lit(s.default_line))
+    placed = spans.select(*KEYS, "left", "top", "right", "bottom", line.alias("line"), (F.row_number().over(w.orderBy("span_id")) == 1).alias("head"))
+    placed = placed.withColumn("step", F.greatest(F.lit(s.band_floor), F.col("line") * s.band_lines))
+    final = F.ceil((page.bottom - page.top) / F.col("step")).cast("int") - 1
+    first = F.greatest(F.floor((F.col("top") - page.top) / F.col("step")) - 1, F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("bottom") - page.top) / F.col("step")) + 1, final).cast("int")
+
+    def touched(band: Column) -> Column:
+        y1 = page.top + band * F.col("step")
+        return (F.col("bottom") > y1) & (F.col("top") < F.least(F.lit(page.bottom), y1 + F.col("step")))
+
+    none = F.array().cast("array<int>")
+    own = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(none), touched)
+    bands = F.transform(own, lambda x: F.struct(x.alias("band"), F.lit(True).alias("own")))
+    if empty:
+        every = F.transform(F.when(F.col("head"), F.sequence(F.lit(0), final)).otherwise(none), lambda x: F.struct(x.alias("band"), F.lit(False).alias("own")))
+        bands = F.concat(bands, every)
+    return placed.select(*KEYS, "left", "right", F.explode(bands).alias("b")).select(*KEYS, F.col("b.band").alias("band"), F.col("b.own").alias("own"), "left", "right")
 
 
 def band_rects(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
-    """Spans by the bands they overlap: exploded by band number, then tested, so that no nested loop is needed."""
-    s = s or GapSettings()
-    lines = text_line_height(spans, s).withColumn("step", F.greatest(F.lit(s.band_floor), F.col("line") * s.band_lines)).select(*KEYS, "step")
-    placed = spans.join(lines, list(KEYS))
-    first = F.greatest(F.floor((F.col("top") - page.top) / F.col("step")) - 1, F.lit(0)).cast("int")
-    last = F.least(F.floor((F.col("bottom") - page.top) / F.col("step")) + 1, F.ceil((page.bottom - page.top) / F.col("step")) - 1).cast("int")
-    exploded = placed.filter(last >= first).withColumn("band", F.explode(F.sequence(first, last)))
-    y1 = page.top + F.col("band") * F.col("step")
-    return exploded.filter((F.col("bottom") > y1) & (F.col("top") < F.least(F.lit(page.bottom), y1 + F.col("step")))).select(*KEYS, "band", "left", "right").distinct()
+    """x-intervals of the spans in each band that they overlap."""
+    return _banded(spans, page, s or GapSettings(), False).select(*KEYS, "band", "left", "right").distinct()
 
 
 def occupied(rects: DataFrame) -> DataFrame:
@@ -131,34 +163,29 @@ def occupied(rects: DataFrame) -> DataFrame:
 def band_gaps(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
     """Empty x-intervals of each band, page margins included; a band without spans is one gap."""
     s = s or GapSettings()
-    filled = occupied(band_rects(spans, page, s))
-    w = W.partitionBy(*KEYS, "band").orderBy("left")
-    cursor = F.coalesce(F.max("right").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(page.left))
-    inner = filled.select(*KEYS, "band", F.greatest(cursor, F.lit(page.left)).alias("left"), F.col("left").alias("right"))
-    tail = filled.groupBy(*KEYS, "band").agg(F.greatest(F.max("right"), F.lit(page.left)).alias("left")).withColumn("right", F.lit(page.right))
-    empty = page_bands(spans, page, s).join(filled.select(*KEYS, "band").distinct(), [*KEYS, "band"], "left_anti").select(*KEYS, "band", F.lit(page.left).alias("left"), F.lit(page.right).alias("right"))
-    return inner.unionByName(tail).filter(F.col("right") - F.col("left") >= s.min_gap).unionByName(empty)
-
-
-def vertical_strips(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
-    """Vertical strips of empty space by page, with a confidence."""
-    s = s or GapSettings()
-    ship(spans.sparkSession)
-    gaps = band_gaps(spans, page, s).join(text_line_height(spans, s), list(KEYS))
+    rects = F.array_sort(F.collect_set(F.when(F.col("own"), F.struct("left", "right"))))
+    found = _banded(spans, page, s, True).groupBy(*KEYS, "band").agg(rects.alias("rects"))
+    gap = "array<struct<left:double,right:double>>"
 
-    def one_page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = paging.strips(pdf.sort_values(["band", "left"])[["band", "left", "right"]].itertuples(index=False), float(pdf["line"].iloc[0]), page, s)
-        return pd.DataFrame([(*key, *r) for r in rows], columns=["doc_id", "page", "left", "right", "top", "bottom", "confidence"])
+    def step(acc: Column, x: Column) -> Column:
+        wide = x["left"] - acc["cursor"] >= s.min_gap
+        here = F.array(F.struct(acc["cursor"].alias("left"), x["left"].alias("right")))
+        return F.struct(F.greatest(acc["cursor"], x["right"]).alias("cursor"), F.when(wide, F.concat(acc["gaps"], here)).otherwise(acc["gaps"]).alias("gaps"))
 
-    return gaps.groupBy(*KEYS).applyInPandas(one_page, "doc_id long, page int, left double, right double, top double, bottom double, confidence double")
+    end = F.struct(F.lit(page.right).alias("left"), F.lit(page.right).alias("right"))
+    start = F.struct(F.lit(page.left).alias("cursor"), F.array().cast(gap).alias("gaps"))
+    gaps = F.aggregate(F.concat("rects", F.array(end)), start, step, lambda acc: acc["gaps"])
+    return found.select(*KEYS, "band", F.explode(gaps).alias("g")).select(*KEYS, "band", F.col("g.left").alias("left"), F.col("g.right").alias("right"))
 
 
 def strips_for_columns(strips: DataFrame, s: LayoutSettings | None = None) -> DataFrame:
+    """Strips that count for columns and bands."""
     s = s or LayoutSettings()
     return strips.filter((F.col("confidence") >= s.min_strip_confidence) & (F.col("right") - F.col("left") >= s.min_strip_width))
 
 
 def strips_for_splits(strips: DataFrame, s: LayoutSettings | None = None) -> DataFrame:
+    """Strips that count where paragraphs are split and columns compared."""
     s = s or LayoutSettings()
     return strips.filter((F.col("right") - F.col("left") >= s.split_strip_width) & (F.col("confidence") >= s.split_strip_confidence) & (F.col("bottom") - F.col("top") >= 12))
 
@@ -195,40 +222,121 @@ def columns_of_boundaries(boundaries: DataFrame, page: Page, s: GapSettings | No
     return edges.select(*KEYS, F.row_number().over(w).alias("col"), F.coalesce(F.lag("x").over(w), F.lit(page.left)).alias("left"), F.col("x").alias("right")).filter(F.col("col") <= s.max_columns)
 
 
+def sure_bands(bands: DataFrame, s: LayoutSettings | None = None) -> DataFrame:
+    """Given bands that are confident enough to count."""
+    return bands.filter(F.col("confidence") >= (s or LayoutSettings()).min_band_confidence)
+
+
+def horizontal_gutters(spans: DataFrame, line: Column, least_lines: float = 1.5, s: LayoutSettings | None = None) -> DataFrame:
+    """Thin bands in the middle of each stretch without text between texts, from the y-projection of a page's spans.
+
+    ``line`` is the page's line height, a column of ``spans``. Not part of ``page_layout``
+    unless it is asked for ``gutters``.
+    """
+    s = s or LayoutSettings()
+    w = _page_window("top", "bottom", "span_id")
+    reach = F.max("bottom").over(w.rowsBetween(W.unboundedPreceding, -1))
+    found = spans.select(*KEYS, "top", reach.alias("reach"), (line * (s.band_gap_lines or 1)).alias("height"), line.alias("line")).filter(F.col("top") - F.col("reach") >= F.col("line") * least_lines)
+    return found.select(*KEYS, ((F.col("reach") + F.col("top")) / 2 - F.col("height") / 2).alias("y"), "height", F.lit(0.95).alias("confidence"))
+
+
 # --- pages as a whole -----------------------------------------------------------------------
 
 
-def page_layout(spans: DataFrame, page: Page, s: LayoutSettings | None = None, gaps: GapSettings | None = None) -> DataFrame:
-    """doc_id, page, para_id, pos, span_id: the paragraphs of every page.
+def _by_page(begun: DataFrame, run: Callable[[paging.Pages], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Map whole pages, several at a time. ``begun`` comes out of a window over pages, in its order."""
+    ship(begun.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in paging.whole_pages(batches, KEYS):
+            yield from run(pages)
+
+    return begun.mapInArrow(task, schema)
+
+
+def _begun(spans: DataFrame, s: LayoutSettings) -> DataFrame:
+    """First paragraphs with what the page algorithms read, page by page, in reading order."""
+    rgb = T.rgb(F.col("color"))
+    extra = {"own_rgb": rgb[0] * 65536 + rgb[1] * 256 + rgb[2], "own_math": T.is_math(F.col("text"), F.col("font_family")), "own_operator": T.has_operator(F.col("text")), "own_weight": T.weight(F.col("font_weight").cast("string"))}
+    # The columns are made before the window, so that the window's order is the output's.
+    begun = initial_paragraphs(spans.withColumns(extra), s)
+    return begun.select(*KEYS, "span_id", "para_id", "left", "top", "right", "bottom", "height", "font_size", F.coalesce("font_family", F.lit("")).alias("font_family"), F.coalesce("font_style", F.lit("")).alias("font_style"), F.col("own_weight").alias("weight"), F.col("own_rgb").alias("rgb"), F.col("own_math").alias("is_math"), F.col("own_operator").alias("is_operator"))
+
+
+def page_profiles(spans: DataFrame, page: Page, s: LayoutSettings | None = None, gaps: GapSettings | None = None, gutters: float = 0.0) -> DataFrame:
+    """One row per page: text line, line height, strips for columns (left, right, top, bottom, confidence), bands (y, height, confidence)."""
+    s, gaps = s or LayoutSettings(), gaps or GapSettings()
+
+    def run(pages: paging.Pages) -> Iterator[pa.RecordBatch]:
+        found = [x for x, _, _ in paging.profiles(pages, page, s, gaps, gutters)]
+        strips = [[dict(zip(("left", "right", "top", "bottom", "confidence"), x, strict=True)) for x in f.strips] for f in found]
+        bands = [[dict(zip(("y", "height", "confidence"), x, strict=True)) for x in f.bands] for f in found]
+        strip, band = (pa.list_(pa.struct([(n, pa.float64()) for n in names])) for names in (("left", "right", "top", "bottom", "confidence"), ("y", "height", "confidence")))
+        yield pa.RecordBatch.from_arrays([pages.first("doc_id"), pages.first("page"), pa.array([f.text_line for f in found]), pa.array([f.line for f in found]), pa.array(strips, strip), pa.array(bands, band)], ["doc_id", "page", "text_line", "line_height", "strips", "bands"])
+
+    fields = ("struct<left:double,right:double,top:double,bottom:double,confidence:double>", "struct<y:double,height:double,confidence:double>")
+    return _by_page(_begun(spans, s), run, f"doc_id long, page int, text_line double, line_height double, strips array<{fields[0]}>, bands array<{fields[1]}>")
 
-    The order-dependent merges run page by page in one grouped function; its input
-    is partitioned as the windows before it.
+
+def vertical_strips(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
+    """Vertical strips of empty space by page, with a confidence."""
+    s = s or GapSettings()
+    # A window that puts pages together; the number itself is not needed.
+    placed = spans.withColumn("_n", F.row_number().over(_page_window("span_id"))).select(*KEYS, "left", "top", "right", "bottom", "height", "_n")
+
+    def run(pages: paging.Pages) -> Iterator[pa.RecordBatch]:
+        found = paging.all_strips(pages, paging.text_lines(pages, s), page, s)
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        values = np.array([x for own in found for x in own]).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([pages.first(k).take(pa.array(owner)) for k in KEYS] + [pa.array(values[:, k]) for k in range(5)], [*KEYS, "left", "right", "top", "bottom", "confidence"])
+
+    return _by_page(placed, run, "doc_id long, page int, left double, right double, top double, bottom double, confidence double")
+
+
+def page_layout(spans: DataFrame, page: Page, s: LayoutSettings | None = None, gaps: GapSettings | None = None, gutters: float = 0.0) -> DataFrame:
+    """doc_id, page, para_id, pos, span_id: the paragraphs of every page, each span in one of them.
+
+    ``gutters`` (in lines; 0: none) adds bands where a page has that much room between lines.
     """
     s, gaps = s or LayoutSettings(), gaps or GapSettings()
-    ship(spans.sparkSession)
-    begun = initial_paragraphs(spans, s).withColumns({"rgb": T.rgb(F.col("color")), "is_math": T.is_math(F.col("text"), F.col("font_family")), "weight_n": T.weight(F.col("font_weight").cast("string"))})
-    needed = begun.select(*KEYS, "span_id", "para_id", "text", "left", "top", "right", "bottom", "height", "font_size", "font_family", "font_style", "weight_n", "rgb", "is_math")
 
-    def one_page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = paging.layout(pdf, page, s, gaps)
-        return pd.DataFrame([(*key, p, k, span) for p, spans_ in enumerate(found) for k, span in enumerate(spans_)], columns=["doc_id", "page", "para_id", "pos", "span_id"])
+    def run(pages: paging.Pages) -> Iterator[pa.RecordBatch]:
+        place, para, pos = [], [], []
+        for begin, (profile, columns, first) in zip(pages.begin.tolist(), paging.profiles(pages, page, s, gaps, gutters), strict=True):
+            for p, own in enumerate(paging.merged(profile, columns, first, s, gaps)):
+                place += [begin + x for x in own]
+                para += [p] * len(own)
+                pos += range(len(own))
+        rows = pages.rows.take(pa.array(place, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(para, pa.int32()), pa.array(pos, pa.int32()), rows.column(2)], [*KEYS, "para_id", "pos", "span_id"])
 
-    return needed.groupBy(*KEYS).applyInPandas(one_page, "doc_id long, page int, para_id int, pos int, span_id long")
+    return _by_page(_begun(spans, s), run, "doc_id long, page int, para_id int, pos int, span_id long")
 
 
 def first_paragraph_only(paragraphs: DataFrame) -> DataFrame:
-    """A span that several paragraphs hold stays in the first."""
+    """A span that several paragraphs hold stays in the first; for paragraphs that come from elsewhere."""
     w = W.partitionBy(*KEYS, "span_id").orderBy("para_id", "pos")
     return paragraphs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def segments(spans: DataFrame, page: Page, s: SegmentSettings | None = None) -> DataFrame:
-    """Vertical segments of a page by number of columns."""
-    s = s or SegmentSettings()
-    ship(spans.sparkSession)
+def one_segment(pages: DataFrame, page: Page) -> DataFrame:
+    """The trivial segmentation: each page is one segment."""
+    return pages.select(*KEYS).distinct().select(*KEYS, F.lit(0).alias("segment"), *[F.lit(getattr(page, c)).alias(c) for c in ("top", "bottom", "left", "right")], F.lit(1).alias("columns"))
+
+
+def segments(spans: DataFrame, page: Page, s: SegmentSettings | None = None, pages: DataFrame | None = None, gaps: GapSettings | None = None) -> DataFrame:
+    """Vertical segments of a page by number of columns; ``pages`` (doc_id, page) without spans are one segment."""
+    s, gaps = s or SegmentSettings(), gaps or GapSettings()
+    placed = spans.withColumn("_n", F.row_number().over(_page_window("span_id"))).select(*KEYS, "left", "top", "right", "bottom", "height", "_n")
 
-    def one_page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: Iterable[tuple] = paging.segments(pdf, page, s)
-        return pd.DataFrame([(*key, k, *r) for k, r in enumerate(rows)], columns=["doc_id", "page", "segment", "top", "bottom", "left", "right", "columns"])
+    def run(found: paging.Pages) -> Iterator[pa.RecordBatch]:
+        lines = paging.text_lines(found, gaps).tolist()
+        edges = [found.column(c).astype(float) for c in ("left", "top", "right", "bottom")]
+        own = [paging.segments(*(e[a:b] for e in edges), line, page, s) for a, b, line in zip(found.begin.tolist(), found.end.tolist(), lines, strict=True)]
+        owner = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+        columns = list(zip(*(x for rows in own for x in rows), strict=True))
+        kinds = (pa.float64(),) * 4 + (pa.int32(),)
+        yield pa.RecordBatch.from_arrays([*(found.first(k).take(owner) for k in KEYS), pa.array([k for x in own for k in range(len(x))], pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*KEYS, "segment", "top", "bottom", "left", "right", "columns"])
 
-    return spans.select(*KEYS, "left", "top", "right", "bottom", "height").groupBy(*KEYS).applyInPandas(one_page, "doc_id long, page int, segment int, top double, bottom double, left double, right double, columns int")
+    found = _by_page(placed, run, "doc_id long, page int, segment int, top double, bottom double, left double, right double, columns int")
+    return found if pages is None else found.unionByName(one_segment(pages.join(spans.select(*KEYS).distinct(), list(KEYS), "left_anti"), page))

@@ -1,63 +1,204 @@
 """Single-page algorithms whose steps depend on the order of earlier steps.
 
-Plain functions on one page's rows; ``layout`` calls them from grouped functions.
+``layout`` feeds them Arrow batches that hold whole pages one after the other. What
+can be done for all pages of a batch at once is done in numpy; the merges, which
+read what earlier merges made, run page by page on plain lists.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
-from statistics import median, stdev
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-from sheafline.schema import OPERATOR_CHAR, GapSettings, LayoutSettings, Page, SegmentSettings
+from sheafline.schema import GapSettings, LayoutSettings, Page, SegmentSettings
+
+Strip = tuple[float, float, float, float, float]  # left, right, top, bottom, confidence
+Band = tuple[float, float, float]  # y, height, confidence
 
 
 def spread(values: Sequence[float]) -> float:
-    return stdev(values) if len(values) > 1 else 0.0
+    """Standard deviation of a sample; of one value 0."""
+    if len(values) < 2:
+        return 0.0
+    mean = math.fsum(values) / len(values)
+    return math.sqrt(math.fsum((x - mean) ** 2 for x in values) / (len(values) - 1))
+
+
+def median(values: Sequence[float]) -> float:
+    ordered, half = sorted(values), len(values) // 2
+    return ordered[half] if len(values) % 2 else (ordered[half - 1] + ordered[half]) / 2
 
 
 def _unit(x: float) -> float:
     return min(1.0, max(0.0, x))
 
 
-def strips(gaps: Iterable[tuple[int, float, float]], line: float, page: Page, s: GapSettings) -> list[tuple[float, float, float, float, float]]:
-    """left, right, top, bottom, confidence of strips, from (band, left, right) in order."""
+# --- whole pages ----------------------------------------------------------------------------
+
+
+@dataclass
+class Pages:
+    """Rows of whole pages, in reading order, and where each page begins and ends."""
+
+    rows: pa.RecordBatch
+    begin: np.ndarray
+    end: np.ndarray
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows.column(self.rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+    def first(self, name: str) -> pa.Array:
+        """A column's value at the first row of each page."""
+        return self.rows.column(self.rows.schema.get_field_index(name)).take(pa.array(self.begin))
+
+    @property
+    def number(self) -> np.ndarray:
+        """The page's number, from 0, of each row."""
+        return np.repeat(np.arange(len(self.begin)), self.end - self.begin)
+
+
+def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Rows whose keys differ from those of the row before; nulls are equal to each other."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in keys:
+        column = batch.column(batch.schema.get_field_index(name))
+        null, values = np.asarray(column.is_null()), column.fill_null(0).to_numpy(zero_copy_only=False)
+        new[1:] |= (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def whole_pages(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[Pages]:
+    """The batches cut at page ends; rows of a page must follow one another."""
+    waiting: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def made() -> Pages:
+        rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        begin = _starts(rows, keys)
+        return Pages(rows, begin, np.append(begin[1:], rows.num_rows))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch, keys)
+        key = tuple(batch.column(batch.schema.get_field_index(k))[0].as_py() for k in keys)
+        cut = int(starts[-1]) if len(starts) > 1 or (waiting and key != last) else None
+        if cut is None:
+            waiting.append(batch)
+        else:
+            if cut:
+                waiting.append(batch.slice(0, cut))
+            yield made()
+            waiting = [batch.slice(cut)]
+        last = tuple(batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys)
+    if waiting:
+        yield made()
+
+
+# --- gaps and strips ------------------------------------------------------------------------
+
+
+def text_lines(pages: Pages, s: GapSettings) -> np.ndarray:
+    """Median height of each page's spans over 3 high."""
+    heights = pages.column("height")
+    out = np.full(len(pages.begin), s.default_line)
+    for k, (a, b) in enumerate(zip(pages.begin.tolist(), pages.end.tolist(), strict=True)):
+        own = heights[a:b]
+        own = own[own > 3]
+        if len(own):
+            out[k] = np.median(own)
+    return out
+
+
+def page_gaps(pages: Pages, lines: np.ndarray, page: Page, s: GapSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Empty x-intervals of the pages' bands: page number, band, left, right, in this order."""
+    steps = np.maximum(s.band_floor, lines * s.band_lines)
+    n_bands = np.ceil((page.bottom - page.top) / steps).astype(np.int64)
+    left, top, right, bottom = (pages.column(c).astype(float) for c in ("left", "top", "right", "bottom"))
+    number = pages.number
+    step, last_band = steps[number], n_bands[number] - 1
+    lo = np.clip(np.floor((top - page.top) / step) - 1, 0, None).astype(np.int64)
+    hi = np.minimum(np.floor((bottom - page.top) / step) + 1, last_band).astype(np.int64)
+    times = np.maximum(hi - lo + 1, 0)
+    each = np.repeat(np.arange(len(left)), times)
+    band = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    y1 = page.top + band * step[each]
+    inside = (bottom[each] > y1) & (top[each] < np.minimum(page.bottom, y1 + step[each]))
+    each, band = each[inside], band[inside]
+    first_band = np.cumsum(n_bands) - n_bands
+    slot = first_band[number[each]] + band  # a number for each band of all pages
+    order = np.lexsort((right[each], left[each], slot))
+    slot, x1, x2 = slot[order], left[each][order], right[each][order]
+
+    reach, shift = np.maximum(x2, page.left), 1  # largest right edge so far within the band
+    while shift < len(slot) and (slot[shift:] == slot[:-shift]).any():
+        before = np.where(slot[shift:] == slot[:-shift], reach[:-shift], -np.inf)
+        reach[shift:] = np.maximum(reach[shift:], before)
+        shift *= 2
+    new = np.ones(len(slot), bool)
+    new[1:] = slot[1:] != slot[:-1]
+    cursor = np.where(new, page.left, np.concatenate([[page.left], reach[:-1]]) if len(reach) else reach)
+    ends = np.flatnonzero(np.append(new[1:], True)) if len(slot) else np.zeros(0, np.int64)
+    empty = np.setdiff1d(np.arange(int(n_bands.sum())), slot[new])
+    found = [
+        (slot, cursor, x1, x1 - cursor >= s.min_gap),
+        (slot[ends], reach[ends], np.full(len(ends), page.right), page.right - reach[ends] >= s.min_gap),
+        (empty, np.full(len(empty), page.left), np.full(len(empty), page.right), np.full(len(empty), page.right - page.left >= s.min_gap)),
+    ]
+    slots, lefts, rights = (np.concatenate([x[k][x[3]] for x in found]) for k in range(3))
+    order = np.lexsort((lefts, slots))
+    slots, lefts, rights = slots[order], lefts[order], rights[order]
+    owner = np.searchsorted(first_band, slots, side="right") - 1
+    return owner, slots - first_band[owner], lefts, rights
+
+
+def strips(gaps: Iterable[tuple[int, float, float]], line: float, page: Page, s: GapSettings) -> list[Strip]:
+    """Strips of one page, from (band, left, right) in order."""
     step = max(s.band_floor, line * s.band_lines)
     reach = max(s.center_floor, line * s.center_lines)
     n_bands = math.ceil((page.bottom - page.top) / step)
-    groups: list[dict[str, list[float]]] = []
+    groups: list[list[tuple[float, float, float, float]]] = []  # center, left, right, top of the band
+    latest: list[float] = []
     for band, left, right in gaps:
         center = (left + right) / 2
-        y1 = page.top + band * step
-        home = next((g for g in groups if abs(center - g["center"][-1]) <= reach), None)
-        if home is None:
-            home = {"center": [], "left": [], "right": [], "y1": [], "y2": []}
-            groups.append(home)
-        for name, value in (("center", center), ("left", left), ("right", right), ("y1", y1), ("y2", min(page.bottom, y1 + step))):
-            home[name].append(value)
+        entry = (center, left, right, page.top + band * step)
+        for k, other in enumerate(latest):
+            if abs(center - other) <= reach:
+                groups[k].append(entry)
+                latest[k] = center
+                break
+        else:
+            groups.append([entry])
+            latest.append(center)
     found = []
     for g in groups:
-        top, bottom = min(g["y1"]), max(g["y2"])
+        centers, lefts, rights, tops = zip(*g, strict=True)
+        top, bottom = min(tops), max(min(page.bottom, y + step) for y in tops)
         if bottom - top < line * s.min_height_lines:
             continue
-        widths = [b - a for a, b in zip(g["left"], g["right"], strict=True)]
+        widths = [b - a for a, b in zip(lefts, rights, strict=True)]
+        # Each part of the confidence is at most its weight: what can't pass needs no statistics.
+        coverage = s.coverage_weight * len({math.floor(y + 0.5) for y in tops}) / n_bands
+        if coverage + s.width_weight + s.center_weight < s.min_confidence - 1e-9:
+            continue
         confidence = _unit(
-            s.coverage_weight * len({math.floor(y + 0.5) for y in g["y1"]}) / n_bands
+            coverage
             + s.width_weight * (1 - _unit(spread(widths) / max(1, median(widths))))
-            + s.center_weight * (1 - _unit(spread(g["center"]) / max(1, median(g["center"]))))
+            + s.center_weight * (1 - _unit(spread(centers) / max(1, median(centers))))
         )
         if confidence >= s.min_confidence:
-            found.append((median(g["left"]), median(g["right"]), top, bottom, confidence))
+            found.append((median(lefts), median(rights), top, bottom, confidence))
     return merge_strips(found, s.merge_within)
 
 
-def merge_strips(found: list[tuple[float, float, float, float, float]], within: float) -> list[tuple[float, float, float, float, float]]:
+def merge_strips(found: list[Strip], within: float) -> list[Strip]:
     """Strips in order of centre; one near the strip before it, as merged so far, and beside it, joins it."""
-    out: list[tuple[float, float, float, float, float]] = []
+    out: list[Strip] = []
     for x in sorted(found, key=lambda x: (x[0] + x[1]) / 2):
         if out:
             y = out[-1]
@@ -68,91 +209,102 @@ def merge_strips(found: list[tuple[float, float, float, float, float]], within:
     return out
 
 
-@dataclass
-class Box:
-    left: float
-    top: float
-    right: float
-    bottom: float
+def all_strips(pages: Pages, lines: np.ndarray, page: Page, s: GapSettings) -> list[list[Strip]]:
+    """The strips of each page."""
+    owner, band, left, right = page_gaps(pages, lines, page, s)
+    cuts = np.searchsorted(owner, np.arange(len(lines) + 1)).tolist()
+    rows = list(zip(band.tolist(), left.tolist(), right.tolist(), strict=True))
+    return [strips(rows[a:b], line, page, s) for a, b, line in zip(cuts, cuts[1:], lines.tolist(), strict=False)]
 
-    @property
-    def width(self) -> float:
-        return self.right - self.left
 
-    @property
-    def area(self) -> float:
-        return max(0.0, self.width) * max(0.0, self.bottom - self.top)
+def layout_bands(given: Iterable[Band], found: Sequence[Strip], line: float, page: Page, s: LayoutSettings) -> list[Band]:
+    """The bands given and those above and below the strips' reach, where there is room; close ones are merged."""
+    bands = list(given)
+    if found:
+        top, bottom, room = min(x[2] for x in found), max(x[3] for x in found), line * s.band_edge_lines
+        if top > page.top + room:
+            bands.append((page.top, top - page.top, s.inferred_band_confidence))
+        if bottom < page.bottom - room:
+            bands.append((bottom, page.bottom - bottom, s.inferred_band_confidence))
+    out: list[Band] = []
+    for y, height, confidence in sorted(bands, key=lambda b: b[0]):
+        if out and y <= out[-1][0] + out[-1][1] + max(s.band_gap, line * s.band_gap_lines):
+            start, tall, best = out[-1]
+            out[-1] = (start, max(start + tall, y + height) - start, max(best, confidence))
+        else:
+            out.append((y, height, confidence))
+    return out
 
-    def holds(self, other: Box, tolerance: float = 1.0) -> bool:
-        return self.left - tolerance <= other.left and self.right + tolerance >= other.right and self.top - tolerance <= other.top and self.bottom + tolerance >= other.bottom
 
-    def overlap_x(self, other: Box) -> float:
-        return max(0.0, min(self.right, other.right) - max(self.left, other.left))
+def gutter_bands(tops: Sequence[float], bottoms: Sequence[float], line: float, least_lines: float, s: LayoutSettings) -> list[Band]:
+    """A thin band in the middle of each stretch without text between texts, if it is ``least_lines`` high; none if that is 0."""
+    out: list[Band] = []
+    if least_lines <= 0 or not tops:
+        return out
+    reach, thin = -math.inf, line * (s.band_gap_lines or 1)
+    for top, bottom in sorted(zip(tops, bottoms, strict=True)):
+        if reach > -math.inf and top - reach >= least_lines * line:
+            out.append(((reach + top) / 2 - thin / 2, thin, 0.95))
+        reach = max(reach, bottom)
+    return out
 
 
-@dataclass
-class Span:
-    id: int
-    text: str
-    box: Box
-    height: float
-    size: float
-    family: str
-    style: str
-    weight: int
-    rgb: tuple[int, ...]
-    math: bool
+# --- paragraphs -----------------------------------------------------------------------------
 
 
-@dataclass
 class Paragraph:
-    spans: list[Span]
-    look: Span  # whose style counts
-    box: Box = field(init=False)
+    """Spans (places in the page's lists), their box, and the span whose style counts."""
 
-    def __post_init__(self) -> None:
-        self.measure()
+    __slots__ = ("bottom", "left", "look", "right", "spans", "top")
 
-    def measure(self) -> None:
-        self.box = Box(min(x.box.left for x in self.spans), min(x.box.top for x in self.spans), max(x.box.right for x in self.spans), max(x.box.bottom for x in self.spans))
+    def __init__(self, spans: list[int], look: int, box: tuple[float, float, float, float]):
+        self.spans, self.look = spans, look
+        self.left, self.top, self.right, self.bottom = box
 
     @property
-    def math(self) -> bool:
-        return any(x.math for x in self.spans)
+    def width(self) -> float:
+        return self.right - self.left
 
     @property
-    def is_operator(self) -> bool:
-        return any(c in OPERATOR_CHAR for x in self.spans for c in x.text)
+    def area(self) -> float:
+        return max(0.0, self.right - self.left) * max(0.0, self.bottom - self.top)
 
 
-def _reading(spans: Iterable[Span]) -> list[Span]:
-    return sorted(spans, key=lambda x: (x.box.top, x.box.left))
+class Merger:
+    """The merge and split rules of one page."""
 
+    def __init__(self, columns: dict[str, list], found: list[Strip], bands: list[Band], line: float, s: LayoutSettings, band_confidence: float = 0.6):
+        self.left, self.top, self.right, self.bottom, self.height = (columns[c] for c in ("left", "top", "right", "bottom", "height"))
+        self.size, self.math, self.operator = (columns[c] for c in ("font_size", "is_math", "is_operator"))
+        self.style = list(zip(*(columns[c] for c in ("font_family", "font_size", "weight", "font_style", "rgb")), strict=True))
+        self.strips = [x for x in found if x[1] - x[0] >= s.split_strip_width and x[4] >= s.split_strip_confidence and x[3] - x[2] >= 12]
+        self.bands = [b for b in bands if b[2] >= band_confidence]
+        self.line, self.s = line, s
+        self._alike: dict[tuple, bool] = {}
 
-class PageMerger:
-    """The merge and split rules of one page, with its strips and bands."""
+    def paragraph(self, spans: list[int], look: int | None = None) -> Paragraph:
+        """Of these spans; the first one's style counts unless another is named."""
+        box = (min(self.left[x] for x in spans), min(self.top[x] for x in spans), max(self.right[x] for x in spans), max(self.bottom[x] for x in spans))
+        return Paragraph(spans, spans[0] if look is None else look, box)
 
-    def __init__(self, strips_: list[tuple[float, float, float, float, float]], bands: list[tuple[float, float, float]], line: float, s: LayoutSettings):
-        self.strips = [x for x in strips_ if x[1] - x[0] >= s.split_strip_width and x[4] >= s.split_strip_confidence and x[3] - x[2] >= 12]
-        self.bands, self.line, self.s = bands, line, s
+    def reading(self, spans: Iterable[int]) -> list[int]:
+        return sorted(spans, key=lambda x: (self.top[x], self.left[x]))
 
-    def alike(self, a: Span, b: Span) -> bool:
-        s = self.s
-        if s.linear:
+    def alike(self, a: int, b: int) -> bool:
+        x, y, s = self.style[a], self.style[b], self.s
+        if s.linear or x == y:
             return True
-        return (
-            a.family == b.family
-            and abs(a.size - b.size) <= 1.0
-            and math.dist(a.rgb, b.rgb) < 10
-            and abs(a.weight - b.weight) <= s.max_weight_difference
-            and (s.mixed_style or a.style == b.style)
-        )
-
-    def one_column(self, a: Box, b: Box) -> bool:
+        known = self._alike.get((x, y))
+        if known is None:
+            colors = math.dist(*(((c >> 16) & 255, (c >> 8) & 255, c & 255) for c in (x[4], y[4])))
+            known = x[0] == y[0] and abs(x[1] - y[1]) <= 1.0 and colors < 10 and abs(x[2] - y[2]) <= s.max_weight_difference and (s.mixed_style or x[3] == y[3])
+            self._alike[x, y] = known
+        return known
+
+    def one_column(self, a: Paragraph, b: Paragraph) -> bool:
         if self.s.linear:
             return True
-        overlap = a.overlap_x(b)
-        wide = overlap > 0.3 * min(a.width, b.width)
+        wide = max(0.0, min(a.right, b.right) - max(a.left, b.left)) > 0.3 * min(a.width, b.width)
         if not self.strips:
             return wide and abs((a.left + a.right) / 2 - (b.left + b.right) / 2) < 3 * max(a.width, b.width)
         top, bottom = min(a.top, b.top), max(a.bottom, b.bottom)
@@ -163,60 +315,74 @@ class PageMerger:
         parts = [max(0.0, min(right, east.left) - max(left, west.right)) for left, right, y1, y2, _ in self.strips if (min(bottom, y2) - max(top, y1)) / (y2 - y1) >= self.s.strip_overlap]
         return sum(x for x in parts if x >= max(3, 0.1 * gap)) / gap < self.s.same_column_coverage
 
-    def parted(self, a: Box, b: Box) -> bool:
+    def parted(self, a: Paragraph, b: Paragraph) -> bool:
         """Is a horizontal band between the two."""
         low, high = min(a.bottom, b.bottom), max(a.top, b.top)
-        return not self.s.linear and any(c >= 0.6 and y > low and y + h < high for y, h, c in self.bands)
+        return not self.s.linear and any(y > low and y + h < high for y, h, _ in self.bands)
 
     def related(self, a: Paragraph, b: Paragraph) -> bool:
-        return self.alike(a.look, b.look) and self.one_column(a.box, b.box) and not self.parted(a.box, b.box)
+        return self.alike(a.look, b.look) and self.one_column(a, b) and not self.parted(a, b)
 
-    def follows(self, a: Paragraph, b: Paragraph, downward: bool) -> bool:
-        s, gap = self.s, b.box.top - a.box.bottom
-        if downward and gap < 0:
-            return False
-        tolerance = a.look.size * s.align
-        aligned = abs(a.box.left - b.box.left) < tolerance or abs(a.box.right - b.box.right) < tolerance
-        strong = a.box.overlap_x(b.box) > s.merge_overlap * max(1.0, min(a.box.width, b.box.width))
-        return gap <= min(self.line * s.merge_gap_lines, max(a.look.size, b.look.size) * s.merge_gap_max) and (s.linear or aligned or strong)
-
-    def merge(self, paragraphs: list[Paragraph], downward: bool = False) -> list[Paragraph]:
+    def _join(self, paragraphs: list[Paragraph], stacked: bool) -> list[Paragraph]:
         """Each paragraph takes in all later ones that follow its box as grown so far."""
+        s, size, line = self.s, self.size, self.line
+        align, overlap, lines, most = (s.stack_align, s.stack_overlap, s.stack_gap_lines, s.stack_gap_max) if stacked else (s.merge_align, s.merge_overlap, s.merge_gap_lines, s.merge_gap_max)
         left, out = list(paragraphs), []
         while left:
-            own = Paragraph(list(left[0].spans), left[0].look)
-            rest = []
+            own = Paragraph(list(left[0].spans), left[0].look, (left[0].left, left[0].top, left[0].right, left[0].bottom))
+            rest, own_size = [], size[left[0].look]
             for other in left[1:]:
-                if self.related(own, other) and self.follows(own, other, downward):
+                gap, other_size = other.top - own.bottom, size[other.look]
+                near = gap <= min(line * lines, max(own_size, other_size) * most) and not (stacked and gap < 0)
+                if near and not s.linear:
+                    tolerance = max(1.0, min(own_size, other_size) * align) if stacked else own_size * align
+                    near = abs(own.left - other.left) < tolerance or abs(own.right - other.right) < tolerance
+                    near = near or max(0.0, min(own.right, other.right) - max(own.left, other.left)) > overlap * max(1.0, min(own.width, other.width))
+                if near and self.related(own, other):
                     own.spans += other.spans
-                    own.measure()
+                    own.left, own.top, own.right, own.bottom = min(own.left, other.left), min(own.top, other.top), max(own.right, other.right), max(own.bottom, other.bottom)
                 else:
                     rest.append(other)
             out.append(own)
             left = rest
         return out
 
+    def merge(self, paragraphs: list[Paragraph]) -> list[Paragraph]:
+        """Merges in the order given; a paragraph may reach back over the box before it."""
+        return self._join(paragraphs, False)
+
     def stack(self, paragraphs: list[Paragraph]) -> list[Paragraph]:
         """Downward merges in order of boxes, until nothing changes."""
         while True:
-            ordered = sorted(paragraphs, key=lambda p: (p.box.top, p.box.left))
-            merged = self.merge(ordered, downward=True)
+            ordered = sorted(paragraphs, key=lambda p: (p.top, p.left))
+            merged = self._join(ordered, True)
             if len(merged) == len(ordered):
                 return merged
             paragraphs = merged
 
     def formula(self, a: Paragraph, b: Paragraph) -> bool:
-        if not (a.math or b.math) or not self.one_column(a.box, b.box):
+        if not any(self.math[x] for p in (a, b) for x in p.spans) or not self.one_column(a, b):
             return False
-        size = max(a.look.size, b.look.size) or 12
-        if abs(a.box.top - b.box.top) >= size * self.s.math_baseline:
+        size = max(self.size[a.look], self.size[b.look]) or 12
+        if abs(a.top - b.top) >= size * self.s.math_baseline:
             return False
-        if a.is_operator or b.is_operator:
-            return abs(a.box.left - b.box.left) < size * self.s.math_left
-        return abs((a.box.left + a.box.right) - (b.box.left + b.box.right)) / 2 < size * self.s.math_center
+        if any(self.operator[x] for p in (a, b) for x in p.spans):
+            return abs(a.left - b.left) < size * self.s.math_left
+        return abs((a.left + a.right) - (b.left + b.right)) / 2 < size * self.s.math_center
+
+    def nested(self, a: Paragraph, b: Paragraph) -> bool:
+        """Does one hold the other, up to a unit, or do they share much of the smaller."""
+        for p, q in ((a, b), (b, a)):
+            if p.left - 1 <= q.left and p.right + 1 >= q.right and p.top - 1 <= q.top and p.bottom + 1 >= q.bottom:
+                return True
+        width, height = min(a.right, b.right) - max(a.left, b.left), min(a.bottom, b.bottom) - max(a.top, b.top)
+        return width > 0 and height > 0 and width * height / (min(a.area, b.area) or 1) > self.s.nested_overlap
 
     def nest(self, paragraphs: list[Paragraph]) -> tuple[list[Paragraph], bool]:
-        """One pass: a paragraph merges with the first other that holds it, lies in it, overlaps it much, or is of its formula."""
+        """One pass: a paragraph merges with the first other that is nested with it or of its formula.
+
+        What is made has the style of its first span in reading order from then on.
+        """
         used: set[int] = set()
         out, changed = [], False
         for i, a in enumerate(paragraphs):
@@ -224,14 +390,10 @@ class PageMerger:
                 continue
             used.add(i)
             for j, b in enumerate(paragraphs):
-                if j in used or not self.related(a, b):
-                    continue
-                inside = a.box.holds(b.box) or b.box.holds(a.box)
-                common = a.box.overlap_x(b.box) * max(0.0, min(a.box.bottom, b.box.bottom) - max(a.box.top, b.box.top))
-                if inside or common / (min(a.box.area, b.box.area) or 1) > self.s.nested_overlap or self.formula(a, b):
-                    keep = a if a.box.area >= b.box.area else b
-                    add = b if keep is a else a
-                    a = Paragraph(_reading([*keep.spans, *add.spans]), keep.look)
+                if j not in used and self.related(a, b) and (self.nested(a, b) or self.formula(a, b)):
+                    # On equal places the larger one's spans come first.
+                    spans = [*a.spans, *b.spans] if a.area >= b.area else [*b.spans, *a.spans]
+                    a = self.paragraph(self.reading(spans))
                     used.add(j)
                     changed = True
                     break
@@ -245,123 +407,130 @@ class PageMerger:
         return [part for p in paragraphs for part in self._cut(p)]
 
     def _cut(self, p: Paragraph) -> list[Paragraph]:
-        lines: dict[float, list[Span]] = {}
-        ordered = _reading(p.spans)
+        s, ordered = self.s, self.reading(p.spans)
+        lines: list[list[int]] = []
         for x in ordered:
-            lines.setdefault(x.box.top, []).append(x)
-        cuts = set()
-        for line in lines.values():
+            if lines and abs(self.top[x] - self.top[lines[-1][0]]) <= s.split_line_height * s.split_line:
+                lines[-1].append(x)
+            else:
+                lines.append([x])
+        wide = []
+        for line in lines:
+            line.sort(key=lambda x: self.left[x])
             for a, b in zip(line, line[1:], strict=False):
-                gap, size = b.box.left - a.box.right, 0.8 * min(a.height, b.height)
-                if gap > size * self.s.column_gap and gap > size * self.s.word_gap:
-                    cuts.add((a.box.right + b.box.left) / 2)
+                gap, size = self.left[b] - self.right[a], 0.8 * min(self.height[a], self.height[b])
+                if gap > size * s.column_gap and gap > size * s.word_gap:
+                    wide.append((self.right[a] + self.left[b]) / 2)
+        cuts: list[float] = []
+        for x in sorted(wide):
+            if not cuts or x - cuts[-1] > s.split_line_height * s.split_dedup:
+                cuts.append(x)
         if not cuts:
             return [p]
-        parts: dict[int, list[Span]] = {}
+        parts: dict[int, list[int]] = {}
         for x in ordered:
-            parts.setdefault(sum((x.box.left + x.box.right) / 2 >= c for c in cuts), []).append(x)
-        return [Paragraph(v, v[0]) for _, v in sorted(parts.items())] if len(parts) > 1 else [p]
+            center = (self.left[x] + self.right[x]) / 2
+            parts.setdefault(sum(center >= c for c in cuts), []).append(x)
+        return [self.paragraph(v) for _, v in sorted(parts.items())] if len(parts) > 1 else [p]
 
 
-def page_gaps(spans: list[Span], line: float, page: Page, s: GapSettings) -> list[tuple[int, float, float]]:
-    """Empty x-intervals (band, left, right) of a page's bands."""
-    step = max(s.band_floor, line * s.band_lines)
-    out = []
-    for band in range(math.ceil((page.bottom - page.top) / step)):
-        y1 = page.top + band * step
-        y2 = min(page.bottom, y1 + step)
-        cursor, any_ = page.left, False
-        for left, right in sorted((x.box.left, x.box.right) for x in spans if x.box.bottom > y1 and x.box.top < y2):
-            any_ = True
-            if left - cursor >= s.min_gap:
-                out.append((band, cursor, left))
-            cursor = max(cursor, right)
-        if not any_:
-            out.append((band, page.left, page.right))
-        elif page.right - cursor >= s.min_gap:
-            out.append((band, cursor, page.right))
-    return out
-
-
-def estimate_line(paragraphs: list[Paragraph], page: Page, s: LayoutSettings) -> float:
-    gaps = sorted(g for p in paragraphs for a, b in zip(p.spans, p.spans[1:], strict=False) if 0 < (g := b.box.top - a.box.bottom) < s.max_gap_of_page * (page.bottom - page.top))
+def estimate_line(columns: dict[str, list], groups: Iterable[list[int]], page: Page, s: LayoutSettings) -> float:
+    """Line height of a page: a trimmed mean of the gaps inside paragraphs, if there are enough, not under a share of the median font."""
+    top, bottom = columns["top"], columns["bottom"]
+    gaps = sorted(g for p in groups for a, b in zip(p, p[1:], strict=False) if 0 < (g := top[b] - bottom[a]) < s.max_gap_of_page * (page.bottom - page.top))
+    mean = 0.0
     if len(gaps) >= s.min_gaps_for_trim:
         cut = math.floor(len(gaps) * s.trim)
         gaps = gaps[cut : len(gaps) - cut]
-    sizes = [x.size for p in paragraphs for x in p.spans]
-    floor = median(sizes) * s.line_height * s.line_floor if sizes else 16.0
-    return max(sum(gaps) / len(gaps) * s.line_from_gaps if gaps else 0.0, floor)
-
-
-def layout(pdf: pd.DataFrame, page: Page, s: LayoutSettings, gaps: GapSettings) -> list[list[int]]:
-    """Span ids of each paragraph of a page, from rows with their initial para_id."""
-    rows = pdf.sort_values(["top", "left", "span_id"], kind="stable")
-    groups: dict[int, list[Span]] = {}
-    for r in rows.itertuples(index=False):
-        x = Span(int(r.span_id), r.text or "", Box(r.left, r.top, r.right, r.bottom), r.height, r.font_size, r.font_family, r.font_style, int(r.weight_n), tuple(r.rgb), bool(r.is_math))
-        groups.setdefault(int(r.para_id), []).append(x)
-    paragraphs = [Paragraph(v, v[0]) for _, v in sorted(groups.items())]
-    spans = [x for p in paragraphs for x in p.spans]
-    line = estimate_line(paragraphs, page, s)
-    heights = [x.height for x in spans if x.height > 3]
-    text_line = median(heights) if heights else gaps.default_line
-    found = [x for x in strips(page_gaps(spans, text_line, page, gaps), text_line, page, gaps) if x[4] >= s.min_strip_confidence and x[1] - x[0] >= s.min_strip_width]
-    bands = []
-    if found:
-        top, bottom, room = min(x[2] for x in found), max(x[3] for x in found), line * s.band_edge_lines
-        if top - page.top > room:
-            bands.append((page.top, top - page.top, s.inferred_band_confidence))
-        if page.bottom - bottom > room:
-            bands.append((bottom, page.bottom - bottom, s.inferred_band_confidence))
-    merger = PageMerger(found, bands, line, s)
-    paragraphs = merger.merge(merger.split(paragraphs))
+        mean = sum(gaps) / len(gaps) * s.line_from_gaps if gaps else 0.0
+    sizes = [x for x in columns["font_size"] if x > 0]
+    if not sizes:
+        return 16.0
+    return max(mean, median(sizes) * s.line_height * s.line_floor) or median(sizes) * s.line_height
+
+
+@dataclass
+class Profile:
+    """What is known of a page before its paragraphs are merged."""
+
+    text_line: float
+    line: float
+    strips: list[Strip]  # those that count for columns
+    bands: list[Band]
+
+
+COLUMNS = ("para_id", "left", "top", "right", "bottom", "height", "font_size", "font_family", "font_style", "weight", "rgb", "is_math", "is_operator")
+
+
+def profiles(pages: Pages, page: Page, s: LayoutSettings, gaps: GapSettings, gutters: float = 0.0) -> Iterator[tuple[Profile, dict[str, list], list[list[int]]]]:
+    """Each page's profile, columns and first paragraphs."""
+    lines = text_lines(pages, gaps)
+    found = all_strips(pages, lines, page, gaps)
+    columns = {c: pages.column(c).tolist() for c in COLUMNS}
+    for k, (a, b) in enumerate(zip(pages.begin.tolist(), pages.end.tolist(), strict=True)):
+        own = {c: v[a:b] for c, v in columns.items()}
+        groups: dict[int, list[int]] = {}
+        for x, p in enumerate(own["para_id"]):
+            groups.setdefault(p, []).append(x)
+        first = [v for _, v in sorted(groups.items())]
+        line = estimate_line(own, first, page, s)
+        kept = [x for x in found[k] if x[4] >= s.min_strip_confidence and x[1] - x[0] >= s.min_strip_width]
+        given = gutter_bands(own["top"], own["bottom"], line, gutters, s)
+        yield Profile(float(lines[k]), line, kept, layout_bands(given, kept, line, page, s)), own, first
+
+
+def merged(profile: Profile, columns: dict[str, list], first: list[list[int]], s: LayoutSettings, gaps: GapSettings) -> list[list[int]]:
+    """Places of the spans of each paragraph of a page, in order."""
+    m = Merger(columns, profile.strips, profile.bands, profile.line, s, gaps.band_confidence)
+    paragraphs = m.merge(m.split([m.paragraph(p) for p in first]))
     for _ in range(s.max_rounds):
-        paragraphs, changed = merger.nest(paragraphs)
+        paragraphs, changed = m.nest(paragraphs)
         if not changed:
             break
-        paragraphs = merger.merge(merger.split(paragraphs))
-    paragraphs = merger.stack(paragraphs)
-    seen: set[int] = set()
-    out = []
-    for p in sorted(paragraphs, key=lambda p: (p.box.top, p.box.left)):
-        ids = [x.id for x in _reading(p.spans) if x.id not in seen]
-        seen.update(ids)
-        if ids:
-            out.append(ids)
-    return out
+        paragraphs = m.merge(m.split(paragraphs))
+    return [m.reading(p.spans) for p in m.stack(paragraphs)]
+
+
+# --- segments -------------------------------------------------------------------------------
 
 
-def segments(pdf: pd.DataFrame, page: Page, s: SegmentSettings) -> list[tuple[float, float, float, float, int]]:
-    """top, bottom, left, right, columns: stretches of a page with the same number of columns."""
-    rows = pdf.sort_values(["left", "top"])
-    heights = [h for h in rows["height"] if h > 3]
-    line = median(heights) if heights else 15.0
+def segments(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, line: float, page: Page, s: SegmentSettings) -> list[tuple[float, float, float, float, int]]:
+    """top, bottom, left, right, columns: stretches of a page with the same number of columns; the whole page where there are none."""
+    whole = [(page.top, page.bottom, page.left, page.right, 1)]
     step = max(s.step_floor, s.step_lines * line)
-    lefts, rights, tops, bottoms = (rows[c].to_numpy() for c in ("left", "right", "top", "bottom"))
-    samples = []
-    y = page.top
-    while y < page.bottom:
-        here = np.flatnonzero((tops <= y) & (y < bottoms))
-        if len(here):
-            n, last = 0, -math.inf
-            for left in np.unique(lefts[here]).tolist():
-                if left - last > s.column_gap_lines * line:
-                    n, last = n + 1, left
-            samples.append((y, n, float(lefts[here].min()), float(rights[here].max())))
-        y += step
+    ys = page.top + step * np.arange(math.ceil((page.bottom - page.top) / step))
+    order = np.argsort(left, kind="stable")
+    left, top, right, bottom = left[order], top[order], right[order], bottom[order]
+    here = (top <= ys[:, None]) & (bottom >= ys[:, None])
+    samples = []  # y, columns, left, right
+    for y, row in zip(ys[here.any(axis=1)].tolist(), here[here.any(axis=1)], strict=True):
+        lefts = left[row].tolist()
+        n, column = 1, lefts[0]
+        for x in lefts:
+            if x - column > s.column_gap_lines * line:
+                n, column = n + 1, x
+        samples.append((y, n, lefts[0], float(right[row].max())))
     if not samples:
-        return []
-    parts: list[list[tuple[float, int, float, float]]] = [[samples[0]]]
+        return whole
+
+    last, shift = samples[0], s.shift_lines * line
+    parts = [[page.top, last[0], last[2], last[3], last[1]]]
     for x in samples[1:]:
-        first = parts[-1][0]
-        if x[1] != first[1] or abs(x[2] - first[2]) > s.shift_lines * line:
-            parts.append([x])
-        else:
-            parts[-1].append(x)
-    joined: list[list[tuple[float, int, float, float]]] = []
-    for p in parts:
-        if joined and (p[-1][0] + step - p[0][0] < s.min_height_lines * line or p[0][1] == joined[-1][0][1]):
-            joined[-1] += p
+        if x[1] != last[1] or abs(x[2] - last[2]) > shift or abs(x[3] - last[3]) > shift:
+            parts.append([last[0], x[0], x[2], x[3], x[1]])
+            last = x
+    parts[-1][1] = page.bottom
+
+    least, joined = s.min_height_lines * line, [parts[0]]
+    for x in parts[1:]:
+        own = joined[-1]
+        if own[1] - own[0] < least or x[4] == own[4]:  # a short one goes into the next, with its own number of columns
+            own[1], own[2], own[3] = x[1], min(own[2], x[2]), max(own[3], x[3])
         else:
-            joined.append(p)
-    return [(p[0][0], p[-1][0] + step, min(x[2] for x in p), max(x[3] for x in p), p[0][1]) for p in joined]
+            joined.append(x)
+    out = []
+    for a, b, x1, x2, n in joined:
+        if b - a > least:
+            room = min(line * s.buffer_lines, (b - a) * s.buffer_share)
+            out.append((max(page.top, a - room), min(page.bottom, b + room), x1, x2, n))
+    return out or whole
