@@ -22,6 +22,12 @@ class Rect:
         dot = f"{source}." if source else ""
         return cls(*(F.col(f"{dot}{prefix}{x}") for x in ("left", "top", "right", "bottom")))
 
+    @classmethod
+    def in_struct(cls, x: Column, prefix: str = "rel_") -> Rect:
+        """Of left, top, width and height with a prefix."""
+        left, top = x[f"{prefix}left"], x[f"{prefix}top"]
+        return cls(left, top, left + x[f"{prefix}width"], top + x[f"{prefix}height"])
+
     @property
     def width(self) -> Column:
         return self.right - self.left
@@ -77,6 +83,11 @@ def is_proper(*values: Column) -> Column:
     return ok & (values[-2] > 0) & (values[-1] > 0)
 
 
+def is_selection(width: Column, height: Column, least: float = 5.0) -> Column:
+    """Is a drawn box more than a click."""
+    return (width > least) & (height > least)
+
+
 def font_in_overlay(sizes: Column, scale: float, zoom: float) -> Column:
     """Mean of the sizes (12 where there is none) times scale and zoom."""
     mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / F.size(sizes)

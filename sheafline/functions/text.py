@@ -60,8 +60,8 @@ def escape_html(text: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text of the small HTML dialect: tags go, the five entities come back."""
-    text = F.regexp_replace(html, "<[^>]*>", "")
+    """Text of the small HTML dialect: comments and tags go, the five entities come back."""
+    text = F.regexp_replace(F.regexp_replace(html, "(?s)<!--.*?-->", ""), "<[^>]*>", "")
     for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(raw))
     return text
@@ -121,8 +121,9 @@ def clean_link(text: Column) -> Column:
 
 
 def storage_path(folder: Column) -> Column:
-    """A folder without leading and trailing slashes, doubled ones made one."""
-    return F.regexp_replace(F.regexp_replace(F.trim(folder), "/+", "/"), "^/|/$", "")
+    """A folder with one slash at its end and none doubled or leading; the root is empty."""
+    inner = F.regexp_replace(F.regexp_replace(F.trim(folder), "/+", "/"), "^/|/$", "")
+    return F.when(inner.isin("", ".", ".."), "").otherwise(F.concat(inner, F.lit("/")))
 
 
 def strip_pdf(name: Column) -> Column:

@@ -243,24 +243,25 @@ def horizontal_gutters(spans: DataFrame, line: Column, least_lines: float = 1.5,
 # --- pages as a whole -----------------------------------------------------------------------
 
 
-def _by_page(begun: DataFrame, run: Callable[[paging.Pages], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Map whole pages, several at a time. ``begun`` comes out of a window over pages, in its order."""
-    ship(begun.sparkSession)
+def by_page(placed: DataFrame, run: Callable[[paging.Pages], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Map whole pages, several at a time. ``placed`` comes out of a window over pages, in its order."""
+    ship(placed.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pages in paging.whole_pages(batches, KEYS):
             yield from run(pages)
 
-    return begun.mapInArrow(task, schema)
+    return placed.mapInArrow(task, schema)
 
 
-def _begun(spans: DataFrame, s: LayoutSettings) -> DataFrame:
-    """First paragraphs with what the page algorithms read, page by page, in reading order."""
+def begun(spans: DataFrame, s: LayoutSettings, carried: dict[str, Column] | None = None) -> DataFrame:
+    """First paragraphs with what the page algorithms read, and what else is ``carried``, page by page, in reading order."""
     rgb = T.rgb(F.col("color"))
     extra = {"own_rgb": rgb[0] * 65536 + rgb[1] * 256 + rgb[2], "own_math": T.is_math(F.col("text"), F.col("font_family")), "own_operator": T.has_operator(F.col("text")), "own_weight": T.weight(F.col("font_weight").cast("string"))}
+    carried = carried or {}
     # The columns are made before the window, so that the window's order is the output's.
-    begun = initial_paragraphs(spans.withColumns(extra), s)
-    return begun.select(*KEYS, "span_id", "para_id", "left", "top", "right", "bottom", "height", "font_size", F.coalesce("font_family", F.lit("")).alias("font_family"), F.coalesce("font_style", F.lit("")).alias("font_style"), F.col("own_weight").alias("weight"), F.col("own_rgb").alias("rgb"), F.col("own_math").alias("is_math"), F.col("own_operator").alias("is_operator"))
+    found = initial_paragraphs(spans.withColumns(extra | {f"own_{k}": v for k, v in carried.items()}), s)
+    return found.select(*KEYS, "span_id", "para_id", "left", "top", "right", "bottom", "height", "font_size", F.coalesce("font_family", F.lit("")).alias("font_family"), F.coalesce("font_style", F.lit("")).alias("font_style"), F.col("own_weight").alias("weight"), F.col("own_rgb").alias("rgb"), F.col("own_math").alias("is_math"), F.col("own_operator").alias("is_operator"), *[F.col(f"own_{k}").alias(k) for k in carried])
 
 
 def page_profiles(spans: DataFrame, page: Page, s: LayoutSettings | None = None, gaps: GapSettings | None = None, gutters: float = 0.0) -> DataFrame:
@@ -275,7 +276,7 @@ def page_profiles(spans: DataFrame, page: Page, s: LayoutSettings | None = None,
         yield pa.RecordBatch.from_arrays([pages.first("doc_id"), pages.first("page"), pa.array([f.text_line for f in found]), pa.array([f.line for f in found]), pa.array(strips, strip), pa.array(bands, band)], ["doc_id", "page", "text_line", "line_height", "strips", "bands"])
 
     fields = ("struct<left:double,right:double,top:double,bottom:double,confidence:double>", "struct<y:double,height:double,confidence:double>")
-    return _by_page(_begun(spans, s), run, f"doc_id long, page int, text_line double, line_height double, strips array<{fields[0]}>, bands array<{fields[1]}>")
+    return by_page(begun(spans, s), run, f"doc_id long, page int, text_line double, line_height double, strips array<{fields[0]}>, bands array<{fields[1]}>")
 
 
 def vertical_strips(spans: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:
@@ -290,7 +291,7 @@ def vertical_strips(spans: DataFrame, page: Page, s: GapSettings | None = None)
         values = np.array([x for own in found for x in own]).reshape(-1, 5)
         yield pa.RecordBatch.from_arrays([pages.first(k).take(pa.array(owner)) for k in KEYS] + [pa.array(values[:, k]) for k in range(5)], [*KEYS, "left", "right", "top", "bottom", "confidence"])
 
-    return _by_page(placed, run, "doc_id long, page int, left double, right double, top double, bottom double, confidence double")
+    return by_page(placed, run, "doc_id long, page int, left double, right double, top double, bottom double, confidence double")
 
 
 def page_layout(spans: DataFrame, page: Page, s: LayoutSettings | None = None, gaps: GapSettings | None = None, gutters: float = 0.0) -> DataFrame:
@@ -310,7 +311,7 @@ def page_layout(spans: DataFrame, page: Page, s: LayoutSettings | None = None, g
         rows = pages.rows.take(pa.array(place, pa.int64()))
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(para, pa.int32()), pa.array(pos, pa.int32()), rows.column(2)], [*KEYS, "para_id", "pos", "span_id"])
 
-    return _by_page(_begun(spans, s), run, "doc_id long, page int, para_id int, pos int, span_id long")
+    return by_page(begun(spans, s), run, "doc_id long, page int, para_id int, pos int, span_id long")
 
 
 def first_paragraph_only(paragraphs: DataFrame) -> DataFrame:
@@ -338,5 +339,5 @@ def segments(spans: DataFrame, page: Page, s: SegmentSettings | None = None, pag
         kinds = (pa.float64(),) * 4 + (pa.int32(),)
         yield pa.RecordBatch.from_arrays([*(found.first(k).take(owner) for k in KEYS), pa.array([k for x in own for k in range(len(x))], pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*KEYS, "segment", "top", "bottom", "left", "right", "columns"])
 
-    found = _by_page(placed, run, "doc_id long, page int, segment int, top double, bottom double, left double, right double, columns int")
+    found = by_page(placed, run, "doc_id long, page int, segment int, top double, bottom double, left double, right double, columns int")
     return found if pages is None else found.unionByName(one_segment(pages.join(spans.select(*KEYS).distinct(), list(KEYS), "left_anti"), page))

@@ -491,6 +491,38 @@ def merged(profile: Profile, columns: dict[str, list], first: list[list[int]], s
     return [m.reading(p.spans) for p in m.stack(paragraphs)]
 
 
+# --- units ----------------------------------------------------------------------------------
+
+
+def html_lines(spans: Iterable[int], columns: dict[str, list]) -> str:
+    """The spans' html by lines of rounded top, in each by left."""
+    lines: dict[int, list[tuple[float, int, str]]] = {}
+    for x in spans:
+        lines.setdefault(math.floor(columns["top"][x] + 0.5), []).append((columns["left"][x], columns["span_id"][x], columns["html"][x]))
+    return "<br>".join(" ".join(html for *_, html in sorted(own)) for _, own in sorted(lines.items()))
+
+
+def unit_parts(name: str, spans: list[int], columns: dict[str, list], budget: int) -> Iterator[tuple[str, list[int]]]:
+    """A paragraph, or its sentences if its html is over budget; a sentence ends with a span that ends one."""
+    if len(html_lines(spans, columns)) <= budget:
+        yield name, spans
+        return
+    own: list[int] = []
+    k = 0
+    ordered = sorted(spans, key=lambda x: (columns["top"][x] // 5, columns["left"][x], columns["span_id"][x]))
+    for x in ordered:
+        own.append(x)
+        if columns["ends"][x] or x == ordered[-1]:
+            yield f"{name}-sent-{k}", own
+            own, k = [], k + 1
+
+
+def span_set(spans: list[int], columns: dict[str, list], page: Page, family: str) -> tuple[float, float, float, float, list[float], str]:
+    """Box from the page's corner, sizes in order, and the first family that is not the default."""
+    edges = (min(columns["left"][x] for x in spans) - page.left, min(columns["top"][x] for x in spans) - page.top, max(columns["right"][x] for x in spans) - page.left, max(columns["bottom"][x] for x in spans) - page.top)
+    return *edges, [columns["size"][x] for x in spans], next((columns["name"][x] for x in spans if columns["name"][x]), family)
+
+
 # --- segments -------------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.functions.geometry import Rect
+from sheafline.functions.geometry import Rect, is_selection
+from sheafline.schema import LANGUAGES
+from sheafline.sources.spans import valid_spans
 
 PRESET = ("id", "name", "settings", "created_at", "updated_at")
 
@@ -61,11 +63,31 @@ def delete_presets(stored: DataFrame, gone: DataFrame) -> DataFrame:
     return stored.select(*PRESET).join(gone.select("id"), "id", "left_anti")
 
 
-def read_back(shown: DataFrame, zoom: float) -> DataFrame:
+def select_spans(spans: DataFrame, selections: DataFrame, least: float = 5.0) -> DataFrame:
+    """Valid spans that a selection of their page (doc_id, page, sel_left, sel_top, sel_right, sel_bottom) touches; clicks select nothing."""
+    sel = Rect.of("sel_")
+    drawn = selections.filter(is_selection(sel.width, sel.height, least))
+    hit = spans.join(drawn, ["doc_id", "page"]).filter(Rect.of().touches(sel))
+    return valid_spans(hit).select(*spans.columns).dropDuplicates(["doc_id", "page", "span_id"])
+
+
+def target_languages() -> list[tuple[str, str]]:
+    """Codes and names of the languages that can be translated to."""
+    return [(code, name) for code, name in LANGUAGES.items() if code != "auto"]
+
+
+def preset(stored: DataFrame, preset_id: str) -> DataFrame:
+    """The preset of an id, if there is one."""
+    return stored.select(*PRESET).filter(F.col("id").cast("string") == preset_id)
+
+
+def read_back(shown: DataFrame, zoom: float, with_size: bool = True) -> DataFrame:
     """Positions of shown items as fractions of their layer, and their font sizes (a JSON list) without the zoom.
 
     ``shown`` has left, top, right, bottom, the same of the layer with the prefix
     layer_, and font_sizes. Sizes that can't be read are none; no sizes have no mean.
+    The variant without ``with_size`` has no mean and takes the family from the item's
+    own style (style_family), not from what was noted with it (font_family).
     """
     r, layer = Rect.of(), Rect.of("layer_")
     sizes = F.coalesce(F.from_json("font_sizes", "array<double>"), F.array().cast("array<double>"))
@@ -73,4 +95,6 @@ def read_back(shown: DataFrame, zoom: float) -> DataFrame:
     total = F.aggregate("original_font_sizes", F.lit(0.0), lambda a, x: a + x)
     rects = {"rel_left": (r.left - layer.left) / layer.width, "rel_top": (r.top - layer.top) / layer.height, "rel_width": r.width / layer.width, "rel_height": r.height / layer.height}
     found = shown.withColumns({**rects, "original_font_sizes": sizes})
+    if not with_size:
+        return found.withColumn("font_family", F.when(F.length("style_family") > 0, F.col("style_family")))
     return found.withColumn("font_size", F.when(F.size("original_font_sizes") > 0, total / F.size("original_font_sizes")))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.operators import layout, replies, translate, units, viewer
-from sheafline.schema import MISSING, Page, TextSettings
+from sheafline.schema import MISSING, LayoutSettings, Page, TextSettings
 from sheafline.session import fresh_path, table
 from sheafline.sources import spans as S
 from sheafline.sources import store
@@ -130,7 +130,8 @@ def initial_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def paragraph_box(spark: SparkSession, d: str) -> DataFrame:
-    return layout.paragraph_boxes(_paragraphs(spark, d))
+    found = layout.paragraph_boxes(_paragraphs(spark, d))
+    return found.withColumn("font_sizes", F.array_join(F.transform("font_sizes", lambda x: x.cast("int").cast("string")), ","))
 
 
 @query
@@ -154,9 +155,39 @@ def occupancy_gaps(spark: SparkSession, d: str) -> DataFrame:
     return layout.band_gaps(_spans(spark, d), PAGE)
 
 
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+@query
+def occupied_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return layout.occupied(layout.band_rects(_spans(spark, d), PAGE))
+
+
 @query
 def vertical_strips(spark: SparkSession, d: str) -> DataFrame:
-    return layout.strips_for_columns(layout.vertical_strips(_spans(spark, d), PAGE))
+    return _rounded(layout.strips_for_columns(layout.vertical_strips(_spans(spark, d), PAGE)), "confidence")
+
+
+@query
+def split_strips(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(layout.strips_for_splits(layout.vertical_strips(_spans(spark, d), PAGE)), "confidence")
+
+
+@query
+def given_bands(spark: SparkSession, d: str) -> DataFrame:
+    bands = _spans(spark, d, False).select("doc_id", "page", F.col("top").alias("y"), "height", (0.4 + F.col("font_size") / 50).alias("confidence"))
+    return layout.sure_bands(bands).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("first_y"))
+
+
+@query
+def page_gutters(spark: SparkSession, d: str) -> DataFrame:
+    return layout.horizontal_gutters(_spans(spark, d).withColumn("line", F.lit(12.0)), F.col("line"))
+
+
+@query
+def trivial_segments(spark: SparkSession, d: str) -> DataFrame:
+    return layout.one_segment(_spans(spark, d), PAGE)
 
 
 @query
@@ -167,10 +198,19 @@ def band_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def layout_bands(spark: SparkSession, d: str) -> DataFrame:
-    spans = _spans(spark, d)
-    lines = layout.line_height(layout.initial_paragraphs(spans), PAGE)
-    found = layout.inferred_bands(layout.strips_for_columns(layout.vertical_strips(spans, PAGE)), lines, PAGE)
-    return layout.merge_bands(found.join(lines, ["doc_id", "page"]), F.col("line_height"))
+    """Bands around the strips of each page, from one profile of the page."""
+    found = layout.page_profiles(_spans(spark, d), PAGE).select("doc_id", "page", F.posexplode("bands").alias("band_id", "b"))
+    return _rounded(found.select("doc_id", "page", "band_id", "b.y", "b.height", "b.confidence"), "y", "height", "confidence")
+
+
+@query
+def inferred_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The same by columns: strips and line heights out of one profile, bands from their reach, merged."""
+    profile = layout.page_profiles(_spans(spark, d), PAGE)
+    strips = profile.select("doc_id", "page", F.inline("strips"))
+    lines = profile.select("doc_id", "page", "line_height")
+    found = layout.inferred_bands(strips, lines, PAGE).join(lines, ["doc_id", "page"])
+    return _rounded(layout.merge_bands(found, F.col("line_height")), "y", "height", "confidence")
 
 
 @query
@@ -180,12 +220,18 @@ def boundary_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_layout(spark: SparkSession, d: str) -> DataFrame:
-    return layout.first_paragraph_only(layout.page_layout(S.valid_spans(_spans(spark, d)), PAGE))
+    return layout.page_layout(S.valid_spans(_spans(spark, d)), PAGE)
+
+
+@query
+def page_units(spark: SparkSession, d: str) -> DataFrame:
+    found = units.page_units(_spans(spark, d), PAGE, budget=600)
+    return found.select("doc_id", "page", "ord", "unit_id", "paragraph_id", "text", "left", "top", "right", "bottom", "font_family")
 
 
 @query
 def page_segments(spark: SparkSession, d: str) -> DataFrame:
-    return layout.segments(_spans(spark, d), PAGE)
+    return _rounded(layout.segments(_spans(spark, d), PAGE), "top", "bottom")
 
 
 @query
@@ -200,7 +246,7 @@ def sentence_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def translation_units(spark: SparkSession, d: str) -> DataFrame:
-    return units.translation_units(_paragraphs(spark, d)).select("doc_id", "page", "ord", "unit_id", "text")
+    return units.translation_units(_paragraphs(spark, d), 400).select("doc_id", "page", "ord", "unit_id", "text")
 
 
 @query
@@ -228,8 +274,16 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def numbered_reply(spark: SparkSession, d: str) -> DataFrame:
-    whole = _replies(spark, d).filter(F.col("expected") - F.col("gone") >= 0.5 * F.col("expected"))
-    return replies.parse_replies(whole, "conv_id")
+    """Some replies lack lines or half of them, some repeat a number, some have no numbers at all."""
+    own = _replies(spark, d)
+    raw = F.when(F.col("conv_id") % 5 == 1, F.regexp_replace("raw", r"(?m)^\d+\. ", "")).when(F.col("conv_id") % 5 == 2, F.concat(F.col("raw"), F.lit("\n1. again"))).otherwise(F.col("raw"))
+    return replies.parse_replies(own.withColumn("raw", raw), "conv_id")
+
+
+@query
+def line_count_check(spark: SparkSession, d: str) -> DataFrame:
+    own = _turns(spark, d)
+    return replies.line_counts_agree(own, own.filter(~F.col("lost") | (F.col("conv_id") % 2 == 0)), "conv_id")
 
 
 @query
@@ -248,28 +302,122 @@ def reassemble(spark: SparkSession, d: str) -> DataFrame:
 def region_replace(spark: SparkSession, d: str) -> DataFrame:
     boxes = layout.paragraph_boxes(_paragraphs(spark, d))
     r = G.relative(G.Rect.of(), PAGE)
-    rows = boxes.select("doc_id", "page", "para_id", *[v.alias(k) for k, v in r.items()])
-    found = store.replace_region(rows.filter("para_id % 5 <> 0"), rows.filter("para_id % 5 = 0"), "doc_id", "page")
+    rows = boxes.select("doc_id", "page", "para_id", (F.col("para_id") % 5 == 0).alias("is_new"), *[v.alias(k) for k, v in r.items()])
+    found = store.renewed(rows, "is_new", "doc_id", "page")
     return found.select("doc_id", "page", "para_id", *[F.round(k, 6).alias(k) for k in r])
 
 
+@query
+def region_join(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of suppliers' and parts' making: old and new ones come from different tables and meet in a join."""
+    def boxes(name: str, key: str, shift: int) -> DataFrame:
+        k = F.col(key)
+        return table(spark, d, name).select((k % 50).alias("page"), k.alias("id"), ((k * 7 + shift) % 40 / F.lit(40.0)).alias("rel_left"), ((k * 13) % 40 / F.lit(40.0)).alias("rel_top"), F.lit(0.04).alias("rel_width"), F.lit(0.03).alias("rel_height"))
+
+    return store.replace_region(boxes("part", "p_partkey", 0), boxes("supplier", "s_suppkey", 3), "page").select("page", "id", *[F.round(f"rel_{c}", 6).alias(f"rel_{c}") for c in ("left", "top")])
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.concat(F.lit("doc"), F.col("user_id").cast("string")).alias("doc"), (F.col("event_id") % 7 + 1).cast("string").alias("page_key"), F.col("event_id").alias("ord"), "value", "event_type")
+
+
 @query
 def page_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.concat(F.lit("doc"), F.col("user_id").cast("string")).alias("doc"), (F.col("event_id") % 7 + 1).cast("string").alias("page_key"), F.col("event_id").alias("ord"), "value", "event_type")
-    stored, changed = rows.filter("ord % 3 = 0").drop("event_type"), rows.filter("ord % 3 = 1")
-    return store.upsert_pages(stored, changed.filter("event_type <> 'click'").drop("event_type"), changed)
+    rows = _pages(spark, d)
+    stored, changed = rows.filter("ord % 3 = 0").drop("event_type"), rows.filter("ord % 3 <> 0")
+    return store.upsert_pages(stored, changed.filter("event_type <> 'click'").drop("event_type"), changed.filter("ord % 11 < 4"))
 
 
 @query
-def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+def page_saves(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d)
+    return store.save_pages(rows.filter("event_type <> 'view'"), rows.filter("event_type = 'view'")).select("doc", "page_key", "ord", "event_type")
+
+
+@query
+def page_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the pages that are left to them, those without any as gone."""
+    rows = _pages(spark, d)
+    left = store.delete_pages(rows, rows.filter("event_type in ('view', 'click')"))
+    kept = left.groupBy("doc").agg(F.count_distinct("page_key").alias("pages"))
+    return kept.unionByName(store.vanished(rows, left).withColumn("pages", F.lit(0).cast("long")))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    items = table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         F.concat(F.lit("lib/doc "), k.cast("string"), F.lit(".pdf")).alias("doc"), (1 + k % 3).cast("string").alias("page_key"), F.lit(0).alias("ord"), (1 + k % 3).cast("int").alias("page"), F.col("source").alias("text_content"),
         F.concat(F.col("lang"), F.lit("\n"), F.col("source")).alias("translated_text"), ((k % 97) / F.lit(97.0)).alias("rel_left"), F.lit(1 / 3).alias("rel_top"), F.lit(0.5).alias("rel_width"), ((1 + k % 7) / F.lit(9.0)).alias("rel_height"),
         (8 + (k % 11) / F.lit(7.0)).alias("font_size"), F.when(k % 2 == 0, "Serif").alias("font_family"), F.array(F.lit(10.0)).alias("original_font_sizes"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"),
     )
-    parsed = store.parse(store.generate(items), F.lit("2000-01-01").cast("timestamp"))
-    return parsed.select("doc", "page_key", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family")
+
+
+_STORED = ("doc", "page_key", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family")
+def _clock() -> Column:
+    return F.lit("2000-01-01").cast("timestamp")
+
+
+@query
+def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return store.parse(store.generate(_items(spark, d)), _clock()).select(*_STORED, F.unix_micros("ts").alias("ts_us"))
+
+
+def _written(spark: SparkSession, d: str, label: str) -> str:
+    """A folder with the items as note files; its path."""
+    folder = fresh_path(spark, label)
+    notes = store.generate(_items(spark, d)).select(T.note_path(F.lit("notes"), F.col("doc")).alias("note_path"), "content")
+    store.write_notes(notes, folder)
+    return folder
+
+
+@query
+def note_files(spark: SparkSession, d: str) -> DataFrame:
+    """Items written as files and read back."""
+    folder = _written(spark, d, "note-files")
+    return store.parse(store.read_documents(spark, folder, "notes/"), _clock()).select(F.col("doc").alias("note_path"), *_STORED[1:])
+
+
+@query
+def note_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of some documents only."""
+    wanted = table(spark, d, "supplier").select(F.concat(F.lit("lib/doc "), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("doc"))
+    return store.read_record(store.generate(_items(spark, d)), wanted, _clock()).select("doc", "page_key", "text_content")
+
+
+@query
+def note_map(spark: SparkSession, d: str) -> DataFrame:
+    """The path map of note files, by their front matter."""
+    folder = _written(spark, d, "note-map")
+    return store.corpus_map(store.read_documents(spark, folder), _items(spark, d).select(F.col("doc").alias("path")))
+
+
+@query
+def old_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the two older formats: tables with metadata as plain or coded JSON, escaped pipes and line ends."""
+    k = F.col("doc_id")
+    meta = F.concat(F.lit('{"r":{"l":0.25,"t":0.5,"w":0.125,"h":'), F.when(k % 11 == 0, "0").otherwise("0.0625"), F.lit('},"page":'), (1 + k % 4).cast("string"), F.lit(',"fontSize":'), (8 + k % 5).cast("string"), F.lit('}'))
+    coded = F.concat(F.lit("PDF_TRANSLATOR_METADATA:"), F.regexp_replace(F.base64(F.encode(meta, "UTF-8")), r"\s", ""))
+    cell = F.concat(F.lit("<!-- "), F.when(k % 2 == 0, meta).otherwise(coded), F.lit(" --> "), F.col("source"), F.lit(" \\| x"))
+    row = F.concat(F.lit("| "), cell, F.lit(" | "), F.col("lang"), F.lit("\\nend |"))
+    content = F.concat(F.lit("---\nversion: "), F.when(k % 2 == 0, "1").otherwise("2"), F.lit("\n---\n## Page "), (1 + k % 3).cast("string"), F.lit("\n| gone | gone |\n## Page "), (1 + k % 3).cast("string"), F.lit("\n"), row, F.lit("\n"))
+    notes = table(spark, d, "documents").select(F.concat(F.lit("d"), k.cast("string")).alias("doc"), content.alias("content"))
+    return store.parse(notes, _clock()).select("doc", "page_key", "page", "text_content", "translated_text", "rel_left", "rel_height", "font_size")
+
+
+@query
+def source_links(spark: SparkSession, d: str) -> DataFrame:
+    """Notes whose link is mended: some have one, some have front matter without, some have none."""
+    k = F.col("doc_id")
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\npdf-source: not here"))
+    head = F.when(k % 3 == 0, "---\nx: 1\npdf-source: '[[old.pdf]]'\n---\n").when(k % 3 == 1, "---\nx: 1\n---\n").otherwise("")
+    return table(spark, d, "documents").select("doc_id", store.source_link(F.concat(head, body), F.concat(F.lit("new "), k.cast("string"), F.lit(".pdf"))).alias("content"))
+
+
+@query
+def note_times(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    text = F.when(F.col("event_id") % 10 == 0, "never").otherwise(T.iso_time(ts))
+    return table(spark, d, "events").select("event_id", T.iso_time(ts).alias("iso"), F.unix_millis(T.parse_time(text, _clock())).alias("ms"))
 
 
 @query
@@ -284,11 +432,89 @@ def path_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def translate_job(spark: SparkSession, d: str) -> DataFrame:
+def note_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their notes; every third has none."""
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("lib/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"))
+    known = files.filter("doc_id % 3 <> 0").select(F.col("path").alias("pdf_path"), T.note_path(F.lit("n"), F.col("path")).alias("note_path"))
+    return store.find_notes(known, files)
+
+
+@query
+def file_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Notes back to their files; numbers beyond the documents' have none."""
+    known = table(spark, d, "documents").select(F.concat(F.lit("lib/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_path")).withColumn("note_path", T.note_path(F.lit("n"), F.col("pdf_path")))
+    notes = table(spark, d, "customer").select(F.concat(F.lit("n/"), (F.col("c_custkey") * 3).cast("string"), F.lit(".translations.md")).alias("note_path"))
+    return store.find_files(known, notes)
+
+
+def _conversation_units(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     ord_ = F.row_number().over(w) - 1
-    own = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), ord_.alias("ord"), F.concat(F.lit("u"), ord_.cast("string")).alias("unit_id"), F.lit("para-0").alias("paragraph_id"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
-    return translate.translate_units(own, translate.stub, TextSettings()).select("doc_id", "page", "ord", "original", "final")
+    return table(spark, d, "conversations").select((F.col("conv_id") % 40).alias("doc_id"), (F.floor(F.col("conv_id") / 40) + 1).cast("int").alias("page"), ord_.alias("ord"), F.concat(F.lit("u"), ord_.cast("string")).alias("unit_id"), F.lit("para-0").alias("paragraph_id"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
+
+
+@query
+def translate_job(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as one request, in chunks where they are long, or unit by unit where they have one."""
+    return translate.translate_units(_conversation_units(spark, d), translate.stub, TextSettings(budget=1500)).select("doc_id", "page", "ord", "mode", "original", "final")
+
+
+def two_lines(system: str, user: str) -> str:
+    """A reply of two lines; none for some requests."""
+    if len(user) % 4 == 0:
+        raise ValueError("not this one")
+    return f"{user}\nand so on"
+
+
+@query
+def unit_job(spark: SparkSession, d: str) -> DataFrame:
+    """Units one by one: a reply is a line however many it has; what fails is missing and keeps its text."""
+    found = translate.translate_units(_conversation_units(spark, d), two_lines, TextSettings(batch=False, attempts=1, single_limit=200))
+    return found.select("doc_id", "page", "ord", "line", "final")
+
+
+def not_at_once(system: str, user: str) -> str:
+    """Fails for some requests whenever they are tried."""
+    if len(user) % 5 == 0:
+        raise ValueError("not this one")
+    return translate.stub(system, user)
+
+
+def _page_job(spark: SparkSession, d: str) -> DataFrame:
+    quick = translate.JobSettings(tries=2, pause=0.0)
+    return translate.page_job(_conversation_units(spark, d), not_at_once, 1, 3, TextSettings(budget=1500, attempts=1), quick)
+
+
+@query
+def page_range_job(spark: SparkSession, d: str) -> DataFrame:
+    return translate.job_status(_page_job(spark, d))
+
+
+@query
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    return translate.job_progress(translate.job_status(_page_job(spark, d)))
+
+
+@query
+def region_job(spark: SparkSession, d: str) -> DataFrame:
+    """A region of every page anew: its spans selected, laid out, translated, and put in place of the stored items that they touch."""
+    spans = _spans(spark, d)
+    pages = spans.select("doc_id", "page").distinct()
+    x, y = 40.0 + F.col("doc_id") % 300, 50.0 + F.col("page") * 37 % 400
+    chosen = pages.select("doc_id", "page", x.alias("sel_left"), y.alias("sel_top"), (x + F.col("doc_id") % 7 * 60).alias("sel_right"), (y + 120).alias("sel_bottom"))
+    found = units.page_units(viewer.select_spans(spans, chosen), PAGE)
+    fresh = translate.region_items(translate.translate_units(found, translate.stub), found, PAGE.right - PAGE.left, PAGE.bottom - PAGE.top)
+    boxes = layout.paragraph_boxes(layout.initial_paragraphs(spans))
+    old = boxes.select("doc_id", "page", (F.col("para_id") + 1000).alias("ord"), *[v.alias(k) for k, v in G.relative(G.Rect.of(), PAGE).items()])
+    names = ("doc_id", "page", "ord", "rel_left", "rel_top", "rel_width", "rel_height")
+    both = old.select(*names, F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_new")).unionByName(fresh.select(*names, F.col("translated_text").alias("text"), F.lit(True).alias("is_new")))
+    return _rounded(store.renewed(both, "is_new", "doc_id", "page"), *names[3:])
+
+
+@query
+def provider_answers(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("content")).alias("message"))).alias("choices")))
+    return table(spark, d, "conversations").select("conv_id", "turn", translate.plain_answer(reply, translate.ANSWER_PATHS["hosted"]).alias("answer"))
 
 
 @query
@@ -299,24 +525,39 @@ def debounced_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_paths(spark: SparkSession, d: str) -> DataFrame:
-    def key(shift: int) -> F.Column:
+    def key(shift: int) -> Column:
         return F.concat(F.lit("p"), ((F.col("user_id") + shift) % 500).cast("string"))
 
     op = F.when(F.col("event_type") == "click", "delete").when(F.col("event_type") == "view", "rename").otherwise("upsert")
     return changes.latest_paths(table(spark, d, "events").select(key(0).alias("path"), key(1).alias("old_path"), F.col("event_id").alias("ts"), op.alias("op")))
 
 
+@query
+def moved_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes after every fourth file got another name, without every seventh note, which was deleted."""
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("lib/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_path"))
+    known = files.select("doc_id", "pdf_path", T.note_path(F.lit("n"), F.col("pdf_path")).alias("note_path"))
+    renames = files.filter("doc_id % 4 = 0").select(F.col("pdf_path").alias("old_path"), F.concat(F.lit("new/x"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.col("doc_id").alias("ts"))
+    left = changes.drop_notes(known, known.filter("doc_id % 7 = 0"))
+    return changes.move_notes(left, renames, "n")
+
+
 @query
 def streamed_store(spark: SparkSession, d: str) -> DataFrame:
-    """Page rows of the conversations, applied as a stream to the store."""
+    """Page rows of events as a stream of several batches: later writes replace pages, some pages go, the store is compacted midway."""
     source, target, mark = (fresh_path(spark, x) for x in ("stream-source", "stream-store", "stream-mark"))
-    rows = table(spark, d, "conversations").select(
-        F.concat(F.lit("doc"), F.col("conv_id").cast("string")).alias("doc"), F.lit("1").alias("page_key"), F.col("turn").cast("int").alias("ord"), F.lit(1).alias("page"), F.col("role").alias("text_content"), F.col("text").alias("translated_text"),
-        *[F.lit(0.5).alias(f"rel_{x}") for x in ("left", "top", "width", "height")], F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_family"), F.array(F.lit(10.0)).alias("original_font_sizes"), F.lit("2024-01-02").cast("timestamp").alias("ts"),
+    k, write = F.col("event_id"), F.floor(F.col("event_id") / 40)
+    seconds = (write * 7 % 1009).cast("long")
+    rows = table(spark, d, "events").select(
+        F.concat(F.lit("doc"), (write % 30).cast("string")).alias("doc"), (k % 4 + 1).cast("string").alias("page_key"), (F.floor(k / 4) % 10).cast("int").alias("ord"), (k % 4 + 1).cast("int").alias("page"), F.when((write + k % 4) % 9 > 0, F.col("event_type")).alias("text_content"), k.cast("string").alias("translated_text"),
+        *[F.lit(0.5).alias(f"rel_{x}") for x in ("left", "top", "width", "height")], F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_family"), F.array(F.lit(10.0)).alias("original_font_sizes"), F.timestamp_seconds(seconds).alias("ts"), F.pmod(write, F.lit(4)).alias("file"),
     )
-    rows.write.parquet(source)
-    changes.keep_store(spark.readStream.schema(rows.schema).parquet(source), target, mark).awaitTermination()
-    return spark.read.parquet(f"{target}/version=0").select("doc", "page_key", "ord", "text_content", "translated_text")
+    for part in range(4):  # a file is a batch; writes are dealt over them out of order
+        rows.filter(F.col("file") == part).drop("file").write.mode("append").parquet(source)
+        changes.keep_store(spark.readStream.schema(rows.drop("file").schema).parquet(source), target, mark, 4).awaitTermination()
+        if part == 1:
+            changes.compact(spark, target)
+    return changes.read_store(spark, target).select("doc", "page_key", "ord", "text_content", "translated_text")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -370,3 +611,65 @@ def position_read_back(spark: SparkSession, d: str) -> DataFrame:
     layer = {f"layer_{k}": F.lit(v) for k, v in (("left", 10.0), ("top", 20.0), ("right", 622.0), ("bottom", 812.0))}
     found = viewer.read_back(_spans(spark, d, False).withColumns({"font_sizes": sizes, **layer}), 1.25)
     return found.select("doc_id", "span_id", *[F.round(c, 4).alias(c) for c in ("rel_left", "rel_top", "rel_width", "rel_height", "font_size")], F.size("original_font_sizes").alias("n_sizes"))
+
+
+@query
+def position_read_back_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The variant without mean sizes, with the items' own families."""
+    layer = {f"layer_{k}": F.lit(v) for k, v in (("left", 10.0), ("top", 20.0), ("right", 622.0), ("bottom", 812.0))}
+    shown = _spans(spark, d, False).withColumns({"font_sizes": F.concat(F.lit("["), F.col("height"), F.lit("]")), "style_family": F.when(F.col("span_id") % 2 == 0, F.lit("")).otherwise(F.col("font_family")), **layer})
+    found = viewer.read_back(shown, 2.0, False)
+    return found.select("doc_id", "span_id", F.round("rel_left", 4).alias("rel_left"), F.element_at("original_font_sizes", 1).alias("first_size"), "font_family")
+
+
+@query
+def selected_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A box on every page, on some of them no larger than a click."""
+    spans = _spans(spark, d)
+    side = F.when(F.col("doc_id") % 6 == 0, 5.0).otherwise(100.0 + F.col("doc_id") % 50)
+    boxes = spans.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(300.0).alias("sel_left"), F.lit(71.0).alias("sel_top"), (300.0 + side).alias("sel_right"), (71.0 + side).alias("sel_bottom"))
+    return viewer.select_spans(spans, boxes).select("doc_id", "page", "span_id")
+
+
+@query
+def absolute_rects(spark: SparkSession, d: str) -> DataFrame:
+    r = G.relative(G.Rect.of(), PAGE)
+    page = Page(10.0, 20.0, 1010.0, 1420.0)
+    found = G.absolute(page, r["rel_left"], r["rel_top"], r["rel_width"], r["rel_height"])
+    return _spans(spark, d, False).select("doc_id", "span_id", *[F.round(v, 4).alias(k) for k, v in found.items()], G.line_height_choice(F.col("font_size") / 7).alias("shown_line"))
+
+
+@query
+def rect_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Each span with the one before it on its page, made wider: does it hold it, do they cross, how much do they share."""
+    w = W.partitionBy("doc_id", "page").orderBy("span_id")
+    placed = _spans(spark, d).withColumns({"p_left": F.lag("left").over(w) - 30, "p_top": F.lag("top").over(w), "p_right": F.lag("right").over(w) + 40, "p_bottom": F.lag("bottom").over(w) + 16.5}).filter("p_left is not null")
+    a, b = G.Rect.of("p_"), G.Rect.of()
+    return placed.select("doc_id", "span_id", a.contains(b).alias("holds"), a.intersects(b).alias("crosses"), F.round(a.common_area(b), 4).alias("shared"))
+
+
+@query
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Typed columns at a device pixel ratio of 2."""
+    found = S.snapshot(_spans(spark, d, False), 2.0)
+    return found.select("doc_id", "span_id", "left", "height", "font_size", "weight", F.array_join(F.transform("rgb", lambda x: x.cast("string")), ",").alias("rgb"), "is_math", "math_context", "style_sig")
+
+
+@query
+def preset_by_id(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("settings"), F.lit("a").alias("created_at"), F.lit("b").alias("updated_at"))
+    return viewer.preset(stored, "17")
+
+
+@query
+def target_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Target languages with how many documents have them already."""
+    names = spark.createDataFrame(viewer.target_languages(), "lang string, lang_name string")
+    return names.join(table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "left").select("lang", "lang_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def forced_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """First paragraphs where styles don't matter."""
+    found = layout.initial_paragraphs(_spans(spark, d), LayoutSettings(linear=True))
+    return found.groupBy("doc_id", "page").agg((F.max("para_id") + 1).alias("n_paragraphs"))

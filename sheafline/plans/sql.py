@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sheafline.schema import LANGUAGES, MATH_CHAR
+
 SPANS = """
 lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents),
 cut AS (SELECT doc_id, lang, ln, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws FROM lines),
@@ -15,7 +17,6 @@ boxes AS (
     CASE WHEN (doc_id + ln) % 7 = 0 THEN 'italic' ELSE 'normal' END AS font_style, CASE WHEN doc_id % 5 = 0 THEN 'Mono' ELSE 'Serif' END AS font_family, 'rgb(0, 0, 0)' AS color FROM slots),
 spans AS (SELECT *, "left" + width AS "right", top + height AS bottom FROM boxes)"""
 
-MATH_CHAR = r"[=+\-−×÷√∫∑∏∞Δαβγδθλμρστφψω±≤≥≠≈≡%‰∀∃∈∋∩∪⊂⊃⊆⊇⊕⊗⊥⇒⇔→←↑↓↔∴≅⊢⊨]|[\x{0370}-\x{03FF}\x{2070}-\x{209F}]"
 VALID = r"""width > 1 AND height > 1 AND length(t) > 0 AND NOT regexp_matches(t, '^[0-9]{1,3}$') AND NOT regexp_matches(t, '^[•\-»«]$') AND NOT starts_with(t, 'http')"""
 TRIM = r"regexp_replace({}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
 
@@ -59,30 +60,33 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (doc_id % 256) || ',2,3' WHEN 1 THEN
   'Serif|' || printf('%.1f', floor((8 + doc_id % 10 * 0.3::DOUBLE) * 2 + 0.5) / 2) || '|' || CASE weight WHEN 'bold' THEN '700' WHEN '550' THEN '550' ELSE '400' END || '|normal|' ||
   CASE doc_id % 4 WHEN 0 THEN (doc_id % 256) || ',2,3' WHEN 1 THEN '170,187,204' WHEN 2 THEN '10,11,12' ELSE '0,0,0' END AS style_sig FROM c"""
 SQL["html_escape"] = f"SELECT doc_id, {ESCAPED} AS escaped FROM documents"
-SQL["html_to_text"] = "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', chr(39)), '&amp;', '&') AS plain FROM pages"
+SQL["html_to_text"] = "SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', chr(39)), '&amp;', '&') AS plain FROM pages"
 SQL["relative_rects"] = f"""WITH {SPANS} SELECT doc_id, span_id, round("left" / 612, 4) AS rel_left, round(top / 792, 4) AS rel_top, round(width / 612, 4) AS rel_width, round(height / 792, 4) AS rel_height,
   greatest(0.0, least("left" - 60, 612 - width)) AS in_left, greatest(0.0, least(top * 1.2, 792 - height)) AS in_top FROM spans"""
 SQL["overlay_fonts"] = f"""WITH {PARAS} SELECT doc_id, page, para_id::INT AS para_id, avg(font_size) AS mean_size, avg(font_size) * 0.95 * 1.5 AS shown_size, least(greatest(avg(font_size) * 0.95 * 1.5, 6.0), 72.0) AS clamped FROM paras GROUP BY ALL"""
 SQL["template_fill"] = "SELECT conv_id, turn, 'From ' || coalesce(role, '') || ': ' || substr(text, 1, 3000) || ' [' || role || ']' AS prompt, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM conversations"
 SQL["json_paths"] = r"""SELECT event_id, json_extract_string(props, '$.k') AS k, replace(replace(props, '\', '\\'), '"', '\"') AS escaped FROM events"""
 SQL["lang_name"] = "SELECT lang, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE lang END AS lang_name, count(*) AS n FROM documents GROUP BY lang"
-SQL["links_and_paths"] = "SELECT doc_id, 'lib/' || source || '/doc ' || doc_id || '.pdf' AS link, 'notes/doc ' || doc_id || '.translations.md' AS note_path, 'a/b/c' AS folder FROM documents"
+SQL["links_and_paths"] = "SELECT doc_id, 'lib/' || source || '/doc ' || doc_id || '.pdf' AS link, 'notes/doc ' || doc_id || '.translations.md' AS note_path, 'a/b/c/' AS folder FROM documents"
 SQL["base64_metadata"] = "SELECT doc_id, text AS decoded FROM documents"
 SQL["sentence_ends"] = f"WITH {SPANS} SELECT doc_id, count(*) FILTER (regexp_matches({trim('text')}, '[.?!]\\s*$')) AS n_plain, count(*) FILTER (regexp_matches({trim('text')} || '</b></i>', '[.?!](\\s*</[bi]>)*\\s*$')) AS n_html FROM spans GROUP BY doc_id"
 SQL["initial_paragraphs"] = f"WITH {PARAS} SELECT doc_id, page, span_id, para_id::INT AS para_id FROM paras"
-SQL["paragraph_box"] = f'WITH {PARAS} SELECT doc_id, page, para_id::INT AS para_id, count(*) AS n_spans, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, avg(font_size) AS avg_font_size, min_by(font_family, span_id) AS font_family FROM paras GROUP BY ALL'
+SQL["paragraph_box"] = f"""WITH {PARAS} SELECT doc_id, page, para_id::INT AS para_id, count(*) AS n_spans, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, avg(font_size) AS avg_font_size,
+  first(font_family ORDER BY top, "left", span_id) AS font_family, string_agg(font_size::INT::VARCHAR, ',' ORDER BY top, "left", span_id) AS font_sizes FROM paras GROUP BY ALL"""
 SQL["text_line_height"] = f"WITH {SPANS} SELECT doc_id, page, coalesce(median(height) FILTER (height > 3), 15.0) AS line FROM spans GROUP BY ALL"
-SQL["line_height"] = f"""WITH {PARAS}, g AS (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id, page, para_id ORDER BY top, "left", span_id) AS g FROM paras),
-k AS (SELECT *, CASE WHEN g > 0 AND g < 396 THEN g END AS gap FROM g),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap IS NULL, gap, span_id) - 1 AS rank, count(gap) OVER (PARTITION BY doc_id, page) AS n FROM k),
-a AS (SELECT doc_id, page, coalesce(avg(gap) FILTER (CASE WHEN n >= 5 THEN rank >= floor(n * 0.15) AND rank < n - floor(n * 0.15) ELSE n > 0 END), 0) AS mean_gap, median(font_size) AS font FROM n GROUP BY ALL)
-SELECT doc_id, page, round(greatest(mean_gap * 1.25, font * 1.6 * 0.8), 6) AS line_height FROM a"""
+_LINES = """
+lg AS (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id, page, para_id ORDER BY top, "left", span_id) AS g FROM paras),
+lk AS (SELECT *, CASE WHEN g > 0 AND g < 396 THEN g END AS gap FROM lg),
+lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap IS NULL, gap, span_id) - 1 AS rank, count(gap) OVER (PARTITION BY doc_id, page) AS n FROM lk),
+la AS (SELECT doc_id, page, coalesce(avg(gap) FILTER (n >= 5 AND rank >= floor(n * 0.15) AND rank < n - floor(n * 0.15)), 0) AS mean_gap, median(font_size) AS font FROM lr GROUP BY ALL),
+lh AS (SELECT doc_id, page, greatest(mean_gap * 1.25, font * 1.6 * 0.8) AS line_height FROM la)"""
+SQL["line_height"] = f"WITH {PARAS}, {_LINES} SELECT doc_id, page, round(line_height, 6) AS line_height FROM lh"
 SQL["column_chain"] = f"""WITH {PARAS}, x AS (SELECT doc_id, page, para_id, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, sum(bottom - top) AS h, count(*) AS n FROM paras GROUP BY ALL),
 y AS (SELECT *, CASE WHEN sum(h) OVER v / sum(n) OVER v > 0 THEN sum(h) OVER v / sum(n) OVER v * 2 ELSE 20 END AS lim, lag("left") OVER (PARTITION BY doc_id, page ORDER BY "left", para_id) AS pl FROM x WINDOW v AS (PARTITION BY doc_id, page)),
 z AS (SELECT *, sum(CASE WHEN abs("left" - pl) >= lim THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY "left", para_id) AS col_id FROM y),
 c AS (SELECT doc_id, page, col_id, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, count(*) AS n_paragraphs FROM z GROUP BY ALL)
 SELECT doc_id, page, col_id::INT AS col_id, "left", top, "right", bottom, n_paragraphs, col_id = 0 OR lead(col_id) OVER w IS NULL AS is_edge, ("right" + lead("left") OVER w) / 2 AS gap_x FROM c WINDOW w AS (PARTITION BY doc_id, page ORDER BY col_id)"""
-_GAPS = f"""{SPANS}, t AS (SELECT doc_id, page, greatest(6.0, coalesce(median(height) FILTER (height > 3), 15.0) * 0.75) AS step FROM spans GROUP BY ALL),
+_GAP_PARTS = """t AS (SELECT doc_id, page, greatest(6.0, coalesce(median(height) FILTER (height > 3), 15.0) * 0.75) AS step FROM spans GROUP BY ALL),
 bands AS (SELECT doc_id, page, step, unnest(range(ceil(792 / step)::INT)) AS band FROM t),
 hit AS (SELECT DISTINCT s.doc_id, s.page, band, "left", "right" FROM spans s JOIN bands b ON s.doc_id = b.doc_id AND s.page = b.page AND s.bottom > band * step AND s.top < least(792, band * step + step)),
 o AS (SELECT *, max("right") OVER (PARTITION BY doc_id, page, band ORDER BY "left", "right" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit),
@@ -92,6 +96,56 @@ inner_ AS (SELECT doc_id, page, band, greatest(coalesce(max("right") OVER (PARTI
 tail AS (SELECT doc_id, page, band, max("right") AS "left", 612.0 AS "right" FROM f GROUP BY ALL),
 gaps AS (SELECT * FROM inner_ WHERE "right" - "left" >= 2 UNION ALL SELECT * FROM tail WHERE "right" - "left" >= 2
   UNION ALL SELECT doc_id, page, band, 0.0, 612.0 FROM bands b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = b.doc_id AND f.page = b.page AND f.band = b.band))"""
+_GAPS = f"{SPANS}, {_GAP_PARTS}"
+# Gaps meet clusters one after the other, clusters become strips, strips meet the strip before them: three folds.
+_STRIP_PARTS = """
+tl AS (SELECT doc_id, page, coalesce(median(height) FILTER (height > 3), 15.0) AS line FROM spans GROUP BY ALL),
+gk AS MATERIALIZED (SELECT g.doc_id, g.page, row_number() OVER (PARTITION BY g.doc_id, g.page ORDER BY g.band, g."left") AS k, g.band * t.step AS y1, least(792.0, g.band * t.step + t.step) AS y2, g."left", g."right", (g."left" + g."right") / 2 AS c, line, greatest(4.0, line * 0.5) AS tol, t.step
+  FROM gaps g JOIN t USING (doc_id, page) JOIN tl USING (doc_id, page)),
+cr AS (SELECT doc_id, page, k, 1::BIGINT AS cl, [c] AS lasts FROM gk WHERE k = 1 UNION ALL
+  SELECT doc_id, page, k, cl, CASE WHEN cl <= len(lasts) THEN lasts[1 : cl - 1] || [c] || lasts[cl + 1 :] ELSE lasts || [c] END FROM (
+    SELECT gk.doc_id, gk.page, gk.k, gk.c, lasts, coalesce(nullif(list_position(list_transform(lasts, lambda x: abs(x - gk.c) <= gk.tol), true), 0), len(lasts) + 1)::BIGINT AS cl
+    FROM cr JOIN gk ON gk.doc_id = cr.doc_id AND gk.page = cr.page AND gk.k = cr.k + 1)),
+cs AS (SELECT doc_id, page, cl, line, median("left") AS l, median("right") AS r, min(y1) AS top, max(y2) AS bottom,
+    least(1, 0.5 * count(DISTINCT floor(y1 + 0.5)) / ceil(792 / step) + 0.25 * (1 - least(1, coalesce(stddev_samp("right" - "left"), 0) / greatest(1, median("right" - "left")))) + 0.25 * (1 - least(1, coalesce(stddev_samp(c), 0) / greatest(1, median(c))))) AS confidence
+  FROM cr JOIN gk USING (doc_id, page, k) GROUP BY doc_id, page, cl, line, step),
+cn AS MATERIALIZED (SELECT doc_id, page, l, r, top, bottom, confidence, row_number() OVER (PARTITION BY doc_id, page ORDER BY l + r, cl) AS n FROM cs WHERE bottom - top >= 1.5 * line AND confidence >= 0.6),
+cm AS (SELECT doc_id, page, n, 1::BIGINT AS sid, l, r, top, bottom, confidence FROM cn WHERE n = 1 UNION ALL
+  SELECT doc_id, page, n, CASE WHEN near THEN sid ELSE sid + 1 END, CASE WHEN near THEN least(l, l0) ELSE l END, CASE WHEN near THEN greatest(r, r0) ELSE r END, CASE WHEN near THEN least(top, top0) ELSE top END,
+    CASE WHEN near THEN greatest(bottom, bottom0) ELSE bottom END, CASE WHEN near THEN greatest(confidence, c0) ELSE confidence END FROM (
+    SELECT cn.*, cm.sid, cm.l AS l0, cm.r AS r0, cm.top AS top0, cm.bottom AS bottom0, cm.confidence AS c0, abs((cn.l + cn.r) / 2 - (cm.l + cm.r) / 2) <= 3 AND cn.top < cm.bottom AND cn.bottom > cm.top AS near
+    FROM cm JOIN cn ON cn.doc_id = cm.doc_id AND cn.page = cm.page AND cn.n = cm.n + 1)),
+strips AS (SELECT doc_id, page, l AS "left", r AS "right", top, bottom, confidence FROM cm QUALIFY row_number() OVER (PARTITION BY doc_id, page, sid ORDER BY n DESC) = 1)"""
+_STRIPS = f"WITH RECURSIVE {_GAPS}, {_STRIP_PARTS}"
+SQL["vertical_strips"] = f'{_STRIPS} SELECT doc_id, page, "left", "right", top, bottom, round(confidence, 6) AS confidence FROM strips WHERE confidence >= 0.7 AND "right" - "left" >= 4'
+SQL["split_strips"] = f'{_STRIPS} SELECT doc_id, page, "left", "right", top, bottom, round(confidence, 6) AS confidence FROM strips WHERE confidence >= 0.7 AND "right" - "left" >= 6 AND bottom - top >= 12'
+_BANDS = f"""WITH RECURSIVE {PARAS}, {_LINES}, {_GAP_PARTS}, {_STRIP_PARTS},
+be AS (SELECT doc_id, page, min(top) AS a, max(bottom) AS b, line_height FROM strips JOIN lh USING (doc_id, page) WHERE confidence >= 0.7 AND "right" - "left" >= 4 GROUP BY ALL),
+bb AS (SELECT doc_id, page, a, b, a > line_height * 0.75 AS above, b < 792 - line_height * 0.75 AS below, b <= a + greatest(2, line_height * 0.2) AS one FROM be),
+bm AS (SELECT doc_id, page, 0.0::DOUBLE AS y, CASE WHEN below AND one THEN 792.0 ELSE a END::DOUBLE AS height FROM bb WHERE above UNION ALL SELECT doc_id, page, b, 792.0 - b FROM bb WHERE below AND NOT (above AND one))"""
+SQL["layout_bands"] = f"{_BANDS} SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y) - 1)::INT AS band_id, round(y, 6) AS y, round(height, 6) AS height, 0.8::DOUBLE AS confidence FROM bm"
+SQL["inferred_bands"] = f"{_BANDS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y)::INT AS band_id, round(y, 6) AS y, round(height, 6) AS height, 0.8::DOUBLE AS confidence FROM bm"
+SQL["page_segments"] = f"""WITH RECURSIVE {SPANS}, tl AS (SELECT doc_id, page, coalesce(median(height) FILTER (height > 3), 15.0) AS line FROM spans GROUP BY ALL),
+ys AS (SELECT doc_id, page, line, unnest(range(ceil(792 / greatest(5.0, 0.5 * line))::INT)) * greatest(5.0, 0.5 * line) AS y FROM tl),
+sm AS (SELECT y.doc_id, y.page, y.line, y.y, list_sort(list(DISTINCT s."left")) AS ls, min(s."left") AS l, max(s."right") AS r FROM ys y JOIN spans s ON s.doc_id = y.doc_id AND s.page = y.page AND s.top <= y.y AND s.bottom >= y.y GROUP BY ALL),
+pt AS MATERIALIZED (SELECT doc_id, page, line, y, l, r, list_reduce(list_transform(ls, lambda x: {{'n': 1::BIGINT, 'v': x}}), lambda a, x: CASE WHEN x.v - a.v > 2 * line THEN {{'n': a.n + 1, 'v': x.v}} ELSE a END).n AS cols, row_number() OVER (PARTITION BY doc_id, page ORDER BY y) AS k FROM sm),
+ch AS (SELECT doc_id, page, k, true AS turn, 0.0::DOUBLE AS since, y, l, r, cols FROM pt WHERE k = 1 UNION ALL
+  SELECT doc_id, page, k, turn, y0, CASE WHEN turn THEN y ELSE y0 END, CASE WHEN turn THEN l ELSE l0 END, CASE WHEN turn THEN r ELSE r0 END, CASE WHEN turn THEN cols ELSE cols0 END FROM (
+    SELECT pt.*, ch.y AS y0, ch.l AS l0, ch.r AS r0, ch.cols AS cols0, pt.cols <> ch.cols OR abs(pt.l - ch.l) > 4 * line OR abs(pt.r - ch.r) > 4 * line AS turn FROM ch JOIN pt ON pt.doc_id = ch.doc_id AND pt.page = ch.page AND pt.k = ch.k + 1)),
+sg AS MATERIALIZED (SELECT doc_id, page, row_number() OVER w AS k, since AS a, CASE WHEN lead(k) OVER w IS NULL THEN 792.0 ELSE y END AS b, l, r, cols FROM ch WHERE turn WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)),
+jo AS (SELECT doc_id, page, k, 1::BIGINT AS gid, a, b, l, r, cols FROM sg WHERE k = 1 UNION ALL
+  SELECT doc_id, page, k, CASE WHEN own THEN gid ELSE gid + 1 END, CASE WHEN own THEN a0 ELSE a END, b, CASE WHEN own THEN least(l, l0) ELSE l END, CASE WHEN own THEN greatest(r, r0) ELSE r END, CASE WHEN own THEN cols0 ELSE cols END FROM (
+    SELECT sg.*, jo.gid, jo.a AS a0, jo.l AS l0, jo.r AS r0, jo.cols AS cols0, jo.b - jo.a < 2 * line OR sg.cols = jo.cols AS own FROM jo JOIN sg ON sg.doc_id = jo.doc_id AND sg.page = jo.page AND sg.k = jo.k + 1 JOIN tl ON tl.doc_id = jo.doc_id AND tl.page = jo.page)),
+fi AS (SELECT jo.*, line, least(line * 0.5, (b - a) * 0.1) AS room FROM jo JOIN tl USING (doc_id, page) QUALIFY row_number() OVER (PARTITION BY doc_id, page, gid ORDER BY k DESC) = 1),
+ok AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY gid) - 1)::INT AS segment, greatest(0, a - room) AS top, least(792, b + room) AS bottom, l AS "left", r AS "right", cols::INT AS columns FROM fi WHERE b - a > 2 * line),
+al AS (SELECT * FROM ok UNION ALL SELECT doc_id, page, 0, 0, 792, 0, 612, 1 FROM tl WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = tl.doc_id AND ok.page = tl.page))
+SELECT doc_id, page, segment, round(top, 6) AS top, round(bottom, 6) AS bottom, "left", "right", columns FROM al"""
+SQL["occupied_intervals"] = f'WITH {_GAPS} SELECT doc_id, page, band::INT AS band, island::INT AS island, "left", "right" FROM f'
+SQL["given_bands"] = f"WITH {SPANS} SELECT doc_id, page, count(*) AS n, min(top) AS first_y FROM spans WHERE 0.4 + font_size / 50 >= 0.6 GROUP BY ALL"
+SQL["page_gutters"] = f"""WITH {SPANS}, g AS (SELECT doc_id, page, top, max(bottom) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans)
+SELECT doc_id, page, (reach + top) / 2 - 12 * 0.2::DOUBLE / 2 AS y, 12 * 0.2::DOUBLE AS height, 0.95::DOUBLE AS confidence FROM g WHERE top - reach >= 18"""
+SQL["trivial_segments"] = f'WITH {SPANS} SELECT DISTINCT doc_id, page, 0 AS segment, 0.0::DOUBLE AS top, 792.0::DOUBLE AS bottom, 0.0::DOUBLE AS "left", 612.0::DOUBLE AS "right", 1 AS columns FROM spans'
+SQL["forced_paragraphs"] = f"WITH {PARAS} SELECT doc_id, page, max(para_id)::INT + 1 AS n_paragraphs FROM paras GROUP BY ALL".replace("font_family = p_family AND abs(font_size - p_size) <= 1 AND abs(font_weight - p_weight) <= 300 AND (", "(")
 SQL["occupancy_gaps"] = f'WITH {_GAPS} SELECT doc_id, page, band::INT AS band, "left", "right" FROM gaps'
 SQL["band_merge"] = f"""WITH {SPANS}, b AS (SELECT DISTINCT doc_id, page, top AS y, height, 0.5 + font_size / 50 AS confidence FROM spans),
 o AS (SELECT *, max(y + height) OVER (PARTITION BY doc_id, page ORDER BY y, height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
@@ -102,27 +156,77 @@ SELECT * FROM (SELECT doc_id, page, row_number() OVER w AS col, coalesce(lag(x)
 SQL["rich_lines"] = f"WITH {PARAS}, {RICH} SELECT doc_id, page, para_id::INT AS para_id, html FROM r"
 SQL["sentence_groups"] = f"""WITH {PARAS}, e AS (SELECT *, lag(CASE WHEN regexp_matches({trim("text")}, '[.?!]\\s*$') THEN 1 ELSE 0 END) OVER w AS cut FROM paras WINDOW w AS (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id))
 SELECT doc_id, page, para_id::INT AS para_id, span_id, sum(coalesce(cut, 0)) OVER (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id)::INT AS sentence FROM e"""
-SQL["translation_units"] = f"""WITH {PARAS}, {RICH}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_id) - 1 AS ord FROM r WHERE length(html) > 5)
-SELECT doc_id, page, ord::INT AS ord, 'para-' || para_id::INT AS unit_id, html AS text FROM k"""
-SQL["translation_modes"] = """SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars, CASE WHEN count(*) > 1 AND sum(length(text)) > 1500 THEN 'chunked' WHEN count(*) > 1 THEN 'batch' ELSE 'single' END AS mode FROM conversations GROUP BY conv_id"""
+SQL["translation_units"] = f"""WITH {PARAS}, {RICH},
+se AS (SELECT *, lag(CASE WHEN regexp_matches({trim("text")}, '[.?!]\\s*$') THEN 1 ELSE 0 END) OVER w AS cut FROM h WINDOW w AS (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id)),
+sn AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id) AS sentence FROM se),
+sl AS (SELECT doc_id, page, para_id, sentence, line, string_agg(html, ' ' ORDER BY "left", span_id) AS html FROM sn GROUP BY ALL),
+sr AS (SELECT doc_id, page, para_id, sentence, string_agg(html, '<br>' ORDER BY line) AS html FROM sl GROUP BY ALL),
+un AS (SELECT doc_id, page, para_id, 0 AS part, 'para-' || para_id::INT AS unit_id, html FROM r WHERE length(html) <= 400
+  UNION ALL SELECT sr.doc_id, sr.page, sr.para_id, sentence, 'para-' || sr.para_id::INT || '-sent-' || sentence::INT, sr.html FROM sr JOIN r USING (doc_id, page, para_id) WHERE length(r.html) > 400)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY para_id, part) - 1)::INT AS ord, unit_id, html AS text FROM un WHERE length(html) > 5"""
+SQL["translation_modes"] = """WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '. ' || text AS line FROM conversations),
+m AS (SELECT conv_id, count(*) AS n, sum(length(line))::BIGINT + count(*) - 1 AS chars FROM u GROUP BY conv_id)
+SELECT *, CASE WHEN n > 1 AND chars > 1500 THEN 'chunked' WHEN n > 1 THEN 'batch' ELSE 'single' END AS mode FROM m"""
+# A pointer walks over the units: it puts one into the chunk, or closes the chunk, and may step back to the unit that moves on.
+SQL["unit_packing"] = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, length(text) AS size, {trim("text")} LIKE '%<br>' OR regexp_matches({trim("text")}, '[.?!](\\s*</[bi]>)*\\s*$') AS ends FROM conversations),
+w AS (SELECT conv_id, 0::BIGINT AS step, 0::BIGINT AS i, 0::BIGINT AS chunk, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS placed FROM u WHERE i = 0 UNION ALL
+  SELECT conv_id, step + 1, CASE WHEN NOT closes THEN i + 1 WHEN n > 1 AND NOT before THEN i - 1 ELSE i END, CASE WHEN closes THEN chunk + 1 ELSE chunk END, CASE WHEN closes THEN 0 ELSE n + 1 END, CASE WHEN closes THEN 0 ELSE used + own END, CASE WHEN closes THEN NULL ELSE i END FROM (
+    SELECT w.*, length((n + 1)::VARCHAR) + 3 + u.size AS own, used > 0 AND used + length((n + 1)::VARCHAR) + 3 + u.size > 1500 AS closes, p.ends AS before FROM w JOIN u ON u.conv_id = w.conv_id AND u.i = w.i LEFT JOIN u p ON p.conv_id = w.conv_id AND p.i = w.i - 1)),
+f AS (SELECT conv_id, placed, chunk FROM w WHERE placed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, placed ORDER BY step DESC) = 1)
+SELECT f.conv_id, chunk::INT AS chunk_id, (row_number() OVER (PARTITION BY f.conv_id, chunk ORDER BY placed) - 1)::INT AS ord_in_chunk, turn AS ord FROM f JOIN u ON u.conv_id = f.conv_id AND u.i = f.placed"""
 _REPLY = """t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, replace(text, chr(10), ' ') AS original, (conv_id + turn) % 3 = 0 AS lost FROM conversations),
 l AS (SELECT conv_id, ord, original, CASE WHEN lost THEN 'Translation missing' ELSE trim(original) END AS line, count(*) OVER (PARTITION BY conv_id) AS n, sum(CASE WHEN lost THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS gone FROM t)"""
-SQL["numbered_reply"] = f"WITH {_REPLY} SELECT conv_id, ord::INT AS ord, line FROM l WHERE n - gone >= 0.5 * n"
+SQL["numbered_reply"] = f"""WITH {_REPLY},
+k AS (SELECT conv_id, count(*) AS n, count(*) FILTER (NOT lost) + CASE conv_id % 5 WHEN 2 THEN 1 ELSE 0 END AS found, coalesce(list({trim("original")} ORDER BY ord) FILTER (NOT lost), []) || CASE conv_id % 5 WHEN 2 THEN ['again'] ELSE [] END AS plain FROM t GROUP BY conv_id),
+c AS (SELECT t.conv_id, ord, lost, {trim("original")} AS own, k.n, CASE k.conv_id % 5 WHEN 1 THEN 0 ELSE found END < 0.5 * k.n AS few, CASE WHEN len(plain) = 0 THEN [''] ELSE plain END AS plain FROM t JOIN k USING (conv_id))
+SELECT conv_id, ord::INT AS ord, CASE WHEN few AND ord < len(plain) THEN plain[ord + 1] WHEN conv_id % 5 = 2 AND ord = 0 THEN 'again' WHEN conv_id % 5 = 1 OR lost THEN 'Translation missing' ELSE own END AS line FROM c"""
+SQL["line_count_check"] = f"""WITH {_REPLY}, a AS (SELECT conv_id, count(*) AS n_units, nullif(count(*) FILTER (NOT lost OR conv_id % 2 = 0), 0) AS n_lines FROM t GROUP BY conv_id) SELECT * FROM a WHERE n_units <> coalesce(n_lines, 0)"""
 SQL["fallback_fill"] = f"WITH {_REPLY} SELECT conv_id, ord::INT AS ord, CASE WHEN (n > 1 AND gone > 0.5 * n) OR line = 'Translation missing' THEN original ELSE line END AS final FROM l"
 SQL["reassemble"] = "SELECT conv_id, 'para-' || turn // 3 AS paragraph_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_units FROM conversations GROUP BY ALL"
 SQL["region_replace"] = f"""WITH {PARAS}, b AS (SELECT doc_id, page, para_id, min("left") / 612 AS l, min(top) / 792 AS t, (max("right") - min("left")) / 612 AS w, (max(bottom) - min(top)) / 792 AS h FROM paras GROUP BY ALL),
 n AS (SELECT * FROM b WHERE para_id % 5 = 0), o AS (SELECT * FROM b WHERE para_id % 5 <> 0),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.page = o.page AND o.l <= n.l + n.w + 1e-5 AND o.l + o.w >= n.l - 1e-5 AND o.t <= n.t + n.h + 1e-5 AND o.t + o.h >= n.t - 1e-5))
 SELECT doc_id, page, para_id::INT AS para_id, round(l, 6) AS rel_left, round(t, 6) AS rel_top, round(w, 6) AS rel_width, round(h, 6) AS rel_height FROM u"""
-SQL["page_upsert"] = """WITH s AS (SELECT 'doc' || user_id AS doc, (event_id % 7 + 1)::VARCHAR AS page_key, event_id AS ord, value FROM events WHERE event_id % 3 = 0),
-c AS (SELECT 'doc' || user_id AS doc, (event_id % 7 + 1)::VARCHAR AS page_key, event_id AS ord, value, event_type FROM events WHERE event_id % 3 = 1)
-SELECT doc, page_key, ord, value FROM s WHERE (doc, page_key) NOT IN (SELECT (doc, page_key) FROM c) UNION ALL SELECT doc, page_key, ord, value FROM c WHERE event_type <> 'click'"""
-SQL["store_round_trip"] = """SELECT 'lib/doc ' || doc_id || '.pdf' AS doc, (1 + doc_id % 3)::VARCHAR AS page_key, (1 + doc_id % 3)::INT AS page, source AS text_content, lang || chr(10) || source AS translated_text, round((doc_id % 97) / 97.0::DOUBLE, 4) AS rel_left,
-  round(1 / 3.0::DOUBLE, 4) AS rel_top, 0.5 AS rel_width, round((1 + doc_id % 7) / 9.0::DOUBLE, 4) AS rel_height, round(8 + (doc_id % 11) / 7.0::DOUBLE, 2) AS font_size, CASE WHEN doc_id % 2 = 0 THEN 'Serif' END AS font_family FROM documents"""
+SQL["region_join"] = """WITH o AS (SELECT p_partkey % 50 AS page, p_partkey AS id, (p_partkey * 7) % 40 / 40.0::DOUBLE AS l, (p_partkey * 13) % 40 / 40.0::DOUBLE AS t FROM part), n AS (SELECT s_suppkey % 50 AS page, s_suppkey AS id, (s_suppkey * 7 + 3) % 40 / 40.0::DOUBLE AS l, (s_suppkey * 13) % 40 / 40.0::DOUBLE AS t FROM supplier),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.page = o.page AND o.l <= n.l + 0.04 + 1e-5 AND o.l + 0.04 >= n.l - 1e-5 AND o.t <= n.t + 0.03 + 1e-5 AND o.t + 0.03 >= n.t - 1e-5))
+SELECT page, id, round(l, 6) AS rel_left, round(t, 6) AS rel_top FROM u"""
+_PAGES = "e AS (SELECT 'doc' || user_id AS doc, (event_id % 7 + 1)::VARCHAR AS page_key, event_id AS ord, value, event_type FROM events)"
+SQL["page_upsert"] = f"""WITH {_PAGES}, s AS (SELECT * FROM e WHERE ord % 3 = 0), c AS (SELECT * FROM e WHERE ord % 3 <> 0), k AS (SELECT DISTINCT doc, page_key FROM c WHERE ord % 11 < 4)
+SELECT doc, page_key, ord, value FROM s WHERE (doc, page_key) NOT IN (SELECT (doc, page_key) FROM k) UNION ALL SELECT doc, page_key, ord, value FROM c WHERE event_type <> 'click' AND (doc, page_key) IN (SELECT (doc, page_key) FROM k)"""
+SQL["page_saves"] = f"""WITH {_PAGES}, k AS (SELECT DISTINCT doc, page_key FROM e WHERE event_type = 'view')
+SELECT doc, page_key, ord, event_type FROM e WHERE event_type = 'view' OR (doc, page_key) NOT IN (SELECT (doc, page_key) FROM k)"""
+SQL["page_deletes"] = f"""WITH {_PAGES}, k AS (SELECT DISTINCT doc, page_key FROM e WHERE event_type IN ('view', 'click'))
+SELECT doc, count(DISTINCT CASE WHEN (doc, page_key) NOT IN (SELECT (doc, page_key) FROM k) THEN page_key END) AS pages FROM e GROUP BY doc"""
+_STORED = """(1 + doc_id % 3)::VARCHAR AS page_key, (1 + doc_id % 3)::INT AS page, source AS text_content, lang || chr(10) || source AS translated_text, round((doc_id % 97) / 97.0::DOUBLE, 4) AS rel_left,
+  round(1 / 3.0::DOUBLE, 4) AS rel_top, 0.5 AS rel_width, round((1 + doc_id % 7) / 9.0::DOUBLE, 4) AS rel_height, round(8 + (doc_id % 11) / 7.0::DOUBLE, 2) AS font_size, CASE WHEN doc_id % 2 = 0 THEN 'Serif' END AS font_family"""
+SQL["store_round_trip"] = f"SELECT 'lib/doc ' || doc_id || '.pdf' AS doc, {_STORED}, epoch_us(TIMESTAMP '2024-01-02 03:04:05') AS ts_us FROM documents"
+SQL["note_files"] = f"SELECT 'notes/doc ' || doc_id || '.translations.md' AS note_path, {_STORED} FROM documents"
+SQL["note_records"] = "SELECT 'lib/doc ' || doc_id || '.pdf' AS doc, (1 + doc_id % 3)::VARCHAR AS page_key, source AS text_content FROM documents WHERE doc_id IN (SELECT s_suppkey FROM supplier)"
+SQL["note_map"] = "SELECT 'lib/doc ' || doc_id || '.pdf' AS pdf_path, 'notes/doc ' || doc_id || '.translations.md' AS note_path FROM documents"
+SQL["old_notes"] = """SELECT 'd' || doc_id AS doc, (1 + doc_id % 3)::VARCHAR AS page_key, (1 + doc_id % 4)::INT AS page, source || ' | x' AS text_content, lang || chr(10) || 'end' AS translated_text, 0.25::DOUBLE AS rel_left, 0.0625::DOUBLE AS rel_height, (8 + doc_id % 5)::DOUBLE AS font_size FROM documents WHERE doc_id % 11 <> 0"""
+SQL["source_links"] = """WITH c AS (SELECT doc_id, 'pdf-source: ' || chr(39) || '[[new ' || doc_id || '.pdf]]' || chr(39) || chr(10) AS link, '# ' || source || chr(10) || 'pdf-source: not here' AS body, '---' || chr(10) AS rule, 'x: 1' || chr(10) AS x FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN rule || x || link || rule || body WHEN 1 THEN rule || link || x || rule || body ELSE body END AS content FROM c"""
+SQL["note_times"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN event_id % 10 = 0 THEN 946684800000 ELSE epoch_ms(ts) END AS ms FROM events"
 SQL["path_map"] = """WITH f AS (SELECT 'lib/' || source || '/doc' || doc_id || '.pdf' AS path, 'doc' || doc_id || '.pdf' AS name, doc_id FROM documents)
 SELECT path AS pdf_path, 'notes/' || CASE WHEN doc_id % 4 = 0 THEN 'z' ELSE 'n' END || doc_id || '.md' AS note_path FROM f"""
-SQL["translate_job"] = """WITH u AS (SELECT conv_id AS doc_id, 1 AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, replace(text, chr(10), ' ') AS original FROM conversations)
-SELECT doc_id, page, ord::INT AS ord, original, replace(original, 'th', 'z') AS final FROM u"""
+SQL["note_lookup"] = "SELECT 'lib/' || doc_id || '.pdf' AS pdf_path, CASE WHEN doc_id % 3 <> 0 THEN 'n/' || doc_id || '.translations.md' END AS note_path FROM documents"
+SQL["file_lookup"] = "SELECT 'n/' || doc_id || '.translations.md' AS note_path, 'lib/' || doc_id || '.pdf' AS pdf_path FROM documents WHERE doc_id IN (SELECT c_custkey * 3 FROM customer)"
+_UNITS = """u AS (SELECT conv_id % 40 AS doc_id, (conv_id // 40 + 1)::INT AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, replace(text, chr(10), ' ') AS original FROM conversations),
+m AS (SELECT doc_id, page, count(*) AS n, sum(length((ord + 1) || '. ' || original))::BIGINT + count(*) - 1 AS chars FROM u GROUP BY ALL),
+d AS (SELECT *, CASE WHEN n > 1 AND chars > 1500 THEN 'chunked' WHEN n > 1 THEN 'batch' ELSE 'single' END AS mode FROM m)"""
+SQL["translate_job"] = f"WITH {_UNITS} SELECT doc_id, page, ord::INT AS ord, mode, original, replace(original, 'th', 'z') AS final FROM u JOIN d USING (doc_id, page)"
+SQL["unit_job"] = f"""WITH {_UNITS}, a AS (SELECT *, CASE WHEN length(substr(original, 1, 200)) % 4 = 0 THEN 'Translation missing' ELSE substr(original, 1, 200) || chr(10) || 'and so on' END AS line FROM u),
+b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS n, count(*) FILTER (line = 'Translation missing') OVER (PARTITION BY doc_id, page) AS gone FROM a)
+SELECT doc_id, page, ord::INT AS ord, line, CASE WHEN (n > 1 AND gone > 0.5 * n) OR line = 'Translation missing' THEN original ELSE line END AS final FROM b"""
+_JOB = f"""{_UNITS}, j AS (SELECT doc_id, page, d.n AS units, CASE WHEN mode = 'batch' AND chars % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN mode = 'batch' AND chars % 5 = 0 THEN d.n WHEN mode = 'single' AND max(length(original)) % 5 = 0 THEN 1 ELSE 0 END AS missing
+  FROM d JOIN u USING (doc_id, page) WHERE page BETWEEN 1 AND 3 GROUP BY doc_id, page, d.n, mode, chars)"""
+SQL["page_range_job"] = f"WITH {_JOB} SELECT doc_id, page, units, missing, status FROM j"
+SQL["job_progress"] = f"WITH {_JOB} SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, 0 AS cancelled FROM j GROUP BY doc_id"
+SQL["provider_answers"] = f"SELECT conv_id, turn, {trim("text")} AS answer FROM conversations"
+SQL["moved_notes"] = """SELECT CASE WHEN doc_id % 4 = 0 THEN 'new/x' || doc_id || '.pdf' ELSE 'lib/' || doc_id || '.pdf' END AS pdf_path, 'n/' || CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END || doc_id || '.translations.md' AS note_path, 'n/' || doc_id || '.translations.md' AS old_note_path FROM documents WHERE doc_id % 7 <> 0"""
+SQL["streamed_store"] = """WITH r AS (SELECT event_id // 40 AS w, 'doc' || (event_id // 40) % 30 AS doc, (event_id % 4 + 1)::VARCHAR AS page_key, ((event_id // 4) % 10)::INT AS ord, CASE WHEN (event_id // 40 + event_id % 4) % 9 > 0 THEN event_type END AS text_content, event_id::VARCHAR AS translated_text FROM events),
+l AS (SELECT *, rank() OVER (PARTITION BY doc, page_key ORDER BY w * 7 % 1009 DESC) AS k FROM r)
+SELECT doc, page_key, ord, text_content, translated_text FROM l WHERE k = 1 AND text_content IS NOT NULL"""
 SQL["debounced_changes"] = """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e)
 SELECT user_id, count(*) AS n_events, epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us FROM g GROUP BY user_id, burst"""
@@ -147,3 +251,16 @@ s AS (SELECT n.id, n.name, n.settings, CASE WHEN c_custkey IS NULL THEN '2024-06
 SELECT * FROM s WHERE id NOT IN (SELECT s_suppkey * 3 FROM supplier)"""
 SQL["position_read_back"] = f"""WITH {SPANS} SELECT doc_id, span_id, round(("left" - 10) / 612, 4) AS rel_left, round((top - 20) / 792, 4) AS rel_top, round(width / 612, 4) AS rel_width, round(height / 792, 4) AS rel_height,
   CASE WHEN span_id % 3 <> 0 THEN round((font_size / 1.25::DOUBLE + height / 1.25::DOUBLE) / 2, 4) END AS font_size, CASE WHEN span_id % 3 = 0 THEN 0 ELSE 2 END AS n_sizes FROM spans"""
+SQL["position_read_back_plain"] = f"""WITH {SPANS} SELECT doc_id, span_id, round(("left" - 10) / 612, 4) AS rel_left, height / 2 AS first_size, CASE WHEN span_id % 2 = 1 THEN font_family END AS font_family FROM spans"""
+SQL["selected_spans"] = f"""WITH {SPANS}, v AS (SELECT *, {trim('text')} AS t, 100 + doc_id % 50 AS side FROM spans)
+SELECT doc_id, page, span_id FROM v WHERE doc_id % 6 <> 0 AND "left" <= 300 + side AND "right" >= 300 AND top <= 71 + side AND bottom >= 71 AND {VALID}"""
+SQL["absolute_rects"] = f"""WITH {SPANS} SELECT doc_id, span_id, round("left" / 612 * 1000 + 10, 4) AS abs_left, round(top / 792 * 1400 + 20, 4) AS abs_top, round(width / 612 * 1000, 4) AS abs_width, round(height / 792 * 1400, 4) AS abs_height,
+  floor(least(greatest(font_size / 7, 0.8), 2.0) * 10 + 0.5) / 10 AS shown_line FROM spans"""
+SQL["rect_relations"] = f"""WITH {SPANS}, p AS (SELECT *, lag("left") OVER w - 30 AS l, lag(top) OVER w AS t, lag("right") OVER w + 40 AS r, lag(bottom) OVER w + 16.5 AS b FROM spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY span_id))
+SELECT doc_id, span_id, l - 1 <= "left" AND r + 1 >= "right" AND t - 1 <= top AND b + 1 >= bottom AS holds, greatest(l, "left") < least(r, "right") AND greatest(t, top) < least(b, bottom) AS crosses,
+  round(greatest(0, least(r, "right") - greatest(l, "left")) * greatest(0, least(b, bottom) - greatest(t, top)), 4) AS shared FROM p WHERE l IS NOT NULL"""
+SQL["snapshots"] = f"""WITH {SPANS}, m AS (SELECT *, length(text) > 0 AND regexp_matches(text, '{MATH_CHAR}') AS math FROM spans)
+SELECT doc_id, span_id, "left" / 2 AS "left", height / 2 AS height, font_size / 2 AS font_size, font_weight::INT AS weight, '0,0,0' AS rgb, math AS is_math, CASE WHEN NOT math THEN 'none' WHEN contains(text, '=') OR contains(text, '∑') THEN 'equation' ELSE 'inline' END AS math_context,
+  font_family || '|' || printf('%.1f', floor(font_size / 2 * 2 + 0.5) / 2) || '|' || font_weight || '|' || font_style || '|0,0,0' AS style_sig FROM m"""
+SQL["preset_by_id"] = "SELECT p_partkey AS id, p_name AS name, p_brand AS settings, 'a' AS created_at, 'b' AS updated_at FROM part WHERE p_partkey = 17"
+SQL["target_languages"] = f"WITH l(lang, lang_name) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LANGUAGES.items())}) SELECT l.lang, lang_name, count(doc_id) AS n FROM l LEFT JOIN documents d ON d.lang = l.lang WHERE l.lang <> 'auto' GROUP BY ALL"

@@ -6,6 +6,10 @@ font_size, font_family, original_font_sizes, ts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,15 +17,56 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.schema import META_V1, META_V2, META_V3
+from sheafline.session import ship
 
 _META = "struct<r:struct<l:double,t:double,w:double,h:double>,page:double,ot:string,fs:double,ff:string,ofs:array<double>,sel:string,fontSize:double,fontFamily:string,originalFontSizes:array<double>>"
 COLUMNS = ("doc", "page_key", "ord", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family", "original_font_sizes", "ts")
 
 
-def read_documents(spark: SparkSession, folder: str, suffix: str = ".translations.md") -> DataFrame:
-    """doc, content of every note below a folder."""
+def read_documents(spark: SparkSession, folder: str, prefix: str = "", suffix: str = ".translations.md") -> DataFrame:
+    """doc (its path below the folder), content of every note whose path begins with the prefix."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("content"))
+    root = folder.split(":", 1)[-1].strip("/") + "/"
+    path = F.expr("url_decode(replace(path, '+', '%2B'))")
+    found = files.select(F.element_at(F.split(path, root, 2), 2).alias("doc"), F.decode("content", "UTF-8").alias("content"))
+    return found.filter(F.col("doc").startswith(prefix)) if prefix else found
+
+
+def write_notes(notes: DataFrame, folder: str) -> int:
+    """Write each note (note_path, content) as a file below the folder, whose folders are made; how many.
+
+    A file is written beside and moved, so a repeated task only writes it again. Notes with
+    the same path must be one row.
+    """
+    ship(notes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("note_path", "content")), strict=True):
+                whole = f"{root}/{path}"
+                filesystem.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(f"{whole}.part") as file:
+                    file.write((content or "").encode())
+                filesystem.move(f"{whole}.part", whole)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return notes.select("note_path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def remove_notes(spark: SparkSession, folder: str, paths: DataFrame) -> int:
+    """Delete the notes (note_path) below the folder; how many rows asked for it."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if filesystem.get_file_info(f"{root}/{path}").type == pafs.FileType.File:
+                    filesystem.delete_file(f"{root}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return paths.select("note_path").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def front_matter(content: Column, key: str) -> Column:
@@ -113,22 +158,55 @@ def upsert_pages(stored: DataFrame, changed: DataFrame, touched: DataFrame) -> D
     return stored.join(keys, ["doc", "page_key"], "left_anti").unionByName(changed.join(keys, ["doc", "page_key"], "left_semi"))
 
 
+def save_pages(stored: DataFrame, items: DataFrame) -> DataFrame:
+    """The pages that have items take the place of the stored ones; no other page changes."""
+    return upsert_pages(stored, items, items)
+
+
 def delete_pages(stored: DataFrame, pages: DataFrame) -> DataFrame:
     """Without these pages; a document whose last page goes has no rows left."""
     return stored.join(pages.select("doc", "page_key").distinct(), ["doc", "page_key"], "left_anti")
 
 
-def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
-    """Old boxes that touch no new box of their page, and the new boxes."""
-    o, n = old.alias("o"), new.select(*keys, "rel_left", "rel_top", "rel_width", "rel_height").alias("n")
+def vanished(stored: DataFrame, left: DataFrame) -> DataFrame:
+    """doc of the stored documents without rows in what is left: their notes are to be removed."""
+    return stored.select("doc").distinct().join(left.select("doc").distinct(), "doc", "left_anti")
+
+
+def read_record(notes: DataFrame, wanted: DataFrame, clock: Column) -> DataFrame:
+    """Rows of the documents (doc, content) that are wanted (doc)."""
+    return parse(notes.join(wanted.select("doc").distinct(), "doc", "left_semi"), clock)
 
+
+def _touches(epsilon: float) -> Column:
     def rect(a: str) -> G.Rect:
         return G.Rect(F.col(f"{a}.rel_left"), F.col(f"{a}.rel_top"), F.col(f"{a}.rel_left") + F.col(f"{a}.rel_width"), F.col(f"{a}.rel_top") + F.col(f"{a}.rel_height"))
 
-    on = rect("o").touches(rect("n"), epsilon)
+    return rect("o").touches(rect("n"), epsilon)
+
+
+def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
+    """Old boxes that touch no new box of their page, and the new boxes."""
+    on = _touches(epsilon)
     for k in keys:
         on &= F.col(f"o.{k}") == F.col(f"n.{k}")
-    return o.join(n, on, "left_anti").unionByName(new)
+    return old.alias("o").join(new.select(*keys, "rel_left", "rel_top", "rel_width", "rel_height").alias("n"), on, "left_anti").unionByName(new)
+
+
+def renewed(boxes: DataFrame, is_new: str, *keys: str, epsilon: float = 1e-5) -> DataFrame:
+    """The same for old and new boxes of one table, told apart by a column: one grouping by page, no join.
+
+    A page's boxes meet in one row, as its spans do everywhere else.
+    """
+    kept = [c for c in boxes.columns if c not in keys]
+    pages = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*kept)).alias("all"))
+
+    def apart(o: Column, n: Column) -> Column:
+        return ~G.Rect.in_struct(o).touches(G.Rect.in_struct(n), epsilon)
+
+    fresh = F.filter("all", lambda x: x[is_new])
+    left = F.filter("all", lambda o: o[is_new] | F.forall(fresh, lambda n: apart(o, n)))
+    return pages.select(*keys, F.inline(left))
 
 
 def source_link(content: Column, pdf_path: Column) -> Column:
@@ -139,6 +217,21 @@ def source_link(content: Column, pdf_path: Column) -> Column:
     return F.when(has_block & has_line, replaced).when(has_block, F.concat(F.lit("---\n"), line, F.substring(content, 4, 1 << 30))).otherwise(content)
 
 
+def find_notes(known: DataFrame, files: DataFrame) -> DataFrame:
+    """pdf_path of the files, note_path: that of a path map, null where there is none."""
+    return files.select(F.col("path").alias("pdf_path")).join(known.select("pdf_path", "note_path"), "pdf_path", "left")
+
+
+def find_files(known: DataFrame, notes: DataFrame) -> DataFrame:
+    """note_path, pdf_path: the files of a path map that lead to these notes."""
+    return notes.select("note_path").distinct().join(known.select("pdf_path", "note_path"), "note_path")
+
+
+def corpus_map(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """The path map of notes as they are read (doc, content): their links are in the front matter."""
+    return path_map(notes.select(F.col("doc").alias("note_path"), front_matter(F.col("content"), "pdf-source").alias("link")), files)
+
+
 def path_map(notes: DataFrame, files: DataFrame) -> DataFrame:
     """pdf_path, note_path: a note's link resolves to a full path, else a path below the note's folder, else a file name; the last note wins.
 
@@ -147,6 +240,7 @@ def path_map(notes: DataFrame, files: DataFrame) -> DataFrame:
     link = T.clean_link(F.col("link"))
     folder = F.regexp_extract("note_path", "^(.*/)[^/]*$", 1)
     n = notes.filter(F.col("note_path").endswith(".md") & F.col("link").isNotNull()).select("note_path", link.alias("link"), F.concat(folder, link).alias("beside"), F.element_at(F.split(link, "/"), -1).alias("name"))
+    files = files.filter(F.lower("path").endswith(".pdf"))
     named = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.min("path").alias("by_name"))
     full, beside = files.select(F.col("path").alias("link"), F.col("path").alias("by_link")).distinct(), files.select(F.col("path").alias("beside"), F.col("path").alias("by_folder")).distinct()
     joined = n.join(full, "link", "left").join(beside, "beside", "left").join(named, "name", "left")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
+from sheafline.functions import text as T
 from sheafline.session import remove_path
 from sheafline.sources import store
 
+STORE_SCHEMA = "doc string, page_key string, ord int, page int, text_content string, translated_text string, rel_left double, rel_top double, rel_width double, rel_height double, font_size double, font_family string, original_font_sizes array<double>, ts timestamp"
+
 
 def debounced(events: DataFrame, pause: str = "500 milliseconds", late: str = "10 seconds", *keys: str) -> DataFrame:
     """One row per burst of events without a pause; works on streams and tables."""
@@ -27,24 +31,93 @@ def latest_paths(changes: DataFrame) -> DataFrame:
     return last.filter("m.alive = 1").select("path", F.col("m.ts").alias("ts"))
 
 
-def keep_store(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of page rows (columns of the store) to versions of a table below ``folder``.
+def move_notes(known: DataFrame, renames: DataFrame, folder: str = "") -> DataFrame:
+    """A path map after files were renamed (old_path, path, ts): a file's note moves to the path that its new name gives.
+
+    Each name is given up once at most in ``renames``, and no new name is given up again; apply one change after another otherwise.
+    """
+    own = renames.groupBy(F.col("old_path").alias("pdf_path")).agg(F.max_by("path", "ts").alias("new_path"))
+    moved = known.join(own, "pdf_path", "left")
+    base = F.coalesce(F.nullif(F.lit(folder), F.lit("")), F.regexp_extract("new_path", "^(.*)/[^/]*$", 1))
+    return moved.select(F.coalesce("new_path", "pdf_path").alias("pdf_path"), F.when(F.col("new_path").isNull(), F.col("note_path")).otherwise(T.note_path(base, F.col("new_path"))).alias("note_path"), F.col("note_path").alias("old_note_path"))
+
+
+def drop_notes(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """A path map without the notes (note_path) that were deleted or renamed."""
+    return known.join(gone.select("note_path").distinct(), "note_path", "left_anti").select("pdf_path", "note_path")
+
+
+# --- the store under a stream ---------------------------------------------------------------
+#
+# folder/log/batch=n holds the pages that batch n changed, folder/base/upto=n all pages
+# up to batch n, where the store was compacted. A page is as its last writer left it.
+
+
+def _last_writer(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of each page's latest write, each item once."""
+    last = W.partitionBy("doc", "page_key").orderBy(*[F.desc(x) for x in order])
+    newest = rows.withColumn("_rank", F.rank().over(last)).filter("_rank = 1").drop("_rank")
+    return newest.dropDuplicates(["doc", "page_key", "ord"])
+
+
+def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 200) -> StreamingQuery:
+    """Apply a stream of page rows (columns of the store) to a store below ``folder``.
 
-    Each batch is one writer: it reads the version before it and writes the next, so
-    a repeated batch writes the same version again. The last two versions are kept.
+    A page is written as a whole: of a batch's rows of a page those of the latest ``ts``
+    count. Rows without text_content say that the page goes. Each batch is one writer
+    and writes only the pages it has, into its own folder: a repeated batch writes the
+    same again. ``parts`` bounds the files of a batch.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = f"{folder}/version={number}"
-        changed = batch.dropDuplicates(["doc", "page_key", "ord"])
-        if number > 0:
-            before = spark.read.parquet(f"{folder}/version={number - 1}")
-            changed = store.upsert_pages(before.select(*store.COLUMNS), changed.filter("text_content is not null").select(*store.COLUMNS), batch)
-        else:
-            changed = changed.filter("text_content is not null").select(*store.COLUMNS)
-        changed.repartition("doc").write.mode("overwrite").parquet(target)
-        if number > 1:
-            remove_path(spark, f"{folder}/version={number - 2}")
+        pages = _last_writer(batch.select(*store.COLUMNS), "ts")
+        pages.repartition(parts, "doc").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/log/batch={number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _batches(spark: SparkSession, folder: str) -> tuple[list[int], int | None]:
+    """Finished batches of the log, and up to which of them the base goes."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def numbers(path: str, name: str) -> list[int]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        filesystem = target.getFileSystem(conf)
+        if not filesystem.exists(target):
+            return []
+        found = [x.getPath() for x in filesystem.listStatus(target)]
+        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{name}=") and filesystem.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    base = numbers(f"{folder}/base", "upto")
+    return numbers(f"{folder}/log", "batch"), base[-1] if base else None
+
+
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as their last writers left them; between equal times the later batch."""
+    return _state(spark, folder).filter("text_content is not null").select(*store.COLUMNS)
+
+
+def _state(spark: SparkSession, folder: str) -> DataFrame:
+    log, base = _batches(spark, folder)
+    schema = spark.createDataFrame([], STORE_SCHEMA).schema
+    tables = [spark.read.schema(schema).parquet(f"{folder}/base/upto={base}").withColumn("_batch", F.lit(base))] if base is not None else []
+    tables += [spark.read.schema(schema).parquet(f"{folder}/log/batch={n}").withColumn("_batch", F.lit(n)) for n in log if base is None or n > base]
+    if not tables:
+        return spark.createDataFrame([], schema)
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return _last_writer(rows, "ts", "_batch").drop("_batch")
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Write all pages as one base and drop the batches it holds. Times of pages that went stay, so that late rows don't bring them back."""
+    log, base = _batches(spark, folder)
+    fresh = [n for n in log if base is None or n > base]
+    if fresh:
+        _state(spark, folder).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/base/upto={fresh[-1]}")
+        if base is not None:
+            remove_path(spark, f"{folder}/base/upto={base}")
+        for n in log:
+            remove_path(spark, f"{folder}/log/batch={n}")
