@@ -27,8 +27,7 @@ def read_documents(spark: SparkSession, folder: str, prefix: str = "", suffix: s
     """doc (its path below the folder), content of every note whose path begins with the prefix."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
     root = folder.split(":", 1)[-1].strip("/") + "/"
-    path = F.expr("url_decode(replace(path, '+', '%2B'))")
-    found = files.select(F.element_at(F.split(path, root, 2), 2).alias("doc"), F.decode("content", "UTF-8").alias("content"))
+    found = files.select(F.substring_index("path", root, -1).alias("doc"), F.decode("content", "UTF-8").alias("content"))
     return found.filter(F.col("doc").startswith(prefix)) if prefix else found
 
 
