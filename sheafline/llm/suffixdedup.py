@@ -71,7 +71,7 @@ class SuffixSettings:
     heavy_from: int = 128  # contexts of an anchor, added up over chunks; only how work is dealt depends on it
     heavy_distances: int = 4
     block_bytes: int = 1 << 22
-    held_bytes: int = 1 << 25
+    held_bytes: int = 1 << 24
     most_parts: int = 16_384  # folders of chunks' rows, and reducers of anchors' buckets
 
 
@@ -412,6 +412,16 @@ def resolve(batches: Iterator[pa.RecordBatch], s: SuffixSettings) -> Iterator[pa
 # --- the job --------------------------------------------------------------------------------
 
 
+def _read_chunks(file: str, own: set[int]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """Number, ids and texts of a file's chunks, one after the other."""
+    filesystem, path = pafs.FileSystem.from_uri(file)
+    with filesystem.open_input_file(path) as source:
+        for part in pq.ParquetFile(source, pre_buffer=False).iter_batches(1, columns=["chunk", "ids", "texts"], use_threads=False):
+            chunk = column(part, "chunk")[0].as_py()
+            if chunk in own:
+                yield chunk, column(part, "ids").flatten(), column(part, "texts").flatten()
+
+
 def _write_parts(rows: DataFrame, parts: int, path: str) -> None:
     """Rows of chunks as one folder for each part of the chunks, in order of chunk, in small row groups."""
     dealt = rows.withColumn("part", F.pmod("chunk", F.lit(parts))).repartition("part").sortWithinPartitions("part", "chunk")
@@ -443,10 +453,10 @@ def _copies(entire: DataFrame) -> DataFrame:
     """
     groups = staged(entire.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copy-groups")
     crowded = max(2, entire.count() // 1000)
-    large, small = groups.filter(F.col("n") >= crowded).drop("n"), groups.filter(F.col("n") < crowded).drop("n")
-    in_large = entire.join(F.broadcast(large), ["hi", "lo"])
-    in_small = entire.join(F.broadcast(large), ["hi", "lo"], "left_anti").join(small, ["hi", "lo"])
-    return in_large.unionByName(in_small).filter("id > first").select("chunk", "row")
+    large = groups.filter(F.col("n") >= crowded).select("hi", "lo", F.col("first").alias("known"))
+    marked = entire.join(F.broadcast(large), ["hi", "lo"], "left")
+    in_small = marked.filter("known is null").join(groups.filter(F.col("n") < crowded).select("hi", "lo", "first"), ["hi", "lo"]).filter("id > first")
+    return marked.filter("id > known").select("chunk", "row").unionByName(in_small.select("chunk", "row"))
 
 
 def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -477,19 +487,22 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
 
     chunk_path = fresh_path(spark, "chunks")
     chunk_schema = "chunk long, ids array<bigint>, texts array<string>, bytes long"
-    map_batches(source, chunked, chunk_schema, "suffixdedup").write.option("compression", "zstd").parquet(chunk_path)
-    # One chunk is one row: small row batches keep one chunk in memory at a time.
-    chunks = spark.read.schema(chunk_schema).parquet(chunk_path)
-    total, n_chunks = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    # One chunk is one row and one row group. Tasks are given files and numbers and read one chunk at a time, so no texts pass through Spark again.
+    map_batches(source, chunked, chunk_schema, "suffixdedup").write.option("compression", "zstd").option("parquet.block.size", 1 << 20).option("parquet.block.size.row.check.min", 1).parquet(chunk_path)
+    stored = spark.read.schema(chunk_schema).parquet(chunk_path)
+    chunks = stored.select(F.col("_metadata.file_path").alias("file"), "chunk")
+    total, n_chunks = stored.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, int(total * 2 / (s.length - s.gram + 2) / s.bucket_samples) + 1)
     parts = max(1, min(n_chunks, s.most_parts))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, Texts]]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = column(batch, "ids").slice(k, 1).flatten()
-                numbers = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                yield column(batch, "chunk")[k].as_py(), ids, numbers, Texts(column(batch, "texts").slice(k, 1).flatten())
+            wanted: dict[str, set[int]] = {}
+            for file, chunk in zip(column(batch, "file").to_pylist(), column(batch, "chunk").to_pylist(), strict=True):
+                wanted.setdefault(file, set()).add(chunk)
+            for file, own in wanted.items():
+                for chunk, ids, texts in _read_chunks(file, own):
+                    yield chunk, ids, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), Texts(texts)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, numbers, texts in each(batches):
