@@ -5,13 +5,14 @@ is then checked on the shingles themselves, so no text is taken for a copy that
 isn't one. A pair at just 0.8 shares no band with probability 0.0004, less above.
 
 Equal sets are first reduced to one. In each band's bucket all sets are checked
-against the bucket's least one; then those outside its component are checked
-against the whole bucket, unless both are in one component already. So a large
-group of near copies costs about a pair a member, and nothing is capped: what
-remains quadratic is the number of sets in a bucket outside the least one's
-component. Of these pairs only those go on to the check whose sizes, and 256
-bits of MinHash values, allow for the similarity (the bits err for a pair at
-just 0.8 with a probability of about 10**-6).
+against its hub, the set that shares most buckets with most sets: among edited copies
+of one text that is the text, or the copy nearest to it. Then those outside the hub's
+component are compared with the whole bucket, unless both are in one component
+already. So a large group of near copies costs about a pair a member, and nothing is
+capped. Of the remaining pairs only those go on to the check whose sizes, and 1024
+bits of MinHash values, allow for the similarity (the bits err for a pair at just 0.8
+with a probability of about 10**-5); comparing them is quadratic in the number of
+sets in a bucket that are no near copies of its hub.
 
 Defined cases: words and case as in the SimHash of the same texts; under
 ``shingle`` words the whole sequence is the one shingle; texts without words,
@@ -33,15 +34,15 @@ from sheafline.llm.simhash import fingerprints
 from sheafline.session import ship, staged
 
 U64 = np.uint64
-SHINGLE, BANDS, ROWS, VALUES = 5, 20, 5, 128
+SHINGLE, BANDS, ROWS, FINE = 5, 20, 5, 1024
 #: Jaccard similarity of near copies, as a fraction.
 OVER, UNDER = 4, 5
-#: At a similarity of 0.8, 256 bits (two of each value) differ in 25.6 bits, standard deviation 5.8.
-BITS_APART = 56
+#: At a similarity of 0.8, 1024 bits (one of each value) differ in 102.4 bits, standard deviation 9.6.
+BITS_APART = 144
 #: Up to so many ids (8 bytes each) go to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240301)
-_XOR, _FACTOR = _rng.integers(0, 2**64, VALUES, dtype=np.uint64), _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
+_XOR, _FACTOR = _rng.integers(0, 2**64, FINE, dtype=np.uint64), _rng.integers(0, 2**63, FINE, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def shingle_sets(texts: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +66,31 @@ def shingle_sets(texts: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return owner[new], hashes[new]
 
 
+def _least(hashes: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """The k-th MinHash value of each set of hashes."""
+    return mix(np.minimum.reduceat((hashes ^ _XOR[k]) * _FACTOR[k], begin))
+
+
 def sketches(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row with shingles: row, key of the set, its size, 4 words of bits, a key for each band."""
+    """Of each row with shingles: row, key of the set, its size, where its hashes begin, a key for each band."""
     rows, begin = np.unique(owner, return_index=True)
     size = np.diff(np.append(begin, len(owner)))
     if not len(rows):
-        return rows, np.zeros(0, U64), size, np.zeros((0, 4), U64), np.zeros((0, BANDS), U64)
+        return rows, np.zeros(0, U64), size, begin, np.zeros((0, BANDS), U64)
     keys = mix(np.add.reduceat(mix(hashes ^ U64(0x5E75)), begin) + size.astype(U64))
-    least = np.stack([np.minimum.reduceat((hashes ^ x) * f, begin) for x, f in zip(_XOR, _FACTOR, strict=True)], axis=1)
-    low = mix(least)
-    bits = np.packbits(np.concatenate([low & U64(1), low >> U64(1) & U64(1)], axis=1).astype(np.uint8), axis=1).view(U64)
     bands = np.zeros((len(rows), BANDS), U64)
-    for k in range(ROWS):
-        bands = bands * U64(BASE) + low[:, k : BANDS * ROWS : ROWS]
-    return rows, keys, size, bits, mix(bands + mix(np.arange(BANDS, dtype=U64)))
+    for band in range(BANDS):
+        for k in range(ROWS):
+            bands[:, band] = bands[:, band] * U64(BASE) + _least(hashes, begin, band * ROWS + k)
+    return rows, keys, size, begin, mix(bands + mix(np.arange(BANDS, dtype=U64)))
+
+
+def fine_bits(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """16 words of bits of each set, one bit of each MinHash value."""
+    bits = np.empty((len(begin), FINE), np.uint8)
+    for k in range(FINE):
+        bits[:, k] = _least(hashes, begin, k) >> U64(63)
+    return np.packbits(bits, axis=1).view(U64)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,42 +103,45 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (SimHash) of every row; set_key, size, bits, bands of those with words, else null or empty."""
+    """doc_id, fp (SimHash) of every row; set_key, size, bands of those with words, else null or empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             text = column(part, "text")
             prints = fingerprints(text.to_pylist())
-            rows, keys, size, bits, bands = sketches(*shingle_sets(Texts(text)))
+            rows, keys, size, _, bands = sketches(*shingle_sets(Texts(text)))
             none = np.ones(part.num_rows, bool)
             none[rows] = False
-            every = [np.zeros((part.num_rows, *x.shape[1:]), x.dtype) for x in (keys, size, bits, bands)]
-            for whole, x in zip(every, (keys, size, bits, bands), strict=True):
+            every = [np.zeros((part.num_rows, *x.shape[1:]), x.dtype) for x in (keys, size, bands)]
+            for whole, x in zip(every, (keys, size, bands), strict=True):
                 whole[rows] = x
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), pa.array(prints.view(np.int64)), pa.array(every[0].view(np.int64), mask=none), pa.array(every[1].astype(np.int64)), _lists(every[2]), _lists(every[3])],
-                ["doc_id", "fp", "set_key", "size", "bits", "bands"],
+                [column(part, "doc_id"), pa.array(prints.view(np.int64)), pa.array(every[0].view(np.int64), mask=none), pa.array(every[1].astype(np.int64)), _lists(every[2])], ["doc_id", "fp", "set_key", "size", "bands"]
             )
 
-    return map_batches(_plain(docs, id_col, text_col), run, "doc_id long, fp long, set_key long, size long, bits array<long>, bands array<long>", "nearcopies")
+    return map_batches(_plain(docs, id_col, text_col), run, "doc_id long, fp long, set_key long, size long, bands array<long>", "nearcopies")
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """set_key, fp, shingles (32 bits each, sorted) of the wanted sets (doc, set_key, fp)."""
+    """set_key, fp, size, bits, shingles (32 bits each, sorted) of the wanted sets (doc, set_key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             owner, hashes = shingle_sets(Texts(column(part, "text")))
-            rows, keys, size, *_ = sketches(owner, hashes)
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            rows, keys, size, begin, _ = sketches(owner, hashes)
+            if not len(rows):
+                continue
+            ends = np.append(begin, len(hashes)).astype(np.int32)
             # The hashes are sorted, so are their upper halves.
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes >> U64(32)).astype(np.uint32).view(np.int32)))], ["set_key", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(size.astype(np.int64)), _lists(fine_bits(hashes, begin)), pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes >> U64(32)).astype(np.uint32).view(np.int32)))], ["set_key", "size", "bits", "shingles"]
+            )
 
     ids = wanted.select(F.col("doc").alias("doc_id"))
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = map_batches(_plain(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), run, "set_key long, shingles array<int>", "nearcopies")
+    texts = map_batches(_plain(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), run, "set_key long, size long, bits array<long>, shingles array<int>", "nearcopies")
     return staged(texts.dropDuplicates(["set_key"]).join(wanted.select("set_key", "fp"), "set_key"), "shingles")
 
 
@@ -150,7 +165,7 @@ def _checked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 def _may_be_near(a: str, b: str):
     """Sizes and bits of two members allow for near copies."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(FINE // 64)), F.lit(0))
     return (UNDER * F.least(size_a, size_b) >= OVER * F.greatest(size_a, size_b)) & (apart <= BITS_APART)
 
 
@@ -158,16 +173,20 @@ def near_links(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_co
     """u, v: fingerprints of texts that are near copies, or equal as sets; enough of them for all components."""
     ship(docs.sparkSession)
     known = seen.filter("set_key is not null and doc_id is not null")
-    sets = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "sets")
+    sets = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("fp").alias("fp"), F.max("fp").alias("other"), F.first("bands").alias("bands")), "sets")
     twins = known.select("set_key", F.col("fp").alias("v")).join(sets.filter("fp <> other").select("set_key", F.col("fp").alias("u")), "set_key").filter("u <> v").select("u", "v").distinct()
 
     bands = sets.select("set_key", F.explode("bands").alias("key"))
-    crowded = staged(bands.groupBy("key").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").select("key", "low"), "crowded")
-    members = staged(bands.join(crowded, "key"), "members")
-    info = staged(sets.join(members.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "doc", "fp", "size", "bits"), "member-sets")
+    crowded = staged(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
+    shared = staged(bands.join(crowded, "key"), "shared")
+    weights = shared.groupBy("set_key").agg(F.sum("n").alias("weight"))
+    # The hub of a bucket: the set with the largest buckets altogether, then the least key.
+    hubs = staged(shared.join(weights, "set_key").groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("set_key").alias("low"))).alias("hub")).select("key", F.bitwise_not("hub.low").alias("low")), "hubs")
+    members = staged(shared.select("key", "set_key").join(hubs, "key"), "members")
+    info = staged(sets.join(members.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "doc", "fp"), "member-sets")
     shingles = _shingles_of(docs, info, id_col, text_col)
 
-    sized = info.select("set_key", "size", "bits")
+    sized = shingles.select("set_key", "size", "bits")
     star = members.filter("set_key <> low").select("low", "set_key").distinct()
     star = star.join(sized.alias("y"), "set_key").join(sized.withColumnRenamed("set_key", "low").alias("x"), "low")
     found = _checked(star.filter(_may_be_near("x", "y")).select(F.col("low").alias("u"), F.col("set_key").alias("v")), shingles)
