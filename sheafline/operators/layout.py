@@ -203,14 +203,14 @@ def merge_bands(bands: DataFrame, line: Column | float, s: LayoutSettings | None
     return merged.select(*KEYS, "band_id", "y", (F.col("end") - F.col("y")).alias("height"), "confidence")
 
 
-def inferred_bands(strips: DataFrame, line_heights: DataFrame, page: Page, s: LayoutSettings | None = None) -> DataFrame:
-    """Bands above and below the reach of a page's strips, where there is room."""
+def inferred_bands(pages: DataFrame, page: Page, s: LayoutSettings | None = None) -> DataFrame:
+    """Bands above and below the reach of a page's strips, where there is room; ``pages`` is one row per page, with line_height and strips."""
     s = s or LayoutSettings()
-    reach = strips.groupBy(*KEYS).agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).join(line_heights, list(KEYS))
     room = F.col("line_height") * s.band_edge_lines
-    above = reach.filter(F.col("top") - page.top > room).select(*KEYS, F.lit(page.top).alias("y"), (F.col("top") - page.top).alias("height"))
-    below = reach.filter(page.bottom - F.col("bottom") > room).select(*KEYS, F.col("bottom").alias("y"), (page.bottom - F.col("bottom")).alias("height"))
-    return above.unionByName(below).withColumn("confidence", F.lit(s.inferred_band_confidence))
+    top, bottom = F.array_min(F.transform("strips", lambda x: x["top"])), F.array_max(F.transform("strips", lambda x: x["bottom"]))
+    above = F.when(top > page.top + room, F.struct(F.lit(page.top).alias("y"), (top - page.top).alias("height")))
+    below = F.when(bottom < page.bottom - room, F.struct(bottom.alias("y"), (page.bottom - bottom).alias("height")))
+    return pages.select(*KEYS, "line_height", F.inline(F.array_compact(F.array(above, below)))).withColumn("confidence", F.lit(s.inferred_band_confidence))
 
 
 def columns_of_boundaries(boundaries: DataFrame, page: Page, s: GapSettings | None = None) -> DataFrame:

@@ -48,6 +48,17 @@ def fill_missing(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.withColumn("final", F.when(((n > 1) & (gone > 0.5 * n)) | missing, F.col("original")).otherwise(F.col("line")))
 
 
+def filled(lines: Column, line: str = "line", original: str = "original") -> Column:
+    """The same for the lines of one page as an array of structs: the array of final texts."""
+
+    def missing(x: Column) -> Column:
+        return x[line].isNull() | (x[line] == MISSING)
+
+    n = F.size(lines)
+    lost = (n > 1) & (F.size(F.filter(lines, missing)) > 0.5 * n)
+    return F.transform(lines, lambda x: F.when(lost | missing(x), x[original]).otherwise(x[line]))
+
+
 def reassemble(lines: DataFrame, *keys: str) -> DataFrame:
     """Texts of the units of a paragraph, in order, with a space between."""
     parts = F.array_sort(F.collect_list(F.struct("ord", F.col("final").alias("t"))))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from sheafline.functions import text as T
+from sheafline.functions.geometry import is_proper
 from sheafline.operators import replies, units
 from sheafline.schema import LANGUAGES, MISSING, TextSettings
 from sheafline.session import ship
@@ -299,12 +300,16 @@ def answered(requests: DataFrame, translator: Translator, s: TextSettings | None
     return requests.mapInArrow(run, StructType([*requests.schema.fields, *more]))
 
 
-def page_lines(pages: DataFrame, *keys: str) -> DataFrame:
-    """keys, ord, unit_id, paragraph_id, mode, status, original, line of answered pages.
+#: What region_items reads of units, beside their texts.
+BOX = ("left", "top", "right", "bottom", "font_sizes", "font_family")
+
+
+def page_lines(pages: DataFrame, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, ord, unit_id, paragraph_id, mode, status, original, line, final of answered pages, and what units carry.
 
     Lines of a numbered reply go to their units; a reply to one unit is its line as it
     is. Failed chunks keep their originals, failed single units are missing; pages that
-    failed or were cancelled have no lines.
+    failed or were cancelled have no lines. A page is one row until its texts are final.
     """
     pair = F.arrays_zip(F.col("requests").alias("r"), F.coalesce("replies", F.transform("requests", lambda r: F.lit(None).cast("string"))).alias("reply"))
 
@@ -313,20 +318,21 @@ def page_lines(pages: DataFrame, *keys: str) -> DataFrame:
         numbered = F.when(p["reply"].isNull(), own).otherwise(replies.parse_numbered(p["reply"], p["r"]["expected"]))
         single = F.array(F.coalesce(p["reply"], F.lit(MISSING)))
         found = F.when(F.col("status") != "completed", F.transform(own, lambda u: F.lit(None).cast("string"))).when(F.col("mode") == "single", single).otherwise(numbered)
-        return F.zip_with(p["r"]["units"], found, lambda u, line: F.struct(u["ord"].alias("ord"), u["unit_id"].alias("unit_id"), u["paragraph_id"].alias("paragraph_id"), u["text"].alias("original"), line.alias("line")))
+        return F.zip_with(p["r"]["units"], found, lambda u, line: F.struct(*[u[c].alias(c) for c in ("ord", "unit_id", "paragraph_id", *carry)], u["text"].alias("original"), line.alias("line")))
 
-    return pages.select(*keys, "mode", "status", F.explode(F.flatten(F.transform(pair, lines))).alias("u")).select(*keys, "mode", "status", "u.*")
+    whole = pages.select(*keys, "mode", "status", F.flatten(F.transform(pair, lines)).alias("lines"))
+    return whole.select(*keys, "mode", "status", F.explode(F.arrays_zip(F.col("lines").alias("u"), replies.filled(F.col("lines")).alias("final"))).alias("x")).select(*keys, "mode", "status", "x.u.*", "x.final")
 
 
-def translate_units(found: DataFrame, translator: Translator, s: TextSettings | None = None, job: JobSettings | None = None) -> DataFrame:
-    """Units with their final texts: dispatched by mode, sent, parsed, repaired.
+def translate_units(found: DataFrame, translator: Translator, s: TextSettings | None = None, job: JobSettings | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Units with their final texts: dispatched by mode, sent, parsed, repaired; the columns in ``carry`` go along.
 
     ``line`` is what came back, ``final`` what counts: originals for missing lines, for all
     of a page if over half of several are missing, and for pages that failed.
     """
     s, keys = s or TextSettings(), units.KEYS
-    asked = with_prompts(units.requests(found, s.budget, s.batch, keys, s.single_limit), s)
-    return replies.fill_missing(page_lines(answered(asked, translator, s, job), *keys), *keys).select(*keys, "ord", "unit_id", "paragraph_id", "mode", "status", "original", "line", "final")
+    asked = with_prompts(units.requests(found, s.budget, s.batch, keys, s.single_limit, carry), s)
+    return page_lines(answered(asked, translator, s, job), *keys, carry=carry).select(*keys, "ord", "unit_id", "paragraph_id", "mode", "status", "original", "line", "final", *carry)
 
 
 def page_job(found: DataFrame, translator: Translator, first: int, last: int, s: TextSettings | None = None, job: JobSettings | None = None) -> DataFrame:
@@ -348,13 +354,11 @@ def job_progress(status: DataFrame) -> DataFrame:
     return status.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(F.col("status") == x).alias(x) for x in ("completed", "failed", "cancelled")])
 
 
-def region_items(translated: DataFrame, found: DataFrame, page_width: float, page_height: float, zoom: float = 1.0) -> DataFrame:
-    """Store rows of translated units (of ``units.page_units``): relative boxes, sizes without the zoom, text or its original; improper boxes go."""
-    keys = [*units.KEYS, "ord"]
-    boxes = found.select(*keys, (F.col("left") / page_width).alias("rel_left"), (F.col("top") / page_height).alias("rel_top"), ((F.col("right") - F.col("left")) / page_width).alias("rel_width"), ((F.col("bottom") - F.col("top")) / page_height).alias("rel_height"), F.transform("font_sizes", lambda x: x / zoom).alias("original_font_sizes"), "font_family")
+def region_items(translated: DataFrame, page_width: float, page_height: float, zoom: float = 1.0) -> DataFrame:
+    """Store rows of translated units that carry ``BOX``: relative boxes, sizes without the zoom, text or its original; improper boxes go."""
+    boxes = translated.withColumns({"rel_left": F.col("left") / page_width, "rel_top": F.col("top") / page_height, "rel_width": (F.col("right") - F.col("left")) / page_width, "rel_height": (F.col("bottom") - F.col("top")) / page_height, "original_font_sizes": F.transform("font_sizes", lambda x: x / zoom)})
     mean = F.aggregate("original_font_sizes", F.lit(0.0), lambda a, x: a + x) / F.size("original_font_sizes")
-    joined = translated.join(boxes, keys)
-    proper = joined.filter((F.col("rel_width") > 0) & (F.col("rel_height") > 0) & ~F.isnan("rel_left") & ~F.isnan("rel_top"))
+    proper = boxes.filter(is_proper(*[F.col(f"rel_{c}") for c in ("left", "top", "width", "height")]))
     text = F.when(F.length("final") > 0, F.col("final")).otherwise(F.col("original"))
     return proper.select(*units.KEYS, "ord", F.col("original").alias("text_content"), text.alias("translated_text"), "rel_left", "rel_top", "rel_width", "rel_height", mean.alias("font_size"), "font_family", "original_font_sizes")
 

@@ -156,13 +156,13 @@ def modes(units: DataFrame, budget: int = 7500, batch: bool = True, keys: tuple[
     return found.withColumn("chars", F.col("size") + digits + 3 * F.col("n") - 1).withColumn("mode", _mode(F.col("n"), F.col("chars"), budget, batch)).drop("size")
 
 
-def requests(units: DataFrame, budget: int = 7500, batch: bool = True, keys: tuple[str, ...] = KEYS, single_limit: int = 3000) -> DataFrame:
-    """One row per page: mode, n, and the requests in order: request text, number of lines, and the units (ord, unit_id, paragraph_id, text) that it asks for.
+def requests(units: DataFrame, budget: int = 7500, batch: bool = True, keys: tuple[str, ...] = KEYS, single_limit: int = 3000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page: mode, n, and the requests in order: request text, number of lines, and the units (ord, unit_id, paragraph_id, text, what is carried) that it asks for.
 
     Pages of several units are sent as numbered lines, in one request or in chunks;
     other units are sent one by one, cut at ``single_limit`` characters.
     """
-    item = F.struct("ord", "unit_id", "paragraph_id", F.coalesce("text", F.lit("")).alias("text"))
+    item = F.struct("ord", "unit_id", "paragraph_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     pages = units.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("units"))
     n = F.size("units")
 

@@ -205,11 +205,8 @@ def layout_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def inferred_bands(spark: SparkSession, d: str) -> DataFrame:
-    """The same by columns: strips and line heights out of one profile, bands from their reach, merged."""
-    profile = layout.page_profiles(_spans(spark, d), PAGE)
-    strips = profile.select("doc_id", "page", F.inline("strips"))
-    lines = profile.select("doc_id", "page", "line_height")
-    found = layout.inferred_bands(strips, lines, PAGE).join(lines, ["doc_id", "page"])
+    """The same by columns: bands from the strips' reach, merged."""
+    found = layout.inferred_bands(layout.page_profiles(_spans(spark, d), PAGE), PAGE)
     return _rounded(layout.merge_bands(found, F.col("line_height")), "y", "height", "confidence")
 
 
@@ -503,7 +500,8 @@ def region_job(spark: SparkSession, d: str) -> DataFrame:
     x, y = 40.0 + F.col("doc_id") % 300, 50.0 + F.col("page") * 37 % 400
     chosen = pages.select("doc_id", "page", x.alias("sel_left"), y.alias("sel_top"), (x + F.col("doc_id") % 7 * 60).alias("sel_right"), (y + 120).alias("sel_bottom"))
     found = units.page_units(viewer.select_spans(spans, chosen), PAGE)
-    fresh = translate.region_items(translate.translate_units(found, translate.stub), found, PAGE.right - PAGE.left, PAGE.bottom - PAGE.top)
+    translated = translate.translate_units(found, translate.stub, carry=translate.BOX)
+    fresh = translate.region_items(translated, PAGE.right - PAGE.left, PAGE.bottom - PAGE.top)
     boxes = layout.paragraph_boxes(layout.initial_paragraphs(spans))
     old = boxes.select("doc_id", "page", (F.col("para_id") + 1000).alias("ord"), *[v.alias(k) for k, v in G.relative(G.Rect.of(), PAGE).items()])
     names = ("doc_id", "page", "ord", "rel_left", "rel_top", "rel_width", "rel_height")

@@ -240,7 +240,7 @@ def test_regions(spark):
     spans = S.spans_of(table(spark, DATA, "documents")).filter("doc_id < 12")
     chosen = spans.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0.0).alias("sel_left"), F.lit(100.0).alias("sel_top"), F.lit(612.0).alias("sel_right"), F.lit(220.0).alias("sel_bottom"))
     found = units.page_units(viewer.select_spans(spans, chosen), PAGE)
-    fresh = translate.region_items(translate.translate_units(found, translate.stub), found, 612.0, 792.0, 2.0)
+    fresh = translate.region_items(translate.translate_units(found, translate.stub, carry=translate.BOX), 612.0, 792.0, 2.0)
     by_page = defaultdict(list)
     for r in S.valid_spans(spans).filter("bottom >= 100 and top <= 220").collect():
         by_page[r["doc_id"], r["page"]].append({"id": r["span_id"], "size": r["font_size"], "family": r["font_family"], "style": r["font_style"], "weight": r["font_weight"], "rgb": (0, 0, 0), **{c: r[c] for c in ("text", "left", "top", "right", "bottom")}})
