@@ -14,17 +14,24 @@ from sheafline.llm import bpe, decontam, langmix, linedrop, nearcopies, simhash
 from sheafline.llm.queries import vocabulary_path
 from sheafline.session import made_so_far, release, staged, table
 
-#: Up to so many removed ids (8 bytes each) go to all tasks; more are joined by a shuffle.
+#: Up to so many removed ids (8 bytes each, so 16 MB) go to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language; those without a letter go."""
+    """Documents in learned languages: those go that have no letter (or text), or that the model explains no better than noise for the most part.
+
+    The model is learned from the documents themselves. Rows are judged one by one,
+    whatever their id; no labelled row leaves all with a letter.
+    """
     return langmix.known_language_only(docs, langmix.train(docs.filter(~langmix.held_out())))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that three documents hold, except in the last of these."""
+    """Texts without the lines that three documents hold, except in the last of these.
+
+    A null text stays null; a row without an id keeps no copy that another document holds.
+    """
     cleaned = linedrop.drop_lines(docs, rewrite=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -32,9 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; rows without an id stay.
+    """One document, that of the smallest id, of each group of near copies.
 
-    Near copies have fingerprints at most two bits apart, or five-word shingles with a Jaccard similarity of 0.8 or more.
+    Rows without an id stay; of rows that share an id all stay or go, as the id does. Near copies have fingerprints at most two bits apart, or five-word shingles with a Jaccard similarity of 0.8 or more.
     """
     seen = staged(nearcopies.sketch_table(docs), "sketches")
     groups = simhash.simhash_components(docs, own=seen.select("doc_id", "fp"), more_links=nearcopies.near_links(docs, seen))
@@ -45,12 +52,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, rows are judged one by one."""
     return decontam.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of ids and decoded text, of what is left."""
+    """Token counts, and digests of ids and decoded text, of what is left, a row each; a null text counts as empty."""
     return bpe.bpe_round_trip(docs, vocabulary_path())
 
 
