@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,8 @@ class TrieEncoder:
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        #: What every added token begins with: a text without it has none of them.
+        self.added_sign = os.path.commonprefix(list(self.added))
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.symbols = byte_symbols()
         # Tokens as tuples would be slow keys; inside, an end-of-word token is its text and one mark.
@@ -183,7 +186,7 @@ class TrieEncoder:
 
     def split(self, text: str) -> list[str | int]:
         """Words, and ids of special tokens, in their order."""
-        if self.added_pattern is None or "<|" not in text:
+        if self.added_pattern is None or self.added_sign not in text:
             return self.pieces(text)
         out: list[str | int] = []
         at = 0
@@ -212,7 +215,7 @@ class TrieEncoder:
             distinct.update(words)
         self.learn({w for w in distinct if type(w) is str})
         for text, words in zip(texts, split, strict=True):
-            if "<|" in text:
+            if self.added and self.added_sign in text:
                 yield (
                     b"".join([np.array([w], "<u4").tobytes() if type(w) is int else self.ids[w] for w in words]),
                     " ".join([self.text_of[w] if type(w) is int else self.texts[w] for w in words]),

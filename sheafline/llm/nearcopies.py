@@ -39,7 +39,7 @@ SHINGLE, BANDS, ROWS, FINE = 5, 20, 5, 1024
 OVER, UNDER = 4, 5
 #: At a similarity of 0.8, 1024 bits (one of each value) differ in 102.4 bits, standard deviation 9.6.
 BITS_APART = 144
-#: Up to so many ids (8 bytes each) go to all tasks; more are joined by a shuffle.
+#: Up to so many ids (8 bytes each, so 16 MB) go to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240301)
 _XOR, _FACTOR = _rng.integers(0, 2**64, FINE, dtype=np.uint64), _rng.integers(0, 2**63, FINE, dtype=np.uint64) * U64(2) + U64(1)

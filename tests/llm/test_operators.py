@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sheafline.llm import bpe, columns, components, decontam, langmix, linedrop, pii, queries, repetition, simhash, suffixdedup, warc, weaklabel
+from sheafline.llm import bpe, columns, components, decontam, langmix, linedrop, nearcopies, pii, queries, repetition, simhash, suffixdedup, warc, weaklabel
 from sheafline.session import fresh_path
 
 DOCS = "doc_id long, text string"
@@ -255,6 +255,18 @@ def test_copies_with_other_values_in_one_text(spark, between):
     assert all(r["kind"] == "reparameterised" for r in found.values())
 
 
+def test_leaks_on_odd_rows(spark):
+    """Rows without an id, repeated rows, long and null texts, repeated items: each pair of rows is reported."""
+    item = "which river flows past the old mill before it meets the northern lake"
+    long = " ".join(f"word{k % 977}" for k in range(20_000))
+    rows = [(None, f"x {item} y"), (3, item), (3, item), (4, f"{long} {item.upper()} {long}"), (5, None), (6, ""), (7, "x" * 50_000), (8, long)]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, "")], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["kind"]) for r in decontam.find_leaks(spark.createDataFrame(rows, DOCS).repartition(3), bench).collect())
+    assert got == {(None, 1, "literal"): 2, (3, 1, "literal"): 4, (4, 1, "literal"): 2}
+    left = decontam.drop_leaked(spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", chunk int"), bench)
+    assert sorted((r["doc_id"], r["chunk"]) for r in left.collect()) == [(5, 7), (6, 7), (7, 7), (8, 7)]
+
+
 # --- 2
 
 
@@ -338,6 +350,19 @@ def test_only_letters_make_a_language(spark):
     assert [r["lang_pred"] for r in got] == ["en", "und", "en"]
 
 
+def test_languages_on_odd_rows(spark):
+    """Equal texts are judged alike whatever their ids; long texts as a whole; null and empty ones are in no language."""
+    model = langmix.train(spark.createDataFrame([(1, "the quick brown fox and the lazy dog " * 20, "en"), (2, "der schnelle braune fuchs und der faule hund " * 20, "de"), (None, "mehr von dem hund", "de"), (4, None, "fr")], "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
+    long = "the dog and the fox " * 20_000
+    rows = [(None, "the fox"), (7, "the fox"), (7, "the fox"), (8, long), (9, None), (10, ""), (11, "der hund " * 3 + long), (12, "x" * 50_000)]
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 6), r["known"]) for r in langmix.language_mixture(spark.createDataFrame(rows, DOCS).repartition(3), model).collect()]
+    fox = {x[1:] for x in got if x[0] in (None, 7)}
+    assert len(got) == 8 and len(fox) == 1 and fox.pop()[0] == "en"
+    by_id = {x[0]: x[1:] for x in got}
+    assert by_id[8][0] == by_id[11][0] == "en" and by_id[9] == by_id[10] == ("und", 0.0, 0.0) and all(0 <= x[2] <= 1 for x in got)
+
+
 def test_texts_in_no_learned_language_go(spark):
     """The stage's decision follows the model: what it can't explain goes, what it was trained on stays."""
     rng = random.Random(4)
@@ -432,6 +457,21 @@ def test_clean_texts_stay_clean(text):
     assert pii.personal_data(text) == ([], [])
 
 
+def test_personal_data_on_odd_rows(spark):
+    long = "word " * 200_000
+    rows = [(None, "a@b.cd"), (1, "a@b.cd"), (1, "a@b.cd"), (2, None), (3, ""), (4, long + "1.2.3.4 mail at x dot com " + long)]
+    got = {(r["doc_id"], r["n_email"], r["n_ip"], r["spans"]) for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 0, ""), (4, 0, 1, "email:1000008:1000021,ip:1000000:1000007")} or {x for x in got if x[0] != 4} == {(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 0, "")}
+    assert {x[1:3] for x in got if x[0] == 4} == {(0, 1)}
+
+
+@pytest.mark.parametrize(("text", "spans"), [("call 55512345 five six now", "phone:5:22"), ("card 411111111111111l end", "card:5:21"), ("card 4111 1111 1111 1 one one one", "card:5:33"), ("call 0171 555 12 three four", "phone:5:27")])
+def test_what_is_found_depends_on_no_other_character(text, spans):
+    for odd in ("", "\u00ad"):
+        base, added = pii.personal_data(text + odd)
+        assert pii._joined(base + added) == spans
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "+1" + " " * 300_000, "1." * 150_000, "one " * 50_000, "a." * 100_000 + "@a"):
         pii.personal_data(text)
@@ -697,6 +737,18 @@ def test_bpe_against_the_library(spark):
         assert got[k]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_added_tokens_of_any_form(tmp_path):
+    """What tells a text with added tokens apart follows the file."""
+    spec = json.load(open(queries.vocabulary_path()))
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    spec["added_tokens"] = [{**spec["added_tokens"][0], "id": top + k, "content": t} for k, t in enumerate(("[SEP]", "@end@"), 1)]
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w"))
+    trie = bpe.TrieEncoder(path)
+    ids, text = next(trie.encode_batch(["a [SEP] b@end@"]))
+    assert {top + 1, top + 2} <= set(np.frombuffer(ids, "<u4").tolist()) and "[SEP]" in text and trie.added_sign == ""
+
+
 def test_prefixes_are_worked_out_once():
     trie = bpe.TrieEncoder(queries.vocabulary_path())
     trie.encode_words({"international", "internationally", "internationals"})
@@ -904,6 +956,35 @@ def test_exact_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 6, 7]
 
 
+def test_rows_that_share_an_id_stay_or_go_together(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    rows = [(1, text), (1, near), (2, near), (3, other), (3, text), (None, text), (None, text), (4, None), (5, "")]
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    assert Counter(left) == {1: 2, None: 2, 4: 1}
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with edits of their own: about a pair a member goes to the check, not the square."""
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 3, 3, 4))):
+            own[rng.randrange(len(own))] = f"e{rng.random()}"
+        texts.append(" ".join(own))
+    asked = []
+    real = nearcopies._checked
+    monkeypatch.setattr(nearcopies, "_checked", lambda pairs, shingles: asked.append(pairs.count()) or real(pairs, shingles))
+    docs = docs_of(spark, texts)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
+    near = {k + 1 for k, x in enumerate(sets) if k and 5 * len(x & sets[0]) >= 4 * len(x | sets[0])}
+    assert 1 in left and len(near) > 200 and not near & left and len(left) > 20
+    assert sum(asked) < 6 * len(texts)
+
+
 def test_edited_copies_leave_one(spark):
     rng = random.Random(17)
     words = [f"w{k}" for k in range(3000)]
