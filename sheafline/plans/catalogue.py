@@ -45,6 +45,13 @@ def span_validity(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d, False).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_valid(F.col("text"), F.col("width"), F.col("height"))).alias("n_valid"))
 
 
+@query
+def span_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of which some lost their place: every seventh its left edge, every eleventh its page."""
+    broken = _spans(spark, d, False).withColumns({"left": F.when(F.col("span_id") % 7 > 0, F.col("left")), "page": F.when(F.col("span_id") % 11 > 0, F.col("page"))})
+    return S.whole_spans(broken).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_valid(F.col("text"), F.col("width"), F.col("height"))).alias("n_valid"))
+
+
 @query
 def page_count(spark: SparkSession, d: str) -> DataFrame:
     return S.page_count(_spans(spark, d))

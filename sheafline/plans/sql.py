@@ -50,6 +50,7 @@ r AS (SELECT doc_id, page, para_id, string_agg(html, '<br>' ORDER BY line) AS ht
 SQL: dict[str, str] = {}
 SQL["span_source"] = f'WITH {SPANS} SELECT doc_id, page, span_id, text, "left", top, "right", bottom, font_size, font_weight::INT AS font_weight, font_style, font_family FROM spans'
 SQL["span_validity"] = f"WITH {SPANS}, t AS (SELECT *, {trim('text')} AS t FROM spans) SELECT lang, count(*) AS n, count(*) FILTER ({VALID}) AS n_valid FROM t GROUP BY lang"
+SQL["span_structure"] = f"WITH {SPANS}, t AS (SELECT *, {trim('text')} AS t FROM spans WHERE span_id % 7 > 0 AND span_id % 11 > 0) SELECT doc_id, count(*) AS n, count(*) FILTER ({VALID}) AS n_valid FROM t GROUP BY doc_id"
 SQL["page_count"] = f"WITH {SPANS} SELECT doc_id, greatest(count(DISTINCT page), 1) AS pages FROM spans GROUP BY doc_id"
 SQL["math_context"] = f"""WITH {SPANS} SELECT doc_id, span_id, CASE WHEN length(text) > 0 AND regexp_matches(text, '{MATH_CHAR}') THEN CASE WHEN contains(text, '=') OR contains(text, '∑') THEN 'equation' ELSE 'inline' END ELSE 'none' END AS math_context FROM spans"""
 SQL["style_columns"] = r"""

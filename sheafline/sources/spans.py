@@ -69,6 +69,14 @@ def snapshot(spans: DataFrame, pixel_ratio: float = 1.0) -> DataFrame:
     )
 
 
+def whole_spans(spans: DataFrame) -> DataFrame:
+    """Spans that belong to a page and have a place on it: ids are known, numbers finite."""
+    ok = F.col("doc_id").isNotNull() & F.col("page").isNotNull() & F.col("span_id").isNotNull()
+    for c in ("left", "top", "width", "height"):
+        ok &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return spans.filter(ok)
+
+
 def is_valid(text: Column, width: Column, height: Column) -> Column:
     """Larger than a dot, and not empty, a page number, a lone bullet or a link."""
     t = T.trim(F.coalesce(text, F.lit("")))
@@ -76,7 +84,8 @@ def is_valid(text: Column, width: Column, height: Column) -> Column:
 
 
 def valid_spans(spans: DataFrame) -> DataFrame:
-    return spans.filter(is_valid(F.col("text"), F.col("width"), F.col("height")))
+    """Whole spans with something to translate."""
+    return whole_spans(spans).filter(is_valid(F.col("text"), F.col("width"), F.col("height")))
 
 
 def page_count(spans: DataFrame) -> DataFrame:

@@ -154,6 +154,21 @@ def test_store_versions(spark):
     assert {r["ts"].year for r in rows} == {2000}
 
 
+def test_compatible_reading_takes_the_next_line(spark):
+    """As older readers did: an item without a text takes the line after it, whatever that is."""
+    content = '---\nformat-version: 3\n---\n## Page 1\n%% {"r":{"l":0.1,"t":0.2,"w":0.3,"h":0.4},"page":1,"ot":"empty"} %%\n## Page 2\n'
+    docs = spark.createDataFrame([("d", content)], "doc string, content string")
+    clock = F.lit("2000-01-01").cast("timestamp")
+    assert [store.parse(docs, clock, compat).first()["translated_text"] for compat in (False, True)] == ["", "## Page 2"]
+
+
+def test_spans_without_a_place_are_left_out(spark):
+    nan = float("nan")
+    rows = [(1, 1, k, "text", left, 0.0, 10.0, 10.0) for k, left in enumerate((0.0, None, nan, float("inf")))] + [(None, 1, 9, "text", 0.0, 0.0, 10.0, 10.0), (1, None, 10, "text", 0.0, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, span_id long, text string, left double, top double, width double, height double")
+    assert [r["span_id"] for r in S.whole_spans(df).collect()] == [0]
+
+
 def test_region_replacement(spark):
     old = spark.createDataFrame([(1, 0.1, 0.1, 0.2, 0.2), (1, 0.6, 0.1, 0.2, 0.2)], "p int, rel_left double, rel_top double, rel_width double, rel_height double")
     new = spark.createDataFrame([(1, 0.3, 0.1, 0.2, 0.2)], old.schema)
