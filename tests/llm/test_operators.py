@@ -965,7 +965,7 @@ def test_rows_that_share_an_id_stay_or_go_together(spark):
 
 
 def test_a_large_group_makes_few_pairs(spark, monkeypatch):
-    """Copies of one text with edits of their own: about a pair a member goes to the check, not the square."""
+    """Copies of one text with edits of their own: those near the hub need a pair each, the others' few that finer bits allow."""
     rng = random.Random(31)
     base = [f"w{k}" for k in range(150)]
     texts = [" ".join(base)]
@@ -982,7 +982,7 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
     near = {k + 1 for k, x in enumerate(sets) if k and 5 * len(x & sets[0]) >= 4 * len(x | sets[0])}
     assert 1 in left and len(near) > 200 and not near & left and len(left) > 20
-    assert sum(asked) < 6 * len(texts)
+    assert asked[0] < 4 * len(texts) and sum(asked) < len(texts) * (len(texts) - 1) / 2 / 15
 
 
 def test_edited_copies_leave_one(spark):
