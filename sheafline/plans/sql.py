@@ -199,7 +199,7 @@ SELECT doc, page_key, ord, event_type FROM e WHERE event_type = 'view' OR (doc,
 SQL["page_deletes"] = f"""WITH {_PAGES}, k AS (SELECT DISTINCT doc, page_key FROM e WHERE event_type IN ('view', 'click'))
 SELECT doc, count(DISTINCT CASE WHEN (doc, page_key) NOT IN (SELECT (doc, page_key) FROM k) THEN page_key END) AS pages FROM e GROUP BY doc"""
 _STORED = """(1 + doc_id % 3)::VARCHAR AS page_key, (1 + doc_id % 3)::INT AS page, source AS text_content, lang || chr(10) || source AS translated_text, round((doc_id % 97) / 97.0::DOUBLE, 4) AS rel_left,
-  round(1 / 3.0::DOUBLE, 4) AS rel_top, 0.5 AS rel_width, round((1 + doc_id % 7) / 9.0::DOUBLE, 4) AS rel_height, round(8 + (doc_id % 11) / 7.0::DOUBLE, 2) AS font_size, CASE WHEN doc_id % 2 = 0 THEN 'Serif' END AS font_family"""
+  round(1 / 3.0::DOUBLE, 4) AS rel_top, 0.5::DOUBLE AS rel_width, round((1 + doc_id % 7) / 9.0::DOUBLE, 4) AS rel_height, round(8 + (doc_id % 11) / 7.0::DOUBLE, 2) AS font_size, CASE WHEN doc_id % 2 = 0 THEN 'Serif' END AS font_family"""
 SQL["store_round_trip"] = f"SELECT 'lib/doc ' || doc_id || '.pdf' AS doc, {_STORED}, epoch_us(TIMESTAMP '2024-01-02 03:04:05') AS ts_us FROM documents"
 SQL["note_files"] = f"SELECT 'notes/doc ' || doc_id || '.translations.md' AS note_path, {_STORED} FROM documents"
 SQL["note_records"] = "SELECT 'lib/doc ' || doc_id || '.pdf' AS doc, (1 + doc_id % 3)::VARCHAR AS page_key, source AS text_content FROM documents WHERE doc_id IN (SELECT s_suppkey FROM supplier)"
@@ -222,7 +222,7 @@ SELECT doc_id, page, ord::INT AS ord, line, CASE WHEN (n > 1 AND gone > 0.5 * n)
 _JOB = f"""{_UNITS}, j AS (SELECT doc_id, page, d.n AS units, CASE WHEN mode = 'batch' AND chars % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN mode = 'batch' AND chars % 5 = 0 THEN d.n WHEN mode = 'single' AND max(length(original)) % 5 = 0 THEN 1 ELSE 0 END AS missing
   FROM d JOIN u USING (doc_id, page) WHERE page BETWEEN 1 AND 3 GROUP BY doc_id, page, d.n, mode, chars)"""
 SQL["page_range_job"] = f"WITH {_JOB} SELECT doc_id, page, units, missing, status FROM j"
-SQL["job_progress"] = f"WITH {_JOB} SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, 0 AS cancelled FROM j GROUP BY doc_id"
+SQL["job_progress"] = f"WITH {_JOB} SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS cancelled FROM j GROUP BY doc_id"
 SQL["provider_answers"] = f"SELECT conv_id, turn, {trim("text")} AS answer FROM conversations"
 SQL["moved_notes"] = """SELECT CASE WHEN doc_id % 4 = 0 THEN 'new/x' || doc_id || '.pdf' ELSE 'lib/' || doc_id || '.pdf' END AS pdf_path, 'n/' || CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END || doc_id || '.translations.md' AS note_path, 'n/' || doc_id || '.translations.md' AS old_note_path FROM documents WHERE doc_id % 7 <> 0"""
 SQL["streamed_store"] = """WITH r AS (SELECT event_id // 40 AS w, 'doc' || (event_id // 40) % 30 AS doc, (event_id % 4 + 1)::VARCHAR AS page_key, ((event_id // 4) % 10)::INT AS ord, CASE WHEN (event_id // 40 + event_id % 4) % 9 > 0 THEN event_type END AS text_content, event_id::VARCHAR AS translated_text FROM events),
