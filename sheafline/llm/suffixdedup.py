@@ -72,6 +72,7 @@ class SuffixSettings:
     heavy_distances: int = 4
     block_bytes: int = 1 << 22
     held_bytes: int = 1 << 24
+    reducer_bytes: int = 1 << 26
     most_parts: int = 16_384  # folders of chunks' rows, and reducers of anchors' buckets
 
 
@@ -631,7 +632,10 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             yield from flush()
 
     sent = map_batches(chunks, send, "key long, content long, chunk long, entry int, context binary, windows int, anchor int, least long, most long", "suffixdedup")
-    by_key = sent.repartition("key").sortWithinPartitions("key", F.col("context").isNull())
+    # Two and a half bytes go for a byte of text; reducers follow that where the session's number is too small.
+    reducers = min(4 * s.most_parts, int(total * 2.5) // s.reducer_bytes)
+    dealt = sent.repartition(reducers, "key") if reducers > int(spark.conf.get("spark.sql.shuffle.partitions")) else sent.repartition("key")
+    by_key = dealt.sortWithinPartitions("key", F.col("context").isNull())
     owed_path = fresh_path(spark, "owed")
     _write_parts(map_batches(by_key, lambda x: resolve(x, s), "chunk long, entry int, from int, len int, least long", "suffixdedup"), parts, owed_path)
 

@@ -589,7 +589,7 @@ def brute_repeats(rows, length=50):
         (["a ", "bé ", "the ", "of ", "xyz "], 150, 0.5, suffixdedup.SuffixSettings()),
         ("ab", 100, 0.3, suffixdedup.SuffixSettings(heavy_from=5, chunk_bytes=4000, block_bytes=3000, bucket_samples=50)),
         (["tion ", "er ", "on ", "x"], 200, 0.6, suffixdedup.SuffixSettings(heavy_from=3, chunk_bytes=3000)),
-        (["tion ", "er ", "on ", "x"], 150, 0.6, suffixdedup.SuffixSettings(chunk_bytes=900, block_bytes=2000, held_bytes=1, most_parts=3, bucket_samples=500)),
+        (["tion ", "er ", "on ", "x"], 150, 0.6, suffixdedup.SuffixSettings(chunk_bytes=900, block_bytes=2000, held_bytes=1, most_parts=3, bucket_samples=500, reducer_bytes=1000)),
     ],
 )
 def test_repeats_against_brute_force(spark, alphabet, n, share, settings):
