@@ -145,6 +145,21 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return staged(texts.dropDuplicates(["set_key"]).join(wanted.select("set_key", "fp"), "set_key"), "shingles")
 
 
+def _with(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Rows joined with the one row of ``side`` that has their key.
+
+    Keys that a thousandth of the rows share, at most a thousand, are dealt over as many
+    tasks as they have thousandths, and their row of ``side`` goes to each of these.
+    """
+    total = rows.count()
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(64, total // 1000))
+    heavy = F.broadcast(heavy.select(key, F.ceil(F.col("n") * 1000 / max(total, 1)).cast("int").alias("parts")))
+    other = [c for c in rows.columns if c != key]
+    dealt = rows.join(heavy, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*other), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = side.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def _checked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Of pairs u, v of sets those that are near copies, with their fingerprints fu, fv."""
 
@@ -159,7 +174,8 @@ def _checked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
     first = shingles.select(F.col("set_key").alias("u"), F.col("fp").alias("fu"), F.col("shingles").alias("a"))
     other = shingles.select(F.col("set_key").alias("v"), F.col("fp").alias("fv"), F.col("shingles").alias("b"))
-    return staged(map_batches(pairs.join(first, "u").join(other, "v").select("u", "v", "fu", "fv", "a", "b"), run, "u long, v long, fu long, fv long", "nearcopies"), "near-pairs")
+    pairs = staged(pairs, "pairs")
+    return staged(map_batches(_with(pairs, first, "u").join(other, "v").select("u", "v", "fu", "fv", "a", "b"), run, "u long, v long, fu long, fv long", "nearcopies"), "near-pairs")
 
 
 def _may_be_near(a: str, b: str):
@@ -187,8 +203,9 @@ def near_links(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_co
     shingles = _shingles_of(docs, info, id_col, text_col)
 
     sized = shingles.select("set_key", "size", "bits")
-    star = members.filter("set_key <> low").select("low", "set_key").distinct()
-    star = star.join(sized.alias("y"), "set_key").join(sized.withColumnRenamed("set_key", "low").alias("x"), "low")
+    star = staged(members.filter("set_key <> low").select("low", "set_key").distinct(), "star")
+    hub = sized.select(F.col("set_key").alias("low"), F.struct("size", "bits").alias("x"))
+    star = _with(star, hub, "low").join(sized.select("set_key", F.struct("size", "bits").alias("y")), "set_key")
     found = _checked(star.filter(_may_be_near("x", "y")).select(F.col("low").alias("u"), F.col("set_key").alias("v")), shingles)
 
     roots = staged(components(found.select("u", "v")), "set-roots")
