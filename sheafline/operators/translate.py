@@ -13,7 +13,6 @@ import json
 import random
 import re
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -28,7 +27,7 @@ from sheafline.functions import text as T
 from sheafline.functions.geometry import is_proper
 from sheafline.operators import replies, units
 from sheafline.schema import LANGUAGES, MISSING, TextSettings
-from sheafline.session import ship
+from sheafline.session import ship, write_whole
 
 
 class RateLimited(Exception):
@@ -192,34 +191,25 @@ class Answers:
 
     folder: str
 
-    def _place(self, system: str, user: str) -> tuple[pafs.FileSystem, str]:
-        filesystem, root = pafs.FileSystem.from_uri(self.folder)
+    def _name(self, system: str, user: str) -> str:
         key = hashlib.sha256(f"{len(system)}:{system}{user}".encode()).hexdigest()
-        return filesystem, f"{root}/{key[:2]}/{key}"
+        return f"{key[:2]}/{key}"
 
     def get(self, system: str, user: str) -> str | None:
-        filesystem, path = self._place(system, user)
+        filesystem, root = pafs.FileSystem.from_uri(self.folder)
+        path = f"{root}/{self._name(system, user)}"
         if filesystem.get_file_info(path).type != pafs.FileType.File:
             return None
         with filesystem.open_input_file(path) as file:
             return file.read().decode()
 
     def put(self, system: str, user: str, answer: str) -> None:
-        """Written beside and moved, so that a reader sees whole answers only."""
-        filesystem, path = self._place(system, user)
-        filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with filesystem.open_output_stream(part) as file:
-            file.write(answer.encode())
-        filesystem.move(part, path)
+        write_whole(self.folder, self._name(system, user), answer.encode())
 
 
 def cancel(folder: str) -> None:
     """Ask the job of a folder to stop; its pages that have not begun are reported as cancelled."""
-    filesystem, root = pafs.FileSystem.from_uri(folder)
-    filesystem.create_dir(root, recursive=True)
-    with filesystem.open_output_stream(f"{root}/cancel") as file:
-        file.write(b"")
+    write_whole(folder, "cancel", b"")
 
 
 def is_cancelled(folder: str) -> bool:

@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -110,6 +111,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_whole(folder: str, name: str, data: bytes) -> None:
+    """Write a file below a folder: beside its place and moved there, so that readers see whole files and a repeated task does no harm."""
+    filesystem, root = pafs.FileSystem.from_uri(folder)
+    place = f"{root}/{name}"
+    filesystem.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    part = f"{place}.{uuid.uuid4().hex}"
+    with filesystem.open_output_stream(part) as file:
+        file.write(data)
+    try:
+        filesystem.move(part, place)
+    except OSError:  # some file systems don't move onto a file that is there
+        filesystem.delete_file(place)
+        filesystem.move(part, place)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

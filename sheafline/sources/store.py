@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.schema import META_V1, META_V2, META_V3
-from sheafline.session import ship
+from sheafline.session import ship, write_whole
 
 _META = "struct<r:struct<l:double,t:double,w:double,h:double>,page:double,ot:string,fs:double,ff:string,ofs:array<double>,sel:string,fontSize:double,fontFamily:string,originalFontSizes:array<double>>"
 COLUMNS = ("doc", "page_key", "ord", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family", "original_font_sizes", "ts")
@@ -34,20 +34,14 @@ def read_documents(spark: SparkSession, folder: str, prefix: str = "", suffix: s
 def write_notes(notes: DataFrame, folder: str) -> int:
     """Write each note (note_path, content) as a file below the folder, whose folders are made; how many.
 
-    A file is written beside and moved, so a repeated task only writes it again. Notes with
-    the same path must be one row.
+    A repeated task only writes its files again. Notes with the same path must be one row.
     """
     ship(notes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("note_path", "content")), strict=True):
-                whole = f"{root}/{path}"
-                filesystem.create_dir(whole.rsplit("/", 1)[0], recursive=True)
-                with filesystem.open_output_stream(f"{whole}.part") as file:
-                    file.write((content or "").encode())
-                filesystem.move(f"{whole}.part", whole)
+                write_whole(folder, path, (content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return notes.select("note_path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
