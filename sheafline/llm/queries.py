@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import bpe, decontam, langmix, linedrop, pii, repetition, simhash, suffixdedup, warc, weaklabel
+from sheafline.llm import bandjoin, bpe, decontam, langmix, linedrop, pii, repetition, simhash, suffixdedup, warc, weaklabel
 from sheafline.session import table
 
 
@@ -65,9 +65,25 @@ def op10_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bandjoin.band_join(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_template_decontamination, op2_language_mixture, op3_personal_data, op4_weak_quality, op5_suffix_dedup, op6_simhash_near_dedup, op7_trie_bpe, op8_repetition_quality, op9_line_dedup, op10_warc_index_first)
+    for f in (
+        op1_template_decontamination,
+        op2_language_mixture,
+        op3_personal_data,
+        op4_weak_quality,
+        op5_suffix_dedup,
+        op6_simhash_near_dedup,
+        op7_trie_bpe,
+        op8_repetition_quality,
+        op9_line_dedup,
+        op10_warc_index_first,
+        op13_band_join,
+    )
 }
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -129,4 +145,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     OR n_dup_lines * 100 > 30 * greatest(n_lines, 1) OR dup_chars * 100 > 20 * greatest(word_chars, 1)) AS kept
 FROM base LEFT JOIN over USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op8_repetition_quality": _REPETITION, "op9_line_dedup": _LINES, "op10_warc_index_first": _WARC}
+_BAND = """
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+lines AS (
+  SELECT sale_id, line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND amount IS NOT NULL),
+priced AS (
+  SELECT sale_id, line_no, item_id, (2 * a + q - (((2 * a + q) % (2 * q)) + 2 * q) % (2 * q)) // (2 * q) AS u,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(sale_id || ',' || coalesce(line_no::VARCHAR, '') || ',' || item_id, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM lines, crc),
+wanted AS (SELECT row_number() OVER () AS row, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+ends AS (SELECT *, p - greatest(50, p // 100) AS low, p + greatest(50, p // 100) AS high FROM wanted WHERE p IS NOT NULL AND item_id IS NOT NULL),
+pairs AS (
+  SELECT e.row, abs(l.u - e.p) AS gap, l.u, l.sale_id, l.line_no, l.item_id AS line_item_id, l.crc
+  FROM ends e JOIN priced l ON l.u BETWEEN e.low AND e.high
+  WHERE l.item_id <> e.item_id AND (abs(l.u - e.p) <= 50 OR 1000 * abs(l.u - e.p) <= 5 * least(l.u, e.p))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS rank FROM pairs),
+sums AS (SELECT row, count(*) AS n_pairs, sum(gap) AS gap_sum, sum(crc) AS lines_crc FROM pairs GROUP BY row)
+SELECT w.item_id, coalesce(f.rank, 0)::INTEGER AS rank, f.gap, f.u, f.sale_id, f.line_no::BIGINT AS line_no, f.line_item_id,
+  coalesce(s.n_pairs, 0)::BIGINT AS n_pairs, coalesce(s.gap_sum, 0)::BIGINT AS gap_sum, coalesce(s.lines_crc, 0)::BIGINT AS lines_crc
+FROM wanted w LEFT JOIN sums s USING (row) LEFT JOIN (SELECT * FROM placed WHERE rank <= 10) f USING (row)"""
+
+ORACLE_SQL: dict[str, str] = {"op8_repetition_quality": _REPETITION, "op9_line_dedup": _LINES, "op10_warc_index_first": _WARC, "op13_band_join": _BAND}
