@@ -18,26 +18,30 @@ from sheafline.llm.columns import column, map_batches
 from sheafline.session import ship, staged
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node and least node of its component, for the edges (a, b), of all nodes but the least ones."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of each batch by those of stars around its components' least nodes."""
     for batch in batches:
         a, b = (column(batch, c).to_numpy() for c in ("u", "v"))
-        if not len(a):
-            continue
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = ends[: len(a)], ends[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        off = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[label[off]])], ["u", "v"])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a, b)], ["u", "v"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

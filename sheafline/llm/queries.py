@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import bandjoin, bpe, decontam, langmix, linedrop, pii, repetition, simhash, suffixdedup, warc, weaklabel
+from sheafline.llm import bandjoin, bpe, decontam, langmix, linedrop, pii, repetition, simhash, sourceaudit, suffixdedup, vectordedup, warc, weaklabel
 from sheafline.session import table
 
 
@@ -65,6 +65,14 @@ def op10_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.vector_links(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourceaudit.source_audit(table(spark, sf_dir, "documents"))
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bandjoin.band_join(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
 
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_repetition_quality,
         op9_line_dedup,
         op10_warc_index_first,
+        op11_vector_near_dedup,
+        op12_source_audit,
         op13_band_join,
     )
 }
@@ -145,6 +155,37 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     OR n_dup_lines * 100 > 30 * greatest(n_lines, 1) OR dup_chars * 100 > 20 * greatest(word_chars, 1)) AS kept
 FROM base LEFT JOIN over USING (doc_id)"""
 
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+links AS MATERIALIZED (
+  SELECT a.row AS a, b.row AS b FROM v a JOIN v b ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e)
+  WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (SELECT row, row AS other FROM v UNION SELECT r.row, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT r.row, min(v.vec_id) AS component_id FROM reached r JOIN v ON v.row = r.other GROUP BY r.row),
+sums AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (row) LEFT JOIN sums USING (row)"""
+
+_AUDIT = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+terms AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+occurring AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+filled AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN occurring USING (lang, source, term)),
+of_group AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM filled JOIN sizes USING (lang)),
+of_lang AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM filled GROUP BY ALL) JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM of_group a JOIN of_group b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+outstanding AS (SELECT g.lang, g.source, 'term' AS part, g.term AS item, p - q AS value FROM of_group g JOIN of_lang USING (lang, term) WHERE g.n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM outstanding))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 _BAND = """
 WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
   SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
@@ -168,4 +209,4 @@ SELECT w.item_id, coalesce(f.rank, 0)::INTEGER AS rank, f.gap, f.u, f.sale_id, f
   coalesce(s.n_pairs, 0)::BIGINT AS n_pairs, coalesce(s.gap_sum, 0)::BIGINT AS gap_sum, coalesce(s.lines_crc, 0)::BIGINT AS lines_crc
 FROM wanted w LEFT JOIN sums s USING (row) LEFT JOIN (SELECT * FROM placed WHERE rank <= 10) f USING (row)"""
 
-ORACLE_SQL: dict[str, str] = {"op8_repetition_quality": _REPETITION, "op9_line_dedup": _LINES, "op10_warc_index_first": _WARC, "op13_band_join": _BAND}
+ORACLE_SQL: dict[str, str] = {"op8_repetition_quality": _REPETITION, "op9_line_dedup": _LINES, "op10_warc_index_first": _WARC, "op11_vector_near_dedup": _VECTORS, "op12_source_audit": _AUDIT, "op13_band_join": _BAND}
