@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.llm.columns import column, map_batches
-from sheafline.session import ship
+from sheafline.session import ship, staged
 
 NO_LINE = -(2**63)
 FIELDS = ("gap", "u", "sale_id", "line_no", "line_item_id")
@@ -279,9 +279,12 @@ def band_join(items: DataFrame, lines: DataFrame, k: int = 10, range_prices: int
     partial = window_merge(dealt, k)
     merged = partial.groupBy("p").agg(F.sum("n").alias("n"), F.sum("gaps").alias("gaps"), F.sum("crcs").alias("crcs"), F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, 2 * k).alias("firsts"))
 
+    merged = staged(merged, "prices")  # else the join below couldn't split a price of many items
+
     band = (F.col("u") >= lowest(F.col("p"))) & (F.col("u") <= highest(F.col("p")))
     own = priced.select(F.col("item_id").alias("own_id"), "u", "crc").join(known, (F.col("own_id") == F.col("item_id")) & band)
     own = own.groupBy("item_id", "p").agg(F.count(F.lit(1)).alias("own_n"), F.sum(F.abs(F.col("u") - F.col("p"))).alias("own_gaps"), F.sum("crc").alias("own_crcs"))
+    own = staged(own, "own-lines")
 
     found = wanted.join(merged.withColumnRenamed("p", "of_p"), (F.col("p") == F.col("of_p")) & F.col("item_id").isNotNull(), "left")
     found = found.join(own.select(F.col("item_id").alias("own_id"), F.col("p").alias("own_p"), "own_n", "own_gaps", "own_crcs"), (F.col("item_id") == F.col("own_id")) & (F.col("p") == F.col("own_p")), "left")
