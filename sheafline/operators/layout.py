@@ -86,7 +86,7 @@ def text_line_height(spans: DataFrame, s: GapSettings | None = None) -> DataFram
 
 
 def line_height(paragraphs: DataFrame, page: Page, s: LayoutSettings | None = None) -> DataFrame:
-    """Line height by page: a trimmed mean of the gaps inside paragraphs, if there are enough, not under a share of the median font."""
+    """Line height by page: a trimmed mean of the gaps inside paragraphs, if there are enough, not under a share of the median font; 16 where no span has a font size."""
     s = s or LayoutSettings()
     w = W.partitionBy(*KEYS, "para_id").orderBy("top", "left", "span_id")
     gap = F.col("top") - F.lag("bottom").over(w)
@@ -96,7 +96,7 @@ def line_height(paragraphs: DataFrame, page: Page, s: LayoutSettings | None = No
     cut = F.floor(F.col("n") * s.trim)
     kept = (F.col("n") >= s.min_gaps_for_trim) & (F.col("rank") >= cut) & (F.col("rank") < F.col("n") - cut) & F.col("gap").isNotNull()
     found = ranked.groupBy(*KEYS).agg(F.coalesce(F.avg(F.when(kept, F.col("gap"))), F.lit(0.0)).alias("mean_gap"), F.percentile(F.when(F.col("font_size") > 0, F.col("font_size")), F.lit(0.5)).alias("font"))
-    return found.select(*KEYS, F.greatest(F.col("mean_gap") * s.line_from_gaps, F.coalesce(F.col("font") * s.line_height * s.line_floor, F.lit(16.0))).alias("line_height"))
+    return found.select(*KEYS, F.when(F.col("font").isNull(), 16.0).otherwise(F.greatest(F.col("mean_gap") * s.line_from_gaps, F.col("font") * s.line_height * s.line_floor)).alias("line_height"))
 
 
 def column_chains(paragraphs: DataFrame, s: LayoutSettings | None = None) -> DataFrame:

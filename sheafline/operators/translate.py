@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
 import random
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -19,6 +21,7 @@ from typing import Protocol
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -38,6 +41,10 @@ class Cancelled(Exception):
     """The job is to stop."""
 
 
+class EmptyAnswer(Exception):
+    """A page's answers have no text."""
+
+
 class Translator(Protocol):
     """Sends one request; raises RateLimited, TimeoutError or another exception if it fails."""
 
@@ -143,11 +150,33 @@ def provider_translator(p: Provider, send: Send) -> Translator:
     return translate
 
 
-def call(translator: Translator, system: str, user: str, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> str:
-    """One answer: rate limits back off exponentially, a time-out ends at once, other failures are tried again; an empty answer is the input."""
+def limited(translator: Translator, system: str, user: str, seconds: float) -> str:
+    """One request; TimeoutError where it takes longer, whatever the translator does. It is left to itself then."""
+    if seconds <= 0:
+        return translator(system, user)
+    done: queue.SimpleQueue[tuple[str, Exception | None]] = queue.SimpleQueue()
+
+    def ask() -> None:
+        try:
+            done.put((translator(system, user), None))
+        except Exception as error:
+            done.put(("", error))
+
+    threading.Thread(target=ask, daemon=True).start()
+    try:
+        answer, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def call(translator: Translator, system: str, user: str, attempts: int = 3, wait: Callable[[float], None] = time.sleep, timeout: float = 0.0) -> str:
+    """One answer: rate limits back off exponentially, a time-out (in seconds, 0 for none) ends at once, other failures are tried again; an empty answer is the input."""
     for k in range(1, attempts + 1):
         try:
-            return translator(system, user) or user
+            return limited(translator, system, user, timeout) or user
         except RateLimited:
             if k == attempts:
                 raise
@@ -224,24 +253,33 @@ def pace(hours: float, pages: int, shortest: float = 0.2) -> float:
 
 @dataclass(frozen=True)
 class JobSettings:
-    """How pages are run: tries of a page and the first pause between them, the pause after a page, kept answers, a folder to cancel by."""
+    """How pages are run: tries of a page and the first pause between them, the pause after a page, kept answers, a folder to cancel by.
+
+    ``after`` is the pace of the whole job, whatever runs at once: its pages are dealt evenly over
+    ``lanes`` tasks, each of which pauses so many times as long after a page and begins by one pause
+    later than the lane before. More lanes let slow calls overlap; fewer running at once only slow the job.
+    """
 
     tries: int = 1
     pause: float = 1.5
     after: float = 0.0
+    lanes: int = 1
     answers: Answers | None = None
     control: str = ""
     wait: Callable[[float], None] = field(default=time.sleep)
 
 
 def _page(mode: str, requests: list[dict], translator: Translator, s: TextSettings, job: JobSettings) -> list[str | None]:
-    """Replies to a page's requests; None where one failed. A page sent in one request fails as a whole."""
+    """Replies to a page's requests; None where one failed. A page sent in one request fails as a whole, and one without any text in its replies.
+
+    Blank answers are not kept, so that the next try asks again.
+    """
 
     def ask(system: str, user: str) -> str:
         known = job.answers.get(system, user) if job.answers else None
         if known is None:
-            known = call(translator, system, user, s.attempts, job.wait)
-            if job.answers:
+            known = call(translator, system, user, s.attempts, job.wait, s.timeout)
+            if job.answers and known.strip():
                 job.answers.put(system, user, known)
         return known
 
@@ -253,6 +291,9 @@ def _page(mode: str, requests: list[dict], translator: Translator, s: TextSettin
             if mode == "batch":
                 raise
             out.append(None)
+    sent = [r for r, reply in zip(requests, out, strict=True) if reply is not None and (r["request"] or "").strip()]
+    if sent and not any(reply and reply.strip() for reply in out):
+        raise EmptyAnswer("the answers of the page have no text")
     return out
 
 
@@ -274,20 +315,27 @@ def answered(requests: DataFrame, translator: Translator, s: TextSettings | None
         return None, "failed", 0, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        lane = context.partitionId() if context and job.after else 0
+        begun = lane == 0
         for batch in batches:
             found = []
+            if not begun and batch.num_rows:
+                job.wait(job.after * lane)
+                begun = True
             modes = batch.column(batch.schema.get_field_index("mode")).to_pylist()
             for mode, asked in zip(modes, batch.column(batch.schema.get_field_index("requests")), strict=True):
                 found.append(one(mode, [{"system": r["system"].as_py(), "request": r["request"].as_py()} for r in asked]))
                 if job.after:
-                    job.wait(job.after)
+                    job.wait(job.after * job.lanes)
             columns = zip(*found, strict=True) if found else [()] * 4
             kinds = (pa.list_(pa.string()), pa.string(), pa.int32(), pa.string())
             arrays = [*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "replies", "status", "tries", "error"])
 
     more = [StructField("replies", ArrayType(StringType())), StructField("status", StringType()), StructField("tries", IntegerType()), StructField("error", StringType())]
-    return requests.mapInArrow(run, StructType([*requests.schema.fields, *more]))
+    dealt = requests.repartition(job.lanes) if job.after else requests
+    return dealt.mapInArrow(run, StructType([*requests.schema.fields, *more]))
 
 
 #: What region_items reads of units, beside their texts.
@@ -327,11 +375,14 @@ def translate_units(found: DataFrame, translator: Translator, s: TextSettings |
 
 def page_job(found: DataFrame, translator: Translator, first: int, last: int, s: TextSettings | None = None, job: JobSettings | None = None) -> DataFrame:
     """The units of a range of pages, translated; whole pages are tried again."""
-    return translate_units(found.filter(F.col("page").between(first, last)), translator, s, job or JobSettings(tries=3, after=0.2))
+    return translate_units(found.filter(F.col("page").between(first, last)), translator, s, job or JobSettings(tries=3, after=0.2, lanes=8))
 
 
 def job_status(results: DataFrame) -> DataFrame:
-    """Pages with their status; a completed page whose lines are not as many as its units, or all empty, failed its check."""
+    """Pages with their status; a completed page whose lines are not as many as its units, or all empty, failed its check.
+
+    Empty answers have failed, and been tried again, before (``answered``); this check also covers rows from elsewhere.
+    """
     counted = results.groupBy("doc_id", "page").agg(
         F.count(F.lit(1)).alias("units"), F.count_if(F.coalesce(F.col("line"), F.lit(MISSING)) == MISSING).alias("missing"), F.count("line").alias("lines"), F.sum(F.length(F.trim(F.coalesce("line", F.lit(""))))).alias("chars"), F.max("status").alias("status")
     )

@@ -565,6 +565,89 @@ def streamed_store(spark: SparkSession, d: str) -> DataFrame:
     return changes.read_store(spark, target).select("doc", "page_key", "ord", "text_content", "translated_text")
 
 
+def _renames(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events rename the user's file round a ring of two to four names."""
+    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    names = 2 + F.col("user_id") % 3
+
+    def name(number: Column) -> Column:
+        return F.concat(F.lit("lib/u"), F.col("user_id").cast("string"), F.lit("-"), (number % names).cast("string"), F.lit(".pdf"))
+
+    return table(spark, d, "events").withColumn("k", k.cast("long")).select("user_id", name(F.col("k") - 1).alias("old_path"), name(F.col("k")).alias("path"), F.col("k").alias("ts"))
+
+
+@query
+def rename_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Runs the rounds of the chains while it is built."""
+    return changes.rename_chains(_renames(spark, d)).select("old_path", "path", "hops", "replaced")
+
+
+@query
+def chained_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes after all renames, applied in three batches, each while the query is built."""
+    log = _renames(spark, d)
+    files = log.select(F.concat(F.lit("lib/u"), F.col("user_id").cast("string"), F.lit("-0.pdf")).alias("pdf_path")).distinct()
+    known = files.select("pdf_path", T.note_path(F.lit("n"), F.col("pdf_path")).alias("note_path"))
+    for low, high in ((1, 3), (4, 9), (10, 1 << 40)):
+        known = changes.move_notes(known, log.filter(F.col("ts").between(low, high)), "n").select("pdf_path", "note_path")
+    return known
+
+
+@query
+def followed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Names of files as a stream of three batches, one state a file; the stream runs while the query is built."""
+    source, out, mark = (fresh_path(spark, x) for x in ("names", "followed", "names-mark"))
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("lib/"), F.col("event_type"), (k % 11).cast("string"), F.lit(".pdf")).alias("path"), "ts", (k % 3).alias("part"))
+    for part in range(3):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        stream = changes.follow_files(spark.readStream.schema("file string, path string, ts timestamp").parquet(source))
+        stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("file").agg(F.max_by(F.struct("first_path", "path", "n_names"), "batch").alias("m"))
+    return last.select("file", "m.first_path", "m.path", "m.n_names")
+
+
+@query
+def streamed_path_map(spark: SparkSession, d: str) -> DataFrame:
+    """A path map kept by three batches: notes of all documents; then every third has another link and every seventh is gone; then every fifth file is renamed. Runs while the query is built."""
+    source, target, mark = (fresh_path(spark, x) for x in ("note-rows", "path-map", "note-mark"))
+    k, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    docs = table(spark, d, "documents").select("doc_id")
+    note, own, other, new = F.concat(F.lit("n/d"), text, F.lit(".translations.md")), F.concat(F.lit("lib/d"), text, F.lit(".pdf")), F.concat(F.lit("more/o"), text, F.lit(".pdf")), F.concat(F.lit("lib/new"), text, F.lit(".pdf"))
+    void = F.lit(None).cast("string")
+    link = F.concat(F.lit("[["), F.when(k % 2 == 0, F.concat(F.lit("d"), text, F.lit(".pdf"))).otherwise(own), F.lit("]]"))
+    first = docs.select(F.lit("note").alias("kind"), note.alias("note_path"), link.alias("link"), void.alias("old_path"), void.alias("path"), F.lit(1).alias("ts"))
+    second = docs.filter("doc_id % 3 = 0 or doc_id % 7 = 0").select(F.when(k % 7 == 0, "gone").otherwise("note").alias("kind"), note.alias("note_path"), F.concat(F.lit("[["), other, F.lit("|View]]")).alias("link"), void.alias("old_path"), void.alias("path"), F.lit(2).alias("ts"))
+    third = docs.filter("doc_id % 5 = 0").select(F.lit("rename").alias("kind"), void.alias("note_path"), void.alias("link"), own.alias("old_path"), new.alias("path"), F.lit(3).alias("ts"))
+    schema = "kind string, note_path string, link string, old_path string, path string, ts int"
+    for number, rows in enumerate((first, second, third)):
+        rows.write.mode("append").parquet(source)
+        present = F.array(F.when(k % 5 == 0, new).otherwise(own) if number == 2 else own, other)
+        changes.keep_path_map(spark.readStream.schema(schema).parquet(source), lambda _, p=present: docs.select(F.explode(p).alias("path")), target, mark, "n", 8).awaitTermination()
+    return changes.read_path_map(spark, target)
+
+
+@query
+def stored_page_range(spark: SparkSession, d: str) -> DataFrame:
+    """Pages 9 to 40 of every document of a store kept by two batches, of which the second renews every third page and one in eleven goes. Runs while the query is built."""
+    source, target, mark = (fresh_path(spark, x) for x in ("page-rows", "pages", "page-mark"))
+    k = F.col("event_id")
+    events = table(spark, d, "events").select(F.concat(F.lit("doc"), F.col("user_id").cast("string")).alias("doc"), (k % 60 + 1).alias("page"), "event_type", "user_id")
+    pages = events.groupBy("doc", "page", "user_id").agg(F.max("event_type").alias("text"))
+
+    def rows(ts: int, text: Column) -> DataFrame:
+        box = [F.lit(0.5).alias(f"rel_{x}") for x in ("left", "top", "width", "height")]
+        return pages.select("doc", F.col("page").cast("string").alias("page_key"), F.lit(0).alias("ord"), F.col("page").cast("int").alias("page"), text.alias("text_content"), F.col("text").alias("translated_text"), *box, F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_family"), F.array(F.lit(10.0)).alias("original_font_sizes"), F.timestamp_seconds(F.lit(ts)).alias("ts"))
+
+    first, second = rows(1, F.col("text")), rows(2, F.when(F.col("page") % 11 > 0, F.concat(F.lit("new "), F.col("text")))).filter("page % 3 = 0")
+    for batch in (first, second):
+        batch.write.mode("append").parquet(source)
+        changes.keep_store(spark.readStream.schema(changes.STORE_SCHEMA).parquet(source), target, mark, 16).awaitTermination()
+    changes.compact(spark, target, 2)
+    wanted = pages.select("doc", F.lit(9).alias("first"), F.lit(40).alias("last")).distinct()
+    return changes.read_pages(spark, target, wanted).select("doc", "page_key", "text_content")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to spans, valid spans, paragraphs, and their texts and boxes."""
     found = layout.initial_paragraphs(S.valid_spans(_spans(spark, d)))

@@ -80,7 +80,7 @@ lg AS (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id, page, para_id ORDE
 lk AS (SELECT *, CASE WHEN g > 0 AND g < 396 THEN g END AS gap FROM lg),
 lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap IS NULL, gap, span_id) - 1 AS rank, count(gap) OVER (PARTITION BY doc_id, page) AS n FROM lk),
 la AS (SELECT doc_id, page, coalesce(avg(gap) FILTER (n >= 5 AND rank >= floor(n * 0.15) AND rank < n - floor(n * 0.15)), 0) AS mean_gap, median(font_size) AS font FROM lr GROUP BY ALL),
-lh AS (SELECT doc_id, page, greatest(mean_gap * 1.25, font * 1.6 * 0.8) AS line_height FROM la)"""
+lh AS (SELECT doc_id, page, CASE WHEN font IS NULL THEN 16 ELSE greatest(mean_gap * 1.25, font * 1.6 * 0.8) END AS line_height FROM la)"""
 SQL["line_height"] = f"WITH {PARAS}, {_LINES} SELECT doc_id, page, round(line_height, 6) AS line_height FROM lh"
 SQL["column_chain"] = f"""WITH {PARAS}, x AS (SELECT doc_id, page, para_id, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, sum(bottom - top) AS h, count(*) AS n FROM paras GROUP BY ALL),
 y AS (SELECT *, CASE WHEN sum(h) OVER v / sum(n) OVER v > 0 THEN sum(h) OVER v / sum(n) OVER v * 2 ELSE 20 END AS lim, lag("left") OVER (PARTITION BY doc_id, page ORDER BY "left", para_id) AS pl FROM x WINDOW v AS (PARTITION BY doc_id, page)),
@@ -207,7 +207,7 @@ SQL["note_map"] = "SELECT 'lib/doc ' || doc_id || '.pdf' AS pdf_path, 'notes/doc
 SQL["old_notes"] = """SELECT 'd' || doc_id AS doc, (1 + doc_id % 3)::VARCHAR AS page_key, (1 + doc_id % 4)::INT AS page, source || ' | x' AS text_content, lang || chr(10) || 'end' AS translated_text, 0.25::DOUBLE AS rel_left, 0.0625::DOUBLE AS rel_height, (8 + doc_id % 5)::DOUBLE AS font_size FROM documents WHERE doc_id % 11 <> 0"""
 SQL["source_links"] = """WITH c AS (SELECT doc_id, 'pdf-source: ' || chr(39) || '[[new ' || doc_id || '.pdf]]' || chr(39) || chr(10) AS link, '# ' || source || chr(10) || 'pdf-source: not here' AS body, '---' || chr(10) AS rule, 'x: 1' || chr(10) AS x FROM documents)
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN rule || x || link || rule || body WHEN 1 THEN rule || link || x || rule || body ELSE body END AS content FROM c"""
-SQL["note_times"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN event_id % 10 = 0 THEN 946684800000 ELSE epoch_ms(ts) END AS ms FROM events"
+SQL["note_times"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN event_id % 10 = 0 THEN 946684800000 ELSE epoch_us(ts) // 1000 END AS ms FROM events"
 SQL["path_map"] = """WITH f AS (SELECT 'lib/' || source || '/doc' || doc_id || '.pdf' AS path, 'doc' || doc_id || '.pdf' AS name, doc_id FROM documents)
 SELECT path AS pdf_path, 'notes/' || CASE WHEN doc_id % 4 = 0 THEN 'z' ELSE 'n' END || doc_id || '.md' AS note_path FROM f"""
 SQL["note_lookup"] = "SELECT 'lib/' || doc_id || '.pdf' AS pdf_path, CASE WHEN doc_id % 3 <> 0 THEN 'n/' || doc_id || '.translations.md' END AS note_path FROM documents"
@@ -265,3 +265,18 @@ SELECT doc_id, span_id, "left" / 2 AS "left", height / 2 AS height, font_size /
   font_family || '|' || printf('%.1f', floor(font_size / 2 * 2 + 0.5) / 2) || '|' || font_weight || '|' || font_style || '|0,0,0' AS style_sig FROM m"""
 SQL["preset_by_id"] = "SELECT p_partkey AS id, p_name AS name, p_brand AS settings, 'a' AS created_at, 'b' AS updated_at FROM part WHERE p_partkey = 17"
 SQL["target_languages"] = f"WITH l(lang, lang_name) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LANGUAGES.items())}) SELECT l.lang, lang_name, count(doc_id) AS n FROM l LEFT JOIN documents d ON d.lang = l.lang WHERE l.lang <> 'auto' GROUP BY ALL"
+_RENAMES = """e AS (SELECT user_id, 2 + user_id % 3 AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+log AS (SELECT user_id, 'lib/u' || user_id || '-' || (k - 1) % m || '.pdf' AS old_path, 'lib/u' || user_id || '-' || k % m || '.pdf' AS path, k FROM e),
+nxt AS (SELECT a.path, a.k, min(b.k) AS next FROM log a LEFT JOIN log b ON b.old_path = a.path AND b.k > a.k GROUP BY a.path, a.k),
+walk AS (
+  SELECT old_path AS first, path, k, 1 AS hops FROM log WHERE k = (SELECT min(k) FROM log) UNION ALL
+  SELECT w.first, l.path, l.k, w.hops + 1 FROM walk w JOIN nxt n ON n.path = w.path AND n.k = w.k JOIN log l ON l.old_path = w.path AND l.k = n.next),
+ends AS (SELECT first, arg_max(path, hops) AS path, max(hops) AS hops FROM walk GROUP BY first)"""
+SQL["rename_chains"] = f"WITH RECURSIVE {_RENAMES} SELECT first AS old_path, path, hops::BIGINT AS hops, false AS replaced FROM ends"
+SQL["chained_notes"] = f"WITH RECURSIVE {_RENAMES} SELECT path AS pdf_path, 'n/' || replace(string_split(path, '/')[2], '.pdf', '.translations.md') AS note_path FROM ends"
+SQL["followed_files"] = """WITH e AS (SELECT 'f' || user_id AS file, 'lib/' || event_type || event_id % 11 || '.pdf' AS path, ts FROM events)
+SELECT file, first(path ORDER BY ts, path) AS first_path, first(path ORDER BY ts DESC, path DESC) AS path, count(*) AS n_names FROM e GROUP BY file"""
+SQL["streamed_path_map"] = """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'more/o' || doc_id || '.pdf' WHEN doc_id % 5 = 0 THEN 'lib/new' || doc_id || '.pdf' ELSE 'lib/d' || doc_id || '.pdf' END AS pdf_path FROM documents WHERE doc_id % 7 <> 0)
+SELECT pdf_path, 'n/' || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN 'new' ELSE 'd' END || doc_id || '.translations.md' AS note_path FROM k"""
+SQL["stored_page_range"] = """WITH p AS (SELECT 'doc' || user_id AS doc, event_id % 60 + 1 AS page, max(event_type) AS text FROM events GROUP BY ALL)
+SELECT doc, page::VARCHAR AS page_key, CASE WHEN page % 3 = 0 THEN 'new ' || text ELSE text END AS text_content FROM p WHERE page BETWEEN 9 AND 40 AND NOT (page % 3 = 0 AND page % 11 = 0)"""

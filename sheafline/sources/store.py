@@ -226,10 +226,15 @@ def corpus_map(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def path_map(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """pdf_path, note_path: a note's link resolves to a full path, else a path below the note's folder, else a file name; the last note wins.
+    """pdf_path, note_path: the file that each note's link resolves to; the last note wins.
 
     notes: note_path, link; files: path.
     """
+    return resolve_links(notes, files).groupBy("pdf_path").agg(F.max("note_path").alias("note_path"))
+
+
+def resolve_links(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """note_path, pdf_path of the notes (note_path, link) whose link is a full path, else a path below the note's folder, else a file name."""
     link = T.clean_link(F.col("link"))
     folder = F.regexp_extract("note_path", "^(.*/)[^/]*$", 1)
     n = notes.filter(F.col("note_path").endswith(".md") & F.col("link").isNotNull()).select("note_path", link.alias("link"), F.concat(folder, link).alias("beside"), F.element_at(F.split(link, "/"), -1).alias("name"))
@@ -237,5 +242,4 @@ def path_map(notes: DataFrame, files: DataFrame) -> DataFrame:
     named = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.min("path").alias("by_name"))
     full, beside = files.select(F.col("path").alias("link"), F.col("path").alias("by_link")).distinct(), files.select(F.col("path").alias("beside"), F.col("path").alias("by_folder")).distinct()
     joined = n.join(full, "link", "left").join(beside, "beside", "left").join(named, "name", "left")
-    found = joined.select("note_path", F.coalesce("by_link", "by_folder", "by_name").alias("pdf_path")).filter("pdf_path is not null")
-    return found.groupBy("pdf_path").agg(F.max("note_path").alias("note_path"))
+    return joined.select("note_path", F.coalesce("by_link", "by_folder", "by_name").alias("pdf_path")).filter("pdf_path is not null")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window as W
 
 from sheafline.functions import text as T
-from sheafline.session import remove_path
+from sheafline.session import staged
 from sheafline.sources import store
+from sheafline.streaming.keyedlog import KeyedLog
 
 STORE_SCHEMA = "doc string, page_key string, ord int, page int, text_content string, translated_text string, rel_left double, rel_top double, rel_width double, rel_height double, font_size double, font_family string, original_font_sizes array<double>, ts timestamp"
 
@@ -31,15 +36,90 @@ def latest_paths(changes: DataFrame) -> DataFrame:
     return last.filter("m.alive = 1").select("path", F.col("m.ts").alias("ts"))
 
 
-def move_notes(known: DataFrame, renames: DataFrame, folder: str = "") -> DataFrame:
-    """A path map after files were renamed (old_path, path, ts): a file's note moves to the path that its new name gives.
+def rename_chains(renames: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """old_path, path, ts, hops, replaced: where each file that a log of renames (old_path, path, ts) begins with ends up.
+
+    A rename takes up the one before it at its old path, if that brought a file there; one that
+    leaves a path first, in the order of ``ts``, begins a chain. Of renames that leave a path one after
+    another, with none that brings a file there between, the last counts. Times only grow along a
+    chain, so names may come back (a to b to a); at equal times a path is reached before it is left.
+    ``replaced``: another file was moved to the last path while this one was there.
 
-    Each name is given up once at most in ``renames``, and no new name is given up again; apply one change after another otherwise.
+    Chains are followed by pointer doubling: as many rounds as the longest has binary
+    digits, each a join of the log with itself, written to the shared folder.
     """
-    own = renames.groupBy(F.col("old_path").alias("pdf_path")).agg(F.max_by("path", "ts").alias("new_path"))
-    moved = known.join(own, "pdf_path", "left")
+    log = renames.select("old_path", "path", "ts").filter("old_path is not null and path is not null and old_path <> path").distinct()
+    log = staged(log.withColumn("node", F.monotonically_increasing_id()), "renames")  # written once, so the numbers stay
+
+    def neighbours(rows: DataFrame) -> DataFrame:
+        ends = rows.select(F.col("path").alias("at"), "ts", F.lit(0).alias("leaves"), "node").union(rows.select(F.col("old_path").alias("at"), "ts", F.lit(1).alias("leaves"), "node"))
+        by_path = W.partitionBy("at").orderBy("ts", "leaves", "node")
+        return ends.select("node", "leaves", *[f(c).over(by_path).alias(f"{name}_{c}") for c in ("leaves", "node") for name, f in (("before", F.lag), ("after", F.lead))])
+
+    again = neighbours(log).filter("leaves = 1 and after_leaves = 1").select("node")
+    log = staged(log.join(again, "node", "left_anti"), "renames")
+    beside = staged(neighbours(log), "renames")
+    links = beside.filter("leaves = 1 and before_leaves = 0").select(F.col("before_node").alias("node"), F.col("node").alias("next"))
+    heads = beside.filter("leaves = 1 and before_node is null").select(F.col("node").alias("head"))
+    lost = beside.filter("leaves = 0 and after_leaves = 0").select(F.col("node").alias("last"), F.lit(True).alias("replaced"))
+    state = staged(log.select("node").join(links, "node", "left").select("node", F.coalesce("next", "node").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops")), "chains")
+    for _ in range(most_rounds):
+        further = state.select(F.col("node").alias("mid"), F.col("last").alias("further"), F.col("hops").alias("more"))
+        doubled = staged(state.join(further, F.col("last") == F.col("mid")).select("node", F.col("further").alias("last"), (F.col("hops") + F.col("more")).alias("hops"), F.col("more")), "chains")
+        state = doubled.drop("more")
+        if not doubled.filter("more > 0").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"renames did not settle in {most_rounds} rounds")
+    found = state.join(heads, F.col("node") == F.col("head")).join(lost, "last", "left")
+    first, last = log.select(F.col("node").alias("head"), "old_path"), log.select(F.col("node").alias("last"), "path", "ts")
+    return found.join(first, "head").join(last, "last").select("old_path", "path", "ts", (F.col("hops") + 1).alias("hops"), F.coalesce("replaced", F.lit(False)).alias("replaced"))
+
+
+def _moved(known: DataFrame, renames: DataFrame, folder: str) -> DataFrame:
+    """The path map's rows with the file's last name (null where it kept its own), the note's path by it, ts and replaced."""
+    chains = rename_chains(renames).select(F.col("old_path").alias("pdf_path"), F.col("path").alias("new_path"), "ts", "replaced")
     base = F.coalesce(F.nullif(F.lit(folder), F.lit("")), F.regexp_extract("new_path", "^(.*)/[^/]*$", 1))
-    return moved.select(F.coalesce("new_path", "pdf_path").alias("pdf_path"), F.when(F.col("new_path").isNull(), F.col("note_path")).otherwise(T.note_path(base, F.col("new_path"))).alias("note_path"), F.col("note_path").alias("old_note_path"))
+    return known.join(chains, "pdf_path", "left").withColumn("new_note", T.note_path(base, F.col("new_path")))
+
+
+def move_notes(known: DataFrame, renames: DataFrame, folder: str = "") -> DataFrame:
+    """A path map after files were renamed (old_path, path, ts): a file's note moves to the path that its last name gives.
+
+    Chains of renames are followed (rename_chains). Of two files at one path the one that was moved
+    there last keeps it; a file that was replaced and its note leave the map.
+    """
+    placed = _moved(known, renames, folder).select(F.coalesce("new_path", "pdf_path").alias("pdf_path"), F.coalesce("new_note", "note_path").alias("note_path"), F.col("note_path").alias("old_note_path"), "ts", "replaced")
+    last = placed.groupBy("pdf_path").agg(F.max(F.struct(F.col("ts").isNotNull().alias("moved"), "ts", "note_path", "old_note_path", "replaced")).alias("m"))
+    return last.filter("not coalesce(m.replaced, false)").select("pdf_path", "m.note_path", "m.old_note_path")
+
+
+_FOLLOWED = "file string, first_path string, path string, ts timestamp, n_names long"
+
+
+def follow_files(changes: DataFrame) -> DataFrame:
+    """A stream of names (file, path, ts) by a file's own id: its first and latest path, and how many rows gave it one.
+
+    One small state a file, whatever the order in which names arrive: the path of the latest ``ts`` counts, of equal times the greater path.
+    """
+
+    def follow(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first_ts, first, last_ts, last, n = state.get if state.exists else (None, None, None, None, 0)
+        for rows in batches:
+            for path, ts in zip(rows["path"], rows["us"], strict=True):
+                if pd.isna(path) or pd.isna(ts):
+                    continue
+                at, n = (int(ts), path), n + 1
+                if first_ts is None or at < (first_ts, first):
+                    first_ts, first = at
+                if last_ts is None or at > (last_ts, last):
+                    last_ts, last = at
+        state.update((first_ts, first, last_ts, last, n))
+        if n:
+            yield pd.DataFrame({"file": [key[0]], "first_path": [first], "path": [last], "ts": [pd.Timestamp(last_ts, unit="us")], "n_names": [n]})
+
+    rows = changes.select(F.col("file").cast("string").alias("file"), "path", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).filter("file is not null")
+    return rows.groupBy("file").applyInPandasWithState(follow, _FOLLOWED, "first_us long, first string, last_us long, last string, n long", "update", "NoTimeout")
 
 
 def drop_notes(known: DataFrame, gone: DataFrame) -> DataFrame:
@@ -47,77 +127,96 @@ def drop_notes(known: DataFrame, gone: DataFrame) -> DataFrame:
     return known.join(gone.select("note_path").distinct(), "note_path", "left_anti").select("pdf_path", "note_path")
 
 
-# --- the store under a stream ---------------------------------------------------------------
-#
-# folder/log/batch=n holds the pages that batch n changed, folder/base/upto=n all pages
-# up to batch n, where the store was compacted. A page is as its last writer left it.
+# --- a path map kept by a stream --------------------------------------------------------------
 
 
-def _last_writer(rows: DataFrame, *order: str) -> DataFrame:
-    """The rows of each page's latest write, each item once."""
-    last = W.partitionBy("doc", "page_key").orderBy(*[F.desc(x) for x in order])
-    newest = rows.withColumn("_rank", F.rank().over(last)).filter("_rank = 1").drop("_rank")
-    return newest.dropDuplicates(["doc", "page_key", "ord"])
+def _map_log(folder: str, parts: int = 64) -> KeyedLog:
+    return KeyedLog(folder, "note_path string, pdf_path string", ("note_path",), parts=parts)
 
 
-def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 200) -> StreamingQuery:
-    """Apply a stream of page rows (columns of the store) to a store below ``folder``.
+def keep_path_map(changes: DataFrame, files: Callable[[SparkSession], DataFrame], folder: str, checkpoint: str, notes_folder: str = "", parts: int = 64) -> StreamingQuery:
+    """Keep a path map below ``folder`` by a stream of what happened: kind, note_path, link, old_path, path, ts.
 
-    A page is written as a whole: of a batch's rows of a page those of the latest ``ts``
-    count. Rows without text_content say that the page goes. Each batch is one writer
-    and writes only the pages it has, into its own folder: a repeated batch writes the
-    same again. ``parts`` bounds the files of a batch.
+    A row says that a note was written with a link (kind note), that a note went (gone) or that a
+    file got another name (rename). Of a batch renames count first, then the latest row of each note.
+    ``files`` gives the files (path) there are when a batch is applied: links are resolved among them.
+    A batch writes the notes that it changes, no others; one that is run again writes the same.
     """
+    log = _map_log(folder, parts)
 
     def apply(batch: DataFrame, number: int) -> None:
-        pages = _last_writer(batch.select(*store.COLUMNS), "ts")
-        pages.repartition(parts, "doc").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/log/batch={number}")
+        spark = batch.sparkSession
+        rows = staged(batch.select("kind", "note_path", "link", "old_path", "path", "ts"), "changes")
+        known = log.current(spark, before=number).drop("_batch").filter("pdf_path is not null")
+        placed = staged(_moved(known, rows.filter("kind = 'rename'"), notes_folder), "moved")
+        arrived = placed.filter("new_path is not null and not replaced").select(F.col("new_note").alias("note_path"), F.col("new_path").alias("pdf_path"))
+        stale = placed.join(arrived.select(F.col("pdf_path").alias("taken")).distinct(), F.col("pdf_path") == F.col("taken"), "left").filter("new_path is not null or taken is not null")
+        left = stale.select("note_path").distinct().join(arrived, "note_path", "left_anti").withColumn("pdf_path", F.lit(None).cast("string"))
+
+        newest = W.partitionBy("note_path").orderBy(F.desc("ts"), F.desc("kind"), F.desc("link"))
+        own = rows.filter("kind in ('note', 'gone') and note_path is not null").withColumn("k", F.row_number().over(newest)).filter("k = 1").select("note_path", "kind", "link")
+        resolved = store.resolve_links(own.filter("kind = 'note'"), files(spark))
+        own = own.select("note_path").join(resolved, "note_path", "left")
+        changed = arrived.unionByName(left).join(own.select("note_path"), "note_path", "left_anti").unionByName(own)
+        log.append(changed, number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _batches(spark: SparkSession, folder: str) -> tuple[list[int], int | None]:
-    """Finished batches of the log, and up to which of them the base goes."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def read_path_map(spark: SparkSession, folder: str) -> DataFrame:
+    """pdf_path, note_path: of a file's notes the last by its path, as in a map built anew."""
+    return _map_log(folder).current(spark).filter("pdf_path is not null").groupBy("pdf_path").agg(F.max("note_path").alias("note_path"))
+
 
-    def numbers(path: str, name: str) -> list[int]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        filesystem = target.getFileSystem(conf)
-        if not filesystem.exists(target):
-            return []
-        found = [x.getPath() for x in filesystem.listStatus(target)]
-        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{name}=") and filesystem.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+# --- the store under a stream ---------------------------------------------------------------
+
+#: Pages of one document that lie together: a range of pages reads few parts, a long document is spread over many.
+RUN_PAGES = 16
+
+
+def _run_of(page: Column) -> Column:
+    return F.floor((F.coalesce(page.try_cast("int"), F.lit(1)) - 1) / RUN_PAGES)
+
+
+def page_log(folder: str, parts: int = 64) -> KeyedLog:
+    """The store: a page is as its last writer left it, by ``ts``, then batch, then the write's number."""
+    return KeyedLog(folder, f"{STORE_SCHEMA}, write string", ("doc", "page_key"), ("ts", "_batch", "write"), ("ord",), lambda parts: F.pmod(F.xxhash64("doc", _run_of(F.col("page_key"))), F.lit(parts)), parts)
+
+
+def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Apply a stream of page rows (columns of the store) to a store below ``folder``.
 
-    base = numbers(f"{folder}/base", "upto")
-    return numbers(f"{folder}/log", "batch"), base[-1] if base else None
+    A page is written as a whole: of a batch's rows of a page those of the latest ``ts`` count, of
+    equal times those of the greatest ``write``, if the stream has a column of that name (else they
+    are one write, each item once). Rows without text_content say that the page goes. Each
+    batch is one writer and writes only the pages it has, into its own folder: a repeated batch
+    writes the same again. The first batch fixes the number of ``parts``.
+    """
+    log = page_log(folder, parts)
+    write = (F.col("write").cast("string") if "write" in changes.columns else F.lit(None).cast("string")).alias("write")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        log.append(batch.select(*store.COLUMNS, write), number)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as their last writers left them; between equal times the later batch."""
-    return _state(spark, folder).filter("text_content is not null").select(*store.COLUMNS)
-
-
-def _state(spark: SparkSession, folder: str) -> DataFrame:
-    log, base = _batches(spark, folder)
-    schema = spark.createDataFrame([], STORE_SCHEMA).schema
-    tables = [spark.read.schema(schema).parquet(f"{folder}/base/upto={base}").withColumn("_batch", F.lit(base))] if base is not None else []
-    tables += [spark.read.schema(schema).parquet(f"{folder}/log/batch={n}").withColumn("_batch", F.lit(n)) for n in log if base is None or n > base]
-    if not tables:
-        return spark.createDataFrame([], schema)
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    return _last_writer(rows, "ts", "_batch").drop("_batch")
-
-
-def compact(spark: SparkSession, folder: str) -> None:
-    """Write all pages as one base and drop the batches it holds. Times of pages that went stay, so that late rows don't bring them back."""
-    log, base = _batches(spark, folder)
-    fresh = [n for n in log if base is None or n > base]
-    if fresh:
-        _state(spark, folder).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/base/upto={fresh[-1]}")
-        if base is not None:
-            remove_path(spark, f"{folder}/base/upto={base}")
-        for n in log:
-            remove_path(spark, f"{folder}/log/batch={n}")
+    return page_log(folder).current(spark).filter("text_content is not null").select(*store.COLUMNS)
+
+
+def read_pages(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """The pages first to last of the documents wanted (doc, first, last): only the parts they lie in are opened."""
+    log = page_log(folder)
+    runs = wanted.select("doc", F.explode(F.sequence(_run_of(F.col("first")), _run_of(F.col("last")))).alias("run"))
+    parts = log.parts_of(runs.select("doc", (F.col("run") * RUN_PAGES + 1).cast("string").alias("page_key")))
+    pages = log.current(spark, parts).filter("text_content is not null").select(*store.COLUMNS)
+    asked = wanted.select(F.col("doc").alias("asked_doc"), F.col("first").alias("asked_first"), F.col("last").alias("asked_last")).distinct()
+    number = F.col("page_key").try_cast("int")
+    return pages.join(asked, (F.col("doc") == F.col("asked_doc")) & number.between(F.col("asked_first"), F.col("asked_last")), "left_semi")
+
+
+def compact(spark: SparkSession, folder: str, fan_in: int = 1) -> list[int]:
+    """Fold the parts that ``fan_in`` batches or more have touched since they were last folded; which parts. Times of pages that went stay, so that late rows don't bring them back."""
+    return page_log(folder).compact(spark, fan_in)

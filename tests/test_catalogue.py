@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from sheafline.plans import catalogue, sql
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def plain(value):
@@ -21,8 +22,8 @@ def plain(value):
         return f"{value:.9g}"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, int):
-        return f"{float(value):.9g}"
+    if isinstance(value, Decimal):
+        return str(int(value)) if value == int(value) else f"{float(value):.9g}"
     return str(value)
 
 
