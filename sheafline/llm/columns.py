@@ -83,9 +83,9 @@ class Texts:
         np.add.accumulate(out, out=out)
         return out
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and row of each maximal run of non-space bytes."""
-        solid = ~IS_SPACE[self.data]
+    def words(self, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and row of each maximal run of the bytes that ``solid`` holds, those that are no space otherwise."""
+        solid = ~IS_SPACE[self.data] if solid is None else solid
         padded = np.zeros(len(solid) + 2, bool)
         padded[1:-1] = solid
         begins, ends = padded[1:-1] & ~padded[:-2], solid & ~padded[2:]
