@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sheafline.functions import geometry as G
+from sheafline.functions import html as H
 from sheafline.functions import text as T
 from sheafline.operators import layout, replies, translate, units, viewer
 from sheafline.schema import MISSING, LayoutSettings, Page, TextSettings
@@ -82,6 +83,28 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.plain_text(F.col("html")).alias("plain"))
 
 
+@query
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+@query
+def page_content(spark: SparkSession, d: str) -> DataFrame:
+    content = H.text_content(F.col("html"))
+    return table(spark, d, "pages").select("page_id", content.alias("content"))
+
+
+@query
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    found = H.html_tokens(table(spark, d, "pages"), "html", "page_id").filter("kind = 'start' and name = 'a'")
+    return found.select("page_id", F.col("attributes")["href"].alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def page_tags(spark: SparkSession, d: str) -> DataFrame:
+    return H.html_tokens(table(spark, d, "pages"), "html", "page_id").filter("kind in ('start', 'end', 'comment', 'doctype')").groupBy("page_id", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def relative_rects(spark: SparkSession, d: str) -> DataFrame:
     r = G.relative(G.Rect.of(), PAGE)
@@ -321,6 +344,16 @@ def region_join(spark: SparkSession, d: str) -> DataFrame:
     return store.replace_region(boxes("part", "p_partkey", 0), boxes("supplier", "s_suppkey", 3), "page").select("page", "id", *[F.round(f"rel_{c}", 6).alias(f"rel_{c}") for c in ("left", "top")])
 
 
+@query
+def region_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs' boxes as two tables, old and new, that meet in the cells of a grid. Numbers the old boxes while it is built."""
+    boxes = layout.paragraph_boxes(_paragraphs(spark, d))
+    r = G.relative(G.Rect.of(), PAGE)
+    rows = boxes.select("doc_id", "page", "para_id", *[v.alias(k) for k, v in r.items()])
+    found = store.replace_region(rows.filter("para_id % 5 <> 0"), rows.filter("para_id % 5 = 0"), "doc_id", "page")
+    return found.select("doc_id", "page", "para_id", *[F.round(k, 6).alias(k) for k in r])
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.concat(F.lit("doc"), F.col("user_id").cast("string")).alias("doc"), (F.col("event_id") % 7 + 1).cast("string").alias("page_key"), F.col("event_id").alias("ord"), "value", "event_type")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sheafline.functions.html import BLOCKS
 from sheafline.schema import LANGUAGES, MATH_CHAR
 
 SPANS = """
@@ -188,6 +189,7 @@ SQL["region_replace"] = f"""WITH {PARAS}, b AS (SELECT doc_id, page, para_id, mi
 n AS (SELECT * FROM b WHERE para_id % 5 = 0), o AS (SELECT * FROM b WHERE para_id % 5 <> 0),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.page = o.page AND o.l <= n.l + n.w + 1e-5 AND o.l + o.w >= n.l - 1e-5 AND o.t <= n.t + n.h + 1e-5 AND o.t + o.h >= n.t - 1e-5))
 SELECT doc_id, page, para_id::INT AS para_id, round(l, 6) AS rel_left, round(t, 6) AS rel_top, round(w, 6) AS rel_width, round(h, 6) AS rel_height FROM u"""
+SQL["region_cells"] = SQL["region_replace"]
 SQL["region_join"] = """WITH o AS (SELECT p_partkey % 50 AS page, p_partkey AS id, (p_partkey * 7) % 40 / 40.0::DOUBLE AS l, (p_partkey * 13) % 40 / 40.0::DOUBLE AS t FROM part), n AS (SELECT s_suppkey % 50 AS page, s_suppkey AS id, (s_suppkey * 7 + 3) % 40 / 40.0::DOUBLE AS l, (s_suppkey * 13) % 40 / 40.0::DOUBLE AS t FROM supplier),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.page = o.page AND o.l <= n.l + 0.04 + 1e-5 AND o.l + 0.04 >= n.l - 1e-5 AND o.t <= n.t + 0.03 + 1e-5 AND o.t + 0.03 >= n.t - 1e-5))
 SELECT page, id, round(l, 6) AS rel_left, round(t, 6) AS rel_top FROM u"""
@@ -280,3 +282,16 @@ SQL["streamed_path_map"] = """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0
 SELECT pdf_path, 'n/' || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN 'new' ELSE 'd' END || doc_id || '.translations.md' AS note_path FROM k"""
 SQL["stored_page_range"] = """WITH p AS (SELECT 'doc' || user_id AS doc, event_id % 60 + 1 AS page, max(event_type) AS text FROM events GROUP BY ALL)
 SELECT doc, page::VARCHAR AS page_key, CASE WHEN page % 3 = 0 THEN 'new ' || text ELSE text END AS text_content FROM p WHERE page BETWEEN 9 AND 40 AND NOT (page % 3 = 0 AND page % 11 = 0)"""
+# What the pages' markup is made of: one script with a tag in a string, comments, tags without > in attributes, four references, an end anywhere.
+_MASKED = "regexp_replace(replace(html, 'var t=\"</p>\";', 'var t=\"' || chr(2) || '\";'), '(?s)<!--.*?(-->|$)', '', 'g')"
+_TAG = "<[a-zA-Z!][^>]*(>|$)|</[a-zA-Z][^>]*(>|$)"
+_DECODED = "replace(regexp_replace(replace(replace(replace({}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;?', chr(1), 'g'), chr(1), '&')"
+SQL["page_content"] = f"SELECT page_id, replace({_DECODED.format(f"regexp_replace({_MASKED}, '{_TAG}', '', 'g')")}, chr(2), '</p>') AS content FROM pages"
+_BLOCK = f"</?({'|'.join(BLOCKS)}|br)([ \\t\\n\\r\\f/][^>]*)?>"
+SQL["page_text"] = f"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_MASKED}, '(?s)<(script)>.*?(</script>|$)|<style>.*?(</style>|$)|<title>.*?(</title>|$)', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), '{_BLOCK}', chr(10), 'g') AS h FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split({_DECODED.format(f"regexp_replace(h, '{_TAG}', '', 'g')")}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM t"""
+SQL["page_links"] = """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)) AS href FROM pages) GROUP BY ALL"""
+SQL["page_tags"] = f"""WITH m AS (SELECT page_id, html, {_MASKED} AS h FROM pages),
+t AS (SELECT page_id, 'start' AS kind, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS name FROM m UNION ALL SELECT page_id, 'end', unnest(regexp_extract_all(h, '</([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) FROM m
+  UNION ALL SELECT page_id, 'comment', unnest(regexp_extract_all(html, '<!(--)', 1)) FROM m UNION ALL SELECT page_id, 'doctype', unnest(regexp_extract_all(h, '<!DOCTYPE (html)>', 1)) FROM m)
+SELECT page_id, kind, CASE WHEN kind = 'comment' THEN '' ELSE name END AS name, count(*) AS n FROM t GROUP BY ALL"""

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.schema import META_V1, META_V2, META_V3
-from sheafline.session import ship, write_whole
+from sheafline.session import ship, staged, write_whole
 
 _META = "struct<r:struct<l:double,t:double,w:double,h:double>,page:double,ot:string,fs:double,ff:string,ofs:array<double>,sel:string,fontSize:double,fontFamily:string,originalFontSizes:array<double>>"
 COLUMNS = ("doc", "page_key", "ord", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family", "original_font_sizes", "ts")
@@ -171,19 +171,68 @@ def read_record(notes: DataFrame, wanted: DataFrame, clock: Column) -> DataFrame
     return parse(notes.join(wanted.select("doc").distinct(), "doc", "left_semi"), clock)
 
 
-def _touches(epsilon: float) -> Column:
-    def rect(a: str) -> G.Rect:
-        return G.Rect(F.col(f"{a}.rel_left"), F.col(f"{a}.rel_top"), F.col(f"{a}.rel_left") + F.col(f"{a}.rel_width"), F.col(f"{a}.rel_top") + F.col(f"{a}.rel_height"))
+#: Smallest cells of the grid: 1 / 2**10 of a page.
+MOST_LEVELS = 10
 
-    return rect("o").touches(rect("n"), epsilon)
 
+def _level(size: Column) -> Column:
+    """The level of a box on one axis: that of the narrowest cells that are no narrower than it."""
+    return F.greatest(F.lit(-MOST_LEVELS), F.least(F.lit(MOST_LEVELS), F.floor(-F.log2(size)))).cast("int")
 
-def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
-    """Old boxes that touch no new box of their page, and the new boxes."""
-    on = _touches(epsilon)
+
+def _leveled(boxes: DataFrame, margin: float) -> DataFrame:
+    sizes = {"x": F.greatest("rel_width", F.lit(0.0)) + 2 * margin, "y": F.greatest("rel_height", F.lit(0.0)) + 2 * margin}
+    return boxes.withColumns({f"_own_{axis}": _level(size) for axis, size in sizes.items()})
+
+
+def _in_cells(boxes: DataFrame, keys: tuple[str, ...], margin: float, others: dict[str, list[int]], prefix: str) -> DataFrame:
+    """A row of each box for each cell that it touches, on each axis at its own level and at those coarser ones that boxes of the other side have for their own."""
+    each = boxes
+    for axis, low, size in (("x", "rel_left", "rel_width"), ("y", "rel_top", "rel_height")):
+        own = F.col(f"_own_{axis}")
+        coarser = F.filter(F.lit(others[axis]).cast("array<int>"), lambda v: v < own)
+        each = each.withColumn(f"_level_{axis}", F.explode(F.concat(F.array(f"_own_{axis}"), coarser)))
+        scale = F.pow(F.lit(2.0), F.col(f"_level_{axis}"))
+        each = each.withColumn(f"_cell_{axis}", F.explode(F.sequence(F.floor((F.col(low) - margin) * scale), F.floor((F.col(low) + F.col(size) + margin) * scale))))
+    names = [*keys, *(f"_{c}_{axis}" for axis in "xy" for c in ("level", "cell", "own")), "rel_left", "rel_top", "rel_width", "rel_height"]
+    return each.select(*[F.col(c).alias(prefix + c) for c in names], *([F.col("_box")] if "_box" in boxes.columns else []))
+
+
+def pairs_in_cells(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
+    """Pairs of boxes of one page that share a cell of a grid: _box of the old one, and both boxes with o and n before their columns.
+
+    The grid has levels on each axis, cells half as wide at each. At its own level a box is no wider
+    than a cell, so it touches two on an axis; a pair meets at the coarser of its levels on either
+    axis. So a line is compared with what lies near it, not with its page, and a page of a third of
+    all boxes is dealt over its cells.
+    """
+    o, n = _leveled(old, 2 * epsilon), _leveled(new, 2 * epsilon)
+    has = [{axis: [r[0] for r in side.select(f"_own_{axis}").distinct().collect()] for axis in "xy"} for side in (o, n)]  # at most 21 numbers each
+    o, n = _in_cells(o, keys, 2 * epsilon, has[1], "o"), _in_cells(n, keys, 2 * epsilon, has[0], "n")
+    on = F.lit(True)
     for k in keys:
-        on &= F.col(f"o.{k}") == F.col(f"n.{k}")
-    return old.alias("o").join(new.select(*keys, "rel_left", "rel_top", "rel_width", "rel_height").alias("n"), on, "left_anti").unionByName(new)
+        on &= F.col(f"o{k}") == F.col(f"n{k}")
+    for axis in "xy":
+        level, cell, own = (f"_{c}_{axis}" for c in ("level", "cell", "own"))
+        on &= (F.col(f"o{level}") == F.col(f"n{level}")) & (F.col(f"o{cell}") == F.col(f"n{cell}")) & (F.col(f"o{level}") == F.least(f"o{own}", f"n{own}"))
+    return o.join(n, on)
+
+
+def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
+    """Old boxes that touch no new box of their page, and the new boxes.
+
+    Old boxes are numbered (written once, so the numbers stay), pairs come from the cells of a grid,
+    and those that touch go by an anti join on the number. A box with a null touches nothing.
+    """
+    numbered = staged(old.withColumn("_box", F.monotonically_increasing_id()), "boxes")
+    whole = " and ".join(f"rel_{c} is not null" for c in ("left", "top", "width", "height"))
+    pairs = pairs_in_cells(numbered.filter(whole), new.filter(whole), *keys, epsilon=epsilon)
+
+    def rect(a: str) -> G.Rect:
+        return G.Rect(F.col(f"{a}rel_left"), F.col(f"{a}rel_top"), F.col(f"{a}rel_left") + F.col(f"{a}rel_width"), F.col(f"{a}rel_top") + F.col(f"{a}rel_height"))
+
+    touched = pairs.filter(rect("o").touches(rect("n"), epsilon)).select("_box").distinct()
+    return numbered.join(touched, "_box", "left_anti").drop("_box").unionByName(new)
 
 
 def renewed(boxes: DataFrame, is_new: str, *keys: str, epsilon: float = 1e-5) -> DataFrame:

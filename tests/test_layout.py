@@ -1,5 +1,8 @@
 """Hand-made pages, properties of layouts, packing and replies, store formats."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +178,39 @@ def test_region_replacement(spark):
     assert sorted(r["rel_left"] for r in store.replace_region(old, new, "p").collect()) == [0.3, 0.6]
 
 
+def test_regions_in_cells_against_all_pairs(spark):
+    rng = random.Random(12)
+
+    def box():
+        size = rng.choice([1e-5, 0.001, 0.02, 0.3, 1.4])
+        return (rng.choice([1, 1, 1, 2, None]), rng.choice([rng.uniform(-0.2, 1.1), 0.25, 0.5]), rng.uniform(-0.2, 1.1), size * rng.random(), rng.choice([size, 0.0]))
+
+    boxes = [box() for _ in range(700)]
+    boxes += [boxes[0], boxes[0], (1, None, 0.1, 0.1, 0.1), (1, 0.1, 0.1, None, 0.1)]
+    schema = "p int, rel_left double, rel_top double, rel_width double, rel_height double"
+    old, new = boxes[::2], [b for k, b in enumerate(boxes) if k % 2 and b[0] != 2 and (b[3] or 0) < 0.05]
+
+    def touch(o, n, e=1e-5):
+        return None not in o + n and o[0] == n[0] and o[1] <= n[1] + n[3] + e and o[1] + o[3] >= n[1] - e and o[2] <= n[2] + n[4] + e and o[2] + o[4] >= n[2] - e
+
+    want = Counter([o for o in old if not any(touch(o, n) for n in new)] + new)
+    dfs = [spark.createDataFrame(x, schema).selectExpr("*", "1 AS level", "2 AS own", "3 AS row") for x in (old, new)]
+    got = Counter(tuple(r)[:5] for r in store.replace_region(*dfs, "p").collect())
+    assert got == want and 50 < sum(want.values()) < len(old) + len(new) - 50
+    assert store.replace_region(dfs[0], dfs[1].limit(0), "p").count() == len(old) and store.replace_region(dfs[0].limit(0), dfs[1], "p").count() == len(new)
+
+
+def test_pairs_in_cells_grow_in_proportion(spark):
+    """Twice as many lines on pages twice as long, or on one page with lines half as high: pairs double, they don't grow with the square."""
+
+    def pairs(n, high):
+        rows = spark.range(n).selectExpr("1 AS p", f"(id % 4) / 4D AS rel_left", f"floor(id / 4) * {high}D AS rel_top", "0.2D AS rel_width", f"{high * 0.8}D AS rel_height", "id AS _box")
+        return store.pairs_in_cells(rows, rows.drop("_box"), "p").select("_box").count()
+
+    assert pairs(1600, 0.01) <= 2.3 * pairs(800, 0.01) <= 2.3 * 800 * 120
+    assert pairs(1600, 0.0025) <= 3 * pairs(800, 0.005)
+
+
 def test_source_link(spark):
     df = spark.createDataFrame([("---\npdf-source: '[[old.pdf]]'\nx: 1\n---\nbody",), ("---\nx: 1\n---\nbody",), ("body",)], "c string")
     got = [r["v"] for r in df.select(store.source_link(F.col("c"), F.lit("new.pdf")).alias("v")).collect()]
