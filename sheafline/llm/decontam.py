@@ -15,11 +15,14 @@ For a (document, item) pair, matched windows inside a stretch about as long as
 the item count. Template windows are believed only if their slots are
 consistent: one benchmark value goes with one document value, and the other way
 round, throughout the text, or else throughout one place of about the item's
-length, as a text may hold an item more than once, with other values each time. A
+length, as a text may hold an item more than once, with other values each time. Items
+alike but for their slots' values (same template, slots as wide, equal values in the
+same slots), as generated question sets have them by thousands, are judged once for
+all: each has its own verdict only where literal windows with its values are in the text. A
 pair is a leak if windows matched cover ``coverage`` of the item's, or a run of at
 least ``run_tokens`` tokens agrees.
 
-Defined cases: null or token-less texts and items match nothing. An item whose
+Defined cases: signs of four bytes (emoji) are no words; null or token-less texts and items match nothing. An item whose
 sequence has three or four tokens has one window, all of it, which is looked for
 everywhere in texts; an item of one or two tokens matches only a text that is nothing
 else. Repeated items and rows are reported each; empty tables give no rows.
@@ -118,6 +121,17 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low, word, capital = _wide(width)
         for k in range(width):
             folded[at + k], kind[at + k], upper[at + k] = low[code, k], word[code], capital[code]
+    at = np.flatnonzero((data >= 0xF0) & (data <= 0xF4))
+    if len(at):  # few characters, looked up one by one: letters of rare scripts, and signs, which are no words
+        code = data[at].astype(np.int64) & 7
+        for k in range(1, 4):
+            code = code << 6 | data[at + k] & 0x3F
+        seen, of = np.unique(code, return_inverse=True)
+        found = [chr(c) for c in seen.tolist()]
+        low = [x if len(x) == 4 else c.encode() for c, x in ((c, c.casefold().encode()) for c in found)]
+        word, capital = np.array([unicodedata.category(c)[0] in "LMN" for c in found], np.int8), np.array([c.isupper() for c in found])
+        for k in range(4):
+            folded[at + k], kind[at + k], upper[at + k] = np.array([x[k] for x in low], np.uint8)[of], word[of], capital[of]
     return folded, kind, upper
 
 
@@ -177,9 +191,13 @@ def _whole_hashes(values: np.ndarray, row: np.ndarray, size: np.ndarray) -> tupl
 
 
 class Side:
-    """The windows of some items in one sequence, sorted by hash."""
+    """The windows of some items in one sequence, sorted by hash; ``own`` tells which of those are a member's own.
+
+    Of items alike in all but their slots' values the first has all windows, the others only
+    those with a slot (``in_slot``) in the literal sequence, none in the template sequence.
+    """
 
-    def __init__(self, values: np.ndarray, row: np.ndarray, slot: np.ndarray | None, n: int, s: LeakSettings):
+    def __init__(self, values: np.ndarray, row: np.ndarray, slot: np.ndarray | None, n: int, s: LeakSettings, first: np.ndarray, in_slot: np.ndarray):
         size = np.bincount(row, minlength=n)
         self.width = np.clip(size, 1, s.window)  # of each item's windows
         self.n_windows = np.maximum(size - s.window + 1, 1)
@@ -194,8 +212,12 @@ class Side:
             n_slots = before[at + width] - before[at]
             ok = (n_slots > 0) & (width - n_slots >= s.min_literals)
             keys, at = keys[ok], at[ok]
+        before = np.concatenate([[0], np.cumsum(in_slot)])
+        own = before[at + self.width[row[at]]] > before[at] if slot is None else np.zeros(len(at), bool)
+        wanted = own | (first[row[at]] == row[at])
+        keys, at, own = keys[wanted], at[wanted], own[wanted]
         order = np.argsort(keys)
-        self.keys, self.at = keys[order], at[order]
+        self.keys, self.at, self.own = keys[order], at[order], own[order]
         self.row = row[self.at]
 
     def windows_of(self, values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,11 +238,37 @@ class Block:
         self.tokens = t = tokenize(texts)
         raw = t.folded.tobytes()
         self.words = [raw[a:b] for a, b in zip(t.start, t.end, strict=True)]
-        self.sides = {"literal": Side(t.literal, t.row, None, len(items), settings), "template": Side(t.template, t.template_row, t.slot, len(items), settings)}
+        self.members: dict[int, list[int]] = {}
+        first = self._alike(len(items))
+        width = np.diff(np.append(t.first, len(t.row)))
+        self.sides = {"literal": Side(t.literal, t.row, None, len(items), settings, first, np.repeat(t.slot, width)), "template": Side(t.template, t.template_row, t.slot, len(items), settings, first, t.slot)}
         self.bits = np.zeros(1 << 22, bool)
         for side in self.sides.values():
             self.bits[(side.keys >> U64(42)).astype(np.int64)] = True
 
+    def _alike(self, n: int) -> np.ndarray:
+        """For each item the first that has its template, slots as wide, and equal values in the same slots."""
+        t = self.tokens
+        self.template_at = np.searchsorted(t.template_row, np.arange(n + 1))
+        self.literal_at = np.searchsorted(t.row, np.arange(n + 1))
+        ends = np.append(t.first, len(t.row))
+        first, known = np.arange(n), {}
+        for k in range(n):
+            a, b = int(self.template_at[k]), int(self.template_at[k + 1])
+            seen: dict[bytes, int] = {}
+            pattern = [seen.setdefault(self.value(j), len(seen)) for j in np.flatnonzero(t.slot[a:b]) + a]
+            key = (t.template[a:b].tobytes(), np.diff(ends[a : b + 1]).tobytes(), tuple(pattern))
+            first[k] = known.setdefault(key, k)
+            if first[k] != k:
+                self.members.setdefault(int(first[k]), [int(first[k])]).append(k)
+        self.first = first
+        return first
+
+    def value(self, j: int) -> bytes:
+        """What a template token stands for."""
+        ends = self.tokens.first
+        return b" ".join(self.words[ends[j] : ends[j + 1] if j + 1 < len(ends) else len(self.words)])
+
     def hits(self, side: Side, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indices of the texts' windows with equal ones here; the first of these and their number."""
         near = np.flatnonzero(self.bits[(keys >> U64(42)).astype(np.int64)])
@@ -245,44 +293,76 @@ def _leaks(texts: Texts, block: Block, most_pairs: int = 1 << 20) -> Iterator[tu
     rest = (t, block, t.folded.tobytes(), np.append(t.first, len(t.row)), np.append(block.tokens.first, len(block.words)), block.settings)
     for g in np.unique(group[per_row > 0]):
         pairs: dict[tuple[int, int], list[tuple[int, int, str]]] = defaultdict(list)
+        special: dict[tuple[int, int], dict[int, list[tuple[int, int, str]]]] = defaultdict(lambda: defaultdict(list))
         for name, side, place, row, lo, n in found:
             own = group[row] == g
             here = np.repeat(np.flatnonzero(own), n[own])
             there = np.repeat(lo[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(len(here))
-            for d, i, r, k in zip(place[here].tolist(), side.at[there].tolist(), row[here].tolist(), side.row[there].tolist(), strict=True):
-                pairs[r, k].append((d, i, name))
-        for (r, k), windows in pairs.items():
-            best = _judge(windows, k, *rest)
-            if best:
+            for d, i, r, k, x in zip(place[here].tolist(), side.at[there].tolist(), row[here].tolist(), side.row[there].tolist(), side.own[there].tolist(), strict=True):
+                first = int(block.first[k])
+                if x and first in block.members:
+                    special[r, first][k].append((d, i, name))
+                else:
+                    pairs[r, first].append((d, i, name))
+        for r, first in sorted({*pairs, *special}):
+            for k, best in _of_members(pairs.get((r, first), []), special.get((r, first), {}), first, *rest):
                 start = int(texts.start[r])
-                yield r, k, *best[:4], best[4] - start, min(best[5], int(texts.end[r])) - start
+                yield r, k, *best[:3], _named(best[3]), best[4] - start, min(best[5], int(texts.end[r])) - start
+
+
+def _of_members(shared: list[tuple[int, int, str]], special: dict[int, list[tuple[int, int, str]]], first: int, t: Tokens, block: Block, *rest) -> Iterator[tuple[int, tuple]]:
+    """Items alike with their verdicts: those with windows of their own one by one, all others by one verdict on what they share."""
+    members = block.members.get(first, [first])
+    for k, windows in special.items():
+        shift = {"literal": int(block.literal_at[k] - block.literal_at[first]), "template": int(block.template_at[k] - block.template_at[first])}
+        best = _judge(windows + [(d, i + shift[name], name) for d, i, name in shared], k, t, block, *rest)
+        if best:
+            yield k, best
+    others = [k for k in members if k not in special]
+    best = _judge(shared, first, t, block, *rest) if shared and others else None
+    if not best:
+        return
+    at = {block.value(j): j - int(block.template_at[first]) for j in range(int(block.template_at[first]), int(block.template_at[first + 1])) if best[3] and block.tokens.slot[j]}
+    for k in others:
+        slots = {block.value(int(block.template_at[k]) + at[x]): y for x, y in best[3].items()} if k != first else best[3]
+        kind = best[2] if best[2] == "literal" else "reparameterised" if any(x != y for x, y in slots.items()) else "template"
+        yield k, (*best[:2], kind, slots, *best[4:])
+
+
+def _named(slots: dict[bytes, bytes]) -> str:
+    return ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(slots.items()) if x != y)
 
 
 def _judge(found: list[tuple[int, int, str]], k: int, t: Tokens, block: Block, *rest) -> tuple | None:
     """The best verdict on the pairs of windows of one text and item k."""
     best = None
-    for side in ("literal", "template"):
-        shape = (int(block.sides[side].n_windows[k]), int(block.sides[side].width[k]))
-        if side == "literal":
-            own = [(d, i) for d, i, x in found if x == side]
-            verdicts = [_verdict(sorted(set(own)), side, shape, t, block, *rest)]
-        else:  # literal hits count as template windows too, at their template places
-            own = [(d, i) for d, i, x in found if x == "template"]
-            if not own:
-                continue
-            own += [(int(np.searchsorted(t.first, d, side="right")) - 1, int(np.searchsorted(block.tokens.first, i, side="right")) - 1) for d, i, x in found if x == "literal"]
-            # All windows of the text are one candidate; if their slots disagree, each place where a copy may lie is judged alone.
-            verdicts = [_verdict(sorted(set(_consistent(own, shape[1], t, block, *rest))), side, shape, t, block, *rest)]
-            if verdicts == [None]:
-                verdicts = [_verdict(sorted(_consistent(place, shape[1], t, block, *rest)), side, shape, t, block, *rest) for place in _places(sorted(set(own)), shape, block.settings)]
-        for verdict in verdicts:
-            if verdict and (best is None or verdict[0] > best[0]):
-                best = verdict
+    for verdict in _verdicts(found, k, t, block, *rest):
+        if verdict and (best is None or verdict[0] > best[0]):
+            best = verdict
+            if best[0] >= 1:  # all windows of the item: none is better, the first counts
+                break
     return best
 
 
+def _verdicts(found: list[tuple[int, int, str]], k: int, t: Tokens, block: Block, *rest) -> Iterator[tuple | None]:
+    """Of the literal windows; of all template windows as one candidate; where their slots disagree, of each place where a copy may lie alone."""
+    shapes = {x: (int(block.sides[x].n_windows[k]), int(block.sides[x].width[k])) for x in block.sides}
+    yield _verdict(sorted({(d, i) for d, i, x in found if x == "literal"}), "literal", shapes["literal"], t, block, *rest)
+    own = [(d, i) for d, i, x in found if x == "template"]
+    if not own:
+        return
+    # Literal hits count as template windows too, at their template places.
+    own += [(int(np.searchsorted(t.first, d, side="right")) - 1, int(np.searchsorted(block.tokens.first, i, side="right")) - 1) for d, i, x in found if x == "literal"]
+    shape = shapes["template"]
+    whole = _verdict(sorted(set(_consistent(own, shape[1], t, block, *rest))), "template", shape, t, block, *rest)
+    yield whole
+    if whole is None:
+        for place in _places(sorted(set(own)), shape, block.settings):
+            yield _verdict(sorted(_consistent(place, shape[1], t, block, *rest)), "template", shape, t, block, *rest)
+
+
 def _verdict(own: list[tuple[int, int]], side: str, shape: tuple[int, int], t: Tokens, block: Block, raw: bytes, doc_first: np.ndarray, item_first: np.ndarray, s: LeakSettings) -> tuple | None:
-    """coverage, run, kind, slots, start and end in the slice, if these windows are a leak."""
+    """coverage, run, kind, mapping of slots' values, start and end in the slice, if these windows are a leak."""
     if not own:
         return None
     total, width = shape
@@ -315,9 +395,7 @@ def _verdict(own: list[tuple[int, int]], side: str, shape: tuple[int, int], t: T
     else:
         a, b = t.start[doc_first[top[1]]], t.end[doc_first[min(top[2] + width, len(t.first))] - 1]
     slots = _mapping(own, width, t, block, raw, doc_first, item_first, s) if side == "template" else {}
-    changed = {x: y for x, y in slots.items() if x != y}
-    named = ";".join(f"{x.decode('utf-8', 'replace')}={y.decode('utf-8', 'replace')}" for x, y in sorted(changed.items()))
-    return share, run_tokens, "reparameterised" if changed else side, named, int(a), int(b)
+    return share, run_tokens, "reparameterised" if any(x != y for x, y in slots.items()) else side, slots, int(a), int(b)
 
 
 def _places(own: list[tuple[int, int]], shape: tuple[int, int], s: LeakSettings) -> Iterator[list[tuple[int, int]]]:
