@@ -105,10 +105,12 @@ SPELLED = {
 _ODD = re.compile("[" + INVISIBLE + "ıɑɡʋͰ-ԯ٠-\u0dff\u2000-\u206f℀-⓿✀-➿﹐-\ufe6f！-～\u00a0\U0001d400-\U0001d7ff]")
 _LOOKALIKE_RUN = re.compile(r"(?<![^\W_])\+?[0-9OoIl|][0-9OoIl|().\x20-]{7,}[0-9OoIl|](?![^\W_])")
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+# A dot between figures in a disguise: in brackets, as a reference, between signs.
+_HARD_DOT = r"\s{0,3}(?:[\[({<]\s{0,3}(?:dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#(?:46|x2e);|&period;|[_-]dot[_-])\s{0,3}"
 _SPELLED_RUN = re.compile(
-    rf"(?<!\w)(?:(?P<plus>plus|\+)[\s,-]{{0,3}})?(?:double\s+|triple\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[\s,./-]{{1,3}}(?:{_DIGIT_WORD}|dot|point|punkt|punto|double|triple|[0-9]+))+(?!\w)", re.I
+    rf"(?<!\w)(?:(?P<plus>plus|\+)[\s,-]{{0,3}})?(?:double\s+|triple\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:{_HARD_DOT}|[\s,./-]{{1,3}})(?:{_DIGIT_WORD}|dot|point|punkt|punto|double|triple|[0-9]+))+(?!\w)", re.I
 )
-_RUN_TOKEN = re.compile(rf"(?P<word>{_DIGIT_WORD})|(?P<dot>dot|point|punkt|punto|\.)|(?P<times>double|triple)|(?P<digits>[0-9]+)|(?P<plus>plus|\+)|(?P<gap>[\s,/-]+)", re.I)
+_RUN_TOKEN = re.compile(rf"(?P<harddot>{_HARD_DOT})|(?P<word>{_DIGIT_WORD})|(?P<worddot>dot|point|punkt|punto)|(?P<dot>\.)|(?P<times>double|triple)|(?P<digits>[0-9]+)|(?P<plus>plus|\+)|(?P<gap>[\s,/-]+)", re.I)
 _DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|punkt|point|punto|ät|arroba|arobase)\s*[\])}>]|(?<=\w)\s+(?:dot|punkt|point|punto)\s+(?=\w)|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|\w(?:\s+@\s*|\s*@\s+)\w|[_-]dot[_-]", re.I)
 # Marks inside the rewritten text: an at or a dot that counts only together with another disguise.
 _SOFT_AT, _SOFT_DOT = "\ue000", "\ue001"
@@ -205,12 +207,15 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
                 times = 1
             elif t["times"]:
                 times = 2 if t["times"].lower() == "double" else 3
+            elif t["harddot"] or t["worddot"]:
+                digits.append(".")
+                words += 1  # a disguise as much as a spelled digit
             elif t["dot"]:
                 digits.append(".")
             elif t["plus"]:
                 digits.append("+")
         new = "".join(digits)
-        if words < 2 or len(new) < 4:
+        if words < 2 - (new.count(".") == 3) or len(new) < 4:  # one disguised dot is enough for an address
             continue
         edits.append((m.start(), m.end(), new))
     return edits
