@@ -12,7 +12,7 @@ pyarrow's file systems; no archive is read whole for a few records.
 
 Revisits: the digests are aggregated narrowly (digest -> smallest id, with
 map-side combine), never with the payload. The table of revisits goes to the
-writing tasks by broadcast while it has at most ``broadcast_rows`` rows, else by
+writing tasks by broadcast while it has at most ``broadcast_bytes`` bytes, else by
 a join on the record id. No payload is shuffled in the first case.
 
 Defined cases: a null payload is empty; equal payloads of at least
@@ -109,7 +109,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return narrow.join(first, "digest").filter("page_id is null or page_id > refers_to").select("page_id", "refers_to", "digest").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, broadcast_rows: int = 2_000_000, file_bytes: int = 1 << 28, level: int = 1) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, broadcast_bytes: int = 1 << 26, file_bytes: int = 1 << 28, level: int = 1) -> DataFrame:
     """Write WARC files below ``folder``; the index, staged, one row per record."""
     spark = pages.sparkSession
     ship(spark)
@@ -119,7 +119,8 @@ def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, br
     source = source.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     # A null id has no key to join on: such rows look their digest up through the same table.
     keyed = known.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.hex("digest"))).select(F.col("key").alias("key_of"), F.col("digest").alias("digest_of"), "refers_to")
-    if known.count() <= broadcast_rows:
+    size = keyed.select(F.sum(F.octet_length("key_of") + F.octet_length("digest_of") + 64)).first()[0] or 0  # with a row's own bytes
+    if size <= broadcast_bytes:
         keyed = F.broadcast(keyed)
     source = source.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.hex("digest"))).join(keyed, (F.col("key") == F.col("key_of")) & (F.col("digest") == F.col("digest_of")), "left").select("page_id", "url", "html", "refers_to")
 
@@ -155,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_min_bytes: int = 0, br
     return staged(map_batches(source, run, INDEX_SCHEMA, "warc"), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 24, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, with_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 24, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, with_payload: bool = False, most_tasks: int = 10_000) -> DataFrame:
     """The records of the index rows given, by coalesced byte-range reads.
 
     Rows are dealt by (file, offset div run_bytes): one run of an archive is one
@@ -205,9 +206,9 @@ def read_records(index: DataFrame, folder: str, run_bytes: int = 1 << 24, gap_by
         if source is not None:
             source.close()
 
-    # The number of tasks follows the bytes to read, not those of the index.
+    # The number of tasks follows the bytes to read, not those of the index, up to most_tasks; a task reads its runs one after another.
     total = index.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-total // run_bytes))
+    tasks = min(most_tasks, max(1, -(-total // run_bytes)))
     dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("file", "offset")
     return map_batches(dealt, run, READ_SCHEMA_FULL if with_payload else READ_SCHEMA, "warc")
 
