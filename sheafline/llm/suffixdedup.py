@@ -40,6 +40,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.columns import BASE_INVERSE, Texts, column, map_batches, mix, powers, slices, span_hash
+from sheafline.llm.columns import BASE_INVERSE, KEPT, Texts, column, map_batches, mix, powers, slices, span_hash
 from sheafline.session import fresh_path, ship, staged
 
 U64 = np.uint64
@@ -429,19 +430,39 @@ def _write_parts(rows: DataFrame, parts: int, path: str) -> None:
     dealt.write.option("compression", "zstd").option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
 
 
+def _present(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall in, and where each begins, with the end: no work for those that are absent."""
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[begin], np.append(begin, len(bucket))
+
+
+@lru_cache(maxsize=64)
+def _limits(folder: str, part: int) -> tuple[tuple[str, pq.FileMetaData, tuple[tuple[int, int] | None, ...]], ...]:
+    """Files of a part with their footers and the first and last chunk of each row group: read once for all chunks of the part."""
+    filesystem, root = pafs.FileSystem.from_uri(folder)
+    out = []
+    for info in filesystem.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with filesystem.open_input_file(info.path) as file:
+                meta = pq.ParquetFile(file).metadata
+            at = meta.schema.to_arrow_schema().get_field_index("chunk")
+            found = (meta.row_group(k).column(at).statistics for k in range(meta.num_row_groups))
+            out.append((info.path, meta, tuple((x.min, x.max) if x is not None and x.has_min_max else None for x in found)))
+    return tuple(out)
+
+
+KEPT["suffixdedup"] = _limits.cache_clear
+
+
 def _of_chunk(folder: str, parts: int, chunk: int) -> pa.Table | None:
     """A chunk's rows of a table that is written in parts: only the row groups that may hold them are read."""
-    filesystem, root = pafs.FileSystem.from_uri(folder)
-    found = [x.path for x in filesystem.get_file_info(pafs.FileSelector(f"{root}/part={chunk % parts}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    filesystem, _ = pafs.FileSystem.from_uri(folder)
     tables = []
-    for path in found:
-        with filesystem.open_input_file(path) as file:
-            source = pq.ParquetFile(file)
-            at = source.schema_arrow.get_field_index("chunk")
-            limits = [source.metadata.row_group(k).column(at).statistics for k in range(source.metadata.num_row_groups)]
-            wanted = [k for k, x in enumerate(limits) if x is None or not x.has_min_max or x.min <= chunk <= x.max]
-            if wanted:
-                rows = source.read_row_groups(wanted)
+    for path, meta, limits in _limits(folder, chunk % parts):
+        wanted = [k for k, x in enumerate(limits) if x is None or x[0] <= chunk <= x[1]]
+        if wanted:
+            with filesystem.open_input_file(path) as file:
+                rows = pq.ParquetFile(file, metadata=meta).read_row_groups(wanted)
                 tables.append(rows.filter(pa.compute.equal(rows["chunk"], chunk)))
     return pa.concat_tables(tables) if tables else None
 
@@ -528,15 +549,15 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             runs = runs_of(texts, copies(chunk, texts.n), s)
             keys, n = _distinct(runs.anchor, runs.row)
             _, kinds = _distinct(runs.anchor, runs.content)
-            cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+            some, cut = _present(_bucket(keys, buckets))
             n = np.minimum(n, 15).astype(np.uint8) << 4 | np.minimum(kinds, 15).astype(np.uint8)
-            some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            spans = list(zip(cut.tolist(), cut[1:].tolist(), strict=False))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(some, pa.int32()),
+                    pa.array(some.astype(np.int32)),
                     pa.array([chunk] * len(some), pa.int64()),
-                    pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                    pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                    pa.array([keys[a:e].tobytes() for a, e in spans], pa.binary()),
+                    pa.array([n[a:e].tobytes() for a, e in spans], pa.binary()),
                 ],
                 ["bucket", "chunk", "keys", "n"],
             )
@@ -583,8 +604,9 @@ def remove_repeats(docs: DataFrame, settings: SuffixSettings | None = None, id_c
             shared, heavy = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
             found = _of_chunk(state_path, parts, chunk)
             if found is not None:
-                cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                for b, x, y in zip(*(found[c].to_pylist() for c in ("bucket", "shared", "heavy")), strict=True):
+                some, cut = _present(_bucket(keys, buckets))
+                places = np.searchsorted(some, found["bucket"].to_numpy()).tolist()
+                for b, x, y in zip(places, *(found[c].to_pylist() for c in ("shared", "heavy")), strict=True):
                     a, e = int(cut[b]), int(cut[b + 1])
                     shared[a:e] = np.unpackbits(np.frombuffer(x, np.uint8), count=e - a)
                     heavy[a:e] = np.unpackbits(np.frombuffer(y, np.uint8), count=e - a)
