@@ -466,8 +466,7 @@ def test_personal_data_on_odd_rows(spark):
     long = "word " * 200_000
     rows = [(None, "a@b.cd"), (1, "a@b.cd"), (1, "a@b.cd"), (2, None), (3, ""), (4, long + "1.2.3.4 mail at x dot com " + long)]
     got = {(r["doc_id"], r["n_email"], r["n_ip"], r["spans"]) for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 0, ""), (4, 0, 1, "email:1000008:1000021,ip:1000000:1000007")} or {x for x in got if x[0] != 4} == {(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 0, "")}
-    assert {x[1:3] for x in got if x[0] == 4} == {(0, 1)}
+    assert got == {(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 0, ""), (4, 0, 1, "email:1000008:1000025,ip:1000000:1000007")}
 
 
 @pytest.mark.parametrize(("text", "spans"), [("call 55512345 five six now", "phone:5:22"), ("card 411111111111111l end", "card:5:21"), ("card 4111 1111 1111 1 one one one", "card:5:33"), ("call 0171 555 12 three four", "phone:5:27")])
@@ -904,7 +903,7 @@ def test_archives_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = fresh_path(spark, "warc-test")
     for limit in (2_000_000, 0):  # by broadcast and by a join
-        index = warc.write_archives(pages, folder, broadcast_rows=limit, file_bytes=700)
+        index = warc.write_archives(pages, folder, broadcast_bytes=limit, file_bytes=700)
         got = {r["page_id"]: r for r in warc.read_records(index, folder, run_bytes=300, with_payload=True).collect()}
         first = {}
         for page_id, _, h in sorted(rows):
@@ -1040,3 +1039,98 @@ def test_nothing_else_imports_the_corpus_operators():
 
 def test_unicode_is_whole():
     assert unicodedata.normalize("NFC", "é") == "é" and pii.find_base("é@é.c") == []
+
+
+# --- items alike but for their slots
+
+
+def alone(text, items):
+    """Leaks with each item in a block of its own."""
+    found = set()
+    for k, item in enumerate(items):
+        found |= {(r, k, *rest) for r, _, *rest in decontam._leaks(columns.Texts(pa.array(text)), decontam.Block([(0, item)], decontam.LeakSettings()))}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_items_alike_are_judged_as_each_alone(seed):
+    rng = random.Random(seed)
+    names = ["Tom", "Ann", "Bob Jones", "Eve"]
+
+    def question(form, k):
+        x, y = rng.choice(names), rng.choice(names)
+        return [f"Once {x} had {k} apples and gave {k % 7} kg of them to {y} before noon, said {x}", f"There are {k} boats with {k + rng.choice([0, 1])} sails each in the small harbour of this town"][form]
+
+    items = [question(rng.randrange(2), rng.randint(1, 12)) for _ in range(40)]
+    texts = []
+    for _ in range(12):
+        own = [question(rng.randrange(2), rng.choice([3, 5, 500, 501])) for _ in range(rng.randint(1, 4))] + rng.sample(items, rng.randint(0, 3)) + ["nothing of the kind " * rng.randint(0, 5)]
+        rng.shuffle(own)
+        texts.append(". ".join(own))
+    got = {(r, k, *rest) for r, k, *rest in decontam._leaks(columns.Texts(pa.array(texts)), decontam.Block(list(enumerate(items)), decontam.LeakSettings()))}
+    want = alone(texts, items)
+    assert len(got) > 100 and {x[:4] + x[6:] if x[4] != "literal" else x for x in got} == {x[:4] + x[6:] if x[4] != "literal" else x for x in want}
+    assert {x[:5] for x in got} == {x[:5] for x in want}
+    # Which of two values goes with which is decided by votes, of equal ones by value: the first item's decide for all.
+    assert len(got ^ want) <= 0.2 * len(want)
+
+
+def test_thousands_of_items_of_one_template_take_little_time():
+    import time
+
+    def item(k):
+        return f"Tom has {k} apples and gives some of them to his friends at school today"
+
+    block = decontam.Block([(k, item(k + 10)) for k in range(3000)], decontam.LeakSettings())
+    took = []
+    for copies in (200, 2000):
+        text = ". ".join(item(100_000 + 7 * c) for c in range(copies)) + ". " + item(17)
+        began = time.perf_counter()
+        found = {k: rest for _, k, *rest in decontam._leaks(columns.Texts(pa.array([text])), block)}
+        took.append(time.perf_counter() - began)
+        assert len(found) == 3000 and found[7][2:4] == ["literal", ""] and found[8][2:4] == ["reparameterised", "18=100000"]
+    assert took[1] < 15 and took[1] < 25 * took[0] + 1  # 150 KB; linear in the text
+
+
+def test_signs_of_four_bytes_are_no_words():
+    item = "how many small red apples are in the big basket now"
+    texts = [item, "😀 ".join(item.split(" ")), "😀".join(f" {w} " for w in item.split()), item.replace(" ", "😀")]
+    for own in ([(0, item)], [(0, texts[1])], [(0, "😀" + item + "😀")]):
+        assert {r for r, *_ in decontam._leaks(columns.Texts(pa.array(texts)), decontam.Block(own, decontam.LeakSettings()))} == {0, 1, 2, 3}
+    rare = "𐐀𐐁 𠮷𠮷 𐐂𐐃 𐐄𐐅 𐐆𐐇 𐐈𐐉"  # letters they are, and have capitals
+    assert [r for r, *_ in decontam._leaks(columns.Texts(pa.array([rare.casefold(), "x"])), decontam.Block([(0, rare)], decontam.LeakSettings()))] == [0]
+
+
+# --- dotted addresses
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("at 192[.]168[.]1[.]10 now", "192[.]168[.]1[.]10"),
+        ("at 192 dot 168 dot 1 dot 10 now", "192 dot 168 dot 1 dot 10"),
+        ("at 192(dot)168 (.) 1{punkt}10.", "192(dot)168 (.) 1{punkt}10"),
+        ("at 192.168[.]1.10 now", "192.168[.]1.10"),
+        ("one nine two dot one six eight dot one dot one", "one nine two dot one six eight dot one dot one"),
+        ("at 10&#46;0&#46;0&#46;1 now", "10&#46;0&#46;0&#46;1"),
+        ("at ten 10 [dot] zero [dot] zero [dot] one now", "10 [dot] zero [dot] zero [dot] one"),
+        ("at １９２[.]168[.]1[.]10 now", "１９２[.]168[.]1[.]10"),
+        ("192[.]168[.]1[.]999", None),
+        ("chapter 3 point 2 point 1 says", None),
+        ("see [1][.][2] and 5 dot 6", None),
+        ("192.168.1.10", None),
+    ],
+)
+def test_dotted_addresses(text, found):
+    base, added = pii.personal_data(text)
+    assert [text[a:b] for k, a, b in added if k == "ip"] == ([found] if found else []) and not [x for x in added if x[0] != "ip"]
+
+
+def test_added_spans_are_those_without_gates(monkeypatch):
+    """All rewritings and all detectors on every text give what the gates let through."""
+    rng = random.Random(9)
+    pieces = ["192", "168", "[.]", " dot ", "(dot)", "&#46;", "joe", "@", "[at]", " at ", "mail", "com", ".", "one", "two ", "nine ", "+", "4111 1111 1111 1111", "О", "0", "O", " ", "​", "é", "-", "555"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
+    gated = [pii.personal_data(t) for t in texts]
+    monkeypatch.setattr(pii, "_DISGUISE_SIGN", re.compile(""))
+    assert [pii.personal_data(t) for t in texts] == gated and sum(bool(x[1]) for x in gated) > 100
