@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import html as H
 from sheafline.functions import text as T
-from sheafline.operators import layout, replies, translate, units, viewer
+from sheafline.operators import layout, order, replies, translate, units, viewer
 from sheafline.schema import MISSING, LayoutSettings, Page, TextSettings
 from sheafline.session import fresh_path, table
 from sheafline.sources import spans as S
@@ -250,6 +250,30 @@ def page_layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_layout(S.valid_spans(_spans(spark, d)), PAGE)
 
 
+def _ordered(spark: SparkSession, d: str, *within: str, rest: bool = True) -> DataFrame:
+    spans = layout.initial_paragraphs(_spans(spark, d))
+    return order.reading_order(spans, layout.page_profiles(_spans(spark, d), PAGE), PAGE, *within, rest=rest)
+
+
+@query
+def column_order(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read by zones and columns, the stretches between bands being zones too."""
+    return _ordered(spark, d).select("doc_id", "page", "span_id", "band", "col", "pos")
+
+
+@query
+def paragraph_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same inside first paragraphs, with a page's bands alone."""
+    return _ordered(spark, d, "para_id", rest=False).select("doc_id", "page", "para_id", "span_id", "band", "col", "pos")
+
+
+@query
+def zone_regions(spark: SparkSession, d: str) -> DataFrame:
+    found = order.page_zones(layout.page_profiles(_spans(spark, d), PAGE), PAGE).select("doc_id", "page", F.posexplode("zones").alias("zone", "z"))
+    rows = found.select("doc_id", "page", "zone", "z.top", "z.bottom", F.posexplode("z.regions").alias("region", "r"))
+    return _rounded(rows.select("doc_id", "page", "zone", "top", "bottom", "region", "r.left", "r.right"), "top", "bottom", "left", "right")
+
+
 @query
 def page_units(spark: SparkSession, d: str) -> DataFrame:
     found = units.page_units(_spans(spark, d), PAGE, budget=600)

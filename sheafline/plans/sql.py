@@ -127,6 +127,29 @@ bb AS (SELECT doc_id, page, a, b, a > line_height * 0.75 AS above, b < 792 - lin
 bm AS (SELECT doc_id, page, 0.0::DOUBLE AS y, CASE WHEN below AND one THEN 792.0 ELSE a END::DOUBLE AS height FROM bb WHERE above UNION ALL SELECT doc_id, page, b, 792.0 - b FROM bb WHERE below AND NOT (above AND one))"""
 SQL["layout_bands"] = f"{_BANDS} SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y) - 1)::INT AS band_id, round(y, 6) AS y, round(height, 6) AS height, 0.8::DOUBLE AS confidence FROM bm"
 SQL["inferred_bands"] = f"{_BANDS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y)::INT AS band_id, round(y, 6) AS y, round(height, 6) AS height, 0.8::DOUBLE AS confidence FROM bm"
+_ZONES = f"""{_BANDS},
+pg AS (SELECT DISTINCT doc_id, page FROM spans),
+bz AS (SELECT doc_id, page, y AS top, y + height AS bottom FROM bm),
+ze AS (SELECT *, coalesce(max(bottom) OVER (PARTITION BY doc_id, page ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM (SELECT * FROM bz UNION ALL SELECT doc_id, page, 792, 792 FROM pg)),
+rz AS (SELECT * FROM bz UNION ALL SELECT doc_id, page, reach, top FROM ze WHERE top > reach),
+pz AS (SELECT * FROM bz UNION ALL SELECT doc_id, page, 0, 792 FROM pg WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM bz)),
+zn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, bottom) - 1 AS zone FROM {{zones}}),
+zs AS (SELECT z.doc_id, z.page, zone, (s."left" + s."right") / 2 AS m FROM zn z JOIN strips s USING (doc_id, page) WHERE s.confidence >= 0.7 AND s."right" - s."left" >= 4
+  AND least(z.bottom, s.bottom) > greatest(z.top, s.top) AND (least(z.bottom, s.bottom) - greatest(z.top, s.top)) / greatest(1, s.bottom - s.top, z.bottom - z.top) >= 0.4),
+xs AS (SELECT DISTINCT doc_id, page, zone, m FROM zs WHERE m > 0 UNION SELECT doc_id, page, zone, 0 FROM zn),
+cu AS (SELECT doc_id, page, zone, m AS l, coalesce(lead(m) OVER (PARTITION BY doc_id, page, zone ORDER BY m), 612) AS r FROM xs),
+rg AS (SELECT doc_id, page, zone, l, r, row_number() OVER (PARTITION BY doc_id, page, zone ORDER BY l) - 1 AS region, count(*) OVER (PARTITION BY doc_id, page, zone) AS n FROM cu WHERE r - l > 1)"""
+_ORDER = """,
+sz AS (SELECT p.doc_id, p.page, p.span_id, p.para_id, p.top, p."left", p."right", z.zone, least(p.bottom, z.bottom) - greatest(p.top, z.top) AS c, (least(p.bottom, z.bottom) - greatest(p.top, z.top)) / greatest(1, p.bottom - p.top, z.bottom - z.top) AS share,
+  abs((p.top + p.bottom) / 2 - (z.top + z.bottom) / 2) AS away FROM paras p JOIN zn z USING (doc_id, page)),
+so AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY doc_id, page, span_id ORDER BY c > 0 DESC, CASE WHEN c > 0 THEN -share ELSE away END, zone) = 1),
+sc AS (SELECT so.*, region FROM so JOIN rg USING (doc_id, page, zone) QUALIFY row_number() OVER (PARTITION BY so.doc_id, so.page, span_id ORDER BY (so."left" + so."right") / 2 >= l AND (so."left" + so."right") / 2 < r DESC, CASE WHEN (so."left" + so."right") / 2 < l THEN region ELSE -region END) = 1)"""
+SQL["zone_regions"] = f"""{_ZONES.replace("{zones}", "rz")}
+SELECT doc_id, page, zone::INT AS zone, round(top, 6) AS top, round(bottom, 6) AS bottom, region::INT AS region, round(l, 6) AS "left", round(r, 6) AS "right" FROM zn JOIN rg USING (doc_id, page, zone)"""
+SQL["column_order"] = f"""{_ZONES.replace("{zones}", "rz")}{_ORDER}
+SELECT doc_id, page, span_id, zone::INT AS band, region::INT AS col, (row_number() OVER (PARTITION BY doc_id, page ORDER BY zone, region, top, "left", span_id) - 1)::INT AS pos FROM sc"""
+SQL["paragraph_order"] = f"""{_ZONES.replace("{zones}", "pz")}{_ORDER}
+SELECT doc_id, page, para_id, span_id, zone::INT AS band, region::INT AS col, (row_number() OVER (PARTITION BY doc_id, page, para_id ORDER BY zone, region, top, "left", span_id) - 1)::INT AS pos FROM sc"""
 SQL["page_segments"] = f"""WITH RECURSIVE {SPANS}, tl AS (SELECT doc_id, page, coalesce(median(height) FILTER (height > 3), 15.0) AS line FROM spans GROUP BY ALL),
 ys AS (SELECT doc_id, page, line, unnest(range(ceil(792 / greatest(5.0, 0.5 * line))::INT)) * greatest(5.0, 0.5 * line) AS y FROM tl),
 sm AS (SELECT y.doc_id, y.page, y.line, y.y, list_sort(list(DISTINCT s."left")) AS ls, min(s."left") AS l, max(s."right") AS r FROM ys y JOIN spans s ON s.doc_id = y.doc_id AND s.page = y.page AND s.top <= y.y AND s.bottom >= y.y GROUP BY ALL),

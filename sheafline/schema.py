@@ -50,7 +50,7 @@ class LayoutSettings:
     trim: float = 0.15
     line_from_gaps: float = 1.25
     line_floor: float = 0.8
-    band_overlap: float = 0.4  # this and the next: of orders that the final sort undoes
+    band_overlap: float = 0.4  # this and the next: of operators/order alone
     region_width: float = 1.0
     column_lines: float = 2.0
     column_fallback: float = 20.0
