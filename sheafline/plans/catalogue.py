@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from sheafline.functions import geometry as G
 from sheafline.functions import html as H
+from sheafline.functions import tables
 from sheafline.functions import text as T
 from sheafline.operators import layout, order, replies, translate, units, viewer
 from sheafline.schema import MISSING, LayoutSettings, Page, TextSettings
@@ -326,9 +327,21 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
 @query
 def numbered_reply(spark: SparkSession, d: str) -> DataFrame:
     """Some replies lack lines or half of them, some repeat a number, some have no numbers at all."""
+    return replies.parse_replies(_numbered(spark, d), "conv_id")
+
+
+@query
+def numbered_reply_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function and a lateral join in SQL. Registers the function."""
+    tables.register(spark)
+    _numbered(spark, d).createOrReplaceTempView("sheafline_replies")
+    return spark.sql("SELECT r.conv_id, t.ord, t.line FROM sheafline_replies AS r, LATERAL numbered_lines(r.raw, r.expected) AS t")
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
     own = _replies(spark, d)
     raw = F.when(F.col("conv_id") % 5 == 1, F.regexp_replace("raw", r"(?m)^\d+\. ", "")).when(F.col("conv_id") % 5 == 2, F.concat(F.col("raw"), F.lit("\n1. again"))).otherwise(F.col("raw"))
-    return replies.parse_replies(own.withColumn("raw", raw), "conv_id")
+    return own.withColumn("raw", raw)
 
 
 @query
@@ -455,14 +468,25 @@ def note_map(spark: SparkSession, d: str) -> DataFrame:
 @query
 def old_notes(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the two older formats: tables with metadata as plain or coded JSON, escaped pipes and line ends."""
+    return store.parse(_old_notes(spark, d), _clock()).select("doc", "page_key", "page", "text_content", "translated_text", "rel_left", "rel_height", "font_size")
+
+
+@query
+def old_notes_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function in SQL. Registers the function."""
+    tables.register(spark)
+    _old_notes(spark, d).createOrReplaceTempView("sheafline_old_notes")
+    return spark.sql("SELECT doc, page_key, page, text_content, translated_text, rel_left, rel_height, font_size FROM note_items(TABLE(sheafline_old_notes) PARTITION BY doc)")
+
+
+def _old_notes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     meta = F.concat(F.lit('{"r":{"l":0.25,"t":0.5,"w":0.125,"h":'), F.when(k % 11 == 0, "0").otherwise("0.0625"), F.lit('},"page":'), (1 + k % 4).cast("string"), F.lit(',"fontSize":'), (8 + k % 5).cast("string"), F.lit('}'))
     coded = F.concat(F.lit("PDF_TRANSLATOR_METADATA:"), F.regexp_replace(F.base64(F.encode(meta, "UTF-8")), r"\s", ""))
     cell = F.concat(F.lit("<!-- "), F.when(k % 2 == 0, meta).otherwise(coded), F.lit(" --> "), F.col("source"), F.lit(" \\| x"))
     row = F.concat(F.lit("| "), cell, F.lit(" | "), F.col("lang"), F.lit("\\nend |"))
     content = F.concat(F.lit("---\nversion: "), F.when(k % 2 == 0, "1").otherwise("2"), F.lit("\n---\n## Page "), (1 + k % 3).cast("string"), F.lit("\n| gone | gone |\n## Page "), (1 + k % 3).cast("string"), F.lit("\n"), row, F.lit("\n"))
-    notes = table(spark, d, "documents").select(F.concat(F.lit("d"), k.cast("string")).alias("doc"), content.alias("content"))
-    return store.parse(notes, _clock()).select("doc", "page_key", "page", "text_content", "translated_text", "rel_left", "rel_height", "font_size")
+    return table(spark, d, "documents").select(F.concat(F.lit("d"), k.cast("string")).alias("doc"), content.alias("content"))
 
 
 @query

@@ -318,3 +318,5 @@ SQL["page_tags"] = f"""WITH m AS (SELECT page_id, html, {_MASKED} AS h FROM page
 t AS (SELECT page_id, 'start' AS kind, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS name FROM m UNION ALL SELECT page_id, 'end', unnest(regexp_extract_all(h, '</([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) FROM m
   UNION ALL SELECT page_id, 'comment', unnest(regexp_extract_all(html, '<!(--)', 1)) FROM m UNION ALL SELECT page_id, 'doctype', unnest(regexp_extract_all(h, '<!DOCTYPE (html)>', 1)) FROM m)
 SELECT page_id, kind, CASE WHEN kind = 'comment' THEN '' ELSE name END AS name, count(*) AS n FROM t GROUP BY ALL"""
+SQL["numbered_reply_in_sql"] = SQL["numbered_reply"]
+SQL["old_notes_in_sql"] = SQL["old_notes"]
