@@ -320,3 +320,4 @@ t AS (SELECT page_id, 'start' AS kind, unnest(regexp_extract_all(h, '<([a-zA-Z][
 SELECT page_id, kind, CASE WHEN kind = 'comment' THEN '' ELSE name END AS name, count(*) AS n FROM t GROUP BY ALL"""
 SQL["numbered_reply_in_sql"] = SQL["numbered_reply"]
 SQL["old_notes_in_sql"] = SQL["old_notes"]
+SQL["note_source"] = SQL["note_files"]
