@@ -314,6 +314,27 @@ def page_layout(spans: DataFrame, page: Page, s: LayoutSettings | None = None, g
     return by_page(begun(spans, s), run, "doc_id long, page int, para_id int, pos int, span_id long")
 
 
+def merge_pass(spans: DataFrame, page: Page, step: str, s: LayoutSettings | None = None, gaps: GapSettings | None = None) -> DataFrame:
+    """doc_id, page, span_id, group_id: one step of the page layout on first paragraphs; a group has the id of its least span.
+
+    ``step``: split (at wide gaps of lines), merge (in the order given), stack (downward, one pass in the
+    order of boxes) or nest (pairs that hold each other or share a formula, one pass).
+    """
+    s, gaps = s or LayoutSettings(), gaps or GapSettings()
+
+    def run(pages: paging.Pages) -> Iterator[pa.RecordBatch]:
+        place, group = [], []
+        ids = pages.column("span_id").tolist()
+        for begin, (profile, columns, first) in zip(pages.begin.tolist(), paging.profiles(pages, page, s, gaps), strict=True):
+            for own in paging.one_step(step, profile, columns, first, s, gaps):
+                place += [begin + x for x in own]
+                group += [min(ids[begin + x] for x in own)] * len(own)
+        rows = pages.rows.take(pa.array(place, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(group, pa.int64())], [*KEYS, "span_id", "group_id"])
+
+    return by_page(begun(spans, s), run, "doc_id long, page int, span_id long, group_id long")
+
+
 def first_paragraph_only(paragraphs: DataFrame) -> DataFrame:
     """A span that several paragraphs hold stays in the first; for paragraphs that come from elsewhere."""
     w = W.partitionBy(*KEYS, "span_id").orderBy("para_id", "pos")

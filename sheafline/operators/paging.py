@@ -354,12 +354,14 @@ class Merger:
     def stack(self, paragraphs: list[Paragraph]) -> list[Paragraph]:
         """Downward merges in order of boxes, until nothing changes."""
         while True:
-            ordered = sorted(paragraphs, key=lambda p: (p.top, p.left))
-            merged = self._join(ordered, True)
-            if len(merged) == len(ordered):
+            merged = self.stack_once(paragraphs)
+            if len(merged) == len(paragraphs):
                 return merged
             paragraphs = merged
 
+    def stack_once(self, paragraphs: list[Paragraph]) -> list[Paragraph]:
+        return self._join(sorted(paragraphs, key=lambda p: (p.top, p.left)), True)
+
     def formula(self, a: Paragraph, b: Paragraph) -> bool:
         if not any(self.math[x] for p in (a, b) for x in p.spans) or not self.one_column(a, b):
             return False
@@ -491,6 +493,14 @@ def merged(profile: Profile, columns: dict[str, list], first: list[list[int]], s
     return [m.reading(p.spans) for p in m.stack(paragraphs)]
 
 
+def one_step(step: str, profile: Profile, columns: dict[str, list], first: list[list[int]], s: LayoutSettings, gaps: GapSettings) -> list[list[int]]:
+    """Places of the spans of each paragraph after one step on a page's first paragraphs: split, merge, stack or nest."""
+    m = Merger(columns, profile.strips, profile.bands, profile.line, s, gaps.band_confidence)
+    paragraphs = [m.paragraph(p) for p in first]
+    steps = {"split": m.split, "merge": m.merge, "stack": m.stack_once, "nest": lambda x: m.nest(x)[0]}
+    return [p.spans for p in steps[step](paragraphs)]
+
+
 # --- units ----------------------------------------------------------------------------------
 
 

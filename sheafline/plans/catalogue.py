@@ -252,6 +252,29 @@ def page_layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_layout(S.valid_spans(_spans(spark, d)), PAGE)
 
 
+@query
+def split_pass(spark: SparkSession, d: str) -> DataFrame:
+    return layout.merge_pass(_spans(spark, d), PAGE, "split")
+
+
+@query
+def merge_pass(spark: SparkSession, d: str) -> DataFrame:
+    return layout.merge_pass(_spans(spark, d), PAGE, "merge")
+
+
+@query
+def stack_pass(spark: SparkSession, d: str) -> DataFrame:
+    return layout.merge_pass(_spans(spark, d), PAGE, "stack")
+
+
+@query
+def nest_pass(spark: SparkSession, d: str) -> DataFrame:
+    """On spans of which every fifth is moved up and to the left, so that paragraphs lie inside each other."""
+    up, left = F.when(F.col("span_id") % 5 == 0, 9.0).otherwise(0.0), F.when(F.col("span_id") % 5 == 0, 30.0).otherwise(0.0)
+    moved = {c: F.col(c) - by for c, by in (("top", up), ("bottom", up), ("left", left), ("right", left))}
+    return layout.merge_pass(_spans(spark, d).withColumns(moved), PAGE, "nest")
+
+
 def _ordered(spark: SparkSession, d: str, *within: str, rest: bool = True) -> DataFrame:
     spans = layout.initial_paragraphs(_spans(spark, d))
     return order.reading_order(spans, layout.page_profiles(_spans(spark, d), PAGE), PAGE, *within, rest=rest)
