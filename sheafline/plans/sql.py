@@ -237,14 +237,15 @@ _VALID_ONLY = f"FROM (SELECT * EXCLUDE (t) FROM (SELECT *, {trim('text')} AS t F
 # Merge, then stack until nothing changes (six passes: five change something at most). Pages on which a paragraph
 # would be cut or nested have no rows here: split_pass and nest_pass stand for these steps, and no page of the tables needs them.
 _STACK_CHAIN = ",\n".join(_fold(f"w{n}", "m0" if n == 1 else f"w{n - 1}", "t, l, seen", _STACKS) for n in range(1, 7))
-SQL["page_layout"] = f"""{_FIRST.replace("{order}", "para_id").replace("FROM boxes)", _VALID_ONLY, 1)},
+_LAYOUT = f"""{_FIRST.replace("{order}", "para_id").replace("FROM boxes)", _VALID_ONLY, 1)},
 p0 AS (SELECT doc_id, page, para_id AS seen, l, t, r, b, size, fam, wt, math, op, [para_id] AS parts, lh, st, bd FROM pi),
 {_fold("m0", "p0", "seen", f"p.t - g.b <= least(p.lh * 1.35, greatest(g.size, p.size) * 2) AND (abs(g.l - p.l) < g.size * 2 OR abs(g.r - p.r) < g.size * 2 OR {_SHARE})")},
 wg AS (SELECT *, lag("right") OVER w AS pr, lag(height) OVER w AS ph FROM paras WINDOW w AS (PARTITION BY doc_id, page, para_id, top ORDER BY "left", span_id)),
 other AS (SELECT a.doc_id, a.page FROM m0 a JOIN m0 c ON c.doc_id = a.doc_id AND c.page = a.page AND c.seen > a.seen WHERE {_REL} AND ({_NESTED} OR {_FORMULA}) UNION SELECT doc_id, page FROM wg JOIN sl USING (doc_id, page) WHERE "left" - pr > 0.8 * least(ph, height) * 2.5),
 {_STACK_CHAIN},
-done AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY t, l, seen) - 1 AS para_id, unnest(parts) AS part FROM w6 WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM other))
-SELECT d.doc_id, d.page, d.para_id::INT AS para_id, (row_number() OVER (PARTITION BY d.doc_id, d.page, d.para_id ORDER BY top, "left", span_id) - 1)::INT AS pos, span_id FROM done d JOIN paras s ON s.doc_id = d.doc_id AND s.page = d.page AND s.para_id = d.part"""
+done AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY t, l, seen) - 1 AS para_id, unnest(parts) AS part FROM w6 WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM other)),
+fp AS MATERIALIZED (SELECT s.* REPLACE (d.para_id AS para_id) FROM done d JOIN paras s ON s.doc_id = d.doc_id AND s.page = d.page AND s.para_id = d.part)"""
+SQL["page_layout"] = f"""{_LAYOUT} SELECT doc_id, page, para_id::INT AS para_id, (row_number() OVER (PARTITION BY doc_id, page, para_id ORDER BY top, "left", span_id) - 1)::INT AS pos, span_id FROM fp"""
 SQL["page_segments"] = f"""WITH RECURSIVE {SPANS}, tl AS (SELECT doc_id, page, coalesce(median(height) FILTER (height > 3), 15.0) AS line FROM spans GROUP BY ALL),
 ys AS (SELECT doc_id, page, line, unnest(range(ceil(792 / greatest(5.0, 0.5 * line))::INT)) * greatest(5.0, 0.5 * line) AS y FROM tl),
 sm AS (SELECT y.doc_id, y.page, y.line, y.y, list_sort(list(DISTINCT s."left")) AS ls, min(s."left") AS l, max(s."right") AS r FROM ys y JOIN spans s ON s.doc_id = y.doc_id AND s.page = y.page AND s.top <= y.y AND s.bottom >= y.y GROUP BY ALL),
@@ -416,3 +417,11 @@ SELECT page_id, kind, CASE WHEN kind = 'comment' THEN '' ELSE name END AS name,
 SQL["numbered_reply_in_sql"] = SQL["numbered_reply"]
 SQL["old_notes_in_sql"] = SQL["old_notes"]
 SQL["note_source"] = SQL["note_files"]
+SQL["page_units"] = f"""{_LAYOUT}, {RICH.replace("FROM paras)", "FROM fp)")},
+se AS (SELECT *, lag(CASE WHEN regexp_matches({trim("text")}, '[.?!]\\s*$') THEN 1 ELSE 0 END) OVER w AS cut FROM h WINDOW w AS (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id)),
+sn AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id) AS sentence FROM se),
+un AS (SELECT doc_id, page, para_id, CASE WHEN length(r.html) > 600 THEN sentence ELSE -1 END AS part, sn."left", sn."right", top, bottom, font_family, line, span_id, sn.html FROM sn JOIN r USING (doc_id, page, para_id)),
+ul AS (SELECT doc_id, page, para_id, part, line, string_agg(html, ' ' ORDER BY "left", span_id) AS html, min("left") AS l, max("right") AS r, min(top) AS t, max(bottom) AS b, min(font_family) AS fam FROM un GROUP BY ALL),
+ur AS (SELECT doc_id, page, para_id, part, string_agg(html, '<br>' ORDER BY line) AS text, min(l) AS l, max(r) AS r, min(t) AS t, max(b) AS b, min(fam) AS fam FROM ul GROUP BY ALL)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY para_id, part) - 1)::INT AS ord, 'para-' || para_id::INT || CASE WHEN part >= 0 THEN '-sent-' || part::INT ELSE '' END AS unit_id, 'para-' || para_id::INT AS paragraph_id, text,
+  l AS "left", t AS top, r AS "right", b AS bottom, fam AS font_family FROM ur WHERE length(text) > 5"""
