@@ -417,11 +417,18 @@ SELECT page_id, kind, CASE WHEN kind = 'comment' THEN '' ELSE name END AS name,
 SQL["numbered_reply_in_sql"] = SQL["numbered_reply"]
 SQL["old_notes_in_sql"] = SQL["old_notes"]
 SQL["note_source"] = SQL["note_files"]
-SQL["page_units"] = f"""{_LAYOUT}, {RICH.replace("FROM paras)", "FROM fp)")},
+_UNIT_PARTS = f"""{RICH.replace("FROM paras)", "FROM fp)")},
 se AS (SELECT *, lag(CASE WHEN regexp_matches({trim("text")}, '[.?!]\\s*$') THEN 1 ELSE 0 END) OVER w AS cut FROM h WINDOW w AS (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id)),
 sn AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY doc_id, page, para_id ORDER BY floor(top / 5), "left", span_id) AS sentence FROM se),
 un AS (SELECT doc_id, page, para_id, CASE WHEN length(r.html) > 600 THEN sentence ELSE -1 END AS part, sn."left", sn."right", top, bottom, font_family, line, span_id, sn.html FROM sn JOIN r USING (doc_id, page, para_id)),
 ul AS (SELECT doc_id, page, para_id, part, line, string_agg(html, ' ' ORDER BY "left", span_id) AS html, min("left") AS l, max("right") AS r, min(top) AS t, max(bottom) AS b, min(font_family) AS fam FROM un GROUP BY ALL),
-ur AS (SELECT doc_id, page, para_id, part, string_agg(html, '<br>' ORDER BY line) AS text, min(l) AS l, max(r) AS r, min(t) AS t, max(b) AS b, min(fam) AS fam FROM ul GROUP BY ALL)
+ur AS (SELECT doc_id, page, para_id, part, string_agg(html, '<br>' ORDER BY line) AS text, min(l) AS l, max(r) AS r, min(t) AS t, max(b) AS b, min(fam) AS fam FROM ul GROUP BY ALL)"""
+SQL["page_units"] = f"""{_LAYOUT}, {_UNIT_PARTS}
 SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY para_id, part) - 1)::INT AS ord, 'para-' || para_id::INT || CASE WHEN part >= 0 THEN '-sent-' || part::INT ELSE '' END AS unit_id, 'para-' || para_id::INT AS paragraph_id, text,
   l AS "left", t AS top, r AS "right", b AS bottom, fam AS font_family FROM ur WHERE length(text) > 5"""
+_CHOSEN = f"""FROM (SELECT * EXCLUDE (t, sl, st) FROM (SELECT *, {trim('text')} AS t, 40.0 + doc_id % 300 AS sl, 50.0 + page * 37 % 400 AS st FROM boxes) WHERE {VALID} AND doc_id % 7 > 0 AND "left" <= sl + doc_id % 7 * 60 AND "left" + width >= sl AND top <= st + 120 AND top + height >= st))"""
+SQL["region_job"] = f"""{_LAYOUT.replace(_VALID_ONLY, _CHOSEN)}, {_UNIT_PARTS.replace("> 600", "> 7500")},
+fresh AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_id, part) - 1 AS ord, l / 612 AS rl, t / 792 AS rt, (r - l) / 612 AS rw, (b - t) / 792 AS rh, replace(text, 'th', 'z') AS text FROM ur WHERE length(text) > 5),
+old AS (SELECT doc_id, page, para_id + 1000 AS ord, min("left") / 612 AS rl, min(top) / 792 AS rt, (max("right") - min("left")) / 612 AS rw, (max(bottom) - min(top)) / 792 AS rh, NULL::VARCHAR AS text FROM (WITH {PARAS} SELECT * FROM paras) GROUP BY doc_id, page, para_id),
+u AS (SELECT *, true AS is_new FROM fresh UNION ALL SELECT *, false FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh n WHERE n.doc_id = o.doc_id AND n.page = o.page AND o.rl <= n.rl + n.rw + 1e-5 AND o.rl + o.rw >= n.rl - 1e-5 AND o.rt <= n.rt + n.rh + 1e-5 AND o.rt + o.rh >= n.rt - 1e-5))
+SELECT doc_id, page, ord::INT AS ord, round(rl, 6) AS rel_left, round(rt, 6) AS rel_top, round(rw, 6) AS rel_width, round(rh, 6) AS rel_height, text, is_new FROM u"""
