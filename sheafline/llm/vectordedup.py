@@ -62,6 +62,7 @@ class Projections:
     misses: int = 2
     recall: float = 0.995
     home_rows: int = 8192
+    broadcast_cells: int = 200_000  # of some 60 bytes; more are joined by a shuffle
     seed: int = 20240229
 
 
@@ -102,8 +103,22 @@ def _vectors(values: pa.Array) -> list[np.ndarray | None]:
     return found
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """Eight bytes a component, or four where these lose nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = v.astype("<f4")
+    return (short if (short == v).all() else v.astype("<f8")).tobytes()
+
+
+def _unpacked(data: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(data), dim))
+    for k, x in enumerate(data):
+        out[k] = np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8")
+    return out
+
+
 def keyed_vectors(table: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, key (a digest of label and vector; null if it can't link), vec (its doubles)."""
+    """vec_id, label, key (a digest of label and vector; null if it can't link), dim, vec (its components, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,33 +126,38 @@ def keyed_vectors(table: DataFrame, id_col: str, vector_col: str, label_col: str
             vectors = [None if x is None else v for x, v in zip(label.to_pylist(), _vectors(column(batch, "vec")), strict=True)]
             data = [None if v is None else (v + 0.0).astype("<f8").tobytes() for v in vectors]  # -0.0 is 0.0
             keys = [None if d is None else hashlib.blake2b(d, digest_size=16, salt=hashlib.blake2b(str(x).encode(), digest_size=16).digest()).digest() for x, d in zip(label.to_pylist(), data, strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), label, pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "key", "vec"])
+            packed = [None if v is None else _packed(v) for v in vectors]
+            dims = [None if v is None else len(v) for v in vectors]
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), label, pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "label", "key", "dim", "vec"])
 
     source = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
-    return map_batches(source, run, "vec_id long, label string, key binary, vec binary", "vectordedup")
+    return map_batches(source, run, "vec_id long, label string, key binary, dim int, vec binary", "vectordedup")
+
+
+CELL = "label string, dim int, sorted int, cell long"
 
 
-def dealt_cells(classes: DataFrame, own: Projections) -> DataFrame:
-    """A row for each cell that a vector is at home in or visits: label, dim, sorted (which projection), cell, visits, node, n, proj, vec."""
+def dealt_cells(classes: DataFrame, own: Projections, homes_only: bool = False) -> DataFrame:
+    """A row for each cell that a vector is at home in or visits: label, dim, sorted (which projection), cell, visits, node, n, proj, vec; or of the homes the cell alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, node, n, vec = (column(batch, c) for c in ("label", "node", "n", "vec"))
-            sizes = np.array([len(x) for x in vec.to_pylist()]) // 8
-            for dim in np.unique(sizes):
+            sizes = np.asarray(column(batch, "dim"))
+            for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                held = vec.take(pa.array(at))
-                values = np.frombuffer(b"".join(held.to_pylist()), "<f8").reshape(len(at), dim)
-                projected = (unit(values) @ directions(own, int(dim))).astype("<f4")
-                proj = pa.array([x.tobytes() for x in projected], pa.binary())
+                held, m = vec.take(pa.array(at)), len(at)
+                projected = (unit(_unpacked(held.to_pylist(), dim)) @ directions(own, dim)).astype("<f4")
                 take = [x.take(pa.array(at)) for x in (label, node, n)]
+                proj = None if homes_only else pa.array([x.tobytes() for x in projected], pa.binary())
                 for k in range(own.misses + 1):
-                    cell = np.floor(projected[:, k] / half_width(own, int(dim))).astype(np.int64)
-                    for visits in (0, 1):
-                        m = len(at)
-                        yield pa.RecordBatch.from_arrays([take[0], pa.array(np.full(m, dim, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(cell - visits), pa.array(np.full(m, visits, np.int32)), take[1], take[2], proj, held], ["label", "dim", "sorted", "cell", "visits", "node", "n", "proj", "vec"])
+                    cell = np.floor(projected[:, k] / half_width(own, dim)).astype(np.int64)
+                    for visits in (0,) if homes_only else (0, 1):
+                        where = [take[0], pa.array(np.full(m, dim, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(cell - visits)]
+                        more = [] if homes_only else [pa.array(np.full(m, visits, np.int32)), take[1], take[2], proj, held]
+                        yield pa.RecordBatch.from_arrays(where + more, ["label", "dim", "sorted", "cell", "visits", "node", "n", "proj", "vec"][: 4 + len(more)])
 
-    return map_batches(classes, run, "label string, dim int, sorted int, cell long, visits int, node long, n long, proj binary, vec binary", "vectordedup")
+    return map_batches(classes, run, CELL if homes_only else f"{CELL}, visits int, node long, n long, proj binary, vec binary", "vectordedup")
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -230,7 +250,7 @@ def count_links(units: DataFrame, own: Projections) -> DataFrame:
                     key, chunk, closed = this, Chunk(own, this[1], this[2]), False
                 node, n = (np.asarray(column(part, c)) for c in ("node", "n"))
                 proj = np.frombuffer(b"".join(column(part, "proj").to_pylist()), "<f4").reshape(len(node), own.n_projections)
-                vec = unit(np.frombuffer(b"".join(column(part, "vec").to_pylist()), "<f8").reshape(len(node), this[1]))
+                vec = unit(_unpacked(column(part, "vec").to_pylist(), this[1]))
                 if role == 0:
                     chunk.add(node, n, proj, vec)
                     continue
@@ -257,15 +277,14 @@ def vector_links(table: DataFrame, own: Projections | None = None, id_col: str =
     spark = table.sparkSession
     ship(spark)
     rows = staged(keyed_vectors(table, id_col, vector_col, label_col), "vectors")
-    grouped = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    grouped = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # written once, so the numbers stay
 
-    cells = dealt_cells(classes.select("label", "node", "n", "vec"), own)
-    cells = staged(cells, "cells")
+    vectors = classes.select("label", "node", "n", "dim", "vec")
     where = ["label", "dim", "sorted", "cell"]
-    # Cells with somebody at home; the others have no pairs.
-    sizes = cells.filter("visits = 0").groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / own.home_rows).cast("int").alias("chunks"))
-    placed = cells.join(sizes, where)
+    # Cells with somebody at home; the others have no pairs. A row each, so a label has a few dozen.
+    sizes = staged(dealt_cells(vectors, own, homes_only=True).groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / own.home_rows).cast("int").alias("chunks")), "cells")
+    placed = dealt_cells(vectors, own).join(F.broadcast(sizes) if sizes.count() <= own.broadcast_cells else sizes, where)
     home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     carried = [*where, "node", "n", "proj", "vec"]
     at_home = placed.filter("visits = 0").select(*carried, home.alias("chunk"), F.lit(0).alias("role"))
