@@ -8,7 +8,8 @@
 Writing: each task writes its notes into a staging folder of the job and a list
 of them; its message names the list. Commit writes one small file that names the lists of all tasks
 (that moment counts), then moves the notes to their places and deletes the file. A job that
-fails before leaves the old notes, and its staging folder is deleted. If the driver dies while notes
+fails before leaves the old notes, and its staging folder is deleted (a task that outlives it
+may leave files there, which nobody reads). If the driver dies while notes
 are moved, the file is still there: readers take notes from where they lie, old ones that are
 replaced are not seen, and the next job, or ``finish``, moves the rest.
 
