@@ -1023,7 +1023,7 @@ def test_edited_copies_leave_one(spark):
 
 def test_entry_without_the_corpus_operators(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name.startswith(('sheafline.llm', 'corpus_pipeline')): raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e, json\nprint(json.dumps([k for k in e.queries()]))"
+    code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name.startswith(('sheafline.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e, json\nprint(json.dumps([k for k in e.queries()]))"
     names = json.loads(subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, check=True).stdout)
     assert names and not any(n.startswith("op") or n == "pipeline" for n in names)
 
