@@ -3,6 +3,8 @@
 import os
 import random
 import re
+import subprocess
+import sys
 from html import unescape
 from html.parser import HTMLParser
 
@@ -130,3 +132,17 @@ def test_small_dialect_is_part_of_it(spark):
     texts = ["a<b>x</b> &lt;i&gt; &quot;q&quot; &#039;s&#039; &amp;amp;", "<!-- c --><i>y</i><br>z"]
     df = spark.createDataFrame([(t,) for t in texts], "h string")
     assert [tuple(r) for r in df.select(T.plain_text(F.col("h")), H.text_content(F.col("h"))).collect()] == [(re.sub("<!--.*?-->|<[^>]*>", "", t).replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&#039;", "'").replace("&amp;", "&"),) * 2 for t in texts]
+
+
+def test_page_text_is_the_first_query_of_a_session(tmp_path):
+    """Workers import nothing but what a session ships: no other query has done so before."""
+    code = "import sys; sys.path.insert(0, sys.argv[1])\nfrom sheafline.session import local_session\nfrom sheafline.functions import html as H\nspark = local_session(1, 1)\nframe = spark.createDataFrame([('<p>a&amp;b</p>',)], 'h string')\nprint(frame.select(H.text_content(frame['h']), H.visible_text(frame['h'])).first())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("a&b") == 2
+
+
+def test_a_reference_does_not_reach_over_a_tag():
+    """As in pages 43 and 1157 of sf0.1: a title cut inside a reference, and a style after it."""
+    assert H.content("<title>a&am</title><style>p{margin:0}</style>&am<b>p;</b>") == "a&amp{margin:0}&amp;"
