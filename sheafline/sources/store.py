@@ -215,16 +215,18 @@ def pairs_in_cells(old: DataFrame, new: DataFrame, *keys: str, epsilon: float =
     for axis in "xy":
         level, cell, own = (f"_{c}_{axis}" for c in ("level", "cell", "own"))
         on &= (F.col(f"o{level}") == F.col(f"n{level}")) & (F.col(f"o{cell}") == F.col(f"n{cell}")) & (F.col(f"o{level}") == F.least(f"o{own}", f"n{own}"))
-    return o.join(n, on)
+    return o.hint("merge").join(n.hint("merge"), on)
 
 
 def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float = 1e-5) -> DataFrame:
     """Old boxes that touch no new box of their page, and the new boxes.
 
-    Old boxes are numbered (written once, so the numbers stay), pairs come from the cells of a grid,
-    and those that touch go by an anti join on the number. A box with a null touches nothing.
+    Old boxes are numbered (written once, so the numbers stay; new ones are written once too, as they
+    are read three times), pairs come from the cells of a grid, and those that touch go by an anti join
+    on the number. A box with a null touches nothing. Neither join is a broadcast: a side's size is
+    judged before its boxes are dealt over cells, and all of it would lie in the driver.
     """
-    numbered = staged(old.withColumn("_box", F.monotonically_increasing_id()), "boxes")
+    numbered, new = staged(old.withColumn("_box", F.monotonically_increasing_id()), "boxes"), staged(new, "boxes")
     whole = " and ".join(f"rel_{c} is not null" for c in ("left", "top", "width", "height"))
     pairs = pairs_in_cells(numbered.filter(whole), new.filter(whole), *keys, epsilon=epsilon)
 
@@ -232,7 +234,7 @@ def replace_region(old: DataFrame, new: DataFrame, *keys: str, epsilon: float =
         return G.Rect(F.col(f"{a}rel_left"), F.col(f"{a}rel_top"), F.col(f"{a}rel_left") + F.col(f"{a}rel_width"), F.col(f"{a}rel_top") + F.col(f"{a}rel_height"))
 
     touched = pairs.filter(rect("o").touches(rect("n"), epsilon)).select("_box").distinct()
-    return numbered.join(touched, "_box", "left_anti").drop("_box").unionByName(new)
+    return numbered.hint("merge").join(touched.hint("merge"), "_box", "left_anti").drop("_box").unionByName(new)
 
 
 def renewed(boxes: DataFrame, is_new: str, *keys: str, epsilon: float = 1e-5) -> DataFrame:

@@ -239,3 +239,9 @@ def test_viewer_on_odd_values(spark):
     saved = viewer.save_presets(stored, changed, F.lit("d1"))
     assert sorted(map(tuple, saved.collect())) == [("1", "b", "t", "d0", "d1"), ("2", "c", "u", "d1", "d1")]
     assert viewer.delete_presets(saved, changed).count() == 0
+
+
+def test_boxes_of_two_tables_meet_without_a_broadcast(spark):
+    """A broadcast side lies in the driver, dealt over cells and many times as large as it was judged."""
+    old, new = (spark.range(40).selectExpr("id % 2 as p", f"(id * {k} % 17) / 20d as rel_left", "(id % 11) / 12d as rel_top", "0.1d as rel_width", "0.05d as rel_height") for k in (3, 5))
+    assert "Broadcast" not in store.replace_region(old, new, "p")._jdf.queryExecution().executedPlan().toString()
