@@ -178,12 +178,13 @@ def _run_of(page: Column) -> Column:
     return F.floor((F.coalesce(page.try_cast("int"), F.lit(1)) - 1) / RUN_PAGES)
 
 
-def page_log(folder: str, parts: int = 64) -> KeyedLog:
-    """The store: a page is as its last writer left it, by ``ts``, then batch, then the write's number."""
-    return KeyedLog(folder, f"{STORE_SCHEMA}, write string", ("doc", "page_key"), ("ts", "_batch", "write"), ("ord",), lambda parts: F.pmod(F.xxhash64("doc", _run_of(F.col("page_key"))), F.lit(parts)), parts)
+def page_log(folder: str, parts: int = 64, together: bool = False) -> KeyedLog:
+    """The store: a page is as its last writer left it, by ``ts``, then batch, then the write's number; with ``together`` by ``ts`` alone."""
+    order = ("ts",) if together else ("ts", "_batch", "write")
+    return KeyedLog(folder, f"{STORE_SCHEMA}, write string", ("doc", "page_key"), order, ("ord",), lambda parts: F.pmod(F.xxhash64("doc", _run_of(F.col("page_key"))), F.lit(parts)), parts, together)
 
 
-def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 64, together: bool = False) -> StreamingQuery:
     """Apply a stream of page rows (columns of the store) to a store below ``folder``.
 
     A page is written as a whole: of a batch's rows of a page those of the latest ``ts`` count, of
@@ -191,8 +192,11 @@ def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 64
     are one write, each item once). Rows without text_content say that the page goes. Each
     batch is one writer and writes only the pages it has, into its own folder: a repeated batch
     writes the same again. The first batch fixes the number of ``parts``.
+
+    With ``together`` none of several writes of a page at its latest ``ts`` is the last: all their rows
+    stay, those of different batches too, until a later write. Readers and ``compact`` must be told the same.
     """
-    log = page_log(folder, parts)
+    log = page_log(folder, parts, together)
     write = (F.col("write").cast("string") if "write" in changes.columns else F.lit(None).cast("string")).alias("write")
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -201,9 +205,9 @@ def keep_store(changes: DataFrame, folder: str, checkpoint: str, parts: int = 64
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages as their last writers left them; between equal times the later batch."""
-    return page_log(folder).current(spark).filter("text_content is not null").select(*store.COLUMNS)
+def read_store(spark: SparkSession, folder: str, together: bool = False) -> DataFrame:
+    """All pages as their last writers left them; between equal times the later batch, or all of them ``together``."""
+    return page_log(folder, together=together).current(spark).filter("text_content is not null").select(*store.COLUMNS)
 
 
 def read_pages(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -217,6 +221,6 @@ def read_pages(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame
     return pages.join(asked, (F.col("doc") == F.col("asked_doc")) & number.between(F.col("asked_first"), F.col("asked_last")), "left_semi")
 
 
-def compact(spark: SparkSession, folder: str, fan_in: int = 1) -> list[int]:
+def compact(spark: SparkSession, folder: str, fan_in: int = 1, together: bool = False) -> list[int]:
     """Fold the parts that ``fan_in`` batches or more have touched since they were last folded; which parts. Times of pages that went stay, so that late rows don't bring them back."""
-    return page_log(folder).compact(spark, fan_in)
+    return page_log(folder, together=together).compact(spark, fan_in)

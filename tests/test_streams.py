@@ -252,3 +252,27 @@ def test_blank_answers_are_asked_again_and_not_kept(spark, tmp_path):
     assert (got["status"], got["tries"], got["replies"]) == ("completed", 3, ["1. A.\n2. B."])
     got = translate.answered(asked(spark, {2: ["c."]}).coalesce(1), lambda system, user: " ", job=translate.JobSettings(tries=2, pause=0.0)).first()
     assert (got["status"], got["tries"]) == ("failed", 2) and "no text" in got["error"]
+
+
+def test_writes_of_one_time_stay_together(spark, tmp_path):
+    """Two batches of one time, each with two writes of an item: all rows stay, over a compaction too, until a later write."""
+    target = str(tmp_path / "store")
+    log = changes.page_log(target, 2, together=True)
+
+    def rows(*texts, ts):
+        own = spark.createDataFrame([("d", "1", 0, t, ts) for t in texts], "doc string, page_key string, ord int, text_content string, s long")
+        return own.select("doc", "page_key", "ord", F.lit(1).alias("page"), "text_content", F.lit("").alias("translated_text"), *[F.lit(0.5).alias(c) for c in ("rel_left", "rel_top", "rel_width", "rel_height", "font_size")], F.lit("").alias("font_family"), F.array(F.lit(1.0)).alias("original_font_sizes"), F.timestamp_seconds("s").alias("ts"), F.lit(None).cast("string").alias("write"))
+
+    def texts():
+        return sorted(r[0] for r in changes.read_store(spark, target, together=True).select("text_content").collect())
+
+    log.append(rows("old", ts=1), 0)
+    log.append(rows("a", "b", ts=2), 1)
+    log.append(rows("c", "c", ts=2), 2)
+    assert texts() == ["a", "b", "c", "c"]
+    changes.compact(spark, target, together=True)
+    assert texts() == ["a", "b", "c", "c"]
+    log.append(rows("late", ts=1), 3)
+    assert texts() == ["a", "b", "c", "c"]
+    log.append(rows("new", ts=3), 4)
+    assert texts() == ["new"]
