@@ -245,3 +245,13 @@ def test_boxes_of_two_tables_meet_without_a_broadcast(spark):
     """A broadcast side lies in the driver, dealt over cells and many times as large as it was judged."""
     old, new = (spark.range(40).selectExpr("id % 2 as p", f"(id * {k} % 17) / 20d as rel_left", "(id % 11) / 12d as rel_top", "0.1d as rel_width", "0.05d as rel_height") for k in (3, 5))
     assert "Broadcast" not in store.replace_region(old, new, "p")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_spans_follow_the_texts(spark, monkeypatch):
+    """A task's spans don't grow with the input, though the session's number of shuffle partitions stays."""
+    monkeypatch.setattr(S, "TASK_CHARS", 10_000)
+    docs = spark.range(300).selectExpr("id as doc_id", "'en' as lang", "repeat('a word ', 100) as text")
+    tasks = S.tasks_for(docs)
+    assert tasks == max(21, spark.sparkContext.defaultParallelism)
+    assert layout.initial_paragraphs(S.spans_of(docs, tasks=tasks)).rdd.getNumPartitions() == tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S.tasks_for(docs.limit(0)) == spark.sparkContext.defaultParallelism
