@@ -1,6 +1,7 @@
 """Hand-made pages, properties of layouts, packing and replies, store formats."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
 from sheafline.operators import layout, paging, replies, translate, units, viewer
-from sheafline.schema import MISSING, Page, TextSettings
+from sheafline.schema import MATH_CHAR, MISSING, OPERATOR_CHAR, Page, TextSettings
 from sheafline.sources import spans as S
 from sheafline.sources import store
 from sheafline.streaming import changes
@@ -255,3 +256,20 @@ def test_tasks_of_spans_follow_the_texts(spark, monkeypatch):
     assert tasks == max(21, spark.sparkContext.defaultParallelism)
     assert layout.initial_paragraphs(S.spans_of(docs, tasks=tasks)).rdd.getNumPartitions() == tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert S.tasks_for(docs.limit(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_math_signs_are_those_of_the_long_class_and_cheap_to_look_for(spark):
+    signs = spark.range(1, 0x10000).filter("id not between 55296 and 57343").selectExpr("cast(id as int) as id").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"))
+    for quick, slow in ((T.is_math(F.concat(F.lit("né "), "c"), F.lit("")), F.col("c").rlike(MATH_CHAR)), (T.has_operator(F.concat(F.lit("né "), "c")), F.col("c").rlike("[" + OPERATOR_CHAR.replace("-", r"\-") + "]"))):
+        assert signs.filter(quick != slow).count() == 0 < signs.filter(quick).count() < 1000
+    texts = spark.range(0, 200_000, 1, 1).selectExpr("concat('la longue phrase n’a pas d’égalité ', id) as t").localCheckpoint()
+
+    def seconds(found):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            texts.filter(found).count()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(T.is_math(F.col("t"), F.lit(""))) < 0.5 * seconds(F.col("t").rlike(MATH_CHAR))
