@@ -7,7 +7,7 @@
 
 Writing: each task writes its notes into a staging folder of the job and a list
 of them; its message names the list. Commit writes one small file that names the lists of all tasks
-(that moment counts), then moves the notes to their places and deletes the file. A job that
+(that moment counts), then moves the notes to their places, several at a time, and deletes the file. A job that
 fails before leaves the old notes, and its staging folder is deleted (a task that outlives it
 may leave files there, which nobody reads). If the driver dies while notes
 are moved, the file is still there: readers take notes from where they lie, old ones that are
@@ -17,7 +17,8 @@ Reading: names and sizes of files go through the driver, as in Spark's own file
 partitions are runs of notes of about ``partition_bytes``. A note is read whole.
 
 Options: path (a URI or a local path), suffix (of a note's name), prefix (of its path below
-the folder), partition_bytes. Notes with one path in one job must be one row.
+the folder), partition_bytes. Notes with one path in one job must be one row. Short notes are a
+few large partitions of Spark; ``sheafline.session.dealt`` spreads them over tasks before they are written.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,6 +39,10 @@ from sheafline.session import ship
 
 SCHEMA = "note_path string, content string"
 STAGING, COMMITS = ".staging", ".commits"
+#: Threads of the driver that move notes when a job commits.
+MOVERS = 8
+#: What opening a note costs, as bytes of a partition.
+OPENING = 1 << 15
 
 
 def _root(path: str) -> tuple[pafs.FileSystem, str]:
@@ -57,30 +63,31 @@ def _files(filesystem: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
     return [x for x in filesystem.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)) if x.type == pafs.FileType.File]
 
 
-def _committed(filesystem: pafs.FileSystem, root: str) -> list[tuple[str, bool, dict[str, str]]]:
-    """Of each job whose notes may not all be in their places: its file, whether it replaces all, and the staged file of each note."""
+def _jobs(filesystem: pafs.FileSystem, root: str) -> list[tuple[str, bool, list[str]]]:
+    """Of each job whose notes may not all be in their places: its file, whether it replaces all, and its tasks' lists."""
     out = []
     for info in sorted(_files(filesystem, f"{root}/{COMMITS}"), key=lambda x: x.base_name):
-        if not info.base_name.endswith(".json"):
-            continue
-        commit = json.loads(_bytes(filesystem, info.path))
-        staged: dict[str, str] = {}
-        for name in commit["lists"]:
-            folder = name.rsplit("/", 1)[0]
-            for k, note in enumerate(json.loads(_bytes(filesystem, f"{root}/{name}"))):
-                staged[note] = f"{root}/{folder}/{k}"
-        out.append((info.path, commit["overwrite"], staged))
+        if info.base_name.endswith(".json"):
+            commit = json.loads(_bytes(filesystem, info.path))
+            out.append((info.path, commit["overwrite"], commit["lists"]))
     return out
 
 
-def _notes(filesystem: pafs.FileSystem, root: str, suffix: str, prefix: str) -> list[tuple[str, str, int]]:
-    """Path below the folder, file, and size of each note as it is, with what is committed and not yet moved."""
-    found: dict[str, tuple[str, int]] = {}
+def _staged(filesystem: pafs.FileSystem, root: str, name: str) -> list[tuple[str, str]]:
+    """The notes of a task's list and their staged files."""
+    folder = name.rsplit("/", 1)[0]
+    return [(note, f"{root}/{folder}/{k}") for k, note in enumerate(json.loads(_bytes(filesystem, f"{root}/{name}")))]
+
+
+def _notes(filesystem: pafs.FileSystem, root: str, suffix: str, prefix: str) -> list[tuple[str, str | None, int]]:
+    """Path below the folder, file (none: at this path), and size of each note as it is, with what is committed and not yet moved."""
+    found: dict[str, tuple[str | None, int]] = {}
     for info in _files(filesystem, root):
         name = info.path[len(root) :].lstrip("/")
         if not name.startswith((f"{STAGING}/", f"{COMMITS}/")):
-            found[name] = (info.path, info.size)
-    for _, overwrite, staged in _committed(filesystem, root):
+            found[name] = (None, info.size)
+    for _, overwrite, lists in _jobs(filesystem, root):
+        staged = dict(x for name in lists for x in _staged(filesystem, root, name))
         if overwrite:
             found = {n: x for n, x in found.items() if n in staged or not n.endswith(suffix)}
         note_of = {file: note for note, file in staged.items()}
@@ -90,25 +97,34 @@ def _notes(filesystem: pafs.FileSystem, root: str, suffix: str, prefix: str) ->
     return sorted((n, f, size) for n, (f, size) in found.items() if n.endswith(suffix) and n.startswith(prefix))
 
 
+def _move(filesystem: pafs.FileSystem, file: str, place: str) -> None:
+    """Move a staged note to its place, whose folder is there; one that has been moved is left alone."""
+    try:
+        filesystem.move(file, place)
+    except OSError:  # some file systems don't move onto a file that is there
+        if filesystem.get_file_info(file).type == pafs.FileType.File:
+            if filesystem.get_file_info(place).type == pafs.FileType.File:
+                filesystem.delete_file(place)
+            filesystem.move(file, place)
+
+
 def finish(path: str, suffix: str = ".translations.md") -> int:
-    """Move what committed jobs have not moved yet to its place; how many jobs there were."""
+    """Move what committed jobs have not moved yet to its place, a task's list after the other; how many jobs there were."""
     filesystem, root = _root(path)
-    jobs = _committed(filesystem, root)
-    for commit, overwrite, staged in jobs:
-        for note, file in staged.items():
-            if filesystem.get_file_info(file).type == pafs.FileType.File:
-                place = f"{root}/{note}"
-                filesystem.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                try:
-                    filesystem.move(file, place)
-                except OSError:  # some file systems don't move onto a file that is there
-                    filesystem.delete_file(place)
-                    filesystem.move(file, place)
-        if overwrite:
-            for name, file, _ in _plain(filesystem, root, suffix):
-                if name not in staged:
-                    filesystem.delete_file(file)
-        filesystem.delete_file(commit)
+    jobs = _jobs(filesystem, root)
+    with ThreadPoolExecutor(MOVERS) as pool:
+        for commit, overwrite, lists in jobs:
+            old = {name for name, _, _ in _plain(filesystem, root, suffix)} if overwrite else set()
+            made: set[str] = set()
+            for name in lists:
+                staged = [(note, file, f"{root}/{note}") for note, file in _staged(filesystem, root, name)]
+                for folder in {place.rsplit("/", 1)[0] for _, _, place in staged} - made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
+                list(pool.map(lambda x: _move(filesystem, x[1], x[2]), staged))
+                old.difference_update(note for note, _, _ in staged)
+            list(pool.map(lambda note: filesystem.delete_file(f"{root}/{note}"), old))
+            filesystem.delete_file(commit)
     return len(jobs)
 
 
@@ -120,7 +136,7 @@ def _plain(filesystem: pafs.FileSystem, root: str, suffix: str) -> list[tuple[st
 
 @dataclass
 class Run(InputPartition):
-    notes: list[tuple[str, str]]
+    notes: list[tuple[str, str | None]]
 
 
 @dataclass
@@ -135,14 +151,14 @@ class NotesReader(DataSourceReader):
 
     def partitions(self) -> list[Run]:
         filesystem, root = _root(self.path)
-        runs: list[list[tuple[str, str]]] = []
+        runs: list[list[tuple[str, str | None]]] = []
         held = self.most
         for name, file, size in _notes(filesystem, root, self.suffix, self.prefix):
             if held >= self.most:
                 runs.append([])
                 held = 0
             runs[-1].append((name, file))
-            held += size + 4096  # a file costs something, however short
+            held += size + OPENING
         return [Run(x) for x in runs] or [Run([])]
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
@@ -152,7 +168,7 @@ class NotesReader(DataSourceReader):
         held = 0
         for name, file in partition.notes:
             try:
-                data = _bytes(filesystem, file)
+                data = _bytes(filesystem, file or f"{root}/{name}")
             except FileNotFoundError:  # moved to its place since it was listed
                 data = _bytes(filesystem, f"{root}/{name}")
             names.append(name)

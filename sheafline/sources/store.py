@@ -6,7 +6,9 @@ font_size, font_family, original_font_sizes, ts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,34 +19,116 @@ from pyspark.sql.window import Window as W
 from sheafline.functions import geometry as G
 from sheafline.functions import text as T
 from sheafline.schema import META_V1, META_V2, META_V3
-from sheafline.session import ship, staged, write_whole
+from sheafline.session import dealt, place_of, put_whole, ship, staged
 
 _META = "struct<r:struct<l:double,t:double,w:double,h:double>,page:double,ot:string,fs:double,ff:string,ofs:array<double>,sel:string,fontSize:double,fontFamily:string,originalFontSizes:array<double>>"
 COLUMNS = ("doc", "page_key", "ord", "page", "text_content", "translated_text", "rel_left", "rel_top", "rel_width", "rel_height", "font_size", "font_family", "original_font_sizes", "ts")
 
 
+def _names(filesystem: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Path and whether it is a folder, of what lies in a folder; on local disks one after the other."""
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                yield x.path, x.is_dir()
+    else:
+        for x in filesystem.get_file_info(pafs.FileSelector(folder)):
+            yield x.path, x.type == pafs.FileType.Directory
+
+
 def read_documents(spark: SparkSession, folder: str, prefix: str = "", suffix: str = ".translations.md") -> DataFrame:
-    """doc (its path below the folder), content of every note whose path begins with the prefix."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
-    root = folder.split(":", 1)[-1].strip("/") + "/"
-    found = files.select(F.substring_index("path", root, -1).alias("doc"), F.decode("content", "UTF-8").alias("content"))
-    return found.filter(F.col("doc").startswith(prefix)) if prefix else found
+    """doc (its path below the folder), content of every note whose path begins with the prefix.
+
+    Names don't go through the driver: a task lists the folder, others the folders in it, and the
+    names are dealt over tasks that read the notes.
+    """
+    ship(spark)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = place_of(folder)
+        for batch in batches:
+            if batch.num_rows:
+                yield from _batches(((path[len(root) :].lstrip("/"), is_dir) for path, is_dir in _names(filesystem, root)), "doc", "is_dir")
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = place_of(folder)
+
+        def walk(name: str) -> Iterator[str]:
+            waiting = [name]
+            while waiting:
+                for path, is_dir in _names(filesystem, f"{root}/{waiting.pop()}"):
+                    own = path[len(root) :].lstrip("/")
+                    if is_dir:
+                        waiting.append(own)
+                    else:
+                        yield own
+
+        def all_of() -> Iterator[str]:
+            for batch in batches:
+                for name, is_dir in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield from walk(name) if is_dir else (name,)
+
+        yield from _batches(((x,) for x in all_of() if x.endswith(suffix) and x.startswith(prefix)), "doc")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = place_of(folder)
+
+        def notes() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    with filesystem.open_input_stream(f"{root}/{name}", compression=None) as file:
+                        yield name, file.read()
+
+        yield from _batches(notes(), "doc", "raw")
+
+    listed = spark.range(1, numPartitions=1).mapInArrow(top, "doc string, is_dir boolean")
+    names = dealt(listed, "doc").mapInArrow(below, "doc string")
+    return dealt(names, "doc").mapInArrow(read, "doc string, raw binary").select("doc", F.decode("raw", "UTF-8").alias("content"))
+
+
+def _batches(rows: Iterable[tuple], *names: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most 10,000, or of some 8 MB where they end in bytes."""
+    kinds = {"doc": pa.string(), "is_dir": pa.bool_(), "raw": pa.binary()}
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(held) >= 10_000 or size > 1 << 23:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*held, strict=True), strict=True)], list(names))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*held, strict=True), strict=True)], list(names))
 
 
 def write_notes(notes: DataFrame, folder: str) -> int:
     """Write each note (note_path, content) as a file below the folder, whose folders are made; how many.
 
-    A repeated task only writes its files again. Notes with the same path must be one row.
+    Notes are dealt over tasks by path. A repeated task only writes its files again. Notes with the same path must be one row.
     """
     ship(notes.sparkSession)
+    filesystem, root = place_of(folder)
+    filesystem.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("note_path", "content")), strict=True):
-                write_whole(folder, path, (content or "").encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return notes.select("note_path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        filesystem, root = place_of(folder)
+        parts = f"{root}/.parts-{uuid.uuid4().hex}"  # a task's own: tasks that make files in one folder wait for each other
+        made: set[str] = set()
+        try:
+            for batch in batches:
+                for path, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("note_path", "content")), strict=True):
+                    place = f"{root}/{path}"
+                    for own in (parts, place.rsplit("/", 1)[0]):
+                        if own not in made:
+                            filesystem.create_dir(own, recursive=True)
+                            made.add(own)
+                    put_whole(filesystem, place, (content or "").encode(), f"{parts}/part")
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+        finally:
+            if made:
+                filesystem.delete_dir(parts)
+
+    return dealt(notes.select("note_path", "content"), "note_path").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def remove_notes(spark: SparkSession, folder: str, paths: DataFrame) -> int:

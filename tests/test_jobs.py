@@ -270,6 +270,16 @@ def test_notes_are_written_found_and_removed(spark):
     assert store.read_documents(spark, folder).count() == 1
 
 
+def test_notes_are_dealt_over_tasks(spark):
+    folder = fresh_path(spark, "notes")
+    rows = spark.range(300).coalesce(1).select(F.concat(F.lit("a/_"), (F.col("id") % 3).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".translations.md")).alias("note_path"), F.concat(F.col("id").cast("string"), F.lit("é")).alias("content"))
+    assert store.write_notes(rows, folder) == 300
+    read = store.read_documents(spark, folder)
+    assert {tuple(r) for r in read.collect()} == {tuple(r) for r in rows.collect()} and read.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(os.listdir(folder.removeprefix("file://"))) == ["a"]  # no parts are left
+    assert store.write_notes(rows.limit(0), fresh := fresh_path(spark, "notes")) == 0 == store.read_documents(spark, fresh).count()
+
+
 def test_the_last_page_takes_its_document(spark):
     rows = spark.createDataFrame([("a", "1", 0), ("a", "2", 0), ("b", "1", 0)], "doc string, page_key string, ord int")
     left = store.delete_pages(rows, spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "9")], "doc string, page_key string"))

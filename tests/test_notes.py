@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.session import dealt
 from sheafline.sources import notes
 
 NAME = notes.Notes.name()
@@ -81,3 +82,13 @@ def test_a_driver_that_dies_while_notes_are_moved(spark, tmp_path, overwrite, mo
     write(spark, folder, [("e.translations.md", "e")])  # the next job moves the rest first
     assert read(spark, folder) == new | {("e.translations.md", "e")}
     assert notes.finish(folder) == 0 and json.loads(open(f"{folder}/{message.list_file}").read()) == ["a.translations.md", "d/d.translations.md"]
+
+
+def test_short_notes_are_several_partitions(spark, tmp_path):
+    notes.register(spark)
+    folder = str(tmp_path / "notes")
+    rows = dealt(spark.range(3000).coalesce(1).select(F.concat(F.col("id").cast("string"), F.lit(".translations.md")).alias("note_path"), F.col("id").cast("string").alias("content")), "note_path")
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    rows.write.format(NAME).mode("overwrite").save(folder)
+    assert read(spark, folder) == {(f"{k}.translations.md", str(k)) for k in range(3000)}
+    assert spark.read.format(NAME).load(folder).rdd.getNumPartitions() == 2
