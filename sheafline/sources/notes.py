@@ -24,6 +24,7 @@ few large partitions of Spark; ``sheafline.session.dealt`` spreads them over tas
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -40,7 +41,7 @@ from sheafline.session import ship
 SCHEMA = "note_path string, content string"
 STAGING, COMMITS = ".staging", ".commits"
 #: Threads of the driver that move notes when a job commits.
-MOVERS = 8
+MOVERS = 2
 #: What opening a note costs, as bytes of a partition.
 OPENING = 1 << 15
 
@@ -100,7 +101,10 @@ def _notes(filesystem: pafs.FileSystem, root: str, suffix: str, prefix: str) ->
 def _move(filesystem: pafs.FileSystem, file: str, place: str) -> None:
     """Move a staged note to its place, whose folder is there; one that has been moved is left alone."""
     try:
-        filesystem.move(file, place)
+        if isinstance(filesystem, pafs.LocalFileSystem):
+            os.replace(file, place)
+        else:
+            filesystem.move(file, place)
     except OSError:  # some file systems don't move onto a file that is there
         if filesystem.get_file_info(file).type == pafs.FileType.File:
             if filesystem.get_file_info(place).type == pafs.FileType.File:
@@ -121,7 +125,7 @@ def finish(path: str, suffix: str = ".translations.md") -> int:
                 for folder in {place.rsplit("/", 1)[0] for _, _, place in staged} - made:
                     filesystem.create_dir(folder, recursive=True)
                     made.add(folder)
-                list(pool.map(lambda x: _move(filesystem, x[1], x[2]), staged))
+                list(pool.map(lambda k: [_move(filesystem, file, place) for _, file, place in staged[k::MOVERS]], range(MOVERS)))
                 old.difference_update(note for note, _, _ in staged)
             list(pool.map(lambda note: filesystem.delete_file(f"{root}/{note}"), old))
             filesystem.delete_file(commit)
