@@ -4,10 +4,11 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import layout
+from sheafline.operators import layout, paging
 from sheafline.schema import LayoutSettings, Page
 from sheafline.session import table
 from sheafline.sources import spans as S
@@ -174,3 +175,16 @@ def test_split_with_a_line_height(spark):
     loose = LayoutSettings(merge_gap_lines=9, merge_gap_max=9, split_line_height=10.0)
     got = found_paragraphs(layout.page_layout(df, PAGE, loose))[1, 1]
     assert all(len({x % 2 for x in p if x < 40}) <= 1 for p in got)
+
+
+def test_gaps_of_all_pages_are_grouped_as_one_after_the_other():
+    rng = np.random.default_rng(5)
+    for n_pages, most, places in ((1, 40, 10_000), (7, 30, 40), (50, 60, 300), (3, 0, 5)):
+        owner = np.repeat(np.arange(n_pages), rng.integers(0, most + 1, n_pages))
+        centers, reach = rng.integers(0, places, len(owner)) / 2, rng.integers(1, 12, n_pages) / 2.0
+        want, latest = [], [[] for _ in range(n_pages)]
+        for p, c in zip(owner.tolist(), centers.tolist(), strict=True):
+            k = next((k for k, x in enumerate(latest[p]) if abs(c - x) <= reach[p]), len(latest[p]))
+            latest[p][k : k + 1] = [c]
+            want.append(k)
+        assert paging.gap_groups(owner, centers, reach).tolist() == want
