@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window as W
 
 from sheafline.functions import text as T
-from sheafline.session import staged
+from sheafline.session import ship, staged
 from sheafline.sources import store
 from sheafline.streaming.keyedlog import KeyedLog
 
@@ -36,6 +38,64 @@ def latest_paths(changes: DataFrame) -> DataFrame:
     return last.filter("m.alive = 1").select("path", F.col("m.ts").alias("ts"))
 
 
+#: Links that a task puts together at once; they and what is derived from them take about 100 MB.
+CHUNK_LINKS = 1 << 20
+#: Fewer runs than these are followed without being dealt anew first.
+FEW_RUNS = 100_000
+_RUN = "node long, last long, hops long"
+
+
+def joined_runs(node: np.ndarray, last: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (from a node to a last one, hops) put together where one begins at the node that ends another; those of a ring stay as they are."""
+    n = len(node)
+    if n == 0:
+        return node, last, hops
+    order = np.argsort(node)
+    node, last, hops = node[order], last[order], hops[order]
+    at = np.minimum(np.searchsorted(node, last), n - 1)
+    follows = node[at] == last
+    first = np.ones(n, bool)
+    first[at[follows]] = False
+    ahead, far, total = np.where(follows, at, n), last.copy(), hops.copy()  # n: none follows
+    for _ in range(n.bit_length()):
+        going = np.flatnonzero(ahead < n)
+        if not len(going):
+            break
+        over = ahead[going]
+        far[going], total[going], ahead[going] = far[over], total[going] + total[over], ahead[over]
+    ring = ahead < n
+    return np.concatenate([node[first], node[ring]]), np.concatenate([far[first], last[ring]]), np.concatenate([total[first], hops[ring]])
+
+
+def _contracted(runs: DataFrame) -> DataFrame:
+    """Runs put together where a chunk of a task's rows has both; which rows are together changes how many are left, not where they lead."""
+    ship(runs.sparkSession)
+
+    def put_together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in joined_runs(*[columns[name].to_numpy() for name in ("node", "last", "hops")])], ["node", "last", "hops"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_LINKS:
+                yield put_together(held)
+                held, n = [], 0
+        if held:
+            yield put_together(held)
+
+    return runs.select("node", "last", "hops").mapInArrow(task, _RUN)
+
+
+def _dealt_by_coins(runs: DataFrame, number: int) -> DataFrame:
+    """Runs dealt so that each meets the one that follows it with a chance of one in four at least: a node's coin says whether it waits or goes to the next."""
+    waits, called = [F.xxhash64(c, F.lit(number)).bitwiseAND(F.lit(1)) == side for c, side in (("node", 0), ("last", 1))]
+    meeting = F.when(waits & called, F.col("last")).otherwise(F.col("node"))
+    return runs.withColumn("at", meeting).repartition("at").sortWithinPartitions("at")
+
+
 def rename_chains(renames: DataFrame, most_rounds: int = 60) -> DataFrame:
     """old_path, path, ts, hops, replaced: where each file that a log of renames (old_path, path, ts) begins with ends up.
 
@@ -45,8 +105,11 @@ def rename_chains(renames: DataFrame, most_rounds: int = 60) -> DataFrame:
     chain, so names may come back (a to b to a); at equal times a path is reached before it is left.
     ``replaced``: another file was moved to the last path while this one was there.
 
-    Chains are followed by pointer doubling: as many rounds as the longest has binary
-    digits, each a join of the log with itself, written to the shared folder.
+    Paths are dealt by ranges, so that names of a folder are together; tasks put together what
+    links they have of a chain. If many runs are left they are dealt by coins, which puts together a
+    quarter of those that have a follower each time, so that all of it costs as much as a few passes over the log,
+    however long its chains are. The rest is followed by pointer doubling: at most as many rounds as
+    the longest chain has binary digits, each a join of what is left with itself, written to the shared folder.
     """
     log = renames.select("old_path", "path", "ts").filter("old_path is not null and path is not null and old_path <> path").distinct()
     log = staged(log.withColumn("node", F.monotonically_increasing_id()), "renames")  # written once, so the numbers stay
@@ -54,26 +117,34 @@ def rename_chains(renames: DataFrame, most_rounds: int = 60) -> DataFrame:
     def neighbours(rows: DataFrame) -> DataFrame:
         ends = rows.select(F.col("path").alias("at"), "ts", F.lit(0).alias("leaves"), "node").union(rows.select(F.col("old_path").alias("at"), "ts", F.lit(1).alias("leaves"), "node"))
         by_path = W.partitionBy("at").orderBy("ts", "leaves", "node")
-        return ends.select("node", "leaves", *[f(c).over(by_path).alias(f"{name}_{c}") for c in ("leaves", "node") for name, f in (("before", F.lag), ("after", F.lead))])
+        beside = [(F.lag("leaves"), "before_leaves"), (F.lag("node"), "before_node"), (F.lead("leaves"), "after_leaves")]
+        return ends.repartitionByRange("at").select("at", "ts", "leaves", "node", *[c.over(by_path).alias(name) for c, name in beside])
 
-    again = neighbours(log).filter("leaves = 1 and after_leaves = 1").select("node")
-    log = staged(log.join(again, "node", "left_anti"), "renames")
     beside = staged(neighbours(log), "renames")
-    links = beside.filter("leaves = 1 and before_leaves = 0").select(F.col("before_node").alias("node"), F.col("node").alias("next"))
-    heads = beside.filter("leaves = 1 and before_node is null").select(F.col("node").alias("head"))
-    lost = beside.filter("leaves = 0 and after_leaves = 0").select(F.col("node").alias("last"), F.lit(True).alias("replaced"))
-    state = staged(log.select("node").join(links, "node", "left").select("node", F.coalesce("next", "node").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops")), "chains")
-    for _ in range(most_rounds):
+    again = beside.filter("leaves = 1 and after_leaves = 1").select("node")
+    if not again.isEmpty():
+        beside = staged(neighbours(staged(log.join(again, "node", "left_anti"), "renames")), "renames")
+    links = beside.filter("leaves = 1 and before_leaves = 0").select(F.col("before_node").alias("node"), F.col("node").alias("last"), F.lit(1).cast("long").alias("hops"))
+    heads = beside.filter("leaves = 1 and before_node is null").select("node", "at")
+    ends = beside.filter("leaves = 0 and coalesce(after_leaves, 0) = 0").select(F.col("node").alias("last"), F.col("at").alias("path"), "ts", F.col("after_leaves").isNotNull().alias("replaced"))
+
+    state = staged(_contracted(links), "chains")
+    n, left, number = links.count(), state.count(), 0
+    while left > max(n // 4, FEW_RUNS):
+        state = staged(_contracted(_dealt_by_coins(state, number)), "chains")
+        before, left, number = left, state.count(), number + 1
+        if left > before - before // 16:
+            break  # most runs have no follower
+    for _ in range(min(most_rounds, left.bit_length() + 1)):
         further = state.select(F.col("node").alias("mid"), F.col("last").alias("further"), F.col("hops").alias("more"))
-        doubled = staged(state.join(further, F.col("last") == F.col("mid")).select("node", F.col("further").alias("last"), (F.col("hops") + F.col("more")).alias("hops"), F.col("more")), "chains")
-        state = doubled.drop("more")
-        if not doubled.filter("more > 0").limit(1).count():
+        doubled = staged(state.join(further, F.col("last") == F.col("mid"), "left").select("node", F.coalesce("further", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("more").isNotNull().alias("moved")), "chains")
+        state = doubled.drop("moved")
+        if doubled.filter("moved").isEmpty():
             break
     else:
         raise RuntimeError(f"renames did not settle in {most_rounds} rounds")
-    found = state.join(heads, F.col("node") == F.col("head")).join(lost, "last", "left")
-    first, last = log.select(F.col("node").alias("head"), "old_path"), log.select(F.col("node").alias("last"), "path", "ts")
-    return found.join(first, "head").join(last, "last").select("old_path", "path", "ts", (F.col("hops") + 1).alias("hops"), F.coalesce("replaced", F.lit(False)).alias("replaced"))
+    found = heads.join(state, "node", "left").select(F.col("at").alias("old_path"), F.coalesce("last", "node").alias("last"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    return found.join(ends, "last").select("old_path", "path", "ts", "hops", "replaced")
 
 
 def _moved(known: DataFrame, renames: DataFrame, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,70 @@ def test_rounds_follow_the_digits_of_the_longest_chain(spark):
     assert {tuple(r) for r in changes.rename_chains(spark.createDataFrame(log, LOG), most_rounds=8).select("old_path", "path", "hops").collect()} == {("p0", "p100", 100)}
 
 
+def chained_rows(monkeypatch):
+    """Counts of the tables that rename_chains writes while it follows chains."""
+    counts, staged = [], changes.staged
+
+    def counted(df, label):
+        table = staged(df, label)
+        if label == "chains":
+            counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(changes, "staged", counted)
+    return counts
+
+
+def test_long_chains_write_no_table_a_round(spark, monkeypatch):
+    counts = chained_rows(monkeypatch)
+    log = [(f"f{u}-{k % 3}", f"f{u}-{(k + 1) % 3}", k) for u in range(20) for k in range(100)]
+    assert chains(spark, log) == {(f"f{u}-0", f"f{u}-1", 100, False) for u in range(20)}
+    assert sum(counts) < len(log)  # eight rounds of all links before
+
+
+def test_chains_that_run_through_many_tasks(spark, monkeypatch):
+    counts = chained_rows(monkeypatch)
+    monkeypatch.setattr(changes, "FEW_RUNS", 0)
+    monkeypatch.setattr(changes, "CHUNK_LINKS", 1)
+    rng = random.Random(5)
+    names = [f"p{rng.getrandbits(40):x}" for _ in range(1201)]
+    log = [(names[k], names[k + 1], k) for k in range(1200) if k % 300]  # four chains
+    rng.shuffle(log)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "4")
+        assert chains(spark, log) == {(names[k + 1], names[k + 300], 299, False) for k in range(0, 1200, 300)}
+    finally:
+        spark.conf.set(batch, kept)
+    assert len(counts) > 4 and counts[0] > 1000 and sum(counts) < 8 * len(log)  # nine rounds of all links before
+
+
+def test_runs_of_a_chunk_are_put_together():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 50, 400):
+        ids = rng.sample(range(10 * n + 10), n + 1)
+        kept = [k for k in range(n) if rng.random() < 0.9]
+        rows = [(ids[k], ids[k + 1], rng.randint(1, 5)) for k in kept]
+        ring = [(-1, -2, 1), (-2, -3, 1), (-3, -1, 1), (-9, -9, 1)]
+        follow, want = {a: (b, h) for a, b, h in rows}, set(ring)
+        for a in set(follow) - {b for _, b, _ in rows}:
+            at, hops = a, 0
+            while at in follow:
+                at, hops = follow[at][0], hops + follow[at][1]
+            want.add((a, at, hops))
+        rows += ring
+        rng.shuffle(rows)
+        found = changes.joined_runs(*(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+        assert set(zip(*(x.tolist() for x in found), strict=True)) == want and len(found[0]) == len(want)
+    assert [len(x) for x in changes.joined_runs(*[np.array([], np.int64)] * 3)] == [0, 0, 0]
+
+
+def test_renames_in_a_ring_at_one_time_are_refused(spark):
+    with pytest.raises(RuntimeError, match="settle"):
+        chains(spark, [("a", "b", 5), ("b", "a", 5), ("x", "y", 1)])
+
+
 def test_files_followed_by_a_stream(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     batches = [[("u", "a", 1), ("u", "c", 3), ("v", "x", 1), (None, "q", 1)], [("u", "b", 2), ("v", None, 9)], [("u", "a", 7), ("w", "z", 1), ("u", "0", 0)]]
