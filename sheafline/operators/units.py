@@ -78,7 +78,7 @@ def page_units(spans: DataFrame, page: Page, s: LayoutSettings | None = None, ga
     s, gaps = s or LayoutSettings(), gaps or GapSettings()
     name = F.trim(F.regexp_replace(F.element_at(F.split("font_family", ","), 1), "['\"]", ""))
     carried = {
-        "html": T.tagged(F.coalesce("text", F.lit("")), T.weight(F.col("font_weight").cast("string")), F.col("font_style")),
+        "html": T.tagged(F.coalesce("text", F.lit("")), T.weights(spans), F.col("font_style")),
         "ends": T.ends_sentence(F.coalesce("text", F.lit(""))),
         "size": F.when(F.col("font_size") != 0, F.col("font_size")).otherwise(12.0),
         "name": F.when((F.length("font_family") > 0) & (name != DEFAULT_FAMILY), name),

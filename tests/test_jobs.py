@@ -1,15 +1,21 @@
 """Translation runs, providers, settings, notes as files, the store under a stream."""
 
+import contextlib
+import io
 import json
 import os
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.functions import geometry as G
+from sheafline.functions import text as T
 from sheafline.operators import layout, translate, units, viewer
-from sheafline.schema import MISSING, STORED_LAYOUT, LayoutSettings, Page, TextSettings, layout_settings, normal_folder, text_settings
+from sheafline.plans import catalogue
+from sheafline.schema import MATH_CHAR, MISSING, STORED_LAYOUT, LayoutSettings, Page, TextSettings, layout_settings, normal_folder, text_settings
 from sheafline.session import fresh_path, table
 from sheafline.sources import spans as S
 from sheafline.sources import store
@@ -251,6 +257,56 @@ def test_regions(spark):
     assert viewer.select_spans(spans, clicks).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_spans_tell_the_selection_of_their_page(spark):
+    """One selection a page, no join: the same spans."""
+    spans = S.spans_of(table(spark, DATA, "documents")).filter("doc_id < 12")
+    own = G.Rect(40.0 + F.col("doc_id"), 50.0 + F.col("page"), 40.0 + F.col("doc_id") * 4, F.lit(170.0))
+    drawn = spans.select("doc_id", "page", *[getattr(own, c).alias(f"sel_{c}") for c in ("left", "top", "right", "bottom")]).distinct()
+    told, joined = (sorted((r["doc_id"], r["page"], r["span_id"]) for r in x.collect()) for x in (viewer.spans_in(spans, own), viewer.select_spans(spans, drawn)))
+    assert told == joined and 0 < len(told) < spans.count()
+    assert viewer.spans_in(spans, G.Rect(*(F.lit(x) for x in (0.0, 100.0, 5.0, 220.0)))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["region_job", "page_layout", "page_units", "nest_pass", "rich_lines", "selected_spans"])
+def test_the_jvm_compiles_what_runs_for_each_span(spark, name):
+    """A method of more than 8,000 bytes is run by the JVM's interpreter, however often it is called."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or the code is not shown
+    try:
+        printed = io.StringIO()
+        with contextlib.redirect_stdout(printed):
+            catalogue.QUERIES[name](spark, DATA).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", printed.getvalue())]
+    assert sizes and max(sizes) <= 8000, sizes
+
+
+def test_spans_as_before_where_texts_are_odd(spark):
+    blank, ends = ["", " ", "\u00a0", "\t", "\n", "\u2028"], ["", " ", "\u00a0 ", "\n"]
+    middles = ["", "1", "12", "123", "1234", "1a", "•", "-", "»", "«", "--", "h", "http", "https://a", "xhttp", "x", "é", "x=y", "a-b", "1-", "∑", "αβ", "ẋ", "5%", "−", "ₐ"]
+    texts = [a + m + z for a in blank for m in middles for z in ends]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+
+    def plainly(t):
+        t = T.trim(F.coalesce(t, F.lit("")))
+        return (F.length(t) > 0) & ~t.rlike(r"^[0-9]{1,3}$") & ~t.rlike(r"^[•\-»«]$") & ~t.startswith("http")
+
+    t, two = F.col("t"), F.lit(2.0)
+    seen = df.select("t", S.is_valid(t, two, two).alias("a"), plainly(t).alias("b"), T.is_math(t, F.lit("Serif")).alias("c"), ((F.length(F.coalesce(t, F.lit(""))) > 0) & t.rlike(MATH_CHAR)).alias("d"), T.has_operator(t).alias("e"), F.coalesce(t, F.lit("")).rlike("[=+\\-−×÷√∫∑≠≤≥≈±∞]").alias("f")).collect()
+    assert [r for r in seen if r["a"] != r["b"] or r["c"] != r["d"] or r["e"] != r["f"]] == []
+    assert {r["a"] for r in seen} == {r["c"] for r in seen} == {r["e"] for r in seen} == {True, False}
+    number = spark.createDataFrame([(550, "550"), (None, None)], "font_weight int, as_text string")
+    assert [tuple(r) for r in number.select(T.weights(number), T.weight(F.col("as_text"))).collect()] == [(550, 550), (400, 400)]
+
+
+def test_colours_that_are_written_differently(spark):
+    spans = [span(k, 10, 10 + 12 * k, 60, 10) for k in range(4)]
+    df = spark.createDataFrame(as_rows(1, spans), SCHEMA).withColumn("color", F.element_at(F.array(*[F.lit(x) for x in ("rgb(1, 2, 3)", "#010203", "rgb(9, 2, 3)", "#ff0000")]), (F.col("span_id") + 1).cast("int")))
+    assert [r["para_id"] for r in layout.initial_paragraphs(df).orderBy("span_id").collect()] == [0, 0, 0, 1]
+
+
 # --- notes ----------------------------------------------------------------------------------
 
 
